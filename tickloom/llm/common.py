@@ -55,8 +55,8 @@ def texts_of(column: pa.Array) -> Iterator[str]:
         yield x.as_py() or ""
 
 
-def summed_vectors(parts: DataFrame, key: str, vector: str, dtype: str = "<i8") -> DataFrame:
-    """Element-wise sums of the binary `vector` column (packed `dtype`) by `key`.
+def summed_vectors(parts: DataFrame, key: str, vector: str, dtype: str = "<i4") -> DataFrame:
+    """Element-wise sums of the binary `vector` column (packed `dtype`) by `key`, packed as 64-bit integers.
 
     The rows are shuffled by key and summed as they stream past, so a task holds one vector for each of its
     keys, however many rows a key has. Rows of one key must have vectors of one length.
@@ -70,7 +70,7 @@ def summed_vectors(parts: DataFrame, key: str, vector: str, dtype: str = "<i8")
                 if k in sums:
                     sums[k] += x
                 else:
-                    sums[k] = x.copy()
+                    sums[k] = x.astype(np.int64)
         if sums:
             yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], [key, vector])
 

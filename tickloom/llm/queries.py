@@ -11,6 +11,7 @@ from tickloom.llm.common import fresh_path
 from tickloom.llm.decontaminate import find_contamination
 from tickloom.llm.mixing import mix_sources
 from tickloom.llm.oracle import SQL
+from tickloom.llm.quality_model import fold_of, score_quality
 from tickloom.llm.quality_rules import quality_metrics
 from tickloom.llm.token_count import token_counts
 from tickloom.llm.token_store import ids_crc32, map_documents, read_token_shards, write_token_shards
@@ -37,6 +38,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs.select("doc_id", F.coalesce(fold_of() == 0, F.lit(False)).alias("held_out"), "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality_metrics(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -67,4 +74,4 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, word_count()).select("doc_id", *[m[c].alias(c) for c in ("size", "source_size", "target", "taken")])
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_quality_rules, op4_token_counts, op6_token_ids, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_quality_rules, op4_token_counts, op6_token_ids, op9_mixing)}
