@@ -13,6 +13,7 @@ from tickloom.llm.mixing import mix_sources
 from tickloom.llm.oracle import SQL
 from tickloom.llm.quality_model import fold_of, score_quality
 from tickloom.llm.quality_rules import quality_metrics
+from tickloom.llm.surrogates import replace_entities
 from tickloom.llm.token_count import token_counts
 from tickloom.llm.token_store import ids_crc32, map_documents, read_token_shards, write_token_shards
 
@@ -68,10 +69,20 @@ def token_digests(docs: DataFrame) -> DataFrame:
     return map_documents(read_token_shards(spark, path), ids_crc32, pa.int64(), "bigint", "ids_crc32")
 
 
+#: The key that the registered query draws with; a caller of the operator brings a secret of their own.
+QUERY_KEY = "registered-query"
+
+
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY)
+    s = F.col("surrogates")
+    return done.select("doc_id", s["text"].alias("text"), s["n_entities"].alias("n_entities"), F.array_join(F.transform(s["entities"], lambda e: e["kind"]), ",").alias("kinds"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     m = F.col("mix")
     return mix_sources(docs, word_count()).select("doc_id", *[m[c].alias(c) for c in ("size", "source_size", "target", "taken")])
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_quality_rules, op4_token_counts, op6_token_ids, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_quality_rules, op4_token_counts, op6_token_ids, op7_surrogates, op9_mixing)}
