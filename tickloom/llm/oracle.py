@@ -78,4 +78,16 @@ def mixing() -> str:
     return f"WITH {mix_ctes('documents')} SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken FROM mixed"
 
 
-SQL = {"op1_decontamination": decontamination(), "op3_quality_rules": quality_rules(), "op9_mixing": mixing()}
+def warc_audit() -> str:
+    number, end = "coalesce(CAST(page_id AS VARCHAR), '')", "chr(13) || chr(10)"
+    flat = r"regexp_replace(url, '[\r\n]+', ' ', 'g')"
+    return f"""
+WITH p AS (SELECT page_id, url, {flat} AS u, coalesce(html, '') AS b FROM pages)
+SELECT page_id, sha256(b) AS payload_sha256, coalesce(md5(u) < '05', false) AS damaged,
+       CAST(strlen(concat_ws({end}, 'WARC/1.1', 'WARC-Type: resource', 'WARC-Record-ID: <urn:x-page:' || md5(concat_ws(':', {number}, url)) || '>',
+                'WARC-Target-URI: ' || u, 'WARC-Date: 2024-01-01T00:00:00Z', 'Content-Type: text/html', 'X-Page-Id: ' || {number},
+                'WARC-Payload-Digest: sha256:' || sha256(b), 'Content-Length: ' || strlen(b), '', b, '', '')) AS BIGINT) AS record_bytes
+FROM p"""
+
+
+SQL = {"op5_warc_audit": warc_audit(), "op1_decontamination": decontamination(), "op3_quality_rules": quality_rules(), "op9_mixing": mixing()}

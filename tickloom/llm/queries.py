@@ -7,8 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import fresh_path
+from tickloom.llm import warc
+from tickloom.llm.common import fresh_path, written
 from tickloom.llm.decontaminate import find_contamination
+from tickloom.llm.jaccard_join import near_components
+from tickloom.llm.line_dedup import dedup_lines
 from tickloom.llm.mixing import mix_sources
 from tickloom.llm.oracle import SQL
 from tickloom.llm.quality_model import fold_of, score_quality
@@ -57,6 +60,25 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive all pages, copy the archive with some bytes gone bad, and find the records that the copy has wrong.
+
+    Bad are the last bytes of pages whose URL's MD5 begins below 05.
+    """
+    pages = table(spark, sf_dir, "pages")
+    number = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    record = warc.record_text(F.concat(F.lit("<urn:x-page:"), F.md5(F.concat_ws(":", number, "url")), F.lit(">")), F.col("url"), F.col("html"), {"X-Page-Id": number})
+    path, copy = fresh_path(spark, "warc"), fresh_path(spark, "warc-copy")
+    warc.write_warc(pages, record, path)
+    index = warc.read_warc(spark, path, payload=False).select("file", "seq", "start", "length", F.col("headers")["x-page-id"].cast("bigint").alias("page_id"), F.md5("uri").alias("mark"), F.col("headers")["warc-payload-digest"].alias("digest"))
+    index = written(index, "warc-index")
+    warc.copy_archive(warc.flip_bytes(warc.read_files(spark, path), index.where("mark < '05'").select("file", (F.col("start") + F.col("length") - 5).alias("at"))), copy)
+    leaves = written(warc.leaf_hashes(warc.read_files(spark, path), index), "warc-leaves")
+    others = written(warc.leaf_hashes(warc.read_files(spark, copy), index), "warc-leaves")
+    bad = warc.audit(leaves, others).select("file", "seq", F.lit(True).alias("bad"))
+    return index.join(bad, ["file", "seq"], "left").select("page_id", F.col("length").alias("record_bytes"), F.substring("digest", 8, 64).alias("payload_sha256"), F.coalesce("bad", F.lit(False)).alias("damaged"))
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
@@ -79,10 +101,24 @@ def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", s["text"].alias("text"), s["n_entities"].alias("n_entities"), F.array_join(F.transform(s["entities"], lambda e: e["kind"]), ",").alias("kinds"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_components(docs, words=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     m = F.col("mix")
     return mix_sources(docs, word_count()).select("doc_id", *[m[c].alias(c) for c in ("size", "source_size", "target", "taken")])
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_quality_rules, op4_token_counts, op6_token_ids, op7_surrogates, op9_mixing)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("deduped")
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", d["n_lines"].alias("n_lines"), d["n_removed"].alias("n_removed"), d["text"].alias("text"))
+
+
+_ALL = (
+    op1_decontamination, op2_quality_classifier, op3_quality_rules, op4_token_counts, op5_warc_audit,
+    op6_token_ids, op7_surrogates, op8_ngram_jaccard, op9_mixing, op10_line_dedup,
+)
+QUERIES = {f.__name__: f for f in _ALL}
