@@ -32,7 +32,7 @@ def _sums(ns: str) -> str:
     return ", ".join(f"{v} AS {k}" for k, v in parts.items())
 
 
-def _r(top: str, bottom: str, scale: str = "1.0", places: int = 9) -> str:
+def _r(top: str, bottom: str, scale: str = "1.0", places: int = 6) -> str:
     return f"round(CAST({top} AS DOUBLE) * {scale} / nullif(CAST({bottom} AS DOUBLE), 0), {places})"
 
 
@@ -98,10 +98,10 @@ def _calendar(name: str, width: int) -> str:
 
 
 _HMS = "printf('%02d:%02d:%02d', start_ns // 3600000000000, start_ns // 60000000000 % 60, start_ns // 1000000000 % 60) AS start_hms"
-_CAL = f"WITH {_EV}, {_calendar('cal', 600_000_000_000)} SELECT * EXCLUDE (dmid_cents, dmid_bps), round(dmid_cents, 9) AS dmid_cents, round(dmid_bps, 9) AS dmid_bps, {_HMS} FROM cal"
+_CAL = f"WITH {_EV}, {_calendar('cal', 600_000_000_000)} SELECT * EXCLUDE (dmid_cents, dmid_bps), round(dmid_cents, 6) AS dmid_cents, round(dmid_bps, 6) AS dmid_bps, {_HMS} FROM cal"
 _OFI_DAY = f"""WITH {_EV}, g AS (SELECT symbol, day, count(*) AS n_events, count(*) FILTER (e <> 0) AS nonzero, count(*) FILTER (e > 0) AS positive, count(*) FILTER (e < 0) AS negative, CAST(sum(e) AS BIGINT) AS net, CAST(sum(abs(e)) AS BIGINT) AS gross,
  first(e ORDER BY abs(e) DESC, seq) AS largest, first(mid2_prev ORDER BY seq) AS mid2_open, last(mid2 ORDER BY seq) AS mid2_close FROM ev GROUP BY ALL)
-SELECT *, {_r("n_events - nonzero", "n_events")} AS zero_share, {_r("positive - negative", "nonzero")} AS sign_balance, round((mid2_close - mid2_open) / 200.0::DOUBLE, 9) AS dmid_cents, {_r("mid2_close - mid2_open", "mid2_open", "CAST(10000 AS DOUBLE)")} AS dmid_bps FROM g"""
+SELECT *, {_r("n_events - nonzero", "n_events")} AS zero_share, {_r("positive - negative", "nonzero")} AS sign_balance, round((mid2_close - mid2_open) / 200.0::DOUBLE, 6) AS dmid_cents, {_r("mid2_close - mid2_open", "mid2_open", "CAST(10000 AS DOUBLE)")} AS dmid_bps FROM g"""
 
 
 def _clock(name: str, n: int) -> str:
@@ -113,15 +113,15 @@ def _clock(name: str, n: int) -> str:
   FROM {name}_x GROUP BY ALL HAVING count(*) FILTER (e <> 0) = {n})"""
 
 
-_EVENT_CLOCK = f"""WITH {_EV}, {_clock("ec", 10)} SELECT *, end_ns - start_ns AS duration_ns, round((mid2_close - mid2_open) / 200.0::DOUBLE, 9) AS dmid_cents, {_r("mid2_close - mid2_open", "mid2_open", "CAST(10000 AS DOUBLE)")} AS dmid_bps, {_HMS} FROM ec"""
+_EVENT_CLOCK = f"""WITH {_EV}, {_clock("ec", 10)} SELECT *, end_ns - start_ns AS duration_ns, round((mid2_close - mid2_open) / 200.0::DOUBLE, 6) AS dmid_cents, {_r("mid2_close - mid2_open", "mid2_open", "CAST(10000 AS DOUBLE)")} AS dmid_bps, {_HMS} FROM ec"""
 
 
 def _ols(rows: str, key: str, x: str, y: str) -> str:
     ok = f"(min({x}) < max({x}) AND min({y}) < max({y}))"
     both = f"({x} <> 0 AND {y} <> 0)"
-    return f"""SELECT {key}, count(*) AS n, CASE WHEN {ok} THEN round(sum({x} * {y}) / sum({x} * {x}), 9) END AS beta0, CASE WHEN {ok} THEN round(1 - (sum({y} * {y}) - sum({x} * {y}) / sum({x} * {x}) * sum({x} * {y})) / regr_syy({y}, {x}), 9) END AS r2_origin,
- CASE WHEN {ok} THEN round(regr_slope({y}, {x}), 9) END AS beta, CASE WHEN {ok} THEN round(regr_intercept({y}, {x}), 9) END AS alpha, CASE WHEN {ok} THEN round(regr_r2({y}, {x}), 9) END AS r2,
- round(count(*) FILTER ({both} AND sign({x}) = sign({y})) / nullif(CAST(count(*) FILTER {both} AS DOUBLE), 0), 9) AS hit_rate, count(*) - count(*) FILTER {both} AS excluded FROM {rows} GROUP BY {key}"""
+    return f"""SELECT {key}, count(*) AS n, CASE WHEN {ok} THEN round(sum({x} * {y}) / sum({x} * {x}), 6) END AS beta0, CASE WHEN {ok} THEN round(1 - (sum({y} * {y}) - sum({x} * {y}) / sum({x} * {x}) * sum({x} * {y})) / regr_syy({y}, {x}), 6) END AS r2_origin,
+ CASE WHEN {ok} THEN round(regr_slope({y}, {x}), 6) END AS beta, CASE WHEN {ok} THEN round(regr_intercept({y}, {x}), 6) END AS alpha, CASE WHEN {ok} THEN round(regr_r2({y}, {x}), 6) END AS r2,
+ round(count(*) FILTER ({both} AND sign({x}) = sign({y})) / nullif(CAST(count(*) FILTER {both} AS DOUBLE), 0), 6) AS hit_rate, count(*) - count(*) FILTER {both} AS excluded FROM {rows} GROUP BY {key}"""
 
 
 _XY = "(SELECT *, CAST(ofi AS DOUBLE) AS x, CAST(dmid_cents AS DOUBLE) AS y FROM {})"
@@ -133,7 +133,7 @@ w AS (SELECT symbol, day, start_ns // 7200000000000 AS bin, CASE WHEN min(x) < m
 d AS (SELECT w.*, CAST(touch_x_ns AS DOUBLE) / nullif(CAST(two_sided_ns AS DOUBLE), 0) / 2 AS depth FROM w JOIN bins USING (symbol, day, bin)),
 l AS (SELECT symbol, day, coalesce(beta0 > 0 AND depth > 0, false) AS good, CASE WHEN beta0 > 0 AND depth > 0 THEN ln(depth) END AS lx, CASE WHEN beta0 > 0 AND depth > 0 THEN ln(beta0) END AS ly FROM d),
 f AS (SELECT symbol, day, count(*) FILTER (good) AS used, count(*) FILTER (NOT good) AS skipped, regr_slope(ly, lx) AS sl, regr_intercept(ly, lx) AS ic, regr_r2(ly, lx) AS r, min(lx) < max(lx) AND min(ly) < max(ly) AS ok FROM l GROUP BY ALL)
-SELECT symbol, day, used, skipped, CASE WHEN used >= 3 AND ok THEN round(sl, 9) END AS slope, CASE WHEN used >= 3 AND ok THEN round(ic, 9) END AS intercept, CASE WHEN used >= 3 AND ok THEN round(r, 9) END AS r2 FROM f"""
+SELECT symbol, day, used, skipped, CASE WHEN used >= 3 AND ok THEN round(sl, 6) END AS slope, CASE WHEN used >= 3 AND ok THEN round(ic, 6) END AS intercept, CASE WHEN used >= 3 AND ok THEN round(r, 6) END AS r2 FROM f"""
 
 _OPS = f"""{_BASE},
 o1 AS (SELECT t.*, (SELECT count(*) FROM tape u WHERE u.symbol = t.symbol AND u.order_id = t.order_id AND u.kind = 1 AND u.seq <= t.seq) AS life_no FROM tape t WHERE kind BETWEEN 1 AND 4),
@@ -154,8 +154,8 @@ risk AS (SELECT d.*, (SELECT count(*) FROM dur u WHERE u.symbol = d.symbol AND u
 km AS (SELECT symbol, day, t, at_risk, deaths, product(1 - deaths / CAST(at_risk AS DOUBLE)) OVER (PARTITION BY symbol, day ORDER BY t) AS survival FROM risk)"""
 _GRID = "(" + ", ".join(f"({int(1_000_000_000 * 10 ** (k / 5))})" for k in range(36)) + ")"
 _SURVIVAL = f"""WITH {_KM}, grid AS (SELECT symbol, day, CAST(t AS BIGINT) AS t FROM (SELECT DISTINCT symbol, day FROM dur), (VALUES {_GRID[1:-1]}) AS v(t))
-SELECT g.symbol, g.day, g.t, round(coalesce((SELECT survival FROM km k WHERE k.symbol = g.symbol AND k.t <= g.t ORDER BY k.t DESC LIMIT 1), 1), 9) AS s_km,
- round(1 - (SELECT count(*) FROM dur u WHERE u.symbol = g.symbol AND died AND u.t <= g.t) / CAST((SELECT count(*) FROM dur u WHERE u.symbol = g.symbol AND died) AS DOUBLE), 9) AS s_naive FROM grid g"""
+SELECT g.symbol, g.day, g.t, round(coalesce((SELECT survival FROM km k WHERE k.symbol = g.symbol AND k.t <= g.t ORDER BY k.t DESC LIMIT 1), 1), 6) AS s_km,
+ round(1 - (SELECT count(*) FROM dur u WHERE u.symbol = g.symbol AND died AND u.t <= g.t) / CAST((SELECT count(*) FROM dur u WHERE u.symbol = g.symbol AND died) AS DOUBLE), 6) AS s_naive FROM grid g"""
 _C2T = f"""WITH {_OPS}, raw AS (SELECT symbol, day, count(*) FILTER (kind = 1) AS adds, count(*) FILTER (kind = 2) AS reduces, count(*) FILTER (kind = 3) AS deletes, count(*) FILTER (kind = 4) AS executes, count(*) FILTER (kind = 5) AS hiddens, CAST(coalesce(sum(size) FILTER (kind IN (4, 5)), 0) AS BIGINT) AS exec_lots FROM tape GROUP BY ALL),
 dk AS (SELECT symbol, day, count(*) FILTER (dark) AS dark_ops, CAST(coalesce(sum(size) FILTER (dark), 0) AS BIGINT) AS dark_shares FROM ops GROUP BY ALL),
 lf AS (SELECT symbol, day, count(*) FILTER (outcome = 'cancelled') AS cancelled_orders, count(*) FILTER (executed > 0) AS traded_orders, CAST(sum(cancelled) AS BIGINT) AS cancelled_shares, CAST(sum(executed) AS BIGINT) AS executed_shares FROM lives GROUP BY ALL)
@@ -234,16 +234,16 @@ dc AS (SELECT *, CAST(least(10, 1 + (10 * i) // n) AS INT) AS decile FROM rk)"""
 _CHOOSE = f"""WITH {_UNI}, dl AS (SELECT decile, list(permno ORDER BY i) AS l FROM dc GROUP BY ALL), k AS (SELECT *, least(3, len(l)) AS k FROM dl), j AS (SELECT *, unnest(range(k)) AS j FROM k), pick AS (SELECT l[1 + (j * len(l)) // k + len(l) // (2 * k)] AS permno FROM j)
 SELECT permno, CAST(dollar_volume AS VARCHAR) AS dollar_volume, decile FROM dc WHERE permno IN (SELECT permno FROM pick)"""
 _COSTS = f"{_UNI}, cs AS (SELECT permno, decile, (11 - decile) / 2.0::DOUBLE + (permno % 7) / 8.0::DOUBLE AS half_bps FROM dc), md AS (SELECT decile, count(*) AS names, quantile_cont(half_bps, 0.25) AS q1, quantile_cont(half_bps, 0.5) AS median, quantile_cont(half_bps, 0.75) AS q3, min(half_bps) AS least, max(half_bps) AS most FROM cs GROUP BY ALL)"
-_MEDIANS = f"WITH {_COSTS} SELECT decile, names, round(q1, 9) AS q1, round(median, 9) AS median, round(q3, 9) AS q3, round(least, 9) AS least, round(most, 9) AS most FROM md"
+_MEDIANS = f"WITH {_COSTS} SELECT decile, names, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(least, 6) AS least, round(most, 6) AS most FROM md"
 _AUDIT = f"""WITH {_COSTS}, f AS (SELECT * FROM (VALUES ('low', 0.5::DOUBLE), ('stated', 1.0::DOUBLE), ('high', 5.0::DOUBLE)) AS t(reading, figure)), nd AS (SELECT reading, figure, arg_min(decile, abs(ln(median / figure)) ORDER BY decile) AS nearest_decile FROM f, md GROUP BY ALL)
-SELECT reading, figure, (SELECT count(*) FROM cs WHERE half_bps >= figure) AS covered, round((SELECT count(*) FROM cs WHERE half_bps >= figure) / CAST((SELECT count(*) FROM cs) AS DOUBLE), 9) AS share_covered, nearest_decile, round(median / figure, 9) AS nearest_factor, median / figure BETWEEN 0.8 AND 1.25 AS matches,
- round((SELECT quantile_cont(half_bps, 0.5) FROM cs) / figure, 9) AS factor_median, round((SELECT arg_min(median, decile) FROM md) / figure, 9) AS factor_bottom_decile FROM nd JOIN md ON md.decile = nearest_decile"""
+SELECT reading, figure, (SELECT count(*) FROM cs WHERE half_bps >= figure) AS covered, round((SELECT count(*) FROM cs WHERE half_bps >= figure) / CAST((SELECT count(*) FROM cs) AS DOUBLE), 6) AS share_covered, nearest_decile, round(median / figure, 6) AS nearest_factor, median / figure BETWEEN 0.8 AND 1.25 AS matches,
+ round((SELECT quantile_cont(half_bps, 0.5) FROM cs) / figure, 6) AS factor_median, round((SELECT arg_min(median, decile) FROM md) / figure, 6) AS factor_bottom_decile FROM nd JOIN md ON md.decile = nearest_decile"""
 _ACT = """ac AS (SELECT user_id AS t, count(*) FILTER (event_type = 'purchase') AS lit_trades, count(*) FILTER (event_type = 'view') AS cancels, count(*) FILTER (event_type = 'click') AS hidden, count(*) AS tfh FROM events GROUP BY ALL),
 lg AS (SELECT CAST(t AS VARCHAR) AS ticker, unnest(['lit_trades', 'cancels', 'cancel_to_trade', 'hidden_rate']) AS metric, unnest([lit_trades::DOUBLE, cancels::DOUBLE, cancels / nullif(lit_trades, 0)::DOUBLE, hidden / nullif(tfh, 0)::DOUBLE]) AS value FROM ac)"""
 _PLACE = f"""WITH {_ACT}, asked AS (SELECT unnest(['1', '7', '11', 'NONE']) AS ticker)
-SELECT k.ticker, EXISTS (SELECT 1 FROM ac WHERE CAST(t AS VARCHAR) = k.ticker) AS present, l.metric, round(l.value, 9) AS value, CASE WHEN l.value IS NOT NULL THEN round((SELECT count(*) FROM lg v WHERE v.metric = l.metric AND v.value <= l.value) / CAST((SELECT count(v.value) FROM lg v WHERE v.metric = l.metric) AS DOUBLE), 9) END AS percentile,
+SELECT k.ticker, EXISTS (SELECT 1 FROM ac WHERE CAST(t AS VARCHAR) = k.ticker) AS present, l.metric, round(l.value, 6) AS value, CASE WHEN l.value IS NOT NULL THEN round((SELECT count(*) FROM lg v WHERE v.metric = l.metric AND v.value <= l.value) / CAST((SELECT count(v.value) FROM lg v WHERE v.metric = l.metric) AS DOUBLE), 6) END AS percentile,
  (SELECT count(*) FROM ac) AS universe FROM asked k LEFT JOIN lg l ON l.ticker = k.ticker"""
-_DECILES = f"WITH {_ACT}, s AS (SELECT metric, list_sort(list(value)) AS l FROM lg WHERE value IS NOT NULL GROUP BY ALL), d AS (SELECT *, unnest(range(1, 10)) AS decile FROM s) SELECT metric, CAST(decile AS INT) AS decile, round(l[1 + CAST(floor(decile / 10.0::DOUBLE * (len(l) - 1) + 0.5) AS BIGINT)], 9) AS cut FROM d"
+_DECILES = f"WITH {_ACT}, s AS (SELECT metric, list_sort(list(value)) AS l FROM lg WHERE value IS NOT NULL GROUP BY ALL), d AS (SELECT *, unnest(range(1, 10)) AS decile FROM s) SELECT metric, CAST(decile AS INT) AS decile, round(l[1 + CAST(floor(decile / 10.0::DOUBLE * (len(l) - 1) + 0.5) AS BIGINT)], 6) AS cut FROM d"
 _IDENTITY = f"""WITH {_states()}, g AS (SELECT symbol, day, {_sums("(t1 - t0)")} FROM st GROUP BY ALL) SELECT symbol, day, {_text(_WIDE[:8])}, true AS agree FROM g"""
 _BAD = f"""{_states()}, bad AS (SELECT *, t1 - t0 AS hold, CASE WHEN gone THEN 0 WHEN seq % 13 < 3 THEN n WHEN seq % 17 = 0 THEN least(2, n) ELSE n END AS m, NOT gone AND seq % 13 < 3 AS bigger FROM st)"""
 _DECOMP = f"""WITH {_BAD}, dp AS (SELECT symbol, day, hold, k, {_top('az', 10).replace('10, n', 'k, n')} + (least(k, n) * bs + 5 * least(k, n) * (least(k, n) - 1)) AS ref, {_top('az', 10).replace('10, n', 'k, n')} + (least(k, m) * bs + 5 * least(k, m) * (least(k, m) - 1)) + CASE WHEN bigger AND k > 1 THEN 50 ELSE 0 END AS our
@@ -253,19 +253,19 @@ _GRADED = f"""{_BAD}, gr AS (SELECT symbol, day, seq, time_ns, NOT bigger AND m
 _STREAKS = f"""WITH {_GRADED}, ch AS (SELECT *, CASE WHEN matched AND NOT coalesce(lag(matched) OVER (PARTITION BY symbol, day ORDER BY seq), false) THEN 1 ELSE 0 END AS begins FROM gr), sk AS (SELECT *, sum(begins) OVER (PARTITION BY symbol, day ORDER BY seq) AS island FROM ch),
 ln AS (SELECT symbol, day, island, count(*) AS length FROM sk WHERE matched GROUP BY ALL), st2 AS (SELECT symbol, day, count(*) AS streaks, max(length) AS longest FROM ln GROUP BY ALL),
 g AS (SELECT symbol, day, count(*) AS rows, count(*) FILTER (matched) AS matched, min(seq) FILTER (NOT matched) AS first_divergence, count(*) FILTER (depth >= 1) AS matched_at_1, count(*) FILTER (depth >= 3) AS matched_at_3, count(*) FILTER (class = 'BACKFILL') AS backfill, CAST(0 AS BIGINT) AS backfill_size, CAST(0 AS BIGINT) AS stale, count(*) FILTER (class = 'STALE_SIZE') AS stale_size FROM gr GROUP BY ALL)
-SELECT g.*, coalesce(streaks, 0) AS streaks, coalesce(longest, 0) AS longest, round(matched / rows::DOUBLE, 9) AS match_rate FROM g LEFT JOIN st2 USING (symbol, day)"""
+SELECT g.*, coalesce(streaks, 0) AS streaks, coalesce(longest, 0) AS longest, round(matched / rows::DOUBLE, 6) AS match_rate FROM g LEFT JOIN st2 USING (symbol, day)"""
 
 SQL = {
     "tw_spread_bins": f"WITH {_bins(300_000_000_000)} SELECT symbol, day, bin, {_text(_WIDE)}, {_ratios(_RATIOS)} FROM bins",
     "tw_session_bins": _SESSION, "tw_event_counts": _COUNTS, "tw_day_windows": _WINDOWS, "level_profile": _LEVELS, "cent_profile": _CENTS,
     "ofi_events": f"WITH {_EV} SELECT * FROM ev", "ofi_day": _OFI_DAY, "ofi_calendar": _CAL, "ofi_event_clock": _EVENT_CLOCK, "ofi_ols": f"WITH {_EV}, {_calendar('cal', 600_000_000_000)} {_ols(_XY.format('cal'), 'day', 'x', 'y')}", "ofi_depth_scaling": _SCALING, "ofi_first_look": _FIRST_LOOK,
     "lifecycle_orders": f"WITH {_OPS} SELECT * EXCLUDE (add_seq) FROM lives", "lifecycle_ends": f"WITH {_OPS} SELECT symbol, day, outcome, count(*) AS orders, CAST(sum(added) AS BIGINT) AS added, CAST(sum(executed) AS BIGINT) AS executed, CAST(sum(cancelled) AS BIGINT) AS cancelled, CAST(sum(remaining) AS BIGINT) AS remaining FROM lives GROUP BY ALL",
-    "fill_by_distance": _DIST, "size_lots": f"WITH {_OPS}, g AS (SELECT symbol, day, CASE WHEN added < 100 THEN 'odd' WHEN added % 100 = 0 THEN 'round' ELSE 'mixed' END AS lot, count(*) AS orders, CAST(sum(added) AS BIGINT) AS shares FROM lives GROUP BY ALL) SELECT *, round(orders / CAST(sum(orders) OVER (PARTITION BY symbol, day) AS DOUBLE), 9) AS order_share FROM g",
-    "km_curve": f"WITH {_KM} SELECT symbol, day, t, at_risk, deaths, round(survival, 9) AS survival FROM km", "km_median": f"WITH {_KM} SELECT symbol, day, min(t) FILTER (survival <= 0.5) AS median FROM km GROUP BY ALL", "survival_grid": _SURVIVAL,
+    "fill_by_distance": _DIST, "size_lots": f"WITH {_OPS}, g AS (SELECT symbol, day, CASE WHEN added < 100 THEN 'odd' WHEN added % 100 = 0 THEN 'round' ELSE 'mixed' END AS lot, count(*) AS orders, CAST(sum(added) AS BIGINT) AS shares FROM lives GROUP BY ALL) SELECT *, round(orders / CAST(sum(orders) OVER (PARTITION BY symbol, day) AS DOUBLE), 6) AS order_share FROM g",
+    "km_curve": f"WITH {_KM} SELECT symbol, day, t, at_risk, deaths, round(survival, 6) AS survival FROM km", "km_median": f"WITH {_KM} SELECT symbol, day, min(t) FILTER (survival <= 0.5) AS median FROM km GROUP BY ALL", "survival_grid": _SURVIVAL,
     "lifetime_quantiles": f"WITH {_OPS} SELECT symbol, day, {_q(0.25)} AS q25, {_q(0.5)} AS q50, {_q(0.9)} AS q90 FROM lives WHERE outcome = 'cancelled' GROUP BY ALL", "cancel_to_trade": _C2T,
     "forecast_pairs": _PAIR_SQL, "decay": _DECAY, "regimes": _REGIMES, "cost_verdict": _COST,
     "asof_quote": f"WITH {_TAQ} SELECT t.ticker, t.seq, price, bid, ask, {_MID} AS mid FROM tr t ASOF LEFT JOIN qq ON qq.ticker = t.ticker AND t.time_ns > qq.time_ns", "lee_ready": f"WITH {_SIGNS} SELECT ticker, seq, price, mid, sign FROM sg",
-    "trade_spreads": f"WITH {_SPREADS} SELECT ticker, seq, sign, round(mid, 9) AS mid, round(eff, 9) AS effective_bps, round(real, 9) AS realized_bps, round(imp, 9) AS impact_bps FROM ts", "quoted_spread": f"WITH {_TAQ}, {_QUOTED} SELECT * FROM qt", "taq_summary": _SUMMARY,
+    "trade_spreads": f"WITH {_SPREADS} SELECT ticker, seq, sign, round(mid, 6) AS mid, round(eff, 6) AS effective_bps, round(real, 6) AS realized_bps, round(imp, 6) AS impact_bps FROM ts", "quoted_spread": f"WITH {_TAQ}, {_QUOTED} SELECT * FROM qt", "taq_summary": _SUMMARY,
     "decile_choose": _CHOOSE, "decile_medians": _MEDIANS, "spread_audit": _AUDIT, "universe_place": _PLACE, "universe_deciles": _DECILES, "level_identity": _IDENTITY, "depth_decomposition": _DECOMP, "validation_streaks": _STREAKS,
     "validation_hourly": f"WITH {_GRADED} SELECT symbol, day, time_ns // 3600000000000 AS hour, count(*) AS rows, count(*) FILTER (matched) AS full, count(*) FILTER (depth >= 1) AS top FROM gr GROUP BY ALL",
     "clean_replay_levels": f"WITH {_DELTAS} SELECT symbol, day, seq, direction, price, delta, CAST(sum(delta) OVER (PARTITION BY symbol, day, direction, price ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS level_size FROM deltas",

@@ -33,9 +33,9 @@ def _states(spark, d):
 
 
 def _long(df: DataFrame, names) -> DataFrame:
-    """Wide decimals as text, doubles to nine places: equal in any engine."""
+    """Wide decimals as text, doubles to six places: equal in any engine."""
     kinds = dict(df.dtypes)
-    return df.select(*[F.col(c).cast("string").alias(c) if kinds[c].startswith("decimal(38") else F.round(c, 9).alias(c) if kinds[c] == "double" else F.col(c) for c in names or df.columns])
+    return df.select(*[F.col(c).cast("string").alias(c) if kinds[c].startswith("decimal(38") else F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c) for c in names or df.columns])
 
 
 def tw_spread_bins(spark, d):
