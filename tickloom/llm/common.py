@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,45 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Actions inside give their shuffle files back as they end, not when the driver happens to collect garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table written to the shared folder: cuts lineage and outlives lost executors."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for t in tables:
+        place = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_path)
+        place.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
+    """`df` as a warehouse table bucketed and sorted by `key`, so that joins by it shuffle the other side only; and its name.
+
+    The caller drops the table. There are as many buckets as shuffle partitions, so what is shuffled by key already is
+    written as it lies.
+    """
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    with shuffles_freed(spark):
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).format("parquet").saveAsTable(table)
+    return spark.table(table), table
 
 
 def free_name(df: DataFrame, base: str) -> str:

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+
+#: Bytes of text handled in one go.
+GROUP_BYTES = 1_000_000
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -55,3 +61,47 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         hashes.append(h)
         at = end
     return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.empty(0, np.int64), np.empty(0, np.uint64))
+
+
+def grouped(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts as UTF-8) of consecutive rows with about GROUP_BYTES of text; null counts as empty."""
+    first, group, size = 0, [], 0
+    for i, x in enumerate(column):
+        group.append((x.as_py() or "").encode("utf-8", "surrogatepass"))
+        size += len(group[-1])
+        if size >= GROUP_BYTES:
+            yield first, group
+            first, group, size = i + 1, [], 0
+    if group:
+        yield first, group
+
+
+def shingle_hashes(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, 64-bit hash) of all shingles, in order: `words` words, or all words of a text with fewer."""
+    start, h = word_hashes(b"\n".join(texts))
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
+    count = np.bincount(text, minlength=len(texts))
+    short = np.flatnonzero((count > 0) & (count < words))
+    n = max(0, len(h) - words + 1)
+    out = mixed(h[:n], words)
+    for i in range(1, words):
+        out = mixed(out + h[i : n + i], words)
+    whole = text[:n] == text[words - 1 : n + words - 1]
+    owner, out = text[:n][whole], out[whole]
+    if len(short):
+        first, few = np.cumsum(count) - count, []
+        for t in short:
+            x = mixed(h[first[t] : first[t] + 1], int(count[t]))
+            for i in range(1, count[t]):
+                x = mixed(x + h[first[t] + i], int(count[t]))
+            few.append(x[0])
+        owner, out = np.append(owner, short), np.append(out, np.array(few, np.uint64))
+        order = np.argsort(owner, kind="stable")
+        owner, out = owner[order], out[order]
+    return owner, out
+
+
+def set_digests(h: np.ndarray, first: np.ndarray) -> pa.Array:
+    """128-bit digests of the sets of distinct members that begin at `first`: sums of two scramblings of the members."""
+    both = np.stack([np.add.reduceat(mixed(h, s), first) for s in (0x1234567, 0x89ABCDEF)], 1) if len(first) else np.zeros((0, 2), np.uint64)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(first), [None, pa.py_buffer(np.ascontiguousarray(both).tobytes())]).cast(pa.binary())

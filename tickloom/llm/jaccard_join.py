@@ -7,64 +7,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import free_name, summed_vectors, written
+from tickloom.llm.common import bucketed, discard, free_name, summed_vectors, written
 from tickloom.llm.graph import components
+from tickloom.llm.hashing import grouped, set_digests, shingle_hashes
 
 #: Counters of the rarity order: shingles share 2**20 of them. Any order is right; counters only make it a rare-first one.
 COUNTER_BITS = 20
 _ROW = 1 << 14
 #: Partners that a group tries in each posting list and round, and rounds of trying, before the exact rest.
-PROBES = 4
+PROBES = 6
 ROUNDS = 3
-_REMEMBERED = 400_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
-def _mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    h = (h ^ w) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
-
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; a shorter text is one shingle, one without words none."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    if len(_hashes) > _REMEMBERED:
-        _hashes.clear()
-    w = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
-    k = min(words, len(w))
-    h = np.full(len(w) - k + 1, 0x51ED270B + k, np.uint64)
-    for i in range(k):
-        h = _mixed(h, w[i : len(w) - k + 1 + i])
-    return np.unique(h)
-
-
-def _needed(n: np.ndarray | int, percent: int):
-    return -(-percent * n // 100)
+#: Shingles that two sets over the threshold must have in common among their prefixes and as many more, less one.
+COMMON = 32
 
 
 def rarity_counts(docs: DataFrame, text: str, words: int) -> np.ndarray:
-    """Documents by counter: each task counts in one table of fixed size, and the tables are summed in a shuffle."""
+    """Shingles by counter: each task counts in one table of fixed size, and the tables are summed in a shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNTER_BITS, np.int64)
         for batch in batches:
-            sets = [shingle_set(t.as_py(), words) for t in batch.column(0)]
-            if sets:
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(total))
+            for _, texts in grouped(batch.column(0)):
+                total += np.bincount(_counter(shingle_hashes(texts, words)[1]), minlength=len(total))
         blocks = total.astype("<i4").reshape(-1, _ROW)
         used = np.flatnonzero(blocks.any(1))
         yield pa.record_batch([pa.array(used, pa.int32()), pa.array([blocks[k].tobytes() for k in used], pa.binary())], ["block", "sums"])
@@ -75,42 +42,60 @@ def rarity_counts(docs: DataFrame, text: str, words: int) -> np.ndarray:
     return out.ravel()
 
 
-def _digest(s: np.ndarray) -> str:
-    return hashlib.md5(s.astype("<u8").tobytes()).hexdigest()
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
 
+def _distinct(owner: np.ndarray, h: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, member, place of each text's first member), members distinct and sorted by rank, then hash."""
+    order = np.lexsort((h, owner) if rank is None else (h, rank, owner))
+    owner, h = owner[order], h[order]
+    new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, bool)
+    owner, h = owner[new], h[new]
+    return owner, h, np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(h) else np.empty(0, np.int64)
 
-def _sets_of(docs: DataFrame, keys: dict[str, str], text: str, words: int) -> DataFrame:
-    """The columns `keys` (name to type) with node and the whole set of each row's text."""
-    names = [*keys]
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values.view(np.int64), pa.int64()))
+
+
+def _whole_sets(rows: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of every text `t` with a word; repeated where texts with one set are."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                sets = [shingle_set(t.as_py(), words) for t in some.column(len(names))]
-                made = [pa.array([_digest(s) for s in sets]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*some.columns[: len(names)], *made], [*names, "node", "shingles"])
+            for _, texts in grouped(batch.column(0)):
+                owner, h, first = _distinct(*shingle_hashes(texts, words))
+                yield pa.RecordBatch.from_arrays([set_digests(h, first), _lists(h, np.diff(np.append(first, len(h))))], ["node", "shingles"])
 
-    kinds = ", ".join(f"{k} {v}" for k, v in keys.items())
-    return docs.select(*names, text).mapInArrow(read, f"{kinds}, node string, shingles array<bigint>")
+    return rows.select("t").mapInArrow(read, "node binary, shingles array<bigint>")
 
 
-def _prefixes(rows: DataFrame, counts, words: int, percent: int) -> DataFrame:
-    """(doc, h, text) rows to (doc, h, n, node, prefix): the rarest shingles of a set, one of which any partner shares."""
+def _rarest(rows: DataFrame, counts, words: int, percent: int) -> DataFrame:
+    """(doc, h, text) rows to doc, h, n, node, gid, rarest: the set's size and digest, the group's, and its first shingles.
+
+    A group is sets of one size and prefix. `rarest` is the prefix, of which any partner has one shingle, and COMMON - 1 more.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = counts.value
         for batch in batches:
-            n, node, prefix = [], [], []
-            for t in batch.column(2):
-                s = shingle_set(t.as_py(), words)
-                n.append(len(s))
-                node.append(_digest(s) if len(s) else None)
-                order = np.lexsort((s, rare[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))
-                prefix.append(s[order[: len(s) - _needed(len(s), percent) + 1]].view(np.int64) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.string()), pa.array(prefix, pa.list_(pa.int64()))], ["doc", "h", "n", "node", "prefix"])
-
-    return rows.mapInArrow(read, "doc bigint, h bigint, n bigint, node string, prefix array<bigint>")
+            for row, texts in grouped(batch.column(2)):
+                owner, h = shingle_hashes(texts, words)
+                owner, h, first = _distinct(owner, h, rare[_counter(h)])
+                size = np.diff(np.append(first, len(h)))
+                prefix = size - -(-percent * size // 100) + 1
+                keep = np.minimum(size, prefix + COMMON - 1)
+                some = h[np.arange(len(h)) - np.repeat(first, size) < np.repeat(keep, size)]
+                gid = [hashlib.md5(b"%d|" % n + h[a : a + p].tobytes()).digest() for a, n, p in zip(first.tolist(), size.tolist(), prefix.tolist())]
+                nodes = pa.RecordBatch.from_arrays([set_digests(h, first), pa.array(gid, pa.binary()), _lists(some, keep)], ["node", "gid", "rarest"])
+                n, at = np.zeros(len(texts), np.int64), np.full(len(texts), -1)
+                n[owner[first]], at[owner[first]] = size, np.arange(len(first))
+                there = pa.array(at, mask=at < 0)
+                keys = batch.slice(row, len(texts))
+                yield pa.RecordBatch.from_arrays([keys.column(0), keys.column(1), pa.array(n), *[c.take(there) for c in nodes.columns]], ["doc", "h", "n", "node", "gid", "rarest"])
+
+    return rows.mapInArrow(read, "doc bigint, h bigint, n bigint, node binary, gid binary, rarest array<bigint>")
 
 
 def _can_link(a: str, b: str, percent: int) -> Column:
@@ -120,11 +105,17 @@ def _can_link(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * (1 + F.least(n - i - 1, m - j - 1)) >= least)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of (a, b) node pairs those with 100 * intersection >= percent * union."""
-    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size("sa").alias("n"), F.size("sb").alias("m"), F.size(F.array_intersect("sa", "sb")).alias("i"))
+def _verified(pairs: DataFrame, active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of (a, b) node pairs those with 100 * intersection >= percent * union.
+
+    Pairs without COMMON shared shingles (or as many as they need) among their rarest go first; whole sets are compared for the rest.
+    """
+    whole = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
+    short = lambda x: active.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("rarest").alias(f"r{x}"))
+    some = pairs.join(short("a"), "a").join(short("b"), "b")
+    some = some.where(F.size(F.array_intersect("ra", "rb")) >= F.least(F.lit(COMMON), F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent)))).select("a", "b")
+    both = some.join(whole("a"), "a").join(whole("b"), "b")
+    both = both.select("a", "b", F.size("sa").alias("n"), F.size("sb").alias("m"), F.size(F.array_intersect("sa", "sb")).alias("i"))
     return both.where(100 * F.col("i") >= percent * (F.col("n") + F.col("m") - F.col("i"))).select("a", "b")
 
 
@@ -156,24 +147,26 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(rarity_counts(docs, text, words))
     rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    rows = written(_prefixes(rows, counts, words, percent), "near-rows")
+    rows = written(_rarest(rows, counts, words, percent), "near-rows")
     label = lambda d, h: F.coalesce(d.cast("string"), F.concat(F.lit("text "), h.cast("string")))
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("doc").alias("doc"), F.min("h").alias("h"), F.min(F.array_join("prefix", ",")).alias("prefix"))
-    nodes = nodes.select("node", "n", label(F.col("doc"), F.col("h")).alias("k"), "prefix", F.md5(F.concat_ws("|", F.col("n").cast("string"), "prefix")).alias("gid"))
-    nodes = written(nodes, "near-nodes")
-
-    groups = nodes.groupBy("gid").agg(F.min("n").alias("n"), F.min("prefix").alias("prefix"), F.min("node").alias("rep"), F.count("*").alias("members"))
-    listed = groups.select("gid", "n", "rep", "members", F.split("prefix", ",").alias("prefix")).select("gid", "n", "rep", "members", F.posexplode("prefix").alias("pos", "token"))
-    shared = listed.groupBy("token").agg(F.sum("members").alias("all")).where("all > 1").select("token")
-    lists = written(listed.join(shared, "token"), "near-lists")
-    active = written(nodes.join(lists.select("gid").distinct(), "gid"), "near-active")
-
+    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.min("h").alias("h"), F.min(F.struct("n", "gid", "rarest")).alias("c"))
+    nodes = written(nodes.select("node", "doc", label(F.col("doc"), F.col("h")).alias("k"), "c.*"), "near-nodes")
+
+    groups = nodes.groupBy("gid").agg(F.min(F.struct("node", "n", "rarest")).alias("c"), F.count("*").alias("members"))
+    groups = written(groups.select("gid", F.col("c.node").alias("rep"), "c.n", "members", F.expr(f"slice(c.rarest, 1, cast(c.n - ceil({percent} * c.n / 100) AS int) + 1)").alias("prefix")), "near-groups")
+    listed = groups.select("gid", F.posexplode("prefix").alias("pos", "token"))
+    lists = listed.withColumn("all", F.count("*").over(Window.partitionBy("token"))).where("all > 1").drop("all")
+    lists = written(lists.join(groups.select("gid", "n", "rep", "members"), "gid"), "near-lists")
+    several = groups.where("members > 1").select("gid", "rep")
+    active = written(nodes.join(lists.select("gid").union(several.select("gid")).distinct(), "gid").select("node", "n", "gid", "k", "rarest"), "near-active")
+
+    wide, rows, docs_of = (rows, nodes), written(rows.select("doc", "h", "n", "node"), "near-rows"), written(nodes.select("node", "doc"), "near-docs")
+    discard(*wide)
     wanted = active.select("k").distinct()
     texts = docs.select(label(F.col(key).cast("bigint"), F.xxhash64(text)).alias("k"), F.col(text).alias("t"))
-    sets = _sets_of(texts.join(wanted, "k", "left_semi"), {"k": "string"}, "t", words)
-    sets = written(sets.select("node", "shingles").where(F.size("shingles") > 0).dropDuplicates(["node"]), "near-sets")
+    sets, sets_table = bucketed(_whole_sets(texts.join(wanted, "k", "left_semi"), words).repartition("node"), "near_sets", "node")
 
-    inside = active.join(lists.select("gid", "rep").distinct(), "gid").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    inside = active.join(several, "gid").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     comps, links = None, inside
     units = lists.withColumn("comp", F.col("gid"))
     for turn in range(ROUNDS):
@@ -189,38 +182,47 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
         n, m = F.col("n"), F.col("y.n")
         fits = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * (F.least(F.col("pos"), F.col("y.pos")) + 1 + F.least(n - F.col("pos") - 1, m - F.col("y.pos") - 1)) >= percent * (n + m))
         pairs = pairs.where(fits).select(F.least("rep", "y.rep").alias("a"), F.greatest("rep", "y.rep").alias("b"))
-        found = written(_verified((pairs.union(links) if turn == 0 else pairs).distinct(), sets, percent), "near-links")
+        found = written(_verified((pairs.union(links) if turn == 0 else pairs).distinct(), active, sets, percent), "near-links")
         if turn and found.isEmpty():
             break
         comps = _joined(comps, found, active)
         units = active.join(comps, "node").groupBy("gid", "comp").agg(F.min("node").alias("rep"), F.count("*").alias("members"))
         units = written(lists.select("token", "pos", "gid", "n").join(units, "gid"), "near-units")
 
-    found = written(_verified(_rest(units, groups, active, comps, percent), sets, percent), "near-links")
+    found = written(_verified(_rest(units, active, comps, percent), active, sets, percent), "near-links")
     comps = _joined(comps, found, active)
+    spark.sql(f"DROP TABLE {sets_table}")
 
-    of = nodes.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-    smallest = of.join(rows.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc")), "node")
+    of = docs_of.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    smallest = of.join(docs_of, "node")
     ids = smallest.groupBy("comp").agg(F.min("doc").alias("component"))
-    node_ids = of.join(ids, "comp").select("node", "component")
+    node_ids = written(of.join(ids, "comp").select("node", "component"), "near-ids")
     out = rows.join(node_ids, "node", "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("h").alias("text_hash"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id"), "node")
 
 
-def _rest(units: DataFrame, groups: DataFrame, active: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+def _rest(units: DataFrame, active: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Member pairs of all unit pairs that share a list, lie in two components and pass the filters."""
     sizes = units.groupBy("token", "comp").agg(F.sum("members").alias("size")).groupBy("token").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps"))
     open_lists = units.join(sizes.where("comps > 1").select("token", F.col("top.comp").alias("top")), "token")
-    open_lists = open_lists.join(groups.select("gid", F.split("prefix", ",").alias("prefix")), "gid").select("token", "top", "pos", "gid", "n", "comp", "prefix")
+    rare = active.groupBy("gid").agg(F.min("rarest").alias("prefix"), (F.count("*") > 1).alias("several"))
+    open_lists = open_lists.join(rare, "gid").select("token", "top", "pos", "gid", "n", "comp", "prefix", "several")
     open_lists = written(open_lists, "near-open")
     x, y = open_lists.where("comp != top").alias("x"), open_lists.alias("y")
     once = (F.col("y.comp") == F.col("y.top")) | (F.col("x.comp") < F.col("y.comp"))
-    first = F.element_at(F.array_intersect("x.prefix", "y.prefix"), 1) == F.col("x.token")
-    near = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & once & _can_link("x", "y", percent) & first)
+    both = F.array_intersect("x.prefix", "y.prefix")
+    first = F.element_at(both, 1) == F.col("x.token")
+    # Groups of one have one list of rarest shingles, so that the screen of _verified holds here already.
+    enough = F.size(both) >= F.least(F.lit(COMMON), F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent)))
+    first = first & (enough | F.col("x.several") | F.col("y.several"))
+    near = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") != F.col("y.gid")) & (F.col("x.comp") != F.col("y.comp")) & once & _can_link("x", "y", percent) & first)
     pairs = near.select(F.col("x.gid").alias("ga"), F.col("x.comp").alias("ca"), F.col("y.gid").alias("gb"), F.col("y.comp").alias("cb"))
     # Whether a component is the list's largest differs between lists, so a pair can come from either side.
     turned = F.struct("ga", "ca") > F.struct("gb", "cb")
     pairs = pairs.select(*[F.when(turned, F.col(p)).otherwise(F.col(q)).alias(r) for p, q, r in (("gb", "ga", "ga"), ("cb", "ca", "ca"), ("ga", "gb", "gb"), ("ca", "cb", "cb"))]).distinct()
+    split = active.join(comps, "node").select("gid", "comp").distinct()
+    split = split.join(split.groupBy("gid").agg(F.count("*").alias("parts")).where("parts > 1").select("gid"), "gid")
+    pairs = pairs.union(split.alias("x").join(split.alias("y"), (F.col("x.gid") == F.col("y.gid")) & (F.col("x.comp") < F.col("y.comp"))).select("x.gid", "x.comp", "y.gid", "y.comp"))
     members = active.join(comps, "node").select("node", "gid", "comp")
     a = members.select(F.col("node").alias("a"), F.col("gid").alias("ga"), F.col("comp").alias("ca"))
     b = members.select(F.col("node").alias("b"), F.col("gid").alias("gb"), F.col("comp").alias("cb"))

@@ -10,28 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import free_name, summed_vectors, written
-from tickloom.llm.hashing import mixed, word_hashes
+from tickloom.llm.hashing import grouped, set_digests, word_hashes
 
 COUNTER_BITS = 20
 _ROW = 1 << 14
 #: Common words that two similar but different sets must have among a few more of their rarest words than the prefix.
 COMMON = 4
-#: Bytes of text handled in one go.
-_GROUP_BYTES = 1_000_000
-
-
-def _grouped(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts as UTF-8) of consecutive rows with about _GROUP_BYTES of text."""
-    first, group, size = 0, [], 0
-    for i, x in enumerate(column):
-        group.append((x.as_py() or "").encode("utf-8", "surrogatepass"))
-        size += len(group[-1])
-        if size >= _GROUP_BYTES:
-            yield first, group
-            first, group, size = i + 1, [], 0
-    if group:
-        yield first, group
-
 
 def _line_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number of each line, line of each set member, the member): members are distinct within a line and sorted."""
@@ -52,7 +36,7 @@ def word_counts(docs: DataFrame, text: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNTER_BITS, np.int64)
         for batch in batches:
-            for _, texts in _grouped(batch.column(0)):
+            for _, texts in grouped(batch.column(0)):
                 total += np.bincount((word_hashes(b"\n".join(texts))[1] >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(total))
         blocks = total.astype("<i4").reshape(-1, _ROW)
         used = np.flatnonzero(blocks.any(1))
@@ -64,23 +48,17 @@ def word_counts(docs: DataFrame, text: str) -> np.ndarray:
     return out.ravel()
 
 
-def _node_ids(h: np.ndarray, first: np.ndarray) -> pa.Array:
-    """128-bit digests of the sets that start at `first`: sums of two scramblings of their members."""
-    both = np.stack([np.add.reduceat(mixed(h, s), first) for s in (0x1234567, 0x89ABCDEF)], 1) if len(first) else np.zeros((0, 2), np.uint64)
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(first), [None, pa.py_buffer(np.ascontiguousarray(both).tobytes())]).cast(pa.binary())
-
-
 def _line_rows(docs: DataFrame, counts, percent: int) -> DataFrame:
     """(doc, h, text) rows to one row a line with words: doc, h, line, n, node, rarest (its first words, rare first)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = counts.value
         for batch in batches:
-            for row, texts in _grouped(batch.column(2)):
+            for row, texts in grouped(batch.column(2)):
                 owner, line, h = _line_sets(texts)
                 first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.empty(0, np.int64)
                 size = np.diff(np.append(first, len(line)))
-                node = _node_ids(h, first)
+                node = set_digests(h, first)
                 order = np.lexsort((h, rare[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], line))
                 keep = np.minimum(size, size - -(-percent * size // 100) + COMMON)
                 place = np.arange(len(line)) - np.repeat(first, size)
