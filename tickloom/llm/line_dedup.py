@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import free_name, summed_vectors, written
@@ -132,9 +132,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     classes = written(lines.groupBy("node").agg(F.min(F.struct(at.alias("at"), "n", "rarest")).alias("c")).select("node", "c.*"), "line-classes")
 
     prefix = F.expr(f"slice(rarest, 1, n - cast(ceil({percent} * n / 100) AS int) + 1)")
-    listed = classes.select("node", "n", "at", "rarest", F.posexplode(prefix).alias("pos", "word"))
-    shared = listed.groupBy("word").agg(F.count("*").alias("all")).where("all > 1").select("word")
-    lists = written(listed.join(shared, "word"), "line-lists")
+    listed = classes.select("node", F.posexplode(prefix).alias("pos", "word"))
+    listed = listed.withColumn("all", F.count("*").over(Window.partitionBy("word"))).where("all > 1").drop("all")
+    lists = written(listed.join(classes.select("node", "n", "at", "rarest"), "node"), "line-lists")
 
     member = F.struct("at", "n", "pos", "node", "rarest")
     tried = lists.groupBy("word").agg(F.min(member).alias("early"), F.min(F.struct(F.xxhash64("node").alias("o"), member.alias("m"))).alias("other"))
