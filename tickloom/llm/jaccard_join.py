@@ -152,16 +152,18 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.min("h").alias("h"), F.min(F.struct("n", "gid", "rarest")).alias("c"))
     nodes = written(nodes.select("node", "doc", label(F.col("doc"), F.col("h")).alias("k"), "c.*"), "near-nodes")
 
+    wide, rows, docs_of = rows, written(rows.select("doc", "h", "n", "node"), "near-rows"), written(nodes.select("node", "doc"), "near-docs")
+    discard(wide)
+
     groups = nodes.groupBy("gid").agg(F.min(F.struct("node", "n", "rarest")).alias("c"), F.count("*").alias("members"))
     groups = written(groups.select("gid", F.col("c.node").alias("rep"), "c.n", "members", F.expr(f"slice(c.rarest, 1, cast(c.n - ceil({percent} * c.n / 100) AS int) + 1)").alias("prefix")), "near-groups")
     listed = groups.select("gid", F.posexplode("prefix").alias("pos", "token"))
     lists = listed.withColumn("all", F.count("*").over(Window.partitionBy("token"))).where("all > 1").drop("all")
     lists = written(lists.join(groups.select("gid", "n", "rep", "members"), "gid"), "near-lists")
-    several = groups.where("members > 1").select("gid", "rep")
+    several = written(groups.where("members > 1").select("gid", "rep"), "near-several")
     active = written(nodes.join(lists.select("gid").union(several.select("gid")).distinct(), "gid").select("node", "n", "gid", "k", "rarest"), "near-active")
 
-    wide, rows, docs_of = (rows, nodes), written(rows.select("doc", "h", "n", "node"), "near-rows"), written(nodes.select("node", "doc"), "near-docs")
-    discard(*wide)
+    discard(nodes, groups)
     wanted = active.select("k").distinct()
     texts = docs.select(label(F.col(key).cast("bigint"), F.xxhash64(text)).alias("k"), F.col(text).alias("t"))
     sets, sets_table = bucketed(_whole_sets(texts.join(wanted, "k", "left_semi"), words).repartition("node"), "near_sets", "node")
