@@ -40,7 +40,7 @@ _RATIOS = {
     "tw_spread_ticks": _r("spread_x_ns", "two_sided_ns"), "tw_spread_cents": _r("spread_x_ns", "two_sided_ns", "CAST(0.01 AS DOUBLE)"), "tw_spread_bps": _r("spread_x_ns", "mid2_x_ns", "CAST(20000 AS DOUBLE)"), "tw_mid": _r("mid2_x_ns", "two_sided_ns", "CAST(0.5 AS DOUBLE)"), "one_cent_share": _r("one_cent_ns", "two_sided_ns"),
     "touch": _r("touch_x_ns", "two_sided_ns"), "depth5": _r("depth5_x_ns", "two_sided_ns"), "depth10": _r("depth10_x_ns", "two_sided_ns"), "one_sided_share": _r("one_sided_ns", "(two_sided_ns + one_sided_ns)"),
 }
-_RATIOS = {k: v.replace("round(", "round(CAST(1e-8 AS DOUBLE) + ", 1) for k, v in _RATIOS.items()}  # exact ties go up in both engines
+_RATIOS = {k: v.replace("round(", "round(CAST(3.7e-9 AS DOUBLE) + ", 1) for k, v in _RATIOS.items()}  # exact ties go up in both engines
 _WIDE = ("hold_ns", "two_sided_ns", "one_sided_ns", "empty_ns", "spread_x_ns", "mid2_x_ns", "one_cent_ns", "touch_x_ns", "depth5_x_ns", "depth10_x_ns")
 _text = lambda names: ", ".join(f"CAST({n} AS VARCHAR) AS {n}" for n in names)
 _ratios = lambda names: ", ".join(f"{_RATIOS[n]} AS {n}" for n in names)

@@ -39,12 +39,12 @@ def _long(df: DataFrame, names, up: float = 0.0) -> DataFrame:
 
 
 def tw_spread_bins(spark, d):
-    return _long(bs.bin_ratios(bs.time_weighted(_states(spark, d), BIN, 0, WHOLE_DAY)), None, 1e-8)
+    return _long(bs.bin_ratios(bs.time_weighted(_states(spark, d), BIN, 0, WHOLE_DAY)), None, 3.7e-9)
 
 
 def tw_session_bins(spark, d):
     bins = bs.time_weighted(bs.holds(ad.book(spark, d), bs.CLOSE))
-    return _long(bs.named_bins(bs.bin_ratios(bins)), (*DAY, "bin", "start_s", "start_hms", "hold_ns", "spread_x_ns", "tw_spread_bps"), 1e-8)
+    return _long(bs.named_bins(bs.bin_ratios(bins)), (*DAY, "bin", "start_s", "start_hms", "hold_ns", "spread_x_ns", "tw_spread_bps"), 3.7e-9)
 
 
 def tw_event_counts(spark, d):
@@ -54,7 +54,7 @@ def tw_event_counts(spark, d):
 def tw_day_windows(spark, d):
     bins = bs.time_weighted(_states(spark, d), BIN, 0, WHOLE_DAY)
     w = bs.windows(bins, bs.day_windows(0, WHOLE_DAY), BIN, 0)
-    return _long(bs.bin_ratios(w), (*DAY, "window", "spread_x_ns", "mid2_x_ns", "touch_x_ns", "tw_spread_cents", "tw_spread_bps", "depth10", "one_sided_share"), 1e-8)
+    return _long(bs.bin_ratios(w), (*DAY, "window", "spread_x_ns", "mid2_x_ns", "touch_x_ns", "tw_spread_cents", "tw_spread_bps", "depth10", "one_sided_share"), 3.7e-9)
 
 
 def level_profile(spark, d):
