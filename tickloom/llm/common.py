@@ -64,16 +64,24 @@ def discard(*tables: DataFrame) -> None:
         place.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
-    """`df` as a warehouse table bucketed and sorted by `key`, so that joins by it shuffle the other side only; and its name.
+#: Bits of the bitmap of maybe_in(): 2**23 of them are 1 MB, however many keys there are.
+_BITMAP_BITS = 1 << 23
+_BLOCK_BITS = 1 << 15
 
-    The caller drops the table. There are as many buckets as shuffle partitions, so what is shuffled by key already is
-    written as it lies.
+
+def maybe_in(df: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """Rows of `df` whose keys' hash has its bit set by a row of `wanted`: all rows of wanted keys, and some others.
+
+    The bitmap is 256 rows of 4 KB at most and is broadcast; where keys fill it, all rows stay. It saves the shuffle
+    of most of `df` before an exact join.
     """
-    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    with shuffles_freed(spark):
-        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).format("parquet").saveAsTable(table)
-    return spark.table(table), table
+    place = F.pmod(F.xxhash64(*keys), F.lit(_BITMAP_BITS))
+    bits = wanted.select(F.floor(place / _BLOCK_BITS).alias("bitmap_block"), (place % _BLOCK_BITS).alias("bit"))
+    bits = bits.groupBy("bitmap_block").agg(F.bitmap_construct_agg("bit").alias("bitmap_bits"))
+    at = place % _BLOCK_BITS
+    byte = F.conv(F.hex(F.substring("bitmap_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = df.withColumn("bitmap_block", F.floor(place / _BLOCK_BITS)).join(F.broadcast(bits), "bitmap_block")
+    return joined.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*df.columns)
 
 
 def free_name(df: DataFrame, base: str) -> str:

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Bytes of text handled in one go.
 GROUP_BYTES = 1_000_000
@@ -105,3 +107,22 @@ def set_digests(h: np.ndarray, first: np.ndarray) -> pa.Array:
     """128-bit digests of the sets of distinct members that begin at `first`: sums of two scramblings of the members."""
     both = np.stack([np.add.reduceat(mixed(h, s), first) for s in (0x1234567, 0x89ABCDEF)], 1) if len(first) else np.zeros((0, 2), np.uint64)
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(first), [None, pa.py_buffer(np.ascontiguousarray(both).tobytes())]).cast(pa.binary())
+
+
+def set_signatures(h: np.ndarray, first: np.ndarray, numbers: int) -> np.ndarray:
+    """A row of `numbers` 64-bit numbers for each set of distinct members that begins at `first`.
+
+    A member flips one bit, so that the bits in which two signatures differ are at most the members of one set only.
+    """
+    out = np.zeros((len(first), numbers), np.uint64)
+    if len(first):
+        at = mixed(h, 0x51617)
+        bit, number = np.uint64(1) << (at & np.uint64(63)), (at >> np.uint64(32)) % np.uint64(numbers)
+        for k in range(numbers):
+            out[:, k] = np.bitwise_xor.reduceat(np.where(number == k, bit, np.uint64(0)), first)
+    return out
+
+
+def differing_bits(a: str, b: str, numbers: int) -> Column:
+    """Bits in which two columns of signatures (arrays of `numbers` bigints) differ."""
+    return F.expr(" + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(numbers)))

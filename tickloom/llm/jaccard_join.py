@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import bucketed, discard, free_name, summed_vectors, written
+from tickloom.llm.common import discard, free_name, maybe_in, summed_vectors, written
 from tickloom.llm.graph import components
-from tickloom.llm.hashing import grouped, set_digests, shingle_hashes
+from tickloom.llm.hashing import differing_bits, grouped, set_digests, set_signatures, shingle_hashes
 
 #: Counters of the rarity order: shingles share 2**20 of them. Any order is right; counters only make it a rare-first one.
 COUNTER_BITS = 20
@@ -22,6 +22,8 @@ PROBES = 6
 ROUNDS = 3
 #: Shingles that two sets over the threshold must have in common among their prefixes and as many more, less one.
 COMMON = 32
+#: 64-bit numbers of a set's signature.
+SIGNATURE = 8
 
 
 def rarity_counts(docs: DataFrame, text: str, words: int) -> np.ndarray:
@@ -72,7 +74,7 @@ def _whole_sets(rows: DataFrame, words: int) -> DataFrame:
 
 
 def _rarest(rows: DataFrame, counts, words: int, percent: int) -> DataFrame:
-    """(doc, h, text) rows to doc, h, n, node, gid, rarest: the set's size and digest, the group's, and its first shingles.
+    """(doc, h, text) rows to doc, h, n, node, gid, rarest, sig: the set's size and digest, the group's, its first shingles, its signature.
 
     A group is sets of one size and prefix. `rarest` is the prefix, of which any partner has one shingle, and COMMON - 1 more.
     """
@@ -88,35 +90,46 @@ def _rarest(rows: DataFrame, counts, words: int, percent: int) -> DataFrame:
                 keep = np.minimum(size, prefix + COMMON - 1)
                 some = h[np.arange(len(h)) - np.repeat(first, size) < np.repeat(keep, size)]
                 gid = [hashlib.md5(b"%d|" % n + h[a : a + p].tobytes()).digest() for a, n, p in zip(first.tolist(), size.tolist(), prefix.tolist())]
-                nodes = pa.RecordBatch.from_arrays([set_digests(h, first), pa.array(gid, pa.binary()), _lists(some, keep)], ["node", "gid", "rarest"])
+                nodes = pa.RecordBatch.from_arrays([set_digests(h, first), pa.array(gid, pa.binary()), _lists(some, keep), _lists(set_signatures(h, first, SIGNATURE).ravel(), np.full(len(first), SIGNATURE))], ["node", "gid", "rarest", "sig"])
                 n, at = np.zeros(len(texts), np.int64), np.full(len(texts), -1)
                 n[owner[first]], at[owner[first]] = size, np.arange(len(first))
                 there = pa.array(at, mask=at < 0)
                 keys = batch.slice(row, len(texts))
-                yield pa.RecordBatch.from_arrays([keys.column(0), keys.column(1), pa.array(n), *[c.take(there) for c in nodes.columns]], ["doc", "h", "n", "node", "gid", "rarest"])
+                yield pa.RecordBatch.from_arrays([keys.column(0), keys.column(1), pa.array(n), *[c.take(there) for c in nodes.columns]], ["doc", "h", "n", "node", "gid", "rarest", "sig"])
 
-    return rows.mapInArrow(read, "doc bigint, h bigint, n bigint, node binary, gid binary, rarest array<bigint>")
+    return rows.mapInArrow(read, "doc bigint, h bigint, n bigint, node binary, gid binary, rarest array<bigint>, sig array<bigint>")
 
 
 def _can_link(a: str, b: str, percent: int) -> Column:
-    """Length filter, and positional filter at the first prefix shingle that both sides have (0-based `pos`)."""
-    n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.pos"), F.col(f"{b}.pos")
-    least = F.expr(f"{percent} * ({a}.n + {b}.n)")
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * (1 + F.least(n - i - 1, m - j - 1)) >= least)
+    """Length filter, and positional filter at a prefix shingle that both sides have (0-based `pos`); the sides are named by `a`, `b`."""
+    at = F.expr(f"1 + least({a}.pos, {b}.pos) + least({a}.n - {a}.pos - 1, {b}.n - {b}.pos - 1)")
+    return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)") & ((100 + percent) * at >= F.expr(f"{percent} * ({a}.n + {b}.n)"))
 
 
-def _verified(pairs: DataFrame, active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Signature filter: sets over the threshold differ in at most (100 - percent) / (100 + percent) of both sizes' sum."""
+    return (100 + percent) * differing_bits(f"{a}.sig", f"{b}.sig", SIGNATURE) <= F.expr(f"{100 - percent} * ({a}.n + {b}.n)")
+
+
+def _verified(pairs: DataFrame, active: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Of (a, b) node pairs those with 100 * intersection >= percent * union.
 
-    Pairs without COMMON shared shingles (or as many as they need) among their rarest go first; whole sets are compared for the rest.
+    Pairs without COMMON shared shingles (or as many as they need) among their rarest go first. Sets are read from the
+    texts for what is left, and compared whole.
     """
-    whole = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
     short = lambda x: active.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("rarest").alias(f"r{x}"))
     some = pairs.join(short("a"), "a").join(short("b"), "b")
-    some = some.where(F.size(F.array_intersect("ra", "rb")) >= F.least(F.lit(COMMON), F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent)))).select("a", "b")
+    some = written(some.where(F.size(F.array_intersect("ra", "rb")) >= F.least(F.lit(COMMON), F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent)))).select("a", "b"), "near-pairs")
+    named = some.select(F.col("a").alias("node")).union(some.select("b")).distinct()
+    wanted = written(active.join(named, "node", "left_semi").select("k").distinct(), "near-wanted")
+    read = maybe_in(texts, wanted, "k").join(wanted, "k", "left_semi")
+    sets = written(_whole_sets(read, words).dropDuplicates(["node"]), "near-sets")
+    whole = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
     both = some.join(whole("a"), "a").join(whole("b"), "b")
     both = both.select("a", "b", F.size("sa").alias("n"), F.size("sb").alias("m"), F.size(F.array_intersect("sa", "sb")).alias("i"))
-    return both.where(100 * F.col("i") >= percent * (F.col("n") + F.col("m") - F.col("i"))).select("a", "b")
+    found = written(both.where(100 * F.col("i") >= percent * (F.col("n") + F.col("m") - F.col("i"))).select("a", "b"), "near-links")
+    discard(some, wanted, sets)
+    return found
 
 
 def _joined(comps: DataFrame | None, links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -139,61 +152,62 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     Method: shingles are ordered rare first; two sets that link share a shingle among their first n - needed + 1.
     Nodes with equal size and prefix are one group. In each posting list a group tries PROBES others by set comparison,
     which joins most of what belongs together; lists that are then one component are done. After ROUNDS of that, every
-    pair that shares a list and is in two components yet, is taken at its first shared shingle, filtered by length and
-    position, expanded to members and verified. So no link between components is lost, and pairs that are
+    pair that shares a list and is in two components yet, is filtered by length, position and signature (a lower bound of
+    the sets' difference), expanded to members and verified. So no link between components is lost, and pairs that are
     connected already are never made: a list of m near copies costs about m comparisons and not m squared.
-    Sets are 64-bit hashes of shingles, compared whole.
+    Sets are 64-bit hashes of shingles, read from the texts of pairs that passed the filters, and compared whole.
     """
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(rarity_counts(docs, text, words))
     rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
     rows = written(_rarest(rows, counts, words, percent), "near-rows")
     label = lambda d, h: F.coalesce(d.cast("string"), F.concat(F.lit("text "), h.cast("string")))
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.min("h").alias("h"), F.min(F.struct("n", "gid", "rarest")).alias("c"))
+    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.min("h").alias("h"), F.min(F.struct("n", "gid", "rarest", "sig")).alias("c"))
     nodes = written(nodes.select("node", "doc", label(F.col("doc"), F.col("h")).alias("k"), "c.*"), "near-nodes")
 
     wide, rows, docs_of = rows, written(rows.select("doc", "h", "n", "node"), "near-rows"), written(nodes.select("node", "doc"), "near-docs")
     discard(wide)
 
-    groups = nodes.groupBy("gid").agg(F.min(F.struct("node", "n", "rarest")).alias("c"), F.count("*").alias("members"))
-    groups = written(groups.select("gid", F.col("c.node").alias("rep"), "c.n", "members", F.expr(f"slice(c.rarest, 1, cast(c.n - ceil({percent} * c.n / 100) AS int) + 1)").alias("prefix")), "near-groups")
+    groups = nodes.groupBy("gid").agg(F.min(F.struct("node", "n", "rarest", "sig")).alias("c"), F.count("*").alias("members"))
+    groups = written(groups.select("gid", F.col("c.node").alias("rep"), "c.n", "c.sig", "members", F.expr(f"slice(c.rarest, 1, cast(c.n - ceil({percent} * c.n / 100) AS int) + 1)").alias("prefix")), "near-groups")
     listed = groups.select("gid", F.posexplode("prefix").alias("pos", "token"))
     lists = listed.withColumn("all", F.count("*").over(Window.partitionBy("token"))).where("all > 1").drop("all")
-    lists = written(lists.join(groups.select("gid", "n", "rep", "members"), "gid"), "near-lists")
+    lists = written(lists.join(groups.select("gid", "n", "rep", "sig", "members"), "gid"), "near-lists")
     several = written(groups.where("members > 1").select("gid", "rep"), "near-several")
-    active = written(nodes.join(lists.select("gid").union(several.select("gid")).distinct(), "gid").select("node", "n", "gid", "k", "rarest"), "near-active")
+    active = written(nodes.join(lists.select("gid").union(several.select("gid")).distinct(), "gid").select("node", "n", "gid", "k", "rarest", "sig"), "near-active")
 
     discard(nodes, groups)
-    wanted = active.select("k").distinct()
     texts = docs.select(label(F.col(key).cast("bigint"), F.xxhash64(text)).alias("k"), F.col(text).alias("t"))
-    sets, sets_table = bucketed(_whole_sets(texts.join(wanted, "k", "left_semi"), words).repartition("node"), "near_sets", "node")
 
     inside = active.join(several, "gid").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    comps, links = None, inside
+    comps = None
     units = lists.withColumn("comp", F.col("gid"))
     for turn in range(ROUNDS):
         main = units.groupBy("token", "comp").agg(F.sum("members").alias("size")).groupBy("token").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps"))
         main = main.where("comps > 1").select("token", F.col("top.comp").alias("top"))
         tried = units.join(main, "token")
         within = tried.where("comp = top") if turn else tried
-        best = [F.min(F.struct(F.xxhash64(F.lit(turn * PROBES + k), "rep").alias("o"), "n", "pos", "rep", "comp")).alias(f"p{k}") for k in range(PROBES)]
+        best = [F.min(F.struct(F.xxhash64(F.lit(turn * PROBES + k), "rep").alias("o"), "n", "pos", "rep", "comp", "sig")).alias(f"p{k}") for k in range(PROBES)]
         leaders = within.groupBy("token").agg(*best).select("token", F.array_distinct(F.array(*[F.col(f"p{k}.rep") for k in range(PROBES)])).alias("reps"), F.array(*[f"p{k}" for k in range(PROBES)]).alias("ps"))
         leaders = leaders.select("token", F.transform("reps", lambda r: F.element_at(F.filter("ps", lambda p: p["rep"] == r), 1)).alias("ps"))
         others = tried.where("comp != top") if turn else tried
-        pairs = others.alias("x").join(leaders, "token").select("x.*", F.explode("ps").alias("y")).where((F.col("y.rep") != F.col("rep")) & (F.col("y.comp") != F.col("comp")) if turn else F.col("y.rep") != F.col("rep"))
-        n, m = F.col("n"), F.col("y.n")
-        fits = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * (F.least(F.col("pos"), F.col("y.pos")) + 1 + F.least(n - F.col("pos") - 1, m - F.col("y.pos") - 1)) >= percent * (n + m))
-        pairs = pairs.where(fits).select(F.least("rep", "y.rep").alias("a"), F.greatest("rep", "y.rep").alias("b"))
-        found = written(_verified((pairs.union(links) if turn == 0 else pairs).distinct(), active, sets, percent), "near-links")
+        pairs = others.join(leaders, "token").select(F.struct("rep", "comp", "n", "pos", "sig").alias("x"), F.explode("ps").alias("y"))
+        pairs = pairs.where((F.col("x.rep") != F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & _can_link("x", "y", percent) & _alike("x", "y", percent))
+        pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+        found = _verified((pairs.union(inside) if turn == 0 else pairs).distinct(), active, texts, words, percent)
         if turn and found.isEmpty():
+            discard(found)
             break
-        comps = _joined(comps, found, active)
-        units = active.join(comps, "node").groupBy("gid", "comp").agg(F.min("node").alias("rep"), F.count("*").alias("members"))
+        comps, units, old = _joined(comps, found, active), None, (comps, units if turn else None, found)
+        units = active.join(comps, "node").groupBy("gid", "comp").agg(F.min(F.struct("node", "sig")).alias("least"), F.count("*").alias("members"))
+        units = units.select("gid", "comp", F.col("least.node").alias("rep"), F.col("least.sig").alias("sig"), "members")
         units = written(lists.select("token", "pos", "gid", "n").join(units, "gid"), "near-units")
+        discard(*[t for t in old if t is not None])
 
-    found = written(_verified(_rest(units, active, comps, percent), active, sets, percent), "near-links")
-    comps = _joined(comps, found, active)
-    spark.sql(f"DROP TABLE {sets_table}")
+    discard(lists, several)
+    found = _verified(_rest(units, active, comps, percent), active, texts, words, percent)
+    comps, old = _joined(comps, found, active), comps
+    discard(old, found, units, active)
 
     of = docs_of.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
     smallest = of.join(docs_of, "node")
@@ -207,17 +221,11 @@ def _rest(units: DataFrame, active: DataFrame, comps: DataFrame, percent: int) -
     """Member pairs of all unit pairs that share a list, lie in two components and pass the filters."""
     sizes = units.groupBy("token", "comp").agg(F.sum("members").alias("size")).groupBy("token").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps"))
     open_lists = units.join(sizes.where("comps > 1").select("token", F.col("top.comp").alias("top")), "token")
-    rare = active.groupBy("gid").agg(F.min("rarest").alias("prefix"), (F.count("*") > 1).alias("several"))
-    open_lists = open_lists.join(rare, "gid").select("token", "top", "pos", "gid", "n", "comp", "prefix", "several")
-    open_lists = written(open_lists, "near-open")
     x, y = open_lists.where("comp != top").alias("x"), open_lists.alias("y")
     once = (F.col("y.comp") == F.col("y.top")) | (F.col("x.comp") < F.col("y.comp"))
-    both = F.array_intersect("x.prefix", "y.prefix")
-    first = F.element_at(both, 1) == F.col("x.token")
-    # Groups of one have one list of rarest shingles, so that the screen of _verified holds here already.
-    enough = F.size(both) >= F.least(F.lit(COMMON), F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent)))
-    first = first & (enough | F.col("x.several") | F.col("y.several"))
-    near = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") != F.col("y.gid")) & (F.col("x.comp") != F.col("y.comp")) & once & _can_link("x", "y", percent) & first)
+    # The signature is that of one member.
+    alike = _alike("x", "y", percent) | (F.col("x.members") > 1) | (F.col("y.members") > 1)
+    near = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") != F.col("y.gid")) & (F.col("x.comp") != F.col("y.comp")) & once & _can_link("x", "y", percent) & alike)
     pairs = near.select(F.col("x.gid").alias("ga"), F.col("x.comp").alias("ca"), F.col("y.gid").alias("gb"), F.col("y.comp").alias("cb"))
     # Whether a component is the list's largest differs between lists, so a pair can come from either side.
     turned = F.struct("ga", "ca") > F.struct("gb", "cb")
