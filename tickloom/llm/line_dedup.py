@@ -9,13 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import free_name, summed_vectors, written
-from tickloom.llm.hashing import grouped, set_digests, word_hashes
+from tickloom.llm.common import discard, free_name, maybe_in, summed_vectors, written
+from tickloom.llm.hashing import differing_bits, grouped, set_digests, set_signatures, word_hashes
 
 COUNTER_BITS = 20
 _ROW = 1 << 14
-#: Common words that two similar but different sets must have among a few more of their rarest words than the prefix.
-COMMON = 4
+#: 64-bit numbers of a set's signature.
+SIGNATURE = 2
+
 
 def _line_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number of each line, line of each set member, the member): members are distinct within a line and sorted."""
@@ -49,7 +50,7 @@ def word_counts(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def _line_rows(docs: DataFrame, counts, percent: int) -> DataFrame:
-    """(doc, h, text) rows to one row a line with words: doc, h, line, n, node, rarest (its first words, rare first)."""
+    """(doc, h, text) rows to one row a line with words: doc, h, line, n, node, prefix (its first words, rare first), sig (its signature)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = counts.value
@@ -60,16 +61,16 @@ def _line_rows(docs: DataFrame, counts, percent: int) -> DataFrame:
                 size = np.diff(np.append(first, len(line)))
                 node = set_digests(h, first)
                 order = np.lexsort((h, rare[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], line))
-                keep = np.minimum(size, size - -(-percent * size // 100) + COMMON)
+                keep = size - -(-percent * size // 100) + 1
                 place = np.arange(len(line)) - np.repeat(first, size)
-                rarest = h[order][place < np.repeat(keep, size)].view(np.int64)
+                prefix = h[order][place < np.repeat(keep, size)].view(np.int64)
                 at, start = line[first], np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(texts)))))
                 docs_at = pa.array(row + owner[at], pa.int64())
                 offsets = pa.array(np.concatenate(([0], np.cumsum(keep))), pa.int32())
-                columns = [batch.column(0).take(docs_at), batch.column(1).take(docs_at), pa.array(at - start[owner[at]], pa.int32()), pa.array(size, pa.int32()), node, pa.ListArray.from_arrays(offsets, pa.array(rarest, pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "h", "line", "n", "node", "rarest"])
+                columns = [batch.column(0).take(docs_at), batch.column(1).take(docs_at), pa.array(at - start[owner[at]], pa.int32()), pa.array(size, pa.int32()), node, pa.ListArray.from_arrays(offsets, pa.array(prefix, pa.int64())), pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * SIGNATURE, pa.int32()), pa.array(set_signatures(h, first, SIGNATURE).ravel().view(np.int64), pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "h", "line", "n", "node", "prefix", "sig"])
 
-    return docs.mapInArrow(read, "doc bigint, h bigint, line int, n int, node binary, rarest array<bigint>")
+    return docs.mapInArrow(read, "doc bigint, h bigint, line int, n int, node binary, prefix array<bigint>, sig array<bigint>")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(made[0], pa.binary()), pa.array(made[1], pa.list_(pa.int64()))], ["node", "words"])
 
     places = wanted.groupBy(F.col("doc").alias("d"), F.col("h").alias("g")).agg(F.collect_list(F.struct("line", "node")).alias("lines"))
-    rows = docs.join(places, F.col("doc").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).select("t", "lines")
+    rows = maybe_in(docs, wanted, "doc", "h").join(places, F.col("doc").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).select("t", "lines")
     return rows.mapInArrow(read, "node binary, words array<bigint>").dropDuplicates(["node"])
 
 
@@ -95,19 +96,22 @@ def _late(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -
     """(node) of the later side `a` of pairs (a, b) of which the word sets have Jaccard >= percent / 100."""
     pairs = written(pairs, "line-pairs")
     named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = written(_whole_sets(docs, classes.join(named, "node", "left_semi").select("node", "at.doc", "at.h", "at.line")), "line-sets")
+    wanted = written(classes.join(named, "node", "left_semi").select("node", "at.doc", "at.h", "at.line"), "line-wanted")
+    sets = written(_whole_sets(docs, wanted), "line-sets")
     x = sets.select(F.col("node").alias("a"), F.col("words").alias("wa"))
     y = sets.select(F.col("node").alias("b"), F.col("words").alias("wb"))
     both = pairs.join(x, "a").join(y, "b").select("a", F.size("wa").alias("n"), F.size("wb").alias("m"), F.size(F.array_intersect("wa", "wb")).alias("i"))
-    return written(both.where(100 * F.col("i") >= percent * (F.col("n") + F.col("m") - F.col("i"))).select(F.col("a").alias("node")).distinct(), "line-late")
+    late = written(both.where(100 * F.col("i") >= percent * (F.col("n") + F.col("m") - F.col("i"))).select(F.col("a").alias("node")).distinct(), "line-late")
+    discard(pairs, wanted, sets)
+    return late
 
 
 def _passes(x: str, y: str, percent: int):
-    """Length, positional and common-rare-words filters for a pair at a prefix word that both sides have."""
-    return F.expr(f"""
-        100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)
-        AND {100 + percent} * (1 + least({x}.pos, {y}.pos) + least({x}.n - {x}.pos - 1, {y}.n - {y}.pos - 1)) >= {percent} * ({x}.n + {y}.n)
-        AND size(array_intersect({x}.rarest, {y}.rarest)) >= least({COMMON}, ceil({percent} * ({x}.n + {y}.n) / {100 + percent}))""")
+    """Length, positional and signature filters for a pair at a prefix word that both sides have."""
+    least = F.expr(f"{percent} * ({x}.n + {y}.n)")
+    near = F.expr(f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)")
+    there = (100 + percent) * F.expr(f"1 + least({x}.pos, {y}.pos) + least({x}.n - {x}.pos - 1, {y}.n - {y}.pos - 1)") >= least
+    return near & there & ((100 + percent) * differing_bits(f"{x}.sig", f"{y}.sig", SIGNATURE) <= F.expr(f"{100 - percent} * ({x}.n + {y}.n)"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 80) -> DataFrame:
@@ -120,7 +124,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     get equal results. Other columns are carried; one called `deduped` is replaced.
 
     Lines of equal sets are one class with its first place. Words are ordered rare first, by counters over all
-    lines; classes that share a prefix word meet, after filters by length, position and common rare words.
+    lines; classes that share a prefix word meet, after filters by length, position and signature (a lower bound of the sets' difference).
     First every class tries the earliest and one other of each list; classes that have an earlier match then are settled.
     The others try all that is earlier in their lists. Sets are read from the texts for pairs that pass, and verified.
     """
@@ -129,25 +133,29 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     texts = docs.select(F.col(key).cast("bigint").alias("doc"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
     lines = written(_line_rows(texts, counts, percent), "lines")
     at = F.struct(F.col("doc").isNull().alias("last"), "doc", "h", "line")
-    classes = written(lines.groupBy("node").agg(F.min(F.struct(at.alias("at"), "n", "rarest")).alias("c")).select("node", "c.*"), "line-classes")
+    classes = written(lines.groupBy("node").agg(F.min(F.struct(at.alias("at"), "n", "prefix", "sig")).alias("c")).select("node", "c.*"), "line-classes")
+
+    wide, lines = lines, written(lines.select("doc", "h", "line", "node"), "lines")
+    discard(wide)
 
-    prefix = F.expr(f"slice(rarest, 1, n - cast(ceil({percent} * n / 100) AS int) + 1)")
-    listed = classes.select("node", F.posexplode(prefix).alias("pos", "word"))
+    listed = classes.select("node", F.posexplode("prefix").alias("pos", "word"))
     listed = listed.withColumn("all", F.count("*").over(Window.partitionBy("word"))).where("all > 1").drop("all")
-    lists = written(listed.join(classes.select("node", "n", "at", "rarest"), "node"), "line-lists")
+    lists = written(listed.join(classes.select("node", "n", "at", "sig"), "node"), "line-lists")
+    wide, classes = classes, written(classes.select("node", "at"), "line-classes")
+    discard(wide)
 
-    member = F.struct("at", "n", "pos", "node", "rarest")
+    member = F.struct("at", "n", "pos", "node", "sig")
     tried = lists.groupBy("word").agg(F.min(member).alias("early"), F.min(F.struct(F.xxhash64("node").alias("o"), member.alias("m"))).alias("other"))
     tried = tried.select("word", F.array_distinct(F.array("early", "other.m")).alias("ys"))
-    pairs = lists.alias("x").join(tried, "word").select("x.*", F.explode("ys").alias("y")).where(F.col("node") != F.col("y.node")).select(F.struct("at", "n", "pos", "node", "rarest").alias("x"), "y")
+    pairs = lists.alias("x").join(tried, "word").select("x.*", F.explode("ys").alias("y")).where(F.col("node") != F.col("y.node")).select(F.struct("at", "n", "pos", "node", "sig").alias("x"), "y")
     pairs = pairs.where(_passes("x", "y", percent)).select(F.when(F.col("x.at") > F.col("y.at"), F.struct(F.col("x.node").alias("a"), F.col("y.node").alias("b"))).otherwise(F.struct(F.col("y.node").alias("a"), F.col("x.node").alias("b"))).alias("p"))
     late = _late(pairs.select("p.a", "p.b").distinct(), classes, texts, percent)
 
     x, y = lists.join(late, "node", "left_anti").alias("x"), lists.alias("y")
-    first = F.element_at(F.array_intersect("x.rarest", "y.rarest"), 1) == F.col("x.word")
-    rest = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.at") > F.col("y.at")) & _passes("x", "y", percent) & first)
-    late = late.union(_late(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), classes, texts, percent))
+    rest = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.at") > F.col("y.at")) & _passes("x", "y", percent))
+    late = late.union(_late(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), classes, texts, percent))
 
+    discard(lists)
     known = classes.select("node", F.col("at").alias("first")).join(late.select("node", F.lit(True).alias("late")), "node", "left")
     judged = lines.join(known, "node").select("doc", "h", "line", ((at != F.col("first")) | F.coalesce("late", F.lit(False))).alias("gone"))
     d, g, n, gone = (free_name(docs, c) for c in ("dedup_doc", "dedup_hash", "dedup_lines", "dedup_gone"))
