@@ -232,6 +232,27 @@ def test_keep_one(odd, nothing):
     assert keep_one(nothing).count() == 0 and near_components(nothing).count() == 0
 
 
+def test_keep_one_null_and_repeated_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = pairs() + [(None, "another text without an id"), (None, f"{long} a"), (None, f"{long} b"), (3, f"{long} c d e f g h i j k l m n o p q r s t"), (7, "seven has this text"), (7, "and seven has that one"), (None, "seven has this text"), (None, None), (None, None)]
+    plain, parts = set(), []
+    for r in rows:
+        s = brute.shingles(r[1], 5)
+        near = [p for p in parts if any(100 * len(s & o) >= 80 * len(s | o) for _, o in p)] if s else []
+        if s:
+            parts = [p for p in parts if p not in near] + [{(r, s)}.union(*near)]
+        else:
+            plain.add(r)
+    parts = [{r for r, _ in p} for p in parts]
+    kept = [(r["doc_id"], r["text"]) for r in keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()]
+    assert len(kept) == len(set(kept)) and {r for r in kept if r in plain} == plain
+    for part in parts:
+        ids = [d for d, _ in part if d is not None]
+        (one,) = part & set(kept)
+        assert one[0] == (min(ids) if ids else None)
+    assert len(kept) == len(plain) + len(parts)
+
+
 def test_graph_components(spark):
     chain = [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)] + [("x", "y"), ("y", "x"), ("z", "z"), (None, "q")]
     out = dict(tuple(r) for r in components(spark.createDataFrame(chain, "a string, b string")).collect())

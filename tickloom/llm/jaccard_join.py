@@ -143,11 +143,12 @@ def _joined(comps: DataFrame | None, links: DataFrame, nodes: DataFrame) -> Data
 
 
 def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id, node) of every row: components of rows whose shingle sets have Jaccard >= percent / 100.
+    """(doc_id, text_hash, n_shingles, component_id, node, comp) of every row: components of rows whose shingle sets have Jaccard >= percent / 100.
 
     component_id is the least `key` (an integer) that is reachable by links. Rows with equal sets are one node. A row
     without words has no shingles, links with nothing and is its own component; a null key sorts after others and a
-    component of null keys has a null id. Rows that repeat stay; rows of one key with different texts are apart.
+    component of null keys has a null id. Rows that repeat stay; rows of one key with different texts are apart. So component_id
+    does not name a component where keys are null or repeat; `comp` does (a node of it, null without words).
 
     Method: shingles are ordered rare first; two sets that link share a shingle among their first n - needed + 1.
     Nodes with equal size and prefix are one group. In each posting list a group tries PROBES others by set comparison,
@@ -212,9 +213,9 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     of = docs_of.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
     smallest = of.join(docs_of, "node")
     ids = smallest.groupBy("comp").agg(F.min("doc").alias("component"))
-    node_ids = written(of.join(ids, "comp").select("node", "component"), "near-ids")
+    node_ids = written(of.join(ids, "comp").select("node", "comp", "component"), "near-ids")
     out = rows.join(node_ids, "node", "left")
-    return out.select(F.col("doc").alias("doc_id"), F.col("h").alias("text_hash"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id"), "node")
+    return out.select(F.col("doc").alias("doc_id"), F.col("h").alias("text_hash"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id"), "node", "comp")
 
 
 def _rest(units: DataFrame, active: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
@@ -240,12 +241,12 @@ def _rest(units: DataFrame, active: DataFrame, comps: DataFrame, percent: int) -
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` without near duplicates: of each component the row with the least `key` stays.
+    """The rows of `docs` without near duplicates: of each component the row with the least `key` stays, null last.
 
     Rows without words all stay, and repeated rows (equal key and text) stay once. Columns are unchanged.
     """
     near = near_components(docs, text, key, words, percent)
-    some = near.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("s")).select("s.doc_id", "s.text_hash")
+    some = near.where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("s")).select("s.doc_id", "s.text_hash")
     kept = some.union(near.where("n_shingles = 0").select("doc_id", "text_hash").distinct())
     d, h, k, t = (free_name(docs, c) for c in ("kept_id", "kept_hash", "row_key", "row_hash"))
     kept = kept.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h))
