@@ -15,6 +15,7 @@ from tickloom.operators import order_flow as of
 from tickloom.operators import replay as rp
 from tickloom.operators import tape as tp
 from tickloom.operators.registry import count_trials, log_trials, read_trials
+from tickloom.plans.queries import QUERIES
 from tickloom.sources import itch, text_feeds
 from tickloom.sources.shared import shared_path
 from tickloom.streaming import stateful
@@ -65,6 +66,24 @@ def test_binary_feed(spark, tmp_path):
         itch.read_itch(spark, str(tmp_path / "cut")).collect()
 
 
+def test_binary_feed_of_all_symbols(spark, tmp_path):
+    rows = [(s, day, 10 * i + s, "X" if i % 3 else "A", 86_399_999_999_990 + i, i, None if i % 3 else "S", 1 + i, None if i % 3 else 10_000 + i, None if i % 3 else "AB") for s in (1, 2, 300) for day in (0, 19_700) for i in range(7)]
+    feed = spark.createDataFrame(rows, "stock_locate int, day bigint, seq bigint, kind string, time_ns bigint, order_ref bigint, side string, shares bigint, price bigint, stock string")
+    files = itch.write_itch(feed, f"file://{tmp_path}/feed", 3).collect()
+    assert sum(f["messages"] for f in files) == len(rows) and max(f["messages"] for f in files) == 3
+    assert {f["file"]: f["bytes"] for f in files} == {x.name: x.stat().st_size for x in (tmp_path / "feed").iterdir() if not x.name.startswith(".")}
+    back = itch.read_itch(spark, f"file://{tmp_path}/feed").orderBy("file", "seq").collect()
+    assert [(r["stock_locate"], int(r["file"].split("-")[1]), *(r[c] for c in ("kind", "time_ns", "order_ref", "side", "shares", "price", "stock"))) for r in back] == [(s, d, k, *rest) for s, d, _, k, *rest in rows]
+    with pytest.raises(OverflowError):
+        itch.encode([{"kind": "D", "time_ns": 1 << 48, "order_ref": 1}])
+
+
+def test_itch_decode_has_all_symbols(spark):
+    out = QUERIES["itch_decode"](spark, "/root/testdata/sf0.001").groupBy("stock_locate").agg({"messages": "sum"}).collect()
+    plain = QUERIES["clean_replay_stats"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(tuple(r) for r in out) == sorted((r["symbol"] + 1, r["messages"]) for r in plain)
+
+
 def test_time_weighting_and_edges(spark):
     rows = book(spark, [(0, [(10000, 1)], [(9998, 1)]), (1, [(10000, 1)], [(9996, 1)]), (4, [(10000, 1)], [(9999, 1)])])
     one = bs.bin_ratios(bs.time_weighted(bs.holds(rows, 10 * S), 10 * S, 0, 10 * S)).first()

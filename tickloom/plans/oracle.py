@@ -163,6 +163,10 @@ lf AS (SELECT symbol, day, count(*) FILTER (outcome = 'cancelled') AS cancelled_
 SELECT *, {_r("reduces + deletes", "(executes + hiddens)")} AS by_messages, {_r("cancelled_orders", "traded_orders")} AS by_orders, {_r("cancelled_shares", "executed_shares")} AS by_shares FROM raw LEFT JOIN dk USING (symbol, day) LEFT JOIN lf USING (symbol, day)"""
 _q = lambda q: f"list_sort(list(lifetime_ns))[1 + least(count(*) - 1, CAST(floor({q}::DOUBLE * count(*)) AS BIGINT))]"
 _DELTAS = f"{_OPS}, deltas AS (SELECT symbol, day, seq, order_id, life_no, add_direction AS direction, add_price AS price, add_seq, CAST(CASE WHEN kind = 1 THEN size ELSE -take END AS BIGINT) AS delta FROM act)"
+_ITCH = f"""WITH {_DELTAS}, msg AS (SELECT d.symbol, t.time_ns // {_DAY} AS day, t.time_ns % {_DAY} AS ns, d.add_seq, d.direction, delta, 100 * (1 + (d.price // 100) % 20) AS away,
+         CASE WHEN delta > 0 THEN 'A' WHEN sum(delta) OVER (PARTITION BY d.symbol, d.order_id, d.life_no ORDER BY d.seq) = 0 THEN 'D' ELSE 'X' END AS kind FROM deltas d JOIN tape t ON t.seq = d.seq WHERE delta <> 0)
+SELECT CAST(symbol + 1 AS INT) AS stock_locate, day, kind, CASE WHEN kind = 'A' THEN 'SYM' || symbol END AS stock, min(ns) AS first_ns, max(ns) AS last_ns, count(*) AS messages, count(*) * CASE kind WHEN 'A' THEN 38 WHEN 'D' THEN 21 ELSE 25 END AS bytes, CAST(0 AS BIGINT) AS not_decoded,
+       count(*) FILTER (kind = 'A' AND direction = 1) AS bids, CAST(sum(add_seq) AS BIGINT) AS order_ref, CAST(sum(CASE WHEN kind <> 'D' THEN abs(delta) END) AS BIGINT) AS shares, CAST(sum(CASE WHEN kind = 'A' THEN 1000000 - direction * away END) AS BIGINT) AS price FROM msg GROUP BY symbol, day, kind"""
 _CLEAN = f"""WITH {_DELTAS}, live AS (SELECT d.symbol, d.seq, CASE WHEN delta > 0 THEN 1 WHEN sum(delta) OVER (PARTITION BY d.symbol, d.order_id, d.life_no ORDER BY d.seq) = 0 THEN -1 ELSE 0 END AS step FROM deltas d WHERE delta <> 0),
 run AS (SELECT *, sum(step) OVER (PARTITION BY symbol ORDER BY seq) AS alive FROM live)
 SELECT symbol, count(*) AS messages, count(*) AS applied, CAST(0 AS BIGINT) AS anomaly, CAST(0 AS BIGINT) AS crossing, CAST(0 AS BIGINT) AS unknown_ref, CAST(max(alive) AS BIGINT) AS max_live, true AS clean FROM run GROUP BY symbol"""
@@ -270,6 +274,7 @@ SQL = {
     "decile_choose": _CHOOSE, "decile_medians": _MEDIANS, "spread_audit": _AUDIT, "universe_place": _PLACE, "universe_deciles": _DECILES, "level_identity": _IDENTITY, "depth_decomposition": _DECOMP, "validation_streaks": _STREAKS,
     "validation_hourly": f"WITH {_GRADED} SELECT symbol, day, time_ns // 3600000000000 AS hour, count(*) AS rows, count(*) FILTER (matched) AS full, count(*) FILTER (depth >= 1) AS top FROM gr GROUP BY ALL",
     "clean_replay_levels": f"WITH {_DELTAS} SELECT symbol, day, seq, direction, price, delta, CAST(sum(delta) OVER (PARTITION BY symbol, day, direction, price ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS level_size FROM deltas",
+    "itch_decode": _ITCH,
     "front_of_queue": f"WITH {_DELTAS}, lv AS (SELECT symbol, day, direction, price, order_id, life_no, sum(delta) AS rest, min(add_seq) AS s FROM deltas GROUP BY ALL) SELECT symbol, day, direction, price, CAST(sum(rest) AS BIGINT) AS level_size, count(*) AS orders, min(s) AS front_seq FROM lv WHERE rest > 0 GROUP BY ALL",
     "clean_replay_stats": _CLEAN, "fifo_allocation": _FIFO, "stream_ofi_calendar": _CAL,
 }

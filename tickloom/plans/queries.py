@@ -311,21 +311,20 @@ def filter_view(spark, d):
 
 
 def itch_decode(spark, d):
-    """The clean feed of one symbol written as binary frames by a Spark job's tasks and read back: counts by type."""
-    import pyarrow as pa
-
+    """The clean feed of all symbols written as binary files by a Spark job's tasks and decoded from them: counts, spans and sums by locate, day and type."""
     path = shared_path(spark, "feed")
-    feed = clean_feed(spark, d).where("symbol = 0").select("seq", "time_ns", "kind", "order_ref", "side", "shares", "price")
-
-    def pack(batches):
-        for b in batches:
-            rows = [{k: v for k, v in r.items() if v is not None and k != "seq"} for r in b.to_pylist()]
-            yield pa.record_batch([pa.array([itch.encode([r]).decode("latin-1") for r in rows])], ["frame"])
-
-    framed = feed.repartitionByRange(1, "seq").sortWithinPartitions("seq").mapInArrow(pack, "frame string")
-    framed.write.parquet(path)
-    sizes = spark.read.parquet(path).select(F.substring("frame", 3, 1).alias("kind"), F.length("frame").alias("bytes"))
-    return sizes.groupBy("kind").agg(F.count("*").alias("messages"), F.sum("bytes").alias("bytes"))
+    ns = F.col("time_ns")
+    feed = clean_feed(spark, d).withColumn("stock_locate", (F.col("symbol") + 1).cast("int")).withColumn("stock", F.concat(F.lit("SYM"), F.col("symbol").cast("string")))
+    # A feed's times count from midnight and have 48 bits: a file is a day.
+    feed = feed.select("stock_locate", F.expr(f"time_ns div {WHOLE_DAY}").alias("day"), "seq", (ns % WHOLE_DAY).alias("time_ns"), "kind", "order_ref", "side", "shares", "price", "stock")
+    itch.write_itch(feed, path).agg(F.sum("messages")).collect()
+    back = itch.read_itch(spark, path)
+    sums = back.groupBy("file", "kind", "stock_locate").agg(F.min("stock").alias("stock"), F.count_if(F.col("side") == "B").alias("bids"), *[F.sum(c).alias(c) for c in ("order_ref", "shares", "price")])
+    both = itch.describe_itch(back).join(sums, ["file", "kind"])
+    size = F.create_map(*[F.lit(x) for k, n in itch.LENGTHS.items() for x in (k, n + 2)])
+    both = both.withColumn("day", F.split("file", "-")[1].cast("bigint")).withColumn("bytes", F.col("messages") * size[F.col("kind")])
+    total = [F.sum(c).alias(c) for c in ("messages", "bytes", "not_decoded", "bids", "order_ref", "shares", "price")]
+    return both.groupBy("stock_locate", "day", "kind").agg(F.min("stock").alias("stock"), F.min("first_ns").alias("first_ns"), F.max("last_ns").alias("last_ns"), *total)
 
 
 def stream_ofi_calendar(spark, d):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,14 +149,47 @@ def as_feed(feed: DataFrame) -> DataFrame:
     return feed.select(F.col("stock_locate").alias("symbol"), F.abs(F.hash("file")).cast("bigint").alias("day"), "seq", "time_ns", "kind", "order_ref", "new_order_ref", "side", "shares", "price")
 
 
+def _store(path: str) -> tuple:
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def write_itch(feed: DataFrame, path: str, messages_per_file: int = 50_000) -> DataFrame:
+    """Write rows as binary files below `path`: (file, messages, bytes) of the files, written when this is run.
+
+    Rows have stock_locate, day, seq, kind, time_ns (of the day) and the fields of their kind. They are ranged by locate, day
+    and seq over as many tasks as a shuffle has; each writes files of one locate and day and at most messages_per_file messages,
+    named by locate, day and first seq, so that names sort as the messages do. A file appears whole, by renaming; a task
+    that runs again writes the same files.
+    """
+    order = ["stock_locate", "day", "seq"]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = _store(path)
+        store.create_dir(folder)
+        rows = (r for b in batches for r in b.to_pylist())
+        for (locate, day), run in itertools.groupby(rows, lambda r: (r["stock_locate"], r["day"])):
+            while part := list(itertools.islice(run, messages_per_file)):
+                name, started = f"{locate:05d}-{day:07d}-{part[0]['seq']:020d}", f"{folder}/_{uuid.uuid4().hex}"
+                data = encode([{k: v for k, v in r.items() if v is not None} for r in part])
+                with store.open_output_stream(started) as out:
+                    out.write(data)
+                store.move(started, f"{folder}/{name}")
+                yield pa.record_batch([pa.array([name]), pa.array([len(part)], pa.int64()), pa.array([len(data)], pa.int64())], ["file", "messages", "bytes"])
+
+    tasks = int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return feed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(write, "file string, messages bigint, bytes bigint")
+
+
 def encode(messages: list[dict]) -> bytes:
-    """Messages as feed bytes, for tests: dicts with kind, time_ns, stock_locate and the fields of the kind; others are zero."""
+    """Messages as feed bytes: dicts with kind, time_ns, stock_locate and the fields of the kind; others are zero."""
     out = []
     for m in messages:
         body = bytearray(LENGTHS.get(m["kind"], 12))
         body[0] = ord(m["kind"])
         body[1:3] = struct.pack(">H", m.get("stock_locate", 1))
-        body[5:11] = struct.pack(">Q", m["time_ns"])[2:]
+        body[5:11] = m["time_ns"].to_bytes(6, "big")
         for field, (offset, width) in FIELDS.get(m["kind"], {}).items():
             if field in m:
                 body[offset : offset + width] = m[field].ljust(width).encode() if field in _TEXT else m[field].to_bytes(width, "big")
