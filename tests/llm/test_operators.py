@@ -334,3 +334,15 @@ def test_warc_round_trip_and_audit(spark):
     gone = warc.audit(leaves, warc.leaf_hashes(files.where(F.col("file") != lost), index))
     assert gone.count() == index.where(F.col("file") == lost).count()
     assert warc.audit(leaves.limit(0), leaves.limit(0)).count() == 0
+
+
+def test_audit_finds_what_only_a_replica_has(spark):
+    kinds = "file string, content binary"
+    ours = spark.createDataFrame([("a", b"0123456789"), ("b", b"01234567")], kinds)
+    index = spark.createDataFrame([(f, i, 2 * i, 2) for f, n in (("a", 5), ("b", 4)) for i in range(n)], "file string, seq int, start bigint, length bigint")
+    leaves = warc.leaf_hashes(ours, index)
+    assert warc.audit(leaves, warc.leaf_hashes(ours, index), fanout=2).count() == 0
+    theirs = ours.where("file = 'a'").union(spark.createDataFrame([("b", b"01234567more"), ("0", b"extra"), ("z", b"x" * 9)], kinds))
+    found = warc.audit(leaves, warc.leaf_hashes(theirs, index), fanout=2).collect()
+    assert sorted((r["file"], r["seq"], r["start"], r["length"], r["hash"]) for r in found) == [("0", 0, 0, 5, None), ("b", 4, 8, 4, None), ("z", 0, 0, 9, None)]
+    assert {(r["file"], r["other_hash"]) for r in warc.audit(warc.leaf_hashes(theirs, index), leaves, fanout=2).collect()} == {("0", None), ("b", None), ("z", None)}

@@ -42,9 +42,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def copy_archive(files: DataFrame, path: str) -> None:
-    """Write (file, content) rows as a replica: one folder `file=...` for each, with the same bytes in it."""
+    """Write (file, content) rows as a replica: one folder `file=...` for each that has bytes, with the same bytes in it."""
     body = F.expr("substring(content, 1, length(content) - 4)").cast("string")
-    files.select("file", body.alias("value")).write.partitionBy("file").option("lineSep", _END).text(path)
+    files.where("length(content) > 0").select("file", body.alias("value")).write.partitionBy("file").option("lineSep", _END).text(path)
 
 
 def flip_bytes(files: DataFrame, places: DataFrame) -> DataFrame:
@@ -107,30 +107,35 @@ def leaf_hashes(files: DataFrame, ranges: DataFrame) -> DataFrame:
     """Leaves of a replica: (file, seq, start, length, hash) for the ordered ranges (file, seq, start, length).
 
     A leaf is the SHA-256 of its range and the bytes there, so a byte that changes, moves or is missing shows. A file
-    that the replica lacks gives leaves of no bytes.
+    that the replica lacks gives leaves of no bytes. Bytes after a file's last range, and those of a file without ranges,
+    are one more leaf.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content, cuts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                view = memoryview(content.as_buffer()) if content.is_valid else memoryview(b"")
+                view, cuts = memoryview(content.as_buffer()) if content.is_valid else memoryview(b""), cuts or []
+                end = max((c["start"] + c["length"] for c in cuts), default=0)
+                if len(view) > end:
+                    cuts.append({"seq": cuts[-1]["seq"] + 1 if cuts else 0, "start": end, "length": len(view) - end})
                 made = [hashlib.sha256(b"%d:%d:" % (c["start"], c["length"]) + view[c["start"] : c["start"] + c["length"]]).hexdigest() for c in cuts]
                 columns = [pa.array([name] * len(cuts)), pa.array([c["seq"] for c in cuts], pa.int32()), pa.array([c["start"] for c in cuts], pa.int64()), pa.array([c["length"] for c in cuts], pa.int64()), pa.array(made)]
                 yield pa.record_batch(columns, ["file", "seq", "start", "length", "hash"])
 
     cuts = ranges.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("seq", "start", "length"))).alias("cuts"))
-    return cuts.join(files, "file", "left").select("file", "content", "cuts").mapInArrow(read, "file string, seq int, start bigint, length bigint, hash string")
+    return cuts.join(files, "file", "full").select("file", "content", "cuts").mapInArrow(read, "file string, seq int, start bigint, length bigint, hash string")
 
 
-def merkle_levels(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
+def merkle_levels(leaves: DataFrame, fanout: int = FANOUT, most: int | None = None) -> list[DataFrame]:
     """The trees' levels from leaves to one root: each (grp, seq, start, length, hash), `grp` the file.
 
     A node hashes its at most `fanout` children with the range that they span. Within files the trees grow to
     one node a file; these, in order of file names, grow on to the archive's root. Files have at most a bounded number of records,
-    so levels within files are known beforehand; above them one row a file is numbered.
+    so levels within files are known beforehand; above them one row a file is numbered. `most` is the greatest seq, where
+    trees that are compared must have equal heights.
     """
     levels = [leaves.select(F.col("file").alias("grp"), "seq", "start", "length", "hash")]
-    most = leaves.agg(F.max("seq")).first()[0]
+    most = leaves.agg(F.max("seq")).first()[0] if most is None else most
 
     def up(level: DataFrame) -> DataFrame:
         children = F.sort_array(F.collect_list(F.struct("seq", "start", "length", "hash")))
@@ -145,28 +150,31 @@ def merkle_levels(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
     return levels
 
 
-def _top_levels(files: DataFrame, number: DataFrame, fanout: int) -> list[DataFrame]:
+def _top_levels(files: DataFrame, number: DataFrame, fanout: int, most: int | None) -> list[DataFrame]:
     """Levels above the files' roots, under the one group ''."""
     numbered = files.select("grp", "hash", "start", "length").join(number, "grp").select(F.lit("").alias("grp"), F.col("number").alias("seq"), "start", "length", "hash")
-    return merkle_levels(numbered.withColumnRenamed("grp", "file"), fanout)
+    return merkle_levels(numbered.withColumnRenamed("grp", "file"), fanout, most)
 
 
 def audit(leaves: DataFrame, others: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """Leaves (file, seq, start, length, hash, other_hash) in which a replica differs: from the roots down.
 
     At each level only children of nodes that differ are compared. Equal roots end the audit at once, with no rows; empty
-    archives are equal. The files and ranges are those of `leaves`; those that only the other has are not looked at.
+    archives are equal. Ranges and files that one side alone has are reported too, with a null hash of the other side.
     """
-    lower, lower2 = merkle_levels(leaves, fanout), merkle_levels(others, fanout)
-    number = written(_numbered(lower[-1]), "merkle-files")
-    upper, upper2 = _top_levels(lower[-1], number, fanout), _top_levels(lower2[-1], number, fanout)
+    most = leaves.select("seq").union(others.select("seq")).agg(F.max("seq")).first()[0]
+    lower, lower2 = merkle_levels(leaves, fanout, most), merkle_levels(others, fanout, most)
+    number = written(_numbered(lower[-1].select("grp").union(lower2[-1].select("grp")).distinct()), "merkle-files")
+    last = number.agg(F.max("number")).first()[0]
+    upper, upper2 = _top_levels(lower[-1], number, fanout, last), _top_levels(lower2[-1], number, fanout, last)
 
     def differing(a: DataFrame, b: DataFrame, parents: DataFrame | None) -> DataFrame:
-        b = b.select("grp", "seq", F.col("hash").alias("other_hash"))
         if parents is not None:
             inside = parents.select("grp", F.col("seq").alias("parent"))
-            a = a.join(inside, (a["grp"] == inside["grp"]) & (F.floor(a["seq"] / fanout) == inside["parent"]), "left_semi")
-        return written(a.join(b, ["grp", "seq"], "left").where(~F.col("hash").eqNullSafe(F.col("other_hash"))), "merkle-differs")
+            a, b = (x.join(inside, (x["grp"] == inside["grp"]) & (F.floor(x["seq"] / fanout) == inside["parent"]), "left_semi") for x in (a, b))
+        b = b.select("grp", "seq", *[F.col(c).alias(f"other_{c}") for c in ("start", "length", "hash")])
+        both = a.join(b, ["grp", "seq"], "full").where(~F.col("hash").eqNullSafe(F.col("other_hash")))
+        return written(both.select("grp", "seq", *[F.coalesce(c, f"other_{c}").alias(c) for c in ("start", "length")], "hash", "other_hash"), "merkle-differs")
 
     found = None
     for a, b in zip(reversed(upper), reversed(upper2)):
