@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -12,17 +13,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm.hashing import grouped
+
 _unset: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests on one machine) a folder of this process is used.
+    Where the session names none, a master on one machine (as in tests) gets a folder of this process; a cluster is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _unset:
         _unset[app] = tempfile.mkdtemp(prefix="spark-shared-")
@@ -64,24 +69,37 @@ def discard(*tables: DataFrame) -> None:
         place.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
-#: Bits of the bitmap of maybe_in(): 2**23 of them are 1 MB, however many keys there are.
-_BITMAP_BITS = 1 << 23
+#: Bits of a row of a bitmap; bits of the smallest and of the largest bitmap (16 MB).
 _BLOCK_BITS = 1 << 15
+_LEAST_BITS, _MOST_BITS = 1 << 20, 1 << 27
+
+
+def _bit_of(df: DataFrame, wanted: DataFrame, keys: tuple[str, ...], n: int) -> DataFrame:
+    """`df` with `bitmap_hit`: whether the bit of the keys' hash is set by a row of `wanted`, a table of about n rows."""
+    bits = min(_MOST_BITS, max(_LEAST_BITS, 1 << (16 * n).bit_length()))
+    place = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    block = F.floor(place / _BLOCK_BITS).alias("bitmap_block")
+    maps = wanted.select(block, (place % _BLOCK_BITS).alias("bit")).groupBy("bitmap_block")
+    maps = maps.agg(F.bitmap_construct_agg("bit").alias("bitmap_bits"))
+    at = place % _BLOCK_BITS
+    byte = F.conv(F.hex(F.substring("bitmap_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    joined = df.withColumn("bitmap_block", block).join(F.broadcast(maps), "bitmap_block", "left")
+    return joined.select(*df.columns, hit.alias("bitmap_hit"))
 
 
 def maybe_in(df: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
-    """Rows of `df` whose keys' hash has its bit set by a row of `wanted`: all rows of wanted keys, and some others.
+    """Rows of `df` that may have keys of the written table `wanted`: all rows of wanted keys, and some others.
 
-    The bitmap is 256 rows of 4 KB at most and is broadcast; where keys fill it, all rows stay. It saves the shuffle
-    of most of `df` before an exact join.
+    The bitmap has 16 bits or more for each row of `wanted` and 16 MB at most, and is broadcast; where keys fill it, more
+    of the other rows stay. It saves the shuffle of most of `df` before an exact join.
     """
-    place = F.pmod(F.xxhash64(*keys), F.lit(_BITMAP_BITS))
-    bits = wanted.select(F.floor(place / _BLOCK_BITS).alias("bitmap_block"), (place % _BLOCK_BITS).alias("bit"))
-    bits = bits.groupBy("bitmap_block").agg(F.bitmap_construct_agg("bit").alias("bitmap_bits"))
-    at = place % _BLOCK_BITS
-    byte = F.conv(F.hex(F.substring("bitmap_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    joined = df.withColumn("bitmap_block", F.floor(place / _BLOCK_BITS)).join(F.broadcast(bits), "bitmap_block")
-    return joined.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*df.columns)
+    return _bit_of(df, wanted, keys, wanted.count()).where("bitmap_hit").drop("bitmap_hit")
+
+
+def surely_out(df: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """The rows of `df` that maybe_in() leaves out: none of them has keys of `wanted`."""
+    return _bit_of(df, wanted, keys, wanted.count()).where("not bitmap_hit").drop("bitmap_hit")
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -98,6 +116,38 @@ def texts_of(column: pa.Array) -> Iterator[str]:
         yield x.as_py() or ""
 
 
+#: Counters of a rarity order: members share 2**20 of them. Any order is right; counters make it a rare-first one.
+COUNTER_BITS = 20
+_BLOCK = 1 << 14
+
+
+def counter_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def rarity_counts(docs: DataFrame, text: str, members: Callable[[list[bytes]], np.ndarray]) -> np.ndarray:
+    """Members of all texts by counter, `members` giving the 64-bit hashes of some texts.
+
+    Each task counts in one table of fixed size, and the tables are summed in a shuffle; 2**20 sums come to the driver.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTER_BITS, np.int64)
+        for batch in batches:
+            for _, texts in grouped(batch.column(0)):
+                total += np.bincount(counter_of(members(texts)), minlength=len(total))
+        blocks = total.reshape(-1, _BLOCK)
+        used = np.flatnonzero(blocks.any(1))
+        sums = [np.minimum(blocks[k], 0xFFFFFFFF).astype("<u4").tobytes() for k in used]
+        yield pa.record_batch([pa.array(used, pa.int32()), pa.array(sums, pa.binary())], ["block", "sums"])
+
+    out = np.zeros((1 << COUNTER_BITS) // _BLOCK * _BLOCK, np.int64).reshape(-1, _BLOCK)
+    parts = docs.select(text).mapInArrow(count, "block int, sums binary")
+    for r in summed_vectors(parts, "block", "sums", "<u4").collect():
+        out[r["block"]] = np.frombuffer(r["sums"], "<i8")
+    return out.ravel()
+
+
 def summed_vectors(parts: DataFrame, key: str, vector: str, dtype: str = "<i4") -> DataFrame:
     """Element-wise sums of the binary `vector` column (packed `dtype`) by `key`, packed as 64-bit integers.
 
@@ -115,7 +165,8 @@ def summed_vectors(parts: DataFrame, key: str, vector: str, dtype: str = "<i4")
                 else:
                     sums[k] = x.astype(np.int64)
         if sums:
-            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], [key, vector])
+            columns = [pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())]
+            yield pa.record_batch(columns, [key, vector])
 
     spread = parts.select(F.col(key).cast("int").alias(key), vector).repartition(key)
     return spread.mapInArrow(add, f"{key} int, {vector} binary")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import written
+from tickloom.llm.common import discard, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -14,23 +14,29 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of every node of the edges (a, b): comp is the least node that is reachable.
+    """(node, comp) of every node of the edges (a, b): comp is the least node that is reachable. A written table.
 
     Each step replaces edges by edges to a neighbourhood's least node and never makes more of them; steps go on until
     nothing changes, about log n of them. All is joins and aggregates with map-side sums: a node of any degree is one
     aggregate and one join key. Null ends and loops are left out; no edges give an empty table.
     """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), (F.col("a") != F.col("b")).alias("ok")).where("ok").select("a", "b").distinct()
-    e = written(e, "cc")
+    ends = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
+    e = written(edges.where(F.col("a") != F.col("b")).select(*ends).distinct(), "cc")
     state = _state(e)
     while state[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        up = both.where(F.col("b") > F.col("a")).join(least, "a")
+        large = up.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        e = written(small.select("e.a", "e.b").where(F.col("a") != F.col("b")).distinct(), "cc")
+        pair = lambda x: F.struct(x.alias("a"), F.col("m").alias("b"))
+        small = large.join(down, "a").select(F.explode(F.array(pair(F.col("a")), pair(F.col("b")))).alias("e"))
+        old, e = e, written(small.select("e.a", "e.b").where(F.col("a") != F.col("b")).distinct(), "cc")
+        discard(old)
         before, state = state, _state(e)
         if before == state:
             break
-    return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select("b", "b").distinct())
+    out = e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select("b", "b").distinct())
+    out = written(out, "components")
+    discard(e)
+    return out

@@ -103,6 +103,37 @@ def shingle_hashes(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarr
     return owner, out
 
 
+#: Bits of a rarity rank.
+RANK_BITS = 11
+
+
+def rarity_ranks(counts: np.ndarray) -> np.ndarray:
+    """Ranks below 2**RANK_BITS that grow with the logarithm of a counter, so that rare members come first."""
+    return np.minimum(np.log2(counts + 1.0) * 48, (1 << RANK_BITS) - 1).astype(np.uint16)
+
+
+def ordered_sets(owner: np.ndarray, h: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, member, place of each owner's first member), members distinct, in order of rank, then of the member.
+
+    `owner` ascends. One sort of 64-bit keys orders all; where two members of an owner agree in their keys, full keys decide.
+    """
+    if not len(h):
+        return owner, h, np.empty(0, np.int64)
+    bits = max(1, int(owner[-1]).bit_length())
+    tail = np.uint64(64 - bits - RANK_BITS)
+    key = (owner.astype(np.uint64) << np.uint64(64 - bits)) | (rank.astype(np.uint64) << tail) | (h >> np.uint64(bits + RANK_BITS))
+    order = np.argsort(key)
+    key, sorted_h = key[order], h[order]
+    same = key[1:] == key[:-1]
+    if np.any(same & (sorted_h[1:] != sorted_h[:-1])):
+        order = np.lexsort((h, rank, owner))
+        sorted_h = h[order]
+    owner, h = owner[order], sorted_h
+    new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])))
+    owner, h = owner[new], h[new]
+    return owner, h, np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+
+
 def set_digests(h: np.ndarray, first: np.ndarray) -> pa.Array:
     """128-bit digests of the sets of distinct members that begin at `first`: sums of two scramblings of the members."""
     both = np.stack([np.add.reduceat(mixed(h, s), first) for s in (0x1234567, 0x89ABCDEF)], 1) if len(first) else np.zeros((0, 2), np.uint64)
@@ -115,7 +146,9 @@ def set_signatures(h: np.ndarray, first: np.ndarray, numbers: int) -> np.ndarray
     A member flips one bit, so that the bits in which two signatures differ are at most the members of one set only.
     """
     out = np.zeros((len(first), numbers), np.uint64)
-    if len(first):
+    if len(first) and numbers == 1:
+        out[:, 0] = np.bitwise_xor.reduceat(np.uint64(1) << (mixed(h, 0x51617) & np.uint64(63)), first)
+    elif len(first):
         at = mixed(h, 0x51617)
         bit, number = np.uint64(1) << (at & np.uint64(63)), (at >> np.uint64(32)) % np.uint64(numbers)
         for k in range(numbers):
@@ -123,6 +156,6 @@ def set_signatures(h: np.ndarray, first: np.ndarray, numbers: int) -> np.ndarray
     return out
 
 
-def differing_bits(a: str, b: str, numbers: int) -> Column:
-    """Bits in which two columns of signatures (arrays of `numbers` bigints) differ."""
-    return F.expr(" + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(numbers)))
+def differing_bits(a: list[str], b: list[str]) -> Column:
+    """Bits in which two signatures, given by the names of their bigint columns, differ."""
+    return F.expr(" + ".join(f"bit_count({x} ^ {y})" for x, y in zip(a, b)))

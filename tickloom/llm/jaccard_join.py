@@ -2,254 +2,317 @@
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import discard, free_name, maybe_in, summed_vectors, written
+from tickloom.llm.common import counter_of, discard, free_name, maybe_in, rarity_counts, surely_out, written
 from tickloom.llm.graph import components
-from tickloom.llm.hashing import differing_bits, grouped, set_digests, set_signatures, shingle_hashes
-
-#: Counters of the rarity order: shingles share 2**20 of them. Any order is right; counters only make it a rare-first one.
-COUNTER_BITS = 20
-_ROW = 1 << 14
-#: Partners that a group tries in each posting list and round, and rounds of trying, before the exact rest.
+from tickloom.llm.hashing import (
+    differing_bits, grouped, ordered_sets, rarity_ranks, set_digests, set_signatures, shingle_hashes,
+)
+
+#: Columns of a set's signature, 64 bits each.
+SIGNATURE = [f"s{k}" for k in range(8)]
+#: Posting lists of up to so many entries are paired in full at once; longer ones are probed first.
+SHORT = 8
+#: Partners that each group of a long list tries in a round of probing, and rounds, before the exact rest.
 PROBES = 6
-ROUNDS = 3
-#: Shingles that two sets over the threshold must have in common among their prefixes and as many more, less one.
-COMMON = 32
-#: 64-bit numbers of a set's signature.
-SIGNATURE = 8
+ROUNDS = 2
+#: Sets that a task remembers to have sent.
+_REMEMBERED = 1_000_000
 
 
-def rarity_counts(docs: DataFrame, text: str, words: int) -> np.ndarray:
-    """Shingles by counter: each task counts in one table of fixed size, and the tables are summed in a shuffle."""
+def _whole_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of every text `t` with a word: in a task once for each set, as far as it remembers."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNTER_BITS, np.int64)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
         for batch in batches:
-            for _, texts in grouped(batch.column(0)):
-                total += np.bincount(_counter(shingle_hashes(texts, words)[1]), minlength=len(total))
-        blocks = total.astype("<i4").reshape(-1, _ROW)
-        used = np.flatnonzero(blocks.any(1))
-        yield pa.record_batch([pa.array(used, pa.int32()), pa.array([blocks[k].tobytes() for k in used], pa.binary())], ["block", "sums"])
-
-    out = np.zeros((1 << COUNTER_BITS) // _ROW * _ROW, np.int64).reshape(-1, _ROW)
-    for r in summed_vectors(docs.select(text).mapInArrow(count, "block int, sums binary"), "block", "sums").collect():
-        out[r["block"]] = np.frombuffer(r["sums"], "<i8")
-    return out.ravel()
-
+            for _, group in grouped(batch.column(0)):
+                owner, h = shingle_hashes(group, words)
+                owner, h, first = ordered_sets(owner, h, np.zeros(len(h), np.uint16))
+                node = set_digests(h, first)
+                fresh = _unseen(node.to_pylist(), sent)
+                shingles = _lists(h, np.diff(np.append(first, len(h))))
+                yield pa.RecordBatch.from_arrays([node.take(fresh), shingles.take(fresh)], ["node", "shingles"])
 
-def _counter(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+    return texts.select("t").mapInArrow(read, "node binary, shingles array<bigint>")
 
 
-def _distinct(owner: np.ndarray, h: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, member, place of each text's first member), members distinct and sorted by rank, then hash."""
-    order = np.lexsort((h, owner) if rank is None else (h, rank, owner))
-    owner, h = owner[order], h[order]
-    new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, bool)
-    owner, h = owner[new], h[new]
-    return owner, h, np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(h) else np.empty(0, np.int64)
+def _unseen(keys: list[bytes], sent: set[bytes]) -> pa.Array:
+    """Places of the keys that are not in `sent`, each once; they are added to it."""
+    out = []
+    for i, k in enumerate(keys):
+        if k not in sent:
+            sent.add(k)
+            out.append(i)
+    if len(sent) > _REMEMBERED:
+        sent.clear()
+    return pa.array(out, pa.int64())
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values.view(np.int64), pa.int64()))
-
-
-def _whole_sets(rows: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of every text `t` with a word; repeated where texts with one set are."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, texts in grouped(batch.column(0)):
-                owner, h, first = _distinct(*shingle_hashes(texts, words))
-                yield pa.RecordBatch.from_arrays([set_digests(h, first), _lists(h, np.diff(np.append(first, len(h))))], ["node", "shingles"])
-
-    return rows.select("t").mapInArrow(read, "node binary, shingles array<bigint>")
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64), pa.int64()))
 
 
-def _rarest(rows: DataFrame, counts, words: int, percent: int) -> DataFrame:
-    """(doc, h, text) rows to doc, h, n, node, gid, rarest, sig: the set's size and digest, the group's, its first shingles, its signature.
+def _set_rows(rows: DataFrame, ranks, words: int, percent: int) -> DataFrame:
+    """(doc, h, text) rows to doc, h, n, node, gid, prefix and signature of their sets.
 
-    A group is sets of one size and prefix. `rarest` is the prefix, of which any partner has one shingle, and COMMON - 1 more.
+    n is the set's size and node its digest; gid names the group of sets with one size and prefix. A task gives prefix and
+    signature with the first row of a node only. Sets that are too small to link with any other have no prefix.
     """
+    names = ["doc", "h", "n", "node", "gid", "prefix", *SIGNATURE]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = counts.value
+        rare, sent = ranks.value, set()
         for batch in batches:
             for row, texts in grouped(batch.column(2)):
                 owner, h = shingle_hashes(texts, words)
-                owner, h, first = _distinct(owner, h, rare[_counter(h)])
+                owner, h, first = ordered_sets(owner, h, rare[counter_of(h)])
                 size = np.diff(np.append(first, len(h)))
-                prefix = size - -(-percent * size // 100) + 1
-                keep = np.minimum(size, prefix + COMMON - 1)
+                keep = size - -(-percent * size // 100) + 1
                 some = h[np.arange(len(h)) - np.repeat(first, size) < np.repeat(keep, size)]
-                gid = [hashlib.md5(b"%d|" % n + h[a : a + p].tobytes()).digest() for a, n, p in zip(first.tolist(), size.tolist(), prefix.tolist())]
-                nodes = pa.RecordBatch.from_arrays([set_digests(h, first), pa.array(gid, pa.binary()), _lists(some, keep), _lists(set_signatures(h, first, SIGNATURE).ravel(), np.full(len(first), SIGNATURE))], ["node", "gid", "rarest", "sig"])
+                starts = np.cumsum(keep) - keep
+                gid = np.add.reduceat(_mixed_prefix(some), starts) * np.uint64(2) + size.astype(np.uint64) if len(size) else some
+                node = set_digests(h, first)
                 n, at = np.zeros(len(texts), np.int64), np.full(len(texts), -1)
                 n[owner[first]], at[owner[first]] = size, np.arange(len(first))
-                there = pa.array(at, mask=at < 0)
+                fresh = np.full(len(first), -1)
+                places = _unseen(node.to_pylist(), sent).to_numpy()
+                fresh[places] = places
+                lone = np.where(100 * size >= percent * (size + 1), fresh, -1)
+                new, listed = (np.where(at >= 0, x[at], -1) if len(first) else at for x in (fresh, lone))
+                there, new, listed = (pa.array(x, mask=x < 0) for x in (at, new, listed))
+                sig = set_signatures(h, first, len(SIGNATURE)).view(np.int64)
                 keys = batch.slice(row, len(texts))
-                yield pa.RecordBatch.from_arrays([keys.column(0), keys.column(1), pa.array(n), *[c.take(there) for c in nodes.columns]], ["doc", "h", "n", "node", "gid", "rarest", "sig"])
+                columns = [keys.column(0), keys.column(1), pa.array(n), node.take(there)]
+                columns += [pa.array(gid.view(np.int64)).take(there), _lists(some, keep).take(listed)]
+                columns += [pa.array(np.ascontiguousarray(sig[:, k])).take(new) for k in range(len(SIGNATURE))]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    kinds = "doc bigint, h bigint, n bigint, node binary, gid bigint, prefix array<bigint>"
+    return rows.mapInArrow(read, f"{kinds}, {', '.join(f'{s} bigint' for s in SIGNATURE)}")
+
 
-    return rows.mapInArrow(read, "doc bigint, h bigint, n bigint, node binary, gid binary, rarest array<bigint>, sig array<bigint>")
+def _mixed_prefix(h: np.ndarray) -> np.ndarray:
+    """Scrambled prefix members; their sum names the prefix."""
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) ^ (h << np.uint64(7))
 
 
-def _can_link(a: str, b: str, percent: int) -> Column:
-    """Length filter, and positional filter at a prefix shingle that both sides have (0-based `pos`); the sides are named by `a`, `b`."""
-    at = F.expr(f"1 + least({a}.pos, {b}.pos) + least({a}.n - {a}.pos - 1, {b}.n - {b}.pos - 1)")
-    return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)") & ((100 + percent) * at >= F.expr(f"{percent} * ({a}.n + {b}.n)"))
+def _can_link(percent: int) -> Column:
+    """Length filter, and positional filter at a prefix shingle of both x and y (0-based `pos`)."""
+    at = "1 + least(x.pos, y.pos) + least(x.n - x.pos - 1, y.n - y.pos - 1)"
+    near = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    return F.expr(f"{near} AND {100 + percent} * ({at}) >= {percent} * (x.n + y.n)")
 
 
-def _alike(a: str, b: str, percent: int) -> Column:
+def _alike(percent: int) -> Column:
     """Signature filter: sets over the threshold differ in at most (100 - percent) / (100 + percent) of both sizes' sum."""
-    return (100 + percent) * differing_bits(f"{a}.sig", f"{b}.sig", SIGNATURE) <= F.expr(f"{100 - percent} * ({a}.n + {b}.n)")
+    bits = differing_bits([f"a_{s}" for s in SIGNATURE], [f"b_{s}" for s in SIGNATURE])
+    return (100 + percent) * bits <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
 
 
-def _verified(pairs: DataFrame, active: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of (a, b) node pairs those with 100 * intersection >= percent * union.
+def _side(table: DataFrame, side: str, key: str, *others: str) -> DataFrame:
+    """A table with signatures, its columns named for one side of a pair."""
+    named = [F.col(c).alias(f"{side}_{c}") for c in ("n", *others, *SIGNATURE)]
+    return table.select(F.col(key).alias(side), *named)
 
-    Pairs without COMMON shared shingles (or as many as they need) among their rarest go first. Sets are read from the
-    texts for what is left, and compared whole.
-    """
-    short = lambda x: active.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("rarest").alias(f"r{x}"))
-    some = pairs.join(short("a"), "a").join(short("b"), "b")
-    some = written(some.where(F.size(F.array_intersect("ra", "rb")) >= F.least(F.lit(COMMON), F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent)))).select("a", "b"), "near-pairs")
+
+def _screened(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of distinct node pairs (a, b) those that pass length and signature filters."""
+    both = pairs.join(_side(nodes, "a", "node"), "a").join(_side(nodes, "b", "node"), "b")
+    near = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
+    return both.where(near & _alike(percent)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of (a, b) node pairs those with 100 * intersection >= percent * union, by whole sets, which are read from texts."""
+    some = written(pairs.distinct(), "near-pairs")
     named = some.select(F.col("a").alias("node")).union(some.select("b")).distinct()
-    wanted = written(active.join(named, "node", "left_semi").select("k").distinct(), "near-wanted")
-    read = maybe_in(texts, wanted, "k").join(wanted, "k", "left_semi")
-    sets = written(_whole_sets(read, words).dropDuplicates(["node"]), "near-sets")
+    wanted = written(nodes.join(named, "node", "left_semi").select("node", "h"), "near-wanted")
+    sets = _whole_sets(maybe_in(texts, wanted, "h"), words).join(wanted.select("node"), "node", "left_semi")
+    sets = written(sets.dropDuplicates(["node"]), "near-sets")
     whole = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
     both = some.join(whole("a"), "a").join(whole("b"), "b")
-    both = both.select("a", "b", F.size("sa").alias("n"), F.size("sb").alias("m"), F.size(F.array_intersect("sa", "sb")).alias("i"))
-    found = written(both.where(100 * F.col("i") >= percent * (F.col("n") + F.col("m") - F.col("i"))).select("a", "b"), "near-links")
+    common = F.size(F.array_intersect("sa", "sb")).alias("i")
+    both = both.select("a", "b", F.size("sa").alias("n"), F.size("sb").alias("m"), common)
+    linked = both.where(100 * F.col("i") >= percent * (F.col("n") + F.col("m") - F.col("i")))
+    found = written(linked.select("a", "b"), "near-links")
     discard(some, wanted, sets)
     return found
 
 
-def _joined(comps: DataFrame | None, links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, comp) of all nodes after new links between nodes, on top of earlier components."""
-    if comps is None:
-        found = components(links)
-        return written(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "near-comps")
-    at = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
-    found = components(links.join(at("a"), "a").join(at("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    return written(comps.join(found.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "near-comps")
+def _units(nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """(gid, comp, rep): what of a group lies in one component, and the least node of it."""
+    return _members(nodes, comps).groupBy("gid", "comp").agg(F.min("node").alias("rep"))
+
+
+def _members(nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    at = nodes.select("node", "gid").join(comps, "node", "left")
+    return at.select("node", "gid", F.coalesce("comp", "node").alias("comp"))
+
+
+def _open(posts: DataFrame) -> DataFrame:
+    """Of postings with `comp` those in lists that hold more than one component."""
+    spread = posts.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return posts.join(spread.where("lo < hi").select("token"), "token", "left_semi")
+
+
+def _probed(posts: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (x, y) of postings: each with PROBES others of its list, drawn by hash, as far as filters let them through."""
+    unit = F.struct("gid", "rep", "comp", "n", "pos").alias("u")
+    drawn = lambda k: F.min(F.struct(F.xxhash64(F.lit(turn * PROBES + k), "rep").alias("o"), unit))
+    best = posts.groupBy("token").agg(*[drawn(k).alias(f"p{k}") for k in range(PROBES)])
+    tried = best.select("token", F.array_distinct(F.array(*[f"p{k}.u" for k in range(PROBES)])).alias("ys"))
+    pairs = posts.join(tried, "token").select(unit.alias("x"), F.explode("ys").alias("y"))
+    return pairs.where((F.col("x.comp") != F.col("y.comp")) & _can_link(percent))
+
+
+def _rest(big: DataFrame, wide: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Node pairs of all groups that share a long list, or are in `wide` (ga, gb), or are one group, in two components.
+
+    Lists are joined by list and class of size: sets over the threshold lie in one class or in neighbouring ones.
+    """
+    units = written(_units(nodes, comps), "near-units")
+    posts = _open(big.join(units.select("gid", "comp"), "gid"))
+    level = F.floor(F.log(F.col("n")) / (1.0001 * math.log(100 / percent))).cast("int")
+    least = F.struct("n", "gid", "comp").alias("o")
+    y = posts.select("token", level.alias("level"), "n", "pos", least).alias("y")
+    x = posts.select("token", F.explode(F.array(level, level + 1)).alias("level"), "n", "pos", least).alias("x")
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.level") == F.col("y.level"))
+    near = x.join(y, same & (F.col("x.o") < F.col("y.o")) & (F.col("x.o.comp") != F.col("y.o.comp")) & _can_link(percent))
+    named = [F.col(f"{s}.o.{c}").alias(f"{c[0]}{t}") for s, t in (("x", "a"), ("y", "b")) for c in ("gid", "comp")]
+    pairs = near.select(*named)
+    at = lambda t: units.select(F.col("gid").alias(f"g{t}"), F.col("comp").alias(f"c{t}"))
+    pairs = pairs.union(wide.join(at("a"), "ga").join(at("b"), "gb").where("ca != cb").select("ga", "ca", "gb", "cb"))
+    split = units.groupBy("gid").agg(F.count("*").alias("parts")).where("parts > 1").select("gid")
+    split = units.join(split, "gid", "left_semi")
+    both = split.alias("x").join(split.alias("y"), (F.col("x.gid") == F.col("y.gid")) & (F.col("x.comp") < F.col("y.comp")))
+    inside = both.select(F.col("x.gid").alias("ga"), F.col("x.comp").alias("ca"), F.col("y.gid").alias("gb"), F.col("y.comp").alias("cb"))
+    members = _members(nodes, comps)
+    a = members.select(F.col("node").alias("a"), F.col("gid").alias("ga"), F.col("comp").alias("ca"))
+    b = members.select(F.col("node").alias("b"), F.col("gid").alias("gb"), F.col("comp").alias("cb"))
+    all_pairs = pairs.union(inside).distinct().join(a, ["ga", "ca"]).join(b, ["gb", "cb"])
+    found = written(_screened(all_pairs.select("a", "b"), nodes, percent), "near-rest")
+    discard(units)
+    return found
 
 
 def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id, node, comp) of every row: components of rows whose shingle sets have Jaccard >= percent / 100.
-
-    component_id is the least `key` (an integer) that is reachable by links. Rows with equal sets are one node. A row
-    without words has no shingles, links with nothing and is its own component; a null key sorts after others and a
-    component of null keys has a null id. Rows that repeat stay; rows of one key with different texts are apart. So component_id
-    does not name a component where keys are null or repeat; `comp` does (a node of it, null without words).
-
-    Method: shingles are ordered rare first; two sets that link share a shingle among their first n - needed + 1.
-    Nodes with equal size and prefix are one group. In each posting list a group tries PROBES others by set comparison,
-    which joins most of what belongs together; lists that are then one component are done. After ROUNDS of that, every
-    pair that shares a list and is in two components yet, is filtered by length, position and signature (a lower bound of
-    the sets' difference), expanded to members and verified. So no link between components is lost, and pairs that are
-    connected already are never made: a list of m near copies costs about m comparisons and not m squared.
+    """(doc_id, text_hash, n_shingles, component_id, node, comp) of every row: components of rows by shingle sets.
+
+    Rows link where their sets have Jaccard >= percent / 100. component_id is the least `key` (an integer) that is
+    reachable by links. Rows with equal sets are one node. A row without words (null, empty or white text) has no
+    shingles, links with nothing and is its own component; a null key sorts after others and a component of null keys has a
+    null id. Rows that repeat stay; rows of one key with different texts are apart. So component_id does not name a
+    component where keys are null or repeat; `comp` does (a node of it, null without words). Very long texts are read in
+    whole. An empty table gives no rows.
+
+    Method: shingles are ordered rare first; two sets that link share a shingle among their first n - needed + 1, the
+    prefix. Sets of equal size and prefix are one group, and a posting list has a shingle's groups. Shingles of one group
+    alone leave before any list is made. Pairs of groups are filtered by length, position and signature (a lower bound
+    of the sets' difference), and what remains is expanded to members and verified by whole sets. Short lists are
+    paired in full. In a long list each group first tries PROBES others, ROUNDS times, which joins most of what belongs together;
+    then all its pairs of two components are tried. So no link between components is lost, and a list of m near copies
+    costs about m comparisons and not m squared.
     Sets are 64-bit hashes of shingles, read from the texts of pairs that passed the filters, and compared whole.
     """
     spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(rarity_counts(docs, text, words))
+    counts = rarity_counts(docs, text, lambda texts: shingle_hashes(texts, words)[1])
+    ranks = spark.sparkContext.broadcast(rarity_ranks(counts))
+    texts = docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("t"))
     rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    rows = written(_rarest(rows, counts, words, percent), "near-rows")
-    label = lambda d, h: F.coalesce(d.cast("string"), F.concat(F.lit("text "), h.cast("string")))
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.min("h").alias("h"), F.min(F.struct("n", "gid", "rarest", "sig")).alias("c"))
-    nodes = written(nodes.select("node", "doc", label(F.col("doc"), F.col("h")).alias("k"), "c.*"), "near-nodes")
-
-    wide, rows, docs_of = rows, written(rows.select("doc", "h", "n", "node"), "near-rows"), written(nodes.select("node", "doc"), "near-docs")
-    discard(wide)
-
-    groups = nodes.groupBy("gid").agg(F.min(F.struct("node", "n", "rarest", "sig")).alias("c"), F.count("*").alias("members"))
-    groups = written(groups.select("gid", F.col("c.node").alias("rep"), "c.n", "c.sig", "members", F.expr(f"slice(c.rarest, 1, cast(c.n - ceil({percent} * c.n / 100) AS int) + 1)").alias("prefix")), "near-groups")
-    listed = groups.select("gid", F.posexplode("prefix").alias("pos", "token"))
-    lists = listed.withColumn("all", F.count("*").over(Window.partitionBy("token"))).where("all > 1").drop("all")
-    lists = written(lists.join(groups.select("gid", "n", "rep", "sig", "members"), "gid"), "near-lists")
-    several = written(groups.where("members > 1").select("gid", "rep"), "near-several")
-    active = written(nodes.join(lists.select("gid").union(several.select("gid")).distinct(), "gid").select("node", "n", "gid", "k", "rarest", "sig"), "near-active")
-
-    discard(nodes, groups)
-    texts = docs.select(label(F.col(key).cast("bigint"), F.xxhash64(text)).alias("k"), F.col(text).alias("t"))
-
-    inside = active.join(several, "gid").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    comps = None
-    units = lists.withColumn("comp", F.col("gid"))
-    for turn in range(ROUNDS):
-        main = units.groupBy("token", "comp").agg(F.sum("members").alias("size")).groupBy("token").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps"))
-        main = main.where("comps > 1").select("token", F.col("top.comp").alias("top"))
-        tried = units.join(main, "token")
-        within = tried.where("comp = top") if turn else tried
-        best = [F.min(F.struct(F.xxhash64(F.lit(turn * PROBES + k), "rep").alias("o"), "n", "pos", "rep", "comp", "sig")).alias(f"p{k}") for k in range(PROBES)]
-        leaders = within.groupBy("token").agg(*best).select("token", F.array_distinct(F.array(*[F.col(f"p{k}.rep") for k in range(PROBES)])).alias("reps"), F.array(*[f"p{k}" for k in range(PROBES)]).alias("ps"))
-        leaders = leaders.select("token", F.transform("reps", lambda r: F.element_at(F.filter("ps", lambda p: p["rep"] == r), 1)).alias("ps"))
-        others = tried.where("comp != top") if turn else tried
-        pairs = others.join(leaders, "token").select(F.struct("rep", "comp", "n", "pos", "sig").alias("x"), F.explode("ps").alias("y"))
-        pairs = pairs.where((F.col("x.rep") != F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & _can_link("x", "y", percent) & _alike("x", "y", percent))
-        pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-        found = _verified((pairs.union(inside) if turn == 0 else pairs).distinct(), active, texts, words, percent)
-        if turn and found.isEmpty():
-            discard(found)
-            break
-        comps, units, old = _joined(comps, found, active), None, (comps, units if turn else None, found)
-        units = active.join(comps, "node").groupBy("gid", "comp").agg(F.min(F.struct("node", "sig")).alias("least"), F.count("*").alias("members"))
-        units = units.select("gid", "comp", F.col("least.node").alias("rep"), F.col("least.sig").alias("sig"), "members")
-        units = written(lists.select("token", "pos", "gid", "n").join(units, "gid"), "near-units")
-        discard(*[t for t in old if t is not None])
-
-    discard(lists, several)
-    found = _verified(_rest(units, active, comps, percent), active, texts, words, percent)
-    comps, old = _joined(comps, found, active), comps
-    discard(old, found, units, active)
-
-    of = docs_of.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-    smallest = of.join(docs_of, "node")
-    ids = smallest.groupBy("comp").agg(F.min("doc").alias("component"))
-    node_ids = written(of.join(ids, "comp").select("node", "comp", "component"), "near-ids")
-    out = rows.join(node_ids, "node", "left")
-    return out.select(F.col("doc").alias("doc_id"), F.col("h").alias("text_hash"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id"), "node", "comp")
-
-
-def _rest(units: DataFrame, active: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Member pairs of all unit pairs that share a list, lie in two components and pass the filters."""
-    sizes = units.groupBy("token", "comp").agg(F.sum("members").alias("size")).groupBy("token").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps"))
-    open_lists = units.join(sizes.where("comps > 1").select("token", F.col("top.comp").alias("top")), "token")
-    x, y = open_lists.where("comp != top").alias("x"), open_lists.alias("y")
-    once = (F.col("y.comp") == F.col("y.top")) | (F.col("x.comp") < F.col("y.comp"))
-    # The signature is that of one member.
-    alike = _alike("x", "y", percent) | (F.col("x.members") > 1) | (F.col("y.members") > 1)
-    near = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") != F.col("y.gid")) & (F.col("x.comp") != F.col("y.comp")) & once & _can_link("x", "y", percent) & alike)
-    pairs = near.select(F.col("x.gid").alias("ga"), F.col("x.comp").alias("ca"), F.col("y.gid").alias("gb"), F.col("y.comp").alias("cb"))
-    # Whether a component is the list's largest differs between lists, so a pair can come from either side.
-    turned = F.struct("ga", "ca") > F.struct("gb", "cb")
-    pairs = pairs.select(*[F.when(turned, F.col(p)).otherwise(F.col(q)).alias(r) for p, q, r in (("gb", "ga", "ga"), ("cb", "ca", "ca"), ("ga", "gb", "gb"), ("ca", "cb", "cb"))]).distinct()
-    split = active.join(comps, "node").select("gid", "comp").distinct()
-    split = split.join(split.groupBy("gid").agg(F.count("*").alias("parts")).where("parts > 1").select("gid"), "gid")
-    pairs = pairs.union(split.alias("x").join(split.alias("y"), (F.col("x.gid") == F.col("y.gid")) & (F.col("x.comp") < F.col("y.comp"))).select("x.gid", "x.comp", "y.gid", "y.comp"))
-    members = active.join(comps, "node").select("node", "gid", "comp")
-    a = members.select(F.col("node").alias("a"), F.col("gid").alias("ga"), F.col("comp").alias("ca"))
-    b = members.select(F.col("node").alias("b"), F.col("gid").alias("gb"), F.col("comp").alias("cb"))
-    return pairs.join(a, ["ga", "ca"]).join(b, ["gb", "cb"]).select("a", "b")
+    rows = written(_set_rows(rows, ranks, words, percent), "near-rows")
+    kept = [F.max(c).alias(c) for c in ("n", "gid", *SIGNATURE)]
+    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.min("h").alias("h"), *kept)
+    nodes = written(nodes, "near-nodes")
+
+    posts = rows.where("prefix IS NOT NULL").select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
+    spread = posts.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi"), F.count("*").alias("all"))
+    tokens = written(spread.where("lo < hi").select("token", (F.col("all") > SHORT).alias("long")), "near-tokens")
+    lists = written(maybe_in(posts, tokens, "token").join(tokens, "token"), "near-lists")
+    wide_rows, rows = rows, written(rows.select("doc", "h", "n", "node"), "near-rows")
+    discard(tokens, wide_rows)
+
+    groups = nodes.groupBy("gid").agg(F.min(F.struct("node", "n", *SIGNATURE)).alias("c"), F.count("*").alias("members"))
+    groups = written(groups.select("gid", "members", F.col("c.node").alias("rep"), "c.n", *[f"c.{s}" for s in SIGNATURE]), "near-groups")
+    several = groups.where("members > 1").select("gid", "rep")
+    big = written(lists.where("long").select("token", "gid", "n", "pos").distinct(), "near-long")
+    short = lists.where("not long").groupBy("token").agg(F.collect_set(F.struct("gid", "n", "pos")).alias("all"))
+    short = short.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))
+    cand = short.where((F.col("x.gid") < F.col("y.gid")) & _can_link(percent)).select("x.gid", F.col("y.gid").alias("gb"))
+    alone = big.withColumn("rep", F.col("gid")).withColumn("comp", F.col("gid"))
+    probed = _probed(alone, 0, percent).select(F.least("x.gid", "y.gid"), F.greatest("x.gid", "y.gid"))
+    cand = written(cand.toDF("ga", "gb").union(probed).distinct(), "near-candidates")
+    discard(lists)
+
+    wide = cand.join(several.select(F.col("gid").alias("ga")), "ga", "left_semi").select("ga", "gb")
+    wide = wide.union(cand.join(several.select(F.col("gid").alias("gb")), "gb", "left_semi").select("ga", "gb"))
+    wide = written(wide.distinct(), "near-wide")
+    sides = [_side(groups, s, "gid", "rep").withColumnRenamed(s, f"g{s}") for s in "ab"]
+    pairs = cand.join(sides[0], "ga").join(sides[1], "gb").where(_alike(percent)).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+    inside = nodes.join(several, "gid").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    found = _verified(pairs.union(inside), nodes, texts, words, percent)
+    discard(groups, cand)
+    comps = components(found)
+    discard(found)
+
+    for turn in range(1, ROUNDS + 1):
+        last = turn == ROUNDS
+        if last:
+            pairs = _rest(big, wide, nodes, comps, percent)
+        else:
+            units = written(_units(nodes, comps), "near-units")
+            tried = _probed(_open(big.join(units, "gid")), turn, percent)
+            tried = tried.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+            pairs = written(_screened(tried, nodes, percent), "near-tried")
+            discard(units)
+        if not pairs.isEmpty():
+            found, old = _verified(pairs, nodes, texts, words, percent), comps
+            comps = components(old.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found))
+            discard(found, old)
+        discard(pairs)
+    discard(big, wide)
+
+    at = nodes.select("node", "doc").join(comps, "node", "left")
+    ids = at.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc").alias("least"))
+    at = at.join(ids, "comp", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.coalesce("least", "doc").alias("component"))
+    at = written(at, "near-ids")
+    discard(nodes, comps)
+    named = [F.col("doc").alias("doc_id"), F.col("h").alias("text_hash"), F.col("n").alias("n_shingles")]
+    worded = rows.where("n > 0").join(at, "node").select(*named, F.col("component").alias("component_id"), "node", "comp")
+    none = F.lit(None).cast("binary")
+    bare = rows.where("n = 0").select(*named, F.col("doc").alias("component_id"), none.alias("node"), none.alias("comp"))
+    return worded.unionByName(bare)
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` without near duplicates: of each component the row with the least `key` stays, null last.
 
-    Rows without words all stay, and repeated rows (equal key and text) stay once. Columns are unchanged.
+    Rows without words all stay, and repeated rows (equal key and text) stay once. Columns are unchanged. Who goes is
+    decided on keys and hashes; only rows that may go, or may repeat, are shuffled with their texts.
     """
     near = near_components(docs, text, key, words, percent)
-    some = near.where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("s")).select("s.doc_id", "s.text_hash")
-    kept = some.union(near.where("n_shingles = 0").select("doc_id", "text_hash").distinct())
-    d, h, k, t = (free_name(docs, c) for c in ("kept_id", "kept_hash", "row_key", "row_hash"))
-    kept = kept.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h))
-    rows = docs.withColumn(k, F.col(key).cast("bigint")).withColumn(t, F.xxhash64(text))
-    out = rows.join(kept, F.col(k).eqNullSafe(F.col(d)) & (F.col(t) == F.col(h)), "left_semi")
-    return out.dropDuplicates([k, t]).drop(k, t)
+    near = written(near.select("doc_id", "text_hash", "n_shingles", "comp"), "near-found")
+    d, h = (free_name(docs, c) for c in ("row_key", "row_hash"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    some = near.where("n_shingles > 0").groupBy("comp").agg(F.min(order).alias("s"))
+    distinct = near.groupBy("doc_id", "text_hash").agg(F.max("comp").alias("comp"), F.count("*").alias("times"))
+    first = F.col("s.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("s.text_hash") == F.col("text_hash"))
+    named = [F.col("doc_id").alias(d), F.col("text_hash").alias(h)]
+    judged = distinct.where("comp IS NOT NULL").join(some, "comp").select(*named, first.alias("stays"), "times")
+    judged = judged.union(distinct.where("comp IS NULL").select(*named, F.lit(True), "times"))
+    unsure = written(judged.where("NOT stays OR times > 1"), "near-unsure")
+    discard(near)
+    rows = docs.withColumn(d, F.col(key).cast("bigint")).withColumn(h, F.xxhash64(text))
+    passed = surely_out(rows, unsure, d, h)
+    gone = unsure.where("NOT stays").select(F.col(d).alias(f"{d}_"), F.col(h).alias(f"{h}_"))
+    match = F.col(d).eqNullSafe(F.col(f"{d}_")) & (F.col(h) == F.col(f"{h}_"))
+    checked = maybe_in(rows, unsure, d, h).join(gone, match, "left_anti").dropDuplicates([d, h])
+    return passed.unionByName(checked).drop(d, h)
