@@ -65,8 +65,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables of written() that nothing reads any more."""
     for t in tables:
-        place = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_path)
-        place.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+        delete(t.sparkSession, t.written_path)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared folder."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 #: Bits of a row of a bitmap; bits of the smallest and of the largest bitmap (16 MB).
@@ -74,18 +80,17 @@ _BLOCK_BITS = 1 << 15
 _LEAST_BITS, _MOST_BITS = 1 << 20, 1 << 27
 
 
-def _bit_of(df: DataFrame, wanted: DataFrame, keys: tuple[str, ...], n: int) -> DataFrame:
-    """`df` with `bitmap_hit`: whether the bit of the keys' hash is set by a row of `wanted`, a table of about n rows."""
-    bits = min(_MOST_BITS, max(_LEAST_BITS, 1 << (16 * n).bit_length()))
+def _bit_of(df: DataFrame, wanted: DataFrame, keys: tuple[str, ...], hit: str) -> DataFrame:
+    """`df` with a column `hit`: whether the bit of the keys' hash is set by a row of the written table `wanted`."""
+    bits = min(_MOST_BITS, max(_LEAST_BITS, 1 << (16 * wanted.count()).bit_length()))
+    block, bitmap = free_name(df, "bitmap_block"), free_name(df, "bitmap_bits")
     place = F.pmod(F.xxhash64(*keys), F.lit(bits))
-    block = F.floor(place / _BLOCK_BITS).alias("bitmap_block")
-    maps = wanted.select(block, (place % _BLOCK_BITS).alias("bit")).groupBy("bitmap_block")
-    maps = maps.agg(F.bitmap_construct_agg("bit").alias("bitmap_bits"))
-    at = place % _BLOCK_BITS
-    byte = F.conv(F.hex(F.substring("bitmap_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-    joined = df.withColumn("bitmap_block", block).join(F.broadcast(maps), "bitmap_block", "left")
-    return joined.select(*df.columns, hit.alias("bitmap_hit"))
+    at, number = place % _BLOCK_BITS, F.floor(place / _BLOCK_BITS)
+    maps = wanted.select(number.alias(block), at.alias("bit")).groupBy(block)
+    maps = maps.agg(F.bitmap_construct_agg("bit").alias(bitmap))
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return df.withColumn(block, number).join(F.broadcast(maps), block, "left").select(*df.columns, found.alias(hit))
 
 
 def maybe_in(df: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
@@ -94,12 +99,14 @@ def maybe_in(df: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
     The bitmap has 16 bits or more for each row of `wanted` and 16 MB at most, and is broadcast; where keys fill it, more
     of the other rows stay. It saves the shuffle of most of `df` before an exact join.
     """
-    return _bit_of(df, wanted, keys, wanted.count()).where("bitmap_hit").drop("bitmap_hit")
+    hit = free_name(df, "bitmap_hit")
+    return _bit_of(df, wanted, keys, hit).where(F.col(hit)).drop(hit)
 
 
 def surely_out(df: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
     """The rows of `df` that maybe_in() leaves out: none of them has keys of `wanted`."""
-    return _bit_of(df, wanted, keys, wanted.count()).where("not bitmap_hit").drop("bitmap_hit")
+    hit = free_name(df, "bitmap_hit")
+    return _bit_of(df, wanted, keys, hit).where(~F.col(hit)).drop(hit)
 
 
 def free_name(df: DataFrame, base: str) -> str:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 #: Bytes of text handled in one go.
 GROUP_BYTES = 1_000_000
 
-_WHITE = np.zeros(256, bool)
-_WHITE[[9, 10, 11, 12, 13, 32]] = True
+WHITE = np.zeros(256, bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
 _PIECE = 1 << 20
 
@@ -36,7 +36,7 @@ def mixed(h: np.ndarray, salt: int) -> np.ndarray:
 
 def _piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     up, down = (_up, _down) if len(data) < len(_up) else (_powers(_BASE, len(data) + 1), _powers(pow(_BASE, -1, 1 << 64), len(data) + 1))
-    edges = np.flatnonzero(np.diff(np.concatenate(([True], _WHITE[data], [True]))))
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], WHITE[data], [True]))))
     start, end = edges[::2], edges[1::2]
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])))
     return start, mixed((sums[end] - sums[start]) * down[start], 0) + (end - start).astype(np.uint64)
@@ -55,8 +55,8 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         if end - at > 2 * _PIECE - 2:
             end = at + _PIECE
             step = 1 << 16
-            while end < len(data) and not _WHITE[data[end - 1]]:
-                gap = np.flatnonzero(_WHITE[data[end : end + step]])
+            while end < len(data) and not WHITE[data[end - 1]]:
+                gap = np.flatnonzero(WHITE[data[end : end + step]])
                 end = end + int(gap[0]) + 1 if len(gap) else min(len(data), end + step)
         start, h = _piece(data[at:end])
         starts.append(start + at)

@@ -106,16 +106,15 @@ def _mixed_prefix(h: np.ndarray) -> np.ndarray:
 
 
 def _can_link(percent: int) -> Column:
-    """Length filter, and positional filter at a prefix shingle of both x and y (0-based `pos`)."""
-    at = "1 + least(x.pos, y.pos) + least(x.n - x.pos - 1, y.n - y.pos - 1)"
+    """Length filter, and positional filter at the first shingle that both x and y have (0-based `pos`)."""
     near = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    return F.expr(f"{near} AND {100 + percent} * ({at}) >= {percent} * (x.n + y.n)")
+    return F.expr(f"{near} AND {100 + percent} * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n)")
 
 
-def _alike(percent: int) -> Column:
+def _alike(percent: int, a: str = "a_", b: str = "b_") -> Column:
     """Signature filter: sets over the threshold differ in at most (100 - percent) / (100 + percent) of both sizes' sum."""
-    bits = differing_bits([f"a_{s}" for s in SIGNATURE], [f"b_{s}" for s in SIGNATURE])
-    return (100 + percent) * bits <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
+    bits = differing_bits([a + s for s in SIGNATURE], [b + s for s in SIGNATURE])
+    return (100 + percent) * bits <= (100 - percent) * (F.col(f"{a}n") + F.col(f"{b}n"))
 
 
 def _side(table: DataFrame, side: str, key: str, *others: str) -> DataFrame:
@@ -149,8 +148,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int,
 
 
 def _units(nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    """(gid, comp, rep): what of a group lies in one component, and the least node of it."""
-    return _members(nodes, comps).groupBy("gid", "comp").agg(F.min("node").alias("rep"))
+    """(gid, comp, rep, members): what of a group lies in one component, its least node, and whether there are more."""
+    return _members(nodes, comps).groupBy("gid", "comp").agg(F.min("node").alias("rep"), F.count("*").alias("members"))
 
 
 def _members(nodes: DataFrame, comps: DataFrame) -> DataFrame:
@@ -177,16 +176,20 @@ def _probed(posts: DataFrame, turn: int, percent: int) -> DataFrame:
 def _rest(big: DataFrame, wide: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Node pairs of all groups that share a long list, or are in `wide` (ga, gb), or are one group, in two components.
 
-    Lists are joined by list and class of size: sets over the threshold lie in one class or in neighbouring ones.
+    Lists are joined by list and class of size: sets over the threshold lie in one class or in neighbouring ones. Signatures
+    are those of one node, so they filter where both sides have one.
     """
     units = written(_units(nodes, comps), "near-units")
-    posts = _open(big.join(units.select("gid", "comp"), "gid"))
+    posts = _open(big.join(units, "gid")).join(nodes.select(F.col("node").alias("rep"), *SIGNATURE), "rep")
     level = F.floor(F.log(F.col("n")) / (1.0001 * math.log(100 / percent))).cast("int")
     least = F.struct("n", "gid", "comp").alias("o")
-    y = posts.select("token", level.alias("level"), "n", "pos", least).alias("y")
-    x = posts.select("token", F.explode(F.array(level, level + 1)).alias("level"), "n", "pos", least).alias("x")
+    kept = ("n", "pos", (F.col("members") > 1).alias("several"), *SIGNATURE)
+    y = posts.select("token", level.alias("level"), least, *kept).alias("y")
+    x = posts.select("token", F.explode(F.array(level, level + 1)).alias("level"), least, *kept).alias("x")
     same = (F.col("x.token") == F.col("y.token")) & (F.col("x.level") == F.col("y.level"))
-    near = x.join(y, same & (F.col("x.o") < F.col("y.o")) & (F.col("x.o.comp") != F.col("y.o.comp")) & _can_link(percent))
+    apart = (F.col("x.o") < F.col("y.o")) & (F.col("x.o.comp") != F.col("y.o.comp"))
+    alike = F.col("x.several") | F.col("y.several") | _alike(percent, "x.", "y.")
+    near = x.join(y, same & apart & _can_link(percent) & alike)
     named = [F.col(f"{s}.o.{c}").alias(f"{c[0]}{t}") for s, t in (("x", "a"), ("y", "b")) for c in ("gid", "comp")]
     pairs = near.select(*named)
     at = lambda t: units.select(F.col("gid").alias(f"g{t}"), F.col("comp").alias(f"c{t}"))
