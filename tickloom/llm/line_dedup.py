@@ -6,112 +6,133 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import discard, free_name, maybe_in, summed_vectors, written
-from tickloom.llm.hashing import differing_bits, grouped, set_digests, set_signatures, word_hashes
-
-COUNTER_BITS = 20
-_ROW = 1 << 14
-#: 64-bit numbers of a set's signature.
-SIGNATURE = 2
-
-
-def _line_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number of each line, line of each set member, the member): members are distinct within a line and sorted."""
+from tickloom.llm.common import counter_of, discard, free_name, maybe_in, rarity_counts, surely_out, written
+from tickloom.llm.hashing import (
+    differing_bits, grouped, mixed, ordered_sets, rarity_ranks, set_digests, set_signatures, word_hashes,
+)
+
+#: A word with a larger counter is in lists only together with each of the next words of its line's prefix.
+HEAVY = 1024
+#: Most words of a line that is listed so; longer ones have lists of single words, and those near the bound have both.
+PAIRED_WORDS = 128
+#: Keys of a class, the rarest first, by which it tries the earliest of a list before all others.
+TRIED = 4
+#: Ids of settled classes up to which their table is broadcast (8 bytes each); more of them are joined by shuffling.
+BROADCAST_IDS = 1_000_000
+#: Lines with a word: each match starts at the start of a line.
+_LINE = r"(?:^|\n)[\t\x0B\f\r ]*+[^\t\n\x0B\f\r ]"
+
+
+def _line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of all words of some texts; lines are numbered through all of them."""
     data = b"\n".join(texts)
     start, h = word_hashes(data)
-    breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
-    line = np.searchsorted(breaks, start)
-    order = np.lexsort((h, line))
-    line, h = line[order], h[order]
-    new = np.concatenate(([True], (line[1:] != line[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, bool)
-    owner = np.repeat(np.arange(len(texts)), [t.count(b"\n") + 1 for t in texts])
-    return owner, line[new], h[new]
+    return np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), start), h
 
 
-def word_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """Lines by word counter; words share 2**COUNTER_BITS counters, each task fills one table, a shuffle sums them."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNTER_BITS, np.int64)
-        for batch in batches:
-            for _, texts in grouped(batch.column(0)):
-                total += np.bincount((word_hashes(b"\n".join(texts))[1] >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(total))
-        blocks = total.astype("<i4").reshape(-1, _ROW)
-        used = np.flatnonzero(blocks.any(1))
-        yield pa.record_batch([pa.array(used, pa.int32()), pa.array([blocks[k].tobytes() for k in used], pa.binary())], ["block", "sums"])
-
-    out = np.zeros((1 << COUNTER_BITS) // _ROW * _ROW, np.int64).reshape(-1, _ROW)
-    for r in summed_vectors(docs.select(text).mapInArrow(count, "block int, sums binary"), "block", "sums").collect():
-        out[r["block"]] = np.frombuffer(r["sums"], "<i8")
-    return out.ravel()
+def _keys(h: np.ndarray, first: np.ndarray, rank: np.ndarray, heavy: int, percent: int) -> tuple[np.ndarray, ...]:
+    """(set, key, pos) of the postings of ordered sets, by set and pos.
 
-
-def _line_rows(docs: DataFrame, counts, percent: int) -> DataFrame:
-    """(doc, h, text) rows to one row a line with words: doc, h, line, n, node, prefix (its first words, rare first), sig (its signature)."""
+    Two sets over the threshold share a word among their first n - needed + 1, the prefix; if they have two words in common,
+    the second is at most one place after the prefix. So a set is listed by each light word of its prefix, and by each
+    heavy one with each word after it up to that place. `pos` of a pair of words is the second's place less one.
+    """
+    n = np.diff(np.append(first, len(h)))
+    needed = -(-percent * n // 100)
+    keep = np.where(100 * n >= percent * (n + 1), n - needed + 1, 0)
+    paired, single = n <= PAIRED_WORDS, (100 * n > percent * PAIRED_WORDS) | (needed == 1)
+    place = np.arange(len(h)) - np.repeat(first, n)
+    some = np.flatnonzero(place < np.repeat(np.where(keep > 0, np.minimum(n, keep + 1), 0), n))
+    owner, word, at = np.repeat(np.arange(len(n)), n)[some], h[some], place[some]
+    is_heavy, inside = rank[some] > heavy, at < keep[owner]
+    alone = inside & (~is_heavy | single[owner])
+    found = [(owner[alone], word[alone], at[alone])]
+    starts = inside & is_heavy & paired[owner]
+    for step in range(1, int(keep[paired].max(initial=0)) + 1):
+        i = np.flatnonzero(starts[:-step] & (owner[:-step] == owner[step:]))
+        if not len(i):
+            break
+        found.append((owner[i], mixed(word[i] * np.uint64(3) + word[i + step], 0x9A15), at[i + step] - 1))
+    owner, key, at = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort((owner << 32) | at)
+    return owner[order], key[order], at[order]
+
+
+def _line_rows(docs: DataFrame, ranks, percent: int) -> DataFrame:
+    """(doc, h, text) rows to one row a line with words: doc, h, line, n, node (digest of its set), sig (signature), keys."""
+    heavy = int(rarity_ranks(np.array([HEAVY]))[0])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = counts.value
+        rare = ranks.value
         for batch in batches:
             for row, texts in grouped(batch.column(2)):
-                owner, line, h = _line_sets(texts)
-                first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.empty(0, np.int64)
-                size = np.diff(np.append(first, len(line)))
-                node = set_digests(h, first)
-                order = np.lexsort((h, rare[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], line))
-                keep = size - -(-percent * size // 100) + 1
-                place = np.arange(len(line)) - np.repeat(first, size)
-                prefix = h[order][place < np.repeat(keep, size)].view(np.int64)
-                at, start = line[first], np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(texts)))))
-                docs_at = pa.array(row + owner[at], pa.int64())
-                offsets = pa.array(np.concatenate(([0], np.cumsum(keep))), pa.int32())
-                columns = [batch.column(0).take(docs_at), batch.column(1).take(docs_at), pa.array(at - start[owner[at]], pa.int32()), pa.array(size, pa.int32()), node, pa.ListArray.from_arrays(offsets, pa.array(prefix, pa.int64())), pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * SIGNATURE, pa.int32()), pa.array(set_signatures(h, first, SIGNATURE).ravel().view(np.int64), pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "h", "line", "n", "node", "prefix", "sig"])
-
-    return docs.mapInArrow(read, "doc bigint, h bigint, line int, n int, node binary, prefix array<bigint>, sig array<bigint>")
+                line, h = _line_words(texts)
+                line, h, first = ordered_sets(line, h, rare[counter_of(h)])
+                owner, key, pos = _keys(h, first, rare[counter_of(h)], heavy, percent)
+                entries = [pa.array(key.view(np.int64)), pa.array(pos, pa.int32())]
+                offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(first)))))
+                keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(entries, ["key", "pos"]))
+                text = np.repeat(np.arange(len(texts)), [t.count(b"\n") + 1 for t in texts])
+                start = np.searchsorted(text, np.arange(len(texts)))
+                at = line[first]
+                rows = pa.array(row + text[at], pa.int64())
+                columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at - start[text[at]], pa.int32())]
+                columns += [pa.array(np.diff(np.append(first, len(h))), pa.int32()), set_digests(h, first)]
+                columns += [pa.array(set_signatures(h, first, 1)[:, 0].view(np.int64)), keys]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "h", "line", "n", "node", "sig", "keys"])
+
+    kinds = "doc bigint, h bigint, line int, n int, node binary, sig bigint, keys array<struct<key: bigint, pos: int>>"
+    return docs.mapInArrow(read, kinds)
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, words) of the lines in `wanted` (node, doc, h, line), read from the texts."""
+    """(node, words) of the lines in the written table `wanted` (node, doc, h, line), read from the texts."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made: tuple[list, list] = ([], [])
             for text, lines in zip(batch.column(0), batch.column(1).to_pylist()):
                 split = (text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")
-                _, line, h = _line_sets([b"\n".join(split[x["line"]] for x in lines)])
+                line, h = _line_words([b"\n".join(split[x["line"]] for x in lines)])
+                line, h, _ = ordered_sets(line, h, np.zeros(len(h), np.uint16))
                 for x, a, z in zip(lines, *np.searchsorted(line, [np.arange(len(lines)), np.arange(len(lines)) + 1])):
                     made[0].append(x["node"])
                     made[1].append(h[a:z].view(np.int64))
             yield pa.record_batch([pa.array(made[0], pa.binary()), pa.array(made[1], pa.list_(pa.int64()))], ["node", "words"])
 
-    places = wanted.groupBy(F.col("doc").alias("d"), F.col("h").alias("g")).agg(F.collect_list(F.struct("line", "node")).alias("lines"))
-    rows = maybe_in(docs, wanted, "doc", "h").join(places, F.col("doc").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).select("t", "lines")
+    places = wanted.groupBy(F.col("doc").alias("d"), F.col("h").alias("g"))
+    places = places.agg(F.collect_set(F.struct("line", "node")).alias("lines"))
+    same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))
+    rows = maybe_in(docs, wanted, "doc", "h").join(places, same).select("t", "lines")
     return rows.mapInArrow(read, "node binary, words array<bigint>").dropDuplicates(["node"])
 
 
 def _late(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(node) of the later side `a` of pairs (a, b) of which the word sets have Jaccard >= percent / 100."""
-    pairs = written(pairs, "line-pairs")
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = written(classes.join(named, "node", "left_semi").select("node", "at.doc", "at.h", "at.line"), "line-wanted")
-    sets = written(_whole_sets(docs, wanted), "line-sets")
-    x = sets.select(F.col("node").alias("a"), F.col("words").alias("wa"))
-    y = sets.select(F.col("node").alias("b"), F.col("words").alias("wb"))
-    both = pairs.join(x, "a").join(y, "b").select("a", F.size("wa").alias("n"), F.size("wb").alias("m"), F.size(F.array_intersect("wa", "wb")).alias("i"))
-    late = written(both.where(100 * F.col("i") >= percent * (F.col("n") + F.col("m") - F.col("i"))).select(F.col("a").alias("node")).distinct(), "line-late")
+    """(node, id) of the later class of each pair of ids (a, b) whose word sets have Jaccard >= percent / 100. A written table."""
+    pairs = written(pairs.distinct(), "line-pairs")
+    named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = written(classes.select("id", "node", "at.*").join(named, "id", "left_semi"), "line-wanted")
+    sets = _whole_sets(docs, wanted).join(wanted.select("id", "node", "last", "doc", "h", "line"), "node")
+    sets = written(sets.select("id", F.struct("last", "doc", "h", "line", "node", "id").alias("at"), "words"), "line-sets")
+    side = lambda s: sets.select(F.col("id").alias(s), F.col("at").alias(f"at_{s}"), F.col("words").alias(f"w{s}"))
+    common = F.size(F.array_intersect("wa", "wb")).alias("i")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.select(F.greatest("at_a", "at_b").alias("at"), F.size("wa").alias("n"), F.size("wb").alias("m"), common)
+    linked = both.where(100 * F.col("i") >= percent * (F.col("n") + F.col("m") - F.col("i")))
+    late = written(linked.select("at.node", "at.id").distinct(), "line-late")
     discard(pairs, wanted, sets)
     return late
 
 
-def _passes(x: str, y: str, percent: int):
-    """Length, positional and signature filters for a pair at a prefix word that both sides have."""
-    least = F.expr(f"{percent} * ({x}.n + {y}.n)")
-    near = F.expr(f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)")
-    there = (100 + percent) * F.expr(f"1 + least({x}.pos, {y}.pos) + least({x}.n - {x}.pos - 1, {y}.n - {y}.pos - 1)") >= least
-    return near & there & ((100 + percent) * differing_bits(f"{x}.sig", f"{y}.sig", SIGNATURE) <= F.expr(f"{100 - percent} * ({x}.n + {y}.n)"))
+def _passes(percent: int) -> Column:
+    """Length, positional and signature filters of x and y at a key that is the first that both have."""
+    near = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    there = f"{100 + percent} * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n)"
+    bits = differing_bits(["x.sig"], ["y.sig"])
+    return F.expr(f"{near} AND {there}") & ((100 + percent) * bits <= F.expr(f"{100 - percent} * (x.n + y.n)"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 80) -> DataFrame:
@@ -121,49 +142,64 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     removed when an earlier line, by (key, hash of the text, line number), of any document has a word set
     with Jaccard >= percent / 100. Whether that line is removed too plays no part. Lines without words stay. A
     null text stays null, with 0 lines; a null key comes last. Rows of equal key and text are one place in the order and
-    get equal results. Other columns are carried; one called `deduped` is replaced.
-
-    Lines of equal sets are one class with its first place. Words are ordered rare first, by counters over all
-    lines; classes that share a prefix word meet, after filters by length, position and signature (a lower bound of the sets' difference).
-    First every class tries the earliest and one other of each list; classes that have an earlier match then are settled.
-    The others try all that is earlier in their lists. Sets are read from the texts for pairs that pass, and verified.
+    get equal results. Very long texts and lines are read in whole; an empty table gives no rows. Other columns are
+    carried; one called `deduped` is replaced.
+
+    Lines of equal sets are one class with its first place. Words are ordered rare first, by counters over all lines;
+    classes that share a key of their prefix meet, after filters by length, position and signature (a lower bound of the sets'
+    difference). First every class tries the earliest of its first TRIED lists; classes that have an earlier match then are
+    settled. The others try all of their lists. Sets are read from the texts for pairs that pass, and verified.
+    Only documents that may lose a line are shuffled with their texts. Sets are compared by 64-bit hashes of words,
+    and in lists a class goes by a 64-bit hash.
     """
     spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(word_counts(docs, text))
+    counts = rarity_counts(docs, text, lambda texts: _line_words(texts)[1])
+    ranks = spark.sparkContext.broadcast(rarity_ranks(counts))
     texts = docs.select(F.col(key).cast("bigint").alias("doc"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    lines = written(_line_rows(texts, counts, percent), "lines")
+    wide = written(_line_rows(texts, ranks, percent), "lines")
     at = F.struct(F.col("doc").isNull().alias("last"), "doc", "h", "line")
-    classes = written(lines.groupBy("node").agg(F.min(F.struct(at.alias("at"), "n", "prefix", "sig")).alias("c")).select("node", "c.*"), "line-classes")
-
-    wide, lines = lines, written(lines.select("doc", "h", "line", "node"), "lines")
+    first = F.min(F.struct(at.alias("at"), "n", "sig", "keys")).alias("c")
+    classes = wide.groupBy("node").agg(first, F.count("*").alias("times")).select("node", F.xxhash64("node").alias("id"), "times", "c.*")
+    classes = written(classes, "line-classes")
+    lines = written(wide.select("doc", "h", "line", "node"), "lines")
     discard(wide)
 
-    listed = classes.select("node", F.posexplode("prefix").alias("pos", "word"))
-    listed = listed.withColumn("all", F.count("*").over(Window.partitionBy("word"))).where("all > 1").drop("all")
-    lists = written(listed.join(classes.select("node", "n", "at", "sig"), "node"), "line-lists")
-    wide, classes = classes, written(classes.select("node", "at"), "line-classes")
-    discard(wide)
+    doc = F.coalesce("at.doc", F.lit((1 << 63) - 1)).alias("doc")
+    x = classes.select("id", "n", "sig", doc, F.inline(F.slice("keys", 1, TRIED)))
+    early = [F.min_by(c, "doc").alias(c) for c in ("id", "n", "sig", "pos")]
+    y = x.groupBy("key").agg(*early, F.count("*").alias("all")).where("all > 1").alias("y")
+    tried = x.alias("x").join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.id") != F.col("y.id")) & _passes(percent))
+    settled = _late(tried.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), classes, texts, percent)
+
+    mark = settled.select("id", F.lit(1).alias("done")).distinct()
+    mark = F.broadcast(mark) if settled.count() <= BROADCAST_IDS else mark
+    posts = classes.select("id", "n", "sig", "keys").join(mark, "id", "left")
+    posts = posts.select("id", "n", "sig", F.coalesce("done", F.lit(0)).alias("done"), F.inline("keys"))
+    # One side at least is not settled; of two such, one order will do. Both sides are one shuffle, so no side is filtered alone.
+    open_pair = F.expr("x.id != y.id AND 2 * x.done <= y.done AND (y.done > x.done OR x.id < y.id)")
+    rest = posts.alias("x").join(posts.alias("y"), F.expr("x.key = y.key") & open_pair & _passes(percent))
+    others = _late(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), classes, texts, percent)
+
+    repeated = classes.where("times > 1").select("node", F.col("at").alias("first"), F.lit(False).alias("late"))
+    late = settled.union(others).select("node", F.lit(None).cast(repeated.schema["first"].dataType), F.lit(True))
+    marks = written(repeated.union(late).groupBy("node").agg(F.max("first").alias("first"), F.max("late").alias("late")), "line-marks")
+    judged = maybe_in(lines, marks, "node").join(marks, "node").where(F.col("late") | (at != F.col("first")))
+    d, g, gone, n = (free_name(docs, c) for c in ("dedup_doc", "dedup_hash", "dedup_gone", "dedup_lines"))
+    losing = judged.groupBy(F.col("doc").alias(d), F.col("h").alias(g)).agg(F.collect_set("line").alias(gone))
+    losing = written(losing, "line-losing")
+    discard(classes, lines, settled, others, marks)
 
-    member = F.struct("at", "n", "pos", "node", "sig")
-    tried = lists.groupBy("word").agg(F.min(member).alias("early"), F.min(F.struct(F.xxhash64("node").alias("o"), member.alias("m"))).alias("other"))
-    tried = tried.select("word", F.array_distinct(F.array("early", "other.m")).alias("ys"))
-    pairs = lists.alias("x").join(tried, "word").select("x.*", F.explode("ys").alias("y")).where(F.col("node") != F.col("y.node")).select(F.struct("at", "n", "pos", "node", "sig").alias("x"), "y")
-    pairs = pairs.where(_passes("x", "y", percent)).select(F.when(F.col("x.at") > F.col("y.at"), F.struct(F.col("x.node").alias("a"), F.col("y.node").alias("b"))).otherwise(F.struct(F.col("y.node").alias("a"), F.col("x.node").alias("b"))).alias("p"))
-    late = _late(pairs.select("p.a", "p.b").distinct(), classes, texts, percent)
-
-    x, y = lists.join(late, "node", "left_anti").alias("x"), lists.alias("y")
-    rest = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.at") > F.col("y.at")) & _passes("x", "y", percent))
-    late = late.union(_late(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), classes, texts, percent))
-
-    discard(lists)
-    known = classes.select("node", F.col("at").alias("first")).join(late.select("node", F.lit(True).alias("late")), "node", "left")
-    judged = lines.join(known, "node").select("doc", "h", "line", ((at != F.col("first")) | F.coalesce("late", F.lit(False))).alias("gone"))
-    d, g, n, gone = (free_name(docs, c) for c in ("dedup_doc", "dedup_hash", "dedup_lines", "dedup_gone"))
-    judged = judged.distinct().groupBy(F.col("doc").alias(d), F.col("h").alias(g)).agg(F.count("*").alias(n), F.collect_list(F.when(F.col("gone"), F.col("line"))).alias(gone))
     carried = [c for c in docs.columns if c.lower() != "deduped"]
-    joined = docs.select(*carried, F.col(text).alias(free_name(docs, "dedup_text"))).join(judged, F.col(key).cast("bigint").eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(g)), "left")
-    whole, numbers = F.col(free_name(docs, "dedup_text")), F.coalesce(F.col(gone), F.array().cast("array<int>"))
+    whole, k, t = (free_name(docs, c) for c in ("dedup_text", "dedup_key", "dedup_text_hash"))
+    rows = docs.select(*carried, F.col(text).alias(whole), F.col(key).cast("bigint").alias(k), F.xxhash64(text).alias(t))
+    count = F.coalesce(F.regexp_count(whole, F.lit(_LINE)), F.lit(0)).cast("bigint").alias("n_lines")
+    named = losing.select(F.col(d).alias(k), F.col(g).alias(t))
+    kept_all = F.struct(F.col(whole).alias("text"), count, F.lit(0).cast("bigint").alias("n_removed")).alias("deduped")
+    untouched = surely_out(rows, named, k, t).select(*carried, kept_all)
+    touched = maybe_in(rows, named, k, t).join(losing, F.col(k).eqNullSafe(F.col(d)) & (F.col(t) == F.col(g)), "left")
+    touched = touched.withColumn(n, F.coalesce(gone, F.array().cast("array<int>")))
     split = F.split(whole, "\n", -1)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), numbers), lambda i: F.get(split, i))
-    shown = F.when(F.size(numbers) == 0, whole).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*carried, F.struct(shown.alias("text"), F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias("n_lines"), F.size(numbers).cast("bigint").alias("n_removed")).alias("deduped"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), n), lambda i: F.get(split, i))
+    shown = F.when(F.size(n) == 0, F.col(whole)).otherwise(F.array_join(kept, "\n")).alias("text")
+    cut = F.struct(shown, count, F.size(n).cast("bigint").alias("n_removed")).alias("deduped")
+    return untouched.unionByName(touched.select(*carried, cut))
