@@ -6,6 +6,7 @@ A shard is one row of a Parquet table, so that Spark's own writer commits it to
     first_doc, n_docs  not stored: documents are counted, never numbered globally, until they are read
     doc_ids            the documents' ids, ascending, nulls first
     width, ids         bytes a token (2 up to 65,536 ids, else 4), and the concatenated ids, little-endian
+    before             ids in earlier shards of the part
     low_bits, low      Elias-Fano: lower bits of each document's end, packed
     high               Elias-Fano: upper bits in unary, one set bit a document
     samples            select samples: bit position of every SAMPLE-th set bit of `high`
@@ -18,16 +19,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickloom.llm.hashing import WHITE, grouped
+
 #: Set bits between two select samples.
 SAMPLE = 64
 #: Tokens and documents after which a shard is closed; one longer document is a shard of its own.
 SHARD_TOKENS = 1_000_000
 SHARD_DOCS = 50_000
 
-_SHARD = "part int, seq int, n_docs bigint, n_tokens bigint, doc_ids array<bigint>, width int, ids binary, low_bits int, low binary, high binary, samples binary"
+#: Parts up to which the table with one row a part is broadcast (some 16 bytes each); more of them are joined by shuffling.
+BROADCAST_PARTS = 1_000_000
+
+_SHARD = (
+    "part int, seq int, before bigint, n_docs bigint, n_tokens bigint, doc_ids array<bigint>, width int, ids binary, "
+    "low_bits int, low binary, high binary, samples binary"
+)
 
 
 class EliasFano:
@@ -47,7 +56,8 @@ class EliasFano:
         at = (values >> low_bits) + np.arange(n)
         bits = np.zeros(int(at[-1]) + 1 if n else 0, np.uint8)
         bits[at] = 1
-        return cls(n, low_bits, np.packbits(low.ravel(), bitorder="little").tobytes(), np.packbits(bits, bitorder="little").tobytes(), at[::SAMPLE].astype("<u4").tobytes())
+        packed = [np.packbits(x, bitorder="little").tobytes() for x in (low.ravel(), bits)]
+        return cls(n, low_bits, *packed, at[::SAMPLE].astype("<u4").tobytes())
 
     def _low_part(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -55,11 +65,14 @@ class EliasFano:
         bit = i[:, None] * self.low_bits + np.arange(self.low_bits)
         return (((self.low[bit >> 3] >> (bit & 7)) & 1).astype(np.int64) << np.arange(self.low_bits)).sum(1)
 
-    def all(self) -> np.ndarray:
-        """Every value, decoded at once."""
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        i = np.arange(self.n)
-        return ((at - i) << self.low_bits) + self._low_part(i)
+    def block(self, first: int) -> np.ndarray:
+        """Values first, first + 1, ... of one sample (`first` a multiple of SAMPLE): bits of `high` from there to the next sample."""
+        start, k = int(self.samples[first // SAMPLE]), first // SAMPLE + 1
+        end = int(self.samples[k]) if k < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[start >> 3 : -(-end // 8)], bitorder="little")
+        at = start - (start & 7) + np.flatnonzero(bits)
+        i = np.arange(first, min(first + SAMPLE, self.n))
+        return ((at[at >= start][: len(i)] - i) << self.low_bits) + self._low_part(i)
 
     def select(self, i: int) -> int:
         """Value number i: from the sample before it, bytes of `high` are skipped by their counts of set bits."""
@@ -81,34 +94,58 @@ class ChunkEncoder:
 
     For tokenizers that drop white space and never look across it (as word_bpe_49k.json does: its pre-token pattern
     matches no white space, and normalisation to NFC and lower case works within a chunk), the ids of a text are those
-    of its chunks in turn. Chunks are cut at ASCII white space only.
+    of its chunks in turn. Chunks are cut at ASCII white space only. The distinct chunks of some texts are found by
+    Arrow's dictionary encoding, and their ids are laid out by index.
     """
 
-    def __init__(self, path: str, remembered: int = 300_000, longest: int = 48):
+    def __init__(self, path: str, remembered: int = 250_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.remembered, self.longest = remembered, longest
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = list({c for chunks in split for c in chunks if c not in self.known})
-        known, once = self.known, {}
+    def _ids_of(self, chunks: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct chunks. What is remembered has two ages: the old one goes when the young one is full."""
+        out = list(map(self.known.get, chunks))
+        for i, c in enumerate(chunks):
+            if out[i] is None and (old := self.before.get(c)) is not None:
+                out[i] = self.known[c] = old
+        new = [i for i, x in enumerate(out) if x is None]
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
-            for chunk, e in zip(some, self.library.encode_batch_fast([c.decode("utf-8", "replace") for c in some], add_special_tokens=False)):
-                (known if len(chunk) <= self.longest else once)[chunk] = self.pack(e.ids)
-        get = (lambda c: once[c] if c in once else known[c]) if once else known.__getitem__
-        out = [b"".join(map(get, chunks)) for chunks in split]
-        if len(known) > self.remembered:
-            known.clear()
+            texts = [chunks[i].decode("utf-8", "replace") for i in some]
+            for i, e in zip(some, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+                out[i] = self.pack(e.ids)
+                if len(chunks[i]) <= self.longest:
+                    self.known[chunks[i]] = out[i]
+        if len(self.known) > self.remembered:
+            self.before, self.known = self.known, {}
         return out
 
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, end of each text among them)."""
+        data = np.frombuffer(b"\n".join(texts), np.uint8)
+        white = WHITE[data]
+        edges = np.flatnonzero(np.diff(np.concatenate(([True], white, [True]))))
+        start, size = edges[::2], edges[1::2] - edges[::2]
+        offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data[~white])]
+        coded = pa.Array.from_buffers(pa.large_binary(), len(size), buffers).dictionary_encode()
+        ids = self._ids_of(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(ids), f"<u{self.width}")
+        each = np.array([len(x) // self.width for x in ids], np.int64)
+        index = coded.indices.to_numpy()
+        count = each[index]
+        ends = np.concatenate(([0], np.cumsum(count)))
+        at = np.repeat((np.cumsum(each) - each)[index] - ends[:-1], count) + np.arange(ends[-1])
+        return flat[at], ends[np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))]
+
 
 _encoders: dict[str, ChunkEncoder] = {}
 
@@ -119,47 +156,44 @@ def _encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
-def write_token_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, text: str = "text", key: str = "doc_id", group_chars: int = 2_000_000) -> None:
+def write_token_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, text: str = "text", key: str = "doc_id") -> None:
     """Encode whole texts and write shards to `path` in ascending `key` order (nulls first; ties by content).
 
     Null and empty texts are documents of `end_id` alone. Repeated rows are repeated documents. An empty table gives
     a table without shards. Other columns of `docs` are not written. Documents are range-partitioned by key once,
-    as text; encoding and packing follow in the sorted partition, and a task holds one shard at a time.
+    as text; encoding and packing follow in the sorted partition, and a task holds one shard at a time. A text longer
+    than a shard is a shard of its own.
     """
+    names = [c.split()[0] for c in _SHARD.split(", ")]
+    kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 3, pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.int32(), *[pa.binary()] * 3]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(tokenizer_file), None
+        encoder = _encoder(tokenizer_file)
         end = encoder.pack([end_id])
-        part, seq, keys, ids = 0, 0, [], []
-        size = 0
+        part, seq, before, size, keys, ids = 0, 0, 0, 0, [], []
 
         def shard() -> pa.RecordBatch:
             ends = np.cumsum([len(b) // encoder.width for b in ids])
             ef = EliasFano.of(ends)
-            row = [part, seq, len(ids), int(ends[-1]), keys, encoder.width, b"".join(ids), ef.low_bits, ef.low.tobytes(), ef.high.tobytes(), ef.samples.tobytes()]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            row = [part, seq, before, len(ids), int(ends[-1]), keys, encoder.width, b"".join(ids)]
+            row += [ef.low_bits, *[x.tobytes() for x in (ef.low, ef.high, ef.samples)]]
             return pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
-        names = [c.split()[0] for c in _SHARD.split(", ")]
         for batch in batches:
-            group: list[tuple[int | None, str]] = []
-            chars = 0
-            rows = batch.num_rows
-            for i, (k, t, p) in enumerate(zip(batch.column(0), batch.column(1), batch.column(2))):
-                part = p.as_py()
-                group.append((k.as_py(), t.as_py() or ""))
-                chars += len(group[-1][1])
-                if chars < group_chars and i + 1 < rows:
-                    continue
-                for (k, _), b in zip(group, encoder.encode([t for _, t in group])):
-                    b += end
+            part = batch.column(2)[0].as_py() if batch.num_rows else part
+            for row, texts in grouped(batch.column(1)):
+                flat, ends = encoder.encode(texts)
+                at = 0
+                for k, z in zip(batch.column(0).slice(row, len(texts)).to_pylist(), ends.tolist()):
+                    b = flat[at:z].tobytes() + end
+                    at = z
                     if ids and (size + len(b) > SHARD_TOKENS * encoder.width or len(ids) >= SHARD_DOCS):
                         yield shard()
-                        seq, keys, ids, size = seq + 1, [], [], 0
+                        before += size // encoder.width
+                        seq, size, keys, ids = seq + 1, 0, [], []
                     keys.append(k)
                     ids.append(b)
                     size += len(b)
-                group, chars = [], 0
         if ids:
             yield shard()
 
@@ -170,31 +204,41 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id:
 
 
 def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
-    """The shards with `base`: ids before the shard, from sums by part and a running sum over parts."""
+    """The shards with `base`: ids before the shard, from a running sum over parts. Shards are not shuffled.
+
+    One row a part is summed and sorted; more than BROADCAST_PARTS parts are joined by shuffling.
+    """
     shards = spark.read.parquet(path)
     sums = shards.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
     running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("part", F.coalesce(F.sum("part_tokens").over(running), F.lit(0)).alias("part_base"))
-    heads = shards.select("part", "seq", "n_tokens").join(bases, "part")
-    inner = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select("part", "seq", (F.col("part_base") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).alias("base"))
-    return shards.join(heads, ["part", "seq"])
+    few = shards.select("part").distinct().count() <= BROADCAST_PARTS
+    joined = shards.join(F.broadcast(bases) if few else bases, "part")
+    return joined.withColumn("base", F.col("part_base") + F.col("before"))
 
 
 def map_documents(shards: DataFrame, make: Callable[[np.ndarray], object], kind: pa.DataType, sql_kind: str, into: str) -> DataFrame:
-    """One row a document of read shards: doc_id, start, n_tokens and `make` of its ids (numpy) in column `into`."""
+    """One row a document of read shards: doc_id, start, n_tokens and `make` of its ids (numpy) in column `into`.
+
+    Offsets come from the select structure, SAMPLE documents at a time.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in batch.to_pylist():
-                ends = EliasFano(s["n_docs"], s["low_bits"], s["low"], s["high"], s["samples"]).all()
-                starts = np.r_[0, ends[:-1]].astype(np.int64)
-                ids = np.frombuffer(s["ids"], f"<u{s['width']}")
-                made = [make(ids[a:z]) for a, z in zip(starts.tolist(), ends.tolist())]
-                columns = [pa.array(s["doc_ids"], pa.int64()), pa.array(starts + s["base"], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(made, kind)]
-                yield pa.record_batch(columns, ["doc_id", "start", "n_tokens", into])
-
-    return shards.mapInArrow(read, f"doc_id bigint, start bigint, n_tokens bigint, {into} {sql_kind}")
+                ef = EliasFano(s["n_docs"], s["low_bits"], s["low"], s["high"], s["samples"])
+                ids, at, starts, sizes, made = np.frombuffer(s["ids"], f"<u{s['width']}"), 0, [], [], []
+                for first in range(0, s["n_docs"], SAMPLE):
+                    for end in ef.block(first).tolist():
+                        starts.append(at + s["base"])
+                        sizes.append(end - at)
+                        made.append(make(ids[at:end]))
+                        at = end
+                columns = [pa.array(c, pa.int64()) for c in (s["doc_ids"], starts, sizes)]
+                yield pa.record_batch([*columns, pa.array(made, kind)], ["doc_id", "start", "n_tokens", into])
+
+    some = shards.select("base", "doc_ids", "n_docs", "width", "ids", "low_bits", "low", "high", "samples")
+    return some.mapInArrow(read, f"doc_id bigint, start bigint, n_tokens bigint, {into} {sql_kind}")
 
 
 def ids_crc32(ids: np.ndarray) -> int:
