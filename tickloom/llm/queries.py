@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import warc
-from tickloom.llm.common import fresh_path, written
+from tickloom.llm.common import delete, discard, fresh_path, written
 from tickloom.llm.decontaminate import find_contamination
 from tickloom.llm.jaccard_join import near_components
 from tickloom.llm.line_dedup import dedup_lines
@@ -63,20 +63,27 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages, copy the archive with some bytes gone bad, and find the records that the copy has wrong.
 
-    Bad are the last bytes of pages whose URL's MD5 begins below 05.
+    Bad are the last bytes of pages whose URL's MD5 begins below 05. Archive and copy are deleted when they are read.
     """
     pages = table(spark, sf_dir, "pages")
     number = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    record = warc.record_text(F.concat(F.lit("<urn:x-page:"), F.md5(F.concat_ws(":", number, "url")), F.lit(">")), F.col("url"), F.col("html"), {"X-Page-Id": number})
+    record_id = F.concat(F.lit("<urn:x-page:"), F.md5(F.concat_ws(":", number, "url")), F.lit(">"))
+    record = warc.record_text(record_id, F.col("url"), F.col("html"), {"X-Page-Id": number})
     path, copy = fresh_path(spark, "warc"), fresh_path(spark, "warc-copy")
     warc.write_warc(pages, record, path)
-    index = warc.read_warc(spark, path, payload=False).select("file", "seq", "start", "length", F.col("headers")["x-page-id"].cast("bigint").alias("page_id"), F.md5("uri").alias("mark"), F.col("headers")["warc-payload-digest"].alias("digest"))
-    index = written(index, "warc-index")
-    warc.copy_archive(warc.flip_bytes(warc.read_files(spark, path), index.where("mark < '05'").select("file", (F.col("start") + F.col("length") - 5).alias("at"))), copy)
+    h = F.col("headers")
+    named = [h["x-page-id"].cast("bigint").alias("page_id"), F.md5("uri").alias("mark"), h["warc-payload-digest"].alias("digest")]
+    index = written(warc.read_warc(spark, path, payload=False).select("file", "seq", "start", "length", *named), "warc-index")
+    rotten = index.where("mark < '05'").select("file", (F.col("start") + F.col("length") - 5).alias("at"))
+    warc.copy_archive(warc.flip_bytes(warc.read_files(spark, path), rotten), copy)
     leaves = written(warc.leaf_hashes(warc.read_files(spark, path), index), "warc-leaves")
     others = written(warc.leaf_hashes(warc.read_files(spark, copy), index), "warc-leaves")
-    bad = warc.audit(leaves, others).select("file", "seq", F.lit(True).alias("bad"))
-    return index.join(bad, ["file", "seq"], "left").select("page_id", F.col("length").alias("record_bytes"), F.substring("digest", 8, 64).alias("payload_sha256"), F.coalesce("bad", F.lit(False)).alias("damaged"))
+    bad = warc.audit(leaves, others)
+    discard(leaves, others)
+    delete(spark, path, copy)
+    marked = index.join(bad.select("file", "seq", F.lit(True).alias("bad")), ["file", "seq"], "left")
+    damaged = F.coalesce("bad", F.lit(False)).alias("damaged")
+    return marked.select("page_id", F.col("length").alias("record_bytes"), F.substring("digest", 8, 64).alias("payload_sha256"), damaged)
 
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

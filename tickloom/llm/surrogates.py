@@ -7,12 +7,13 @@ checked for collisions, and those that collide are drawn again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import free_name, written
+from tickloom.llm.common import discard, free_name, written
 
 #: Texts with re-drawn entities up to which their table is broadcast; more of them are joined by shuffling.
 BROADCAST_TEXTS = 20_000
@@ -24,6 +25,9 @@ MALE_TITLES = ("Mr", "Mister", "Sir", "Monsieur", "Herr", "Señor", "Sr", "го
 NEUTRAL_TITLES = ("Dr", "Prof", "Professor", "Mx")
 _TITLES = "|".join(sorted(FEMALE_TITLES + MALE_TITLES + NEUTRAL_TITLES, key=len, reverse=True))
 
+#: A word of a name: a capital, then letters with hyphens and apostrophes between them.
+_NAME = r"\p{Lu}[\p{L}\p{M}]*+(?:['’-][\p{L}\p{M}]{2,}+)*+(?<=[\p{L}\p{M}]{2})"
+
 #: Patterns in order of precedence; each starts where its run of characters starts, so that scanning is linear.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
@@ -34,12 +38,15 @@ PATTERNS = {
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{1,7}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{1,7})(?![0-9])",
-    "name": rf"(?<![\p{{L}}])(?:{_TITLES})\.? \p{{Lu}}[\p{{Ll}}'’-]+(?: \p{{Lu}}[\p{{Ll}}'’-]+){{0,2}}",
+    "name": rf"(?<![\p{{L}}])(?:{_TITLES})\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
 _ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Cheap test that a text can hold an entity at all.
 _HINT = rf"[0-9@]|(?:{_TITLES})\.? \p{{Lu}}"
 
+#: Country calling codes are 1, 7, these of two digits, and three digits else.
+_COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
 _SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe ga go ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro".split(),
     "cyrillic": "ба бе би бо да де ди до га го ка ки ко ла ле ли ма ме ми мо на не ни но ра ре ри ро та те ти то".split(),
@@ -79,7 +86,7 @@ def _kind(value: Column) -> Column:
 def _canonical(kind: Column, value: Column) -> Column:
     """What is equal for all mentions of one entity, however written."""
     digits = F.regexp_replace(value, "[^0-9]", "")
-    country = F.regexp_extract(value, r"^\+([0-9]{1,3})(?![0-9])", 1)
+    country = F.regexp_extract(value, _COUNTRY, 1)
     return (
         F.when(kind.isin("email", "secret", "ip6"), F.lower(value))
         .when(kind == "iban", F.regexp_replace(value, " ", ""))
@@ -160,18 +167,37 @@ def _name_units(value: Column) -> Column:
     return F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, "name_family").otherwise(gender).alias("kind"), F.lower(w).alias("canon")))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once, however often `then` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _entity(value: Column) -> Column:
+    """(value, kind, units) of a found string; units are (kind, canonical), several in a name and one in other kinds."""
+    one = lambda k: F.array(F.struct(k.alias("kind"), _canonical(k, value).alias("canon")))
+    units = lambda k: F.when(k == "name", _name_units(value)).otherwise(one(k))
+    return _let(_kind(value), lambda k: F.struct(value.alias("value"), k.alias("kind"), units(k).alias("units")))
+
+
 def _units(spans: Column) -> Column:
     """(kind, canonical) of all entities in an array of found strings."""
-    def of(v: Column) -> Column:
-        k = _kind(v)
-        return F.when(k == "name", _name_units(v)).otherwise(F.array(F.struct(k.alias("kind"), _canonical(k, v).alias("canon"))))
-
-    return F.array_distinct(F.flatten(F.transform(spans, of)))
+    return F.array_distinct(F.flatten(F.transform(spans, lambda v: _entity(v)["units"])))
 
 
 def _found(text: Column) -> Column:
     """All entities of a text as an array of strings; empty without any."""
-    return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(_ALL), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return F.coalesce(F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(_ALL), F.lit(0))), none)
+
+
+def _surrogate(entity: Column, drawn: Column) -> Column:
+    """What stands in the text for an entity: its title and words, or its one surrogate in the mention's format."""
+    value = entity["value"]
+    words = F.slice(F.split(value, " "), 2, 8)
+    capitals = lambda w: (F.upper(w) == w) & (F.char_length(w) > 1)
+    shown = F.transform(drawn, lambda d, i: F.when(capitals(F.get(words, i)), F.upper(d)).otherwise(d))
+    name = F.concat_ws(" ", F.substring_index(value, " ", 1), F.array_join(shown, " "))
+    return F.when(entity["kind"] == "name", name).otherwise(_rendered(entity["kind"], value, F.get(drawn, F.lit(0))))
 
 
 def draw_surrogates(entities: DataFrame, secret: str) -> DataFrame:
@@ -179,7 +205,8 @@ def draw_surrogates(entities: DataFrame, secret: str) -> DataFrame:
 
     In every round, of the entities that drew one surrogate the first in order keeps it; a surrogate that is an entity
     of the corpus or that an earlier round gave is kept by none. The others draw again. Work after the first round
-    is on colliding entities only. `drawn` is distinct within (kind) and never an entity of that kind.
+    is on colliding entities only. `drawn` is distinct within (kind) and never an entity of that kind. `parts` of the
+    result are the written tables that it reads.
     """
     entities = written(entities.select("kind", "canon").distinct(), "pii-entities")
     settled: list[DataFrame] = []
@@ -191,9 +218,14 @@ def draw_surrogates(entities: DataFrame, secret: str) -> DataFrame:
         free = reduce(lambda a, b: a.join(b, ["kind", "drawn"], "left_anti"), [real, *[s.select("kind", "drawn") for s in settled]], first)
         kept = written(free.select("kind", "canon", "drawn", F.lit(tries).alias("tries")), "pii-drawn")
         settled.append(kept)
-        waiting = written(waiting.join(kept, ["kind", "canon"], "left_anti"), "pii-waiting")
+        old, waiting = waiting, written(waiting.join(kept, ["kind", "canon"], "left_anti"), "pii-waiting")
+        if tries:
+            discard(old)
         if waiting.isEmpty():
-            return reduce(DataFrame.unionByName, settled)
+            discard(entities, waiting)
+            out = reduce(DataFrame.unionByName, settled)
+            out.parts = settled
+            return out
     raise ValueError(f"entities still collide after {ROUNDS} draws: a format has too few values for its entities")
 
 
@@ -206,49 +238,49 @@ def replace_entities(docs: DataFrame, secret: str, text: str = "text") -> DataFr
     IBANs their country; secrets stay hexadecimal; titled names keep title, gender and script, and family names are
     replaced the same way with any title and given name.
 
-    A null text stays null with 0 entities; texts without entities come back as they are. Equal rows get equal
-    results, and order plays no part. A column called `surrogates` is replaced. Texts are not shuffled unless more than
-    BROADCAST_TEXTS distinct texts hold an entity that had to be drawn again: the surrogate is a function of the
-    entity, and only the numbers of re-draws are joined, by the text's digest.
+    A null text stays null with 0 entities; texts without entities come back as they are, and texts of any length are read
+    in whole. A null key column, ties and order play no part: equal texts get equal results. An empty table gives no rows.
+    A column called `surrogates` is replaced. Names are known by a title before them; names that never have one stay.
+    Texts are not shuffled unless more than BROADCAST_TEXTS distinct texts hold an entity that had to be drawn again:
+    the surrogate is a function of the entity, and only numbers of re-draws are joined, by the text's digest.
     """
     carried = [c for c in docs.columns if c.lower() != "surrogates"]
-    src, spans, again, digest = (free_name(docs, c) for c in ("pii_text", "pii_spans", "pii_again", "pii_digest"))
-    seen = docs.select(F.col(text).alias("t")).where(F.col("t").rlike(_HINT)).withColumn("u", F.explode(_units(_found(F.col("t")))))
-    drawn = draw_surrogates(seen.select("u.kind", "u.canon"), secret)
+    src, again, digest = (free_name(docs, c) for c in ("pii_text", "pii_again", "pii_digest"))
+    hinted = docs.select(F.col(text).alias("t")).where(F.col("t").rlike(_HINT))
+    seen = hinted.select(F.explode(_units(_found(F.col("t")))).alias("u")).select("u.kind", "u.canon")
+    drawn = draw_surrogates(seen, secret)
     redrawn = written(drawn.where("tries > 0").select("kind", "canon", "tries"), "pii-redrawn")
-    by_text = docs.select(F.col(text).alias("t")).where(F.col("t").rlike(_HINT)).select(F.sha2("t", 256).alias(digest), F.explode(_units(_found(F.col("t")))).alias("u"))
+    discard(*drawn.parts)
+    rows = docs.select(*carried, F.col(text).alias(src))
+    none = F.create_map().cast("map<string,int>")
     if redrawn.isEmpty():
-        by_text = docs.sparkSession.createDataFrame([], f"{digest} string, {again} map<string,int>")
-        small = True
+        rows = rows.withColumn(again, none)
+        discard(redrawn)
     else:
+        by_text = hinted.select(F.sha2("t", 256).alias(digest), F.explode(_units(_found(F.col("t")))).alias("u"))
         mine = by_text.select(digest, "u.kind", "u.canon").join(redrawn, ["kind", "canon"]).distinct()
-        by_text = written(mine.groupBy(digest).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), F.col("tries")))).alias(again)), "pii-texts")
-        small = by_text.count() <= BROADCAST_TEXTS
-
-    def replaced(value: Column, tries_of: Column) -> Column:
-        def unit(kind: Column, canon: Column) -> Column:
-            tries = F.coalesce(F.element_at(tries_of, F.concat_ws("|", kind, canon)), F.lit(0))
-            return _drawn(kind, canon, tries, secret)
-
-        kind = _kind(value)
-        parts = F.transform(_name_units(value), lambda u: unit(u["kind"], u["canon"]))
-        name = F.concat_ws(" ", F.substring_index(value, " ", 1), F.array_join(parts, " "))
-        return F.struct(kind.alias("kind"), F.when(kind == "name", name).otherwise(_rendered(kind, value, unit(kind, _canonical(kind, value)))).alias("surrogate"))
-
-    rows = docs.select(*carried, F.col(text).alias(src))
-    rows = rows.withColumn(digest, F.when(F.col(src).rlike(_HINT), F.sha2(src, 256)))
-    rows = rows.join(F.broadcast(by_text) if small else by_text, digest, "left")
-    tries_of = F.coalesce(F.col(again), F.create_map().cast("map<string,int>"))
-
-    def rewritten(s: Column) -> Column:
-        made = F.transform(s, lambda v: replaced(v, tries_of))
-        gaps = F.split(F.col(src), _ALL, -1)
-
-        def joined(m: Column) -> Column:
-            woven = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(m, i)["surrogate"], F.lit(""))))
-            return F.struct(F.when(F.size(m) == 0, F.col(src)).otherwise(F.array_join(woven, "")).alias("text"), F.size(m).cast("bigint").alias("n_entities"), m.alias("entities"))
-
-        return F.element_at(F.transform(F.array(made), joined), 1)
-
-    out = F.element_at(F.transform(F.array(F.coalesce(_found(F.col(src)), F.array().cast("array<string>"))), rewritten), 1)
-    return rows.select(*carried, out.alias("surrogates"))
+        pairs = F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "tries"))
+        by_text = written(mine.groupBy(digest).agg(F.map_from_entries(pairs).alias(again)), "pii-texts")
+        discard(redrawn)
+        rows = rows.withColumn(digest, F.when(F.col(src).rlike(_HINT), F.sha2(src, 256)))
+        if by_text.count() <= BROADCAST_TEXTS:
+            rows = rows.join(F.broadcast(by_text), digest, "left")
+        else:
+            bare = rows.where(F.col(digest).isNull()).withColumn(again, none)
+            rows = rows.where(F.col(digest).isNotNull()).join(by_text, digest, "left").unionByName(bare)
+
+    def drawn_of(units: Column) -> Column:
+        tries = lambda u: F.coalesce(F.element_at(again, F.concat_ws("|", u["kind"], u["canon"])), F.lit(0))
+        return F.transform(units, lambda u: _drawn(u["kind"], u["canon"], tries(u), secret))
+
+    def replaced(e: Column) -> Column:
+        return F.struct(e["kind"].alias("kind"), _let(drawn_of(e["units"]), lambda d: _surrogate(e, d)).alias("surrogate"))
+
+    def woven(made: Column) -> Column:
+        gaps = F.split(src, _ALL, -1)
+        parts = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(made, i)["surrogate"], F.lit(""))))
+        shown = F.when(F.size(made) == 0, F.col(src)).otherwise(F.array_join(parts, ""))
+        return F.struct(shown.alias("text"), F.size(made).cast("bigint").alias("n_entities"), made.alias("entities"))
+
+    made = F.transform(_found(F.col(src)), lambda v: _let(_entity(v), replaced))
+    return rows.select(*carried, _let(made, woven).alias("surrogates"))
