@@ -7,8 +7,9 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.functions.exact import floor_pick, nearest_rank
+from tickloom.functions.exact import floor_pick, millionths, nearest_rank
 from tickloom.operators import book_stats as bs
+from tickloom.operators import cross_section as cs
 from tickloom.operators import forecast as fc
 from tickloom.operators import lifecycle as lc
 from tickloom.operators import order_flow as of
@@ -48,8 +49,14 @@ def test_activity_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Date|Ticker|LitVol('000)|Cancels\n20120621|aapl|6,539.038|933448\n21 June 2012|msft|1|2\n")
     (tmp_path / "b.txt").write_text("Date,Ticker,LitVol('000),Cancels\n6/21/2012,MSFT,NA,7\n")
     (tmp_path / "c.csv").write_text("no,header\n1,2\n")
+    (tmp_path / "d.csv").write_text('\ufeffDATE,"ticker",Cancels,Hidden\n2012-06-21 00:00,IBM,"1,234",5,extra\n2012-06-21,ge\n')
     out = {r["ticker"]: r["fields"] for r in text_feeds.read_activity(spark, str(tmp_path), "2012-06-21").collect()}
     assert round(out["AAPL"]["LitVol('000)"]) == 6539038 and out["AAPL"]["Cancels"] == 933448 and out["MSFT"]["LitVol('000)"] is None
+    assert (out["IBM"]["Cancels"], out["IBM"]["Hidden"]) == (1234, 5) and out["GE"]["Cancels"] is None and len(out) == 4
+    assert text_feeds.read_activity(spark, str(tmp_path / "c.csv"), "2012-06-21").count() == 0
+    dates = ["20120621", "2012-06-21", "6/1/2012", "21 June 2012", ""]
+    shown = spark.createDataFrame([(d,) for d in dates], "t string").select(text_feeds.iso_date(F.col("t")).alias("d"))
+    assert [r["d"] for r in shown.collect()] == ["2012-06-21", "2012-06-21", "2012-06-01", None, None]
 
 
 def test_binary_feed(spark, tmp_path):
@@ -60,7 +67,10 @@ def test_binary_feed(spark, tmp_path):
     assert [r["kind"] for r in rows] == list("RSAUEZ") and rows[2]["side"] == "B" and rows[3]["new_order_ref"] == 8 and not rows[5]["decoded"]
     assert itch.for_symbols(feed, ["ABC"]).count() == 5 and itch.read_itch(spark, str(tmp_path / "day.gz"), 2).count() == 2
     stats = rp.replay_stats(rp.replay_feed(itch.as_feed(itch.for_symbols(feed, ["ABC"])))).where("symbol = 1").first()
-    assert stats["clean"] and stats["applied"] == 3 and stats["full_fill"] == 1
+    assert stats["clean"] and stats["applied"] == 3 and stats["full_fill"] == 1 and stats["day"] == "day.gz"
+    (tmp_path / "next.gz").write_bytes((tmp_path / "day.gz").read_bytes())
+    two = rp.replay_stats(rp.replay_feed(itch.as_feed(feed.union(itch.read_itch(spark, str(tmp_path / "next.gz")))))).where("symbol = 1").collect()
+    assert sorted((r["day"], r["applied"]) for r in two) == [("day.gz", 3), ("next.gz", 3)]
     (tmp_path / "cut").write_bytes(itch.encode(day)[:-3])
     with pytest.raises(Exception, match="cut off"):
         itch.read_itch(spark, str(tmp_path / "cut")).collect()
@@ -119,6 +129,54 @@ def test_lifecycle_day(spark):
     assert life[2]["outcome"] == "cancelled" and {life[4]["outcome"], life[5]["outcome"]} == {"censored"} and sum(r["disagreements"] for r in life.values()) == 1
     c = lc.cancel_to_trade(m).first()
     assert (c["dark_ops"], c["dark_shares"]) == (1, 10) and (round(c["by_messages"], 9), c["by_orders"], c["by_shares"]) == (round(4 / 3, 9), 2.0, 5.0)
+    assert (c["executed_orders"], c["odd_lots"], c["round_lots"], c["hidden_share"], c["odd_lot_share"]) == (1, 3, 0, 1 / 3, 1.0)
+    book_rows = m.select("symbol", "day", "seq", "time_ns", F.array(F.struct(F.lit(10100).cast("bigint").alias("price"), F.lit(1).cast("bigint").alias("size"))).alias("asks"), F.array(F.struct(F.lit(10000).cast("bigint").alias("price"), F.lit(1).cast("bigint").alias("size"))).alias("bids"))
+    long = {(r["section"], r["statistic"]): r["value"] for r in lc.summarize(m, book_rows).collect()}
+    assert long["ends", "orders_added"] == 5 and long["ends", "share_censored"] == 0.4 and long["ends", "shares_unresolved"] == 150
+    assert long["lifetime_naive", "observed_p50_ms"] == 2800 and long["lifetime_naive", "executed_p50_ms"] == 2500 and long["lifetime_km", "censored_share"] == 0.4
+    # Two orders are last seen when they are added; of three at risk the first to end, after 2.5 s, is the executed one.
+    curve = lc.kaplan_meier(lc.durations(lc.lives(m))).orderBy("t").collect()
+    assert [(r["t"] / S, r["at_risk"], round(r["survival"], 9)) for r in curve] == [(2.5, 3, round(2 / 3, 9)), (2.8, 2, round(1 / 3, 9)), (4.9, 1, 0)]
+    assert long["lifetime_km", "median_ms"] == 2800 and long["accounting", "readded_ids"] == 0 and long["sizes", "add_size_p50"] == 100
+
+
+def test_book_shape_of_sparse_and_empty_books(spark):
+    ask, one = [(10100, 10), (10300, 20)], [(10200, 5)]
+    rows = [(0, ask, [(10000, 30), (9900, 40)]), (1, one, [(10000, 30)]), (4, [], []), (6, ask, [])]
+    s = bs.holds(book(spark, rows), 10 * S)
+    bins = bs.bin_ratios(bs.time_weighted(s, 10 * S, 0, 10 * S)).first()
+    assert (bins["two_sided_ns"], bins["empty_ns"], bins["one_sided_ns"], bins["one_sided_share"]) == (4 * S, 2 * S, 4 * S, 0.6)
+    levels = {(r["side"], r["level"]): r for r in bs.level_profile(s).collect()}
+    assert levels["ask", 2]["one_cent_gap_share"] == 0 and levels["bid", 2]["one_cent_gap_share"] == 1 and levels["ask", 1]["one_cent_gap_share"] is None
+    assert (levels["ask", 1]["side_gap_cents"], levels["bid", 1]["side_gap_cents"], levels["ask", 2]["side_one_cent_share"]) == (2, 1, 0)
+    cents = {(r["side"], r["cent"]): r for r in bs.cent_profile(s, max_cents=3).collect()}
+    # The ask band reaches cent 2 for one of four seconds, so the 20 shares there are a mean of 20, and cent 1 is a known 0.
+    assert (cents["ask", 2]["tw_size"], cents["ask", 1]["tw_size"], cents["ask", 3]["tw_size"], cents["ask", 2]["coverage"]) == (20, 0, None, 0.25)
+
+
+def test_exact_ratios_round_half_up(spark):
+    rows = spark.createDataFrame([(1, 2_000_000), (3, 2_000_000), (5, 0)], "a bigint, b bigint")
+    assert [r[0] for r in rows.select(millionths("a", "b")).collect()] == [1e-6, 2e-6, None]
+
+
+def test_flow_of_a_day_and_fits_without_variation(spark):
+    ev = spark.createDataFrame([(0, 0, i, 0, i * S, e, 20000, 20000 + 2 * e) for i, e in enumerate((5, -50, 0, 50, -5))], "symbol int, day int, seq bigint, time_prev bigint, time_ns bigint, e bigint, mid2_prev bigint, mid2 bigint")
+    d = of.day_summary(ev).first()
+    assert (d["buy_shares"], d["sell_shares"], d["net"], d["net_share"], d["largest"], d["largest_ns"], d["zero"]) == (55, 55, 0, 0, -50, S, 1)
+    rows = spark.createDataFrame([("flat y", float(x), 2.0) for x in (1, 2, 3)] + [("flat x", 2.0, float(y)) for y in (1, 2, 6)] + [("far", 1e9 + x, 2e9 + 2 * x) for x in (0, 1, 2)], "k string, x double, y double")
+    fit = {r["k"]: r for r in of.ols(rows, ["k"], "x", "y").collect()}
+    assert (round(fit["flat y"]["beta0"], 12), fit["flat y"]["r2_origin"], fit["flat y"]["beta"], fit["flat y"]["alpha"], fit["flat y"]["r2"]) == (round(12 / 14, 12), None, 0, 2, None)
+    assert fit["flat x"]["beta0"] == 1.5 and fit["flat x"]["beta"] is None and fit["flat x"]["r2"] is None and fit["flat x"]["r2_origin"] == 1 - 14 / 14
+    assert (round(fit["far"]["beta"], 9), round(fit["far"]["r2"], 9)) == (2, 1)
+
+
+def test_files_of_two_depths_agree_on_the_touch(spark):
+    level = lambda p, n: [(p, n)]
+    ten = book(spark, [(0, level(10100, 5), []), (1, level(10100, 5), level(10000, 7)), (3, level(10200, 5), level(10000, 7)), (6, [], level(10000, 7))])
+    ten = ten.withColumn("kind", F.lit(4)).withColumn("size", F.lit(10))
+    same = cs.levels_agree(ten.where("seq > 0"), ten, 10 * S).first()
+    assert same["agree"] and (same["two_sided_ns"], same["spread_x_ns"], same["one_cent_ns"], same["trades"], same["trade_shares"]) == (5 * S, 800 * S, 2 * S, 3, 30)
+    assert not cs.levels_agree(ten.where("seq > 0"), ten.withColumn("size", F.lit(11)), 10 * S).first()["agree"]
 
 
 def test_survival(spark):
@@ -133,6 +191,8 @@ def test_forecast(spark):
     f = spark.createDataFrame([(100.0, 1.0), (-200.0, -2.0), (50.0, 0.5)], "r double, y double").withColumn("k", F.lit(0))
     t = spark.createDataFrame([(100.0, 2.0), (-100.0, -0.5), (200.0, -1.0), (0.0, 3.0), (50.0, 0.0)], "r double, y double").withColumn("k", F.lit(0))
     r = fc.evaluate(f, t, ["k"]).first()
+    always_wrong = spark.createDataFrame([(1.0, -1.0)] * 50, "r double, y double").withColumn("k", F.lit(0))
+    assert fc.evaluate(f, always_wrong, ["k"]).first()["clears_band"] is False
     assert r["beta"] == 0.01 and round(r["r2"], 12) == round(1 - 19.5 / 14.25, 12) and (r["hits"], r["graded"], r["excluded"], r["signals"], r["edge"]) == (2, 3, 2, 4, 0.375)
 
 
@@ -237,6 +297,9 @@ def test_registry(spark):
     for bad in (rows.withColumn("trial_id", F.lit(1)), rows.withColumn("odd", F.lit(1)), rows.withColumn("status", F.lit("odd")), rows.withColumn("metric", F.lit(" "))):
         with pytest.raises(ValueError):
             log_trials(spark, path, bad)
+    later = spark.createDataFrame([("z", "m", "9", "abandoned"), ("a", "m", "1", "predictive")], "question string, metric string, value string, status string")
+    logged = log_trials(spark, path, later).orderBy("trial_id").collect()
+    assert [(r["trial_id"], r["question"], r["status"]) for r in logged] == [(5, "z", "abandoned"), (6, "a", "predictive")]
     read_trials(spark, path).where("trial_id > 2").write.parquet(f"{path}-cut")
-    with pytest.raises(Exception, match="edited"):
+    with pytest.raises(Exception, match="without gaps"):
         read_trials(spark, f"{path}-cut").collect()

@@ -29,6 +29,16 @@ def ratio(top: Column | str, bottom: Column | str, scale: float = 1.0) -> Column
     return col(top).cast("double") * F.lit(float(scale)) / F.when(b != 0, b)
 
 
+def millionths(top: Column | str, bottom: Column | str, times: int = 1, over: int = 1) -> Column:
+    """top * times / (bottom * over) of whole numbers that are not negative, rounded half up to six places in integers.
+
+    Null where bottom is 0. The quotient is below 2**63 / 10**6.
+    """
+    a = col(top).cast("decimal(38,0)") * F.lit(2_000_000 * times).cast("decimal(12,0)")
+    b = col(bottom).cast("decimal(38,0)") * F.lit(over).cast("decimal(4,0)")
+    return F.call_function("div", a + b, F.nullif(b * 2, F.lit(0).cast("decimal(38,0)"))).cast("double") / 1e6
+
+
 def by_seq(*keys: str) -> Window:
     return Window.partitionBy(*(keys or DAY)).orderBy("seq")
 

@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.exact import DAY, by_seq, hms, ratio, total
+from tickloom.functions.exact import DAY, by_seq, hms, millionths, ratio, total
 
 SECOND = 1_000_000_000
 OPEN, CLOSE, BIN = 34_200 * SECOND, 57_600 * SECOND, 300 * SECOND
 CENT = 100
-SUMS = ("hold_ns", "two_sided_ns", "one_sided_ns", "empty_ns", "spread_x_ns", "mid2_x_ns", "one_cent_ns", "touch_x_ns", "depth5_x_ns", "depth10_x_ns")
-COUNTS = ("messages", "adds", "add_shares", "cancels", "cancel_shares", "trades", "trade_shares", "hidden", "hidden_shares", "odd_lot_trades")
+#: The accumulators' names are columns of published tables.
+SUMS = (
+    "hold_ns", "two_sided_ns", "one_sided_ns", "empty_ns", "spread_x_ns", "mid2_x_ns", "one_cent_ns", "touch_x_ns",
+    "depth5_x_ns", "depth10_x_ns",
+)
+COUNTS = (
+    "messages", "adds", "add_shares", "cancels", "cancel_shares", "trades", "trade_shares", "hidden", "hidden_shares",
+    "odd_lot_trades",
+)
 
 
 def top_size(levels: str, k: int) -> Column:
@@ -71,13 +78,21 @@ def event_counts(messages: DataFrame, width: int = BIN, open_ns: int = OPEN, clo
     return inside.groupBy(*DAY, F.expr(f"(time_ns - {open_ns}) div {width}").alias("bin")).agg(*[x.alias(c) for x, c in zip(made, COUNTS)])
 
 
-def bin_ratios(bins: DataFrame) -> DataFrame:
-    """The nine derived ratios of summed bins; null where their time is 0."""
-    two = "two_sided_ns"
-    seen = F.col("two_sided_ns") + F.col("one_sided_ns")
-    made = {"tw_spread_ticks": ratio("spread_x_ns", two), "tw_spread_cents": ratio("spread_x_ns", two, 1 / CENT), "tw_spread_bps": ratio("spread_x_ns", "mid2_x_ns", 2e4), "tw_mid": ratio("mid2_x_ns", two, 0.5), "one_cent_share": ratio("one_cent_ns", two),
-            "touch": ratio("touch_x_ns", two), "depth5": ratio("depth5_x_ns", two), "depth10": ratio("depth10_x_ns", two), "one_sided_share": ratio("one_sided_ns", seen)}
-    return bins.select("*", *[v.alias(k) for k, v in made.items()])
+def bin_ratios(bins: DataFrame, exact: bool = False) -> DataFrame:
+    """The nine derived ratios of summed bins; null where their time is 0. With `exact` they are rounded half up to six places
+    by integer division, so that any engine gives the same.
+
+    One-sided time is that in which a side is missing, or both are, of all time.
+    """
+    two, lacking = "two_sided_ns", F.col("one_sided_ns") + F.col("empty_ns")
+    made = {
+        "tw_spread_ticks": ("spread_x_ns", two, 1, 1), "tw_spread_cents": ("spread_x_ns", two, 1, CENT),
+        "tw_spread_bps": ("spread_x_ns", "mid2_x_ns", 20_000, 1), "tw_mid": ("mid2_x_ns", two, 1, 2),
+        "one_cent_share": ("one_cent_ns", two, 1, 1), "touch": ("touch_x_ns", two, 1, 1), "depth5": ("depth5_x_ns", two, 1, 1),
+        "depth10": ("depth10_x_ns", two, 1, 1), "one_sided_share": (lacking, "hold_ns", 1, 1),
+    }
+    of = millionths if exact else lambda a, b, times, over: ratio(a, b, times / over)
+    return bins.select("*", *[of(*v).alias(k) for k, v in made.items()])
 
 
 def named_bins(bins: DataFrame, width: int = BIN, open_ns: int = OPEN) -> DataFrame:
@@ -100,37 +115,60 @@ def _two_sided(states: DataFrame) -> DataFrame:
     return states.where((F.size("asks") > 0) & (F.size("bids") > 0) & (F.col("hold_ns") > 0))
 
 
+def _sides(states: DataFrame, levels: int) -> DataFrame:
+    """One row a two-sided state and side, with its levels `l`, best first."""
+    side = lambda name: F.struct(F.lit(name).alias("side"), F.slice(f"{name}s", 1, levels).alias("l"))
+    rows = _two_sided(states).select(*DAY, "hold_ns", F.explode(F.array(side("ask"), side("bid"))).alias("s"))
+    return rows.select(*DAY, "hold_ns", "s.side", "s.l")
+
+
 def _long(states: DataFrame, levels: int) -> DataFrame:
-    """One row a state, side and rank, with the gap to the best price."""
-    sides = F.array(F.struct(F.lit("ask").alias("side"), F.slice("asks", 1, levels).alias("l")), F.struct(F.lit("bid").alias("side"), F.slice("bids", 1, levels).alias("l")))
-    rows = _two_sided(states).select(*DAY, "hold_ns", F.explode(sides).alias("s")).select(*DAY, "hold_ns", "s.side", F.col("s.l").alias("l"))
-    return rows.select(*DAY, "hold_ns", "side", "l", F.posexplode("l").alias("rank", "x")).select(*DAY, "hold_ns", "side", "rank", F.col("x.size").alias("size"), F.abs(F.col("x.price") - F.col("l")[0]["price"]).alias("gap"), F.when(F.col("rank") > 0, F.abs(F.col("x.price") - F.get("l", F.col("rank") - 1)["price"])).alias("step"))
+    """One row a state, side and rank, with the gap to the best price and the step from the level before."""
+    rows = _sides(states, levels).select(*DAY, "hold_ns", "side", "l", F.posexplode("l").alias("rank", "x"))
+    gap = F.abs(F.col("x.price") - F.col("l")[0]["price"]).alias("gap")
+    step = F.when(F.col("rank") > 0, F.abs(F.col("x.price") - F.get("l", F.col("rank") - 1)["price"])).alias("step")
+    return rows.select(*DAY, "hold_ns", "side", "rank", F.col("x.size").alias("size"), gap, step)
 
 
 def level_profile(states: DataFrame, levels: int = 10) -> DataFrame:
-    """By side and rank over two-sided time, not clipped to the session: exists, size, gap and adjacent-gap sums and ratios."""
+    """By side and rank over two-sided time, not clipped to the session: exists, size, gap and adjacent-gap sums and ratios.
+
+    `side_gap_cents` and `side_one_cent_share` are over all adjacent gaps of the side. Levels without a gap before them, the
+    first, have null for their own.
+    """
     whole = _two_sided(states).groupBy(*DAY).agg(total("hold_ns").alias("two_sided_ns"))
+    one_cent = F.when(F.col("step") == CENT, F.col("hold_ns")).otherwise(F.lit(0))
     sums = _long(states, levels).groupBy(*DAY, "side", (F.col("rank") + 1).cast("bigint").alias("level")).agg(
-        total("hold_ns").alias("exists_ns"), total("size", "hold_ns").alias("size_x_ns"), total("gap", "hold_ns").alias("gap_x_ns"), total("step", "hold_ns").alias("step_x_ns"), total(F.when(F.col("step") == CENT, F.col("hold_ns"))).alias("one_cent_ns"),
+        total("hold_ns").alias("exists_ns"), total("size", "hold_ns").alias("size_x_ns"), total("gap", "hold_ns").alias("gap_x_ns"),
+        total("step", "hold_ns").alias("step_x_ns"), total(one_cent).alias("one_cent_ns"),
     )
+    sums = sums.withColumn("gaps_ns", F.when(F.col("level") > 1, F.col("exists_ns")))
+    side = Window.partitionBy(*DAY, "side")
+    gaps = F.sum("gaps_ns").over(side)
     r = sums.join(whole, [*DAY])
-    return r.select(*DAY, "side", "level", "exists_ns", "size_x_ns", ratio("size_x_ns", "exists_ns").alias("tw_size"), ratio("gap_x_ns", "exists_ns", 1 / CENT).alias("tw_gap_cents"), ratio("exists_ns", "two_sided_ns").alias("exists_share"),
-                    ratio("step_x_ns", F.when(F.col("level") > 1, F.col("exists_ns")), 1 / CENT).alias("adjacent_gap_cents"), ratio("one_cent_ns", F.when(F.col("level") > 1, F.col("exists_ns"))).alias("one_cent_gap_share"))
+    return r.select(
+        *DAY, "side", "level", "exists_ns", "size_x_ns", ratio("size_x_ns", "exists_ns").alias("tw_size"),
+        ratio("gap_x_ns", "exists_ns", 1 / CENT).alias("tw_gap_cents"), ratio("exists_ns", "two_sided_ns").alias("exists_share"),
+        ratio("step_x_ns", "gaps_ns", 1 / CENT).alias("adjacent_gap_cents"), ratio("one_cent_ns", "gaps_ns").alias("one_cent_gap_share"),
+        ratio(F.sum("step_x_ns").over(side), gaps, 1 / CENT).alias("side_gap_cents"),
+        ratio(F.sum("one_cent_ns").over(side), gaps).alias("side_one_cent_share"),
+    )
 
 
 def cent_profile(states: DataFrame, levels: int = 10, max_cents: int = 20) -> DataFrame:
-    """By side and cents behind the best: shares times time, and coverage, the share of time in which the book reaches so far."""
+    """By side and cents behind the best: shares times time, their mean over the time in which the book reaches so far
+    (beyond it depth is unknown, not zero), and coverage, that time's share."""
     rows = _long(states, levels).withColumn("cent", F.expr(f"gap div {CENT}"))
     sizes = rows.groupBy(*DAY, "side", "cent").agg(total("size", "hold_ns").alias("size_x_ns"))
-    sides = F.array(F.struct(F.lit("ask").alias("side"), F.slice("asks", 1, levels).alias("l")), F.struct(F.lit("bid").alias("side"), F.slice("bids", 1, levels).alias("l")))
-    reach = _two_sided(states).select(*DAY, "hold_ns", F.explode(sides).alias("s")).select(*DAY, "hold_ns", "s.side", F.expr(f"abs(element_at(s.l, -1).price - s.l[0].price) div {CENT}").alias("cent"))
-    reach = reach.groupBy(*DAY, "side", "cent").agg(total("hold_ns").alias("reach_ns"))
-    grid = reach.select(*DAY, "side").distinct().withColumn("cent", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max_cents).cast("bigint"))))
-    beyond = reach.where(F.col("cent") > max_cents).groupBy(*DAY, "side").agg(F.sum("reach_ns").alias("beyond_ns"))
+    last = F.least(F.expr(f"abs(element_at(l, -1).price - l[0].price) div {CENT}"), F.lit(max_cents).cast("bigint"))
+    reach = _sides(states, levels).groupBy(*DAY, "side", last.alias("cent")).agg(total("hold_ns").alias("reach_ns"))
+    cents = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max_cents).cast("bigint")))
+    grid = reach.select(*DAY, "side").distinct().withColumn("cent", cents)
     down = Window.partitionBy(*DAY, "side").orderBy(F.col("cent").desc())
     zero = F.lit(0).cast("decimal(38,0)")
-    g = grid.join(sizes, [*DAY, "side", "cent"], "left").join(reach, [*DAY, "side", "cent"], "left").join(beyond, [*DAY, "side"], "left")
-    g = g.withColumn("covered_ns", (F.coalesce(F.sum("reach_ns").over(down), zero) + F.coalesce("beyond_ns", zero)).cast("decimal(38,0)"))
+    g = grid.join(sizes, [*DAY, "side", "cent"], "left").join(reach, [*DAY, "side", "cent"], "left")
+    g = g.withColumn("covered_ns", F.coalesce(F.sum("reach_ns").over(down), zero).cast("decimal(38,0)"))
     whole = _two_sided(states).groupBy(*DAY).agg(total("hold_ns").alias("two_sided_ns"))
-    g = g.join(whole, [*DAY])
-    return g.select(*DAY, "side", "cent", F.coalesce("size_x_ns", zero).alias("size_x_ns"), "covered_ns", ratio(F.coalesce("size_x_ns", zero), "two_sided_ns").alias("tw_size"), ratio("covered_ns", "two_sided_ns").alias("coverage"))
+    size = F.coalesce("size_x_ns", zero)
+    means = [ratio(size, "covered_ns").alias("tw_size"), ratio("covered_ns", "two_sided_ns").alias("coverage")]
+    return g.join(whole, [*DAY]).select(*DAY, "side", "cent", size.alias("size_x_ns"), "covered_ns", *means)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.exact import DAY, nearest_rank, ratio, total
-from tickloom.operators.book_stats import SUMS, bin_ratios, holds, level_profile, time_weighted, top_size, windows
+from tickloom.operators.book_stats import CENT, best, bin_ratios, holds, level_profile, time_weighted, top_size, windows
 
 METRICS = ("lit_trades", "lit_vol", "cancels", "cancel_to_trade", "trade_to_order_volume", "hidden_rate", "odd_lot_rate")
 
@@ -64,15 +64,32 @@ def cut_levels(book: DataFrame, k: int) -> DataFrame:
     return book.withColumn("asks", F.slice("asks", 1, k)).withColumn("bids", F.slice("bids", 1, k))
 
 
+#: The sums that two files of one day must agree on.
+TOUCH = ("two_sided_ns", "spread_x_ns", "mid2_x_ns", "one_cent_ns", "touch_x_ns", "trades", "trade_shares")
+
+
 def levels_agree(one: DataFrame, other: DataFrame, close_ns: int) -> DataFrame:
-    """The seven touch sums of both books over one bin from the later first time to the close, and whether all are equal."""
-    names = [n for n in SUMS if not n.startswith("depth")][:8]
+    """The seven touch sums of two files of messages with their book rows, over one bin from the later first time to the
+    close, and whether all are equal. Rows are (symbol, day, seq, time_ns, kind, size, asks, bids)."""
+    first = one.groupBy(*DAY).agg(F.min_by("time_ns", "seq").alias("a")).join(other.groupBy(*DAY).agg(F.min_by("time_ns", "seq").alias("b")), [*DAY])
+    start = first.select(*DAY, F.greatest("a", "b").alias("from_ns"))
+
     def sums(rows: DataFrame, tag: str) -> DataFrame:
-        w = time_weighted(holds(rows, close_ns), close_ns, 0, close_ns)
-        return w.select(*DAY, *[F.col(n).alias(f"{n}_{tag}") for n in names])
+        s = holds(rows, close_ns).join(start, [*DAY])
+        ns = F.greatest(F.lit(0), F.least(F.col("start_ns") + F.col("hold_ns"), F.lit(close_ns)) - F.greatest("start_ns", "from_ns"))
+        bid, ask = best("bids", "price"), best("asks", "price")
+        two = lambda x: F.when(bid.isNotNull() & ask.isNotNull(), x).otherwise(F.lit(0))
+        s = s.withColumn("ns", ns)
+        trade = (F.col("kind") == 4) & (F.col("time_ns") >= F.col("from_ns")) & (F.col("time_ns") < close_ns)
+        shares = F.coalesce(F.sum(F.when(trade, F.col("size"))), F.lit(0)).cast("bigint")
+        size = best("bids", "size") + best("asks", "size")
+        made = [total(two(F.col("ns"))), total(two(ask - bid), "ns"), total(two(ask + bid), "ns"), total(two(F.when(ask - bid == CENT, F.col("ns")).otherwise(0)))]
+        made += [total(two(size), "ns"), F.count_if(trade), shares]
+        return s.groupBy(*DAY).agg(*[m.alias(f"{n}_{tag}") for m, n in zip(made, TOUCH)])
 
     both = sums(one, "a").join(sums(other, "b"), [*DAY])
-    return both.select(*DAY, *[F.col(f"{n}_a").alias(n) for n in names], reduce(lambda a, b: a & b, [F.col(f"{n}_a") == F.col(f"{n}_b") for n in names]).alias("agree"))
+    same = reduce(lambda a, b: a & b, [F.col(f"{n}_a") == F.col(f"{n}_b") for n in TOUCH])
+    return both.select(*DAY, *[F.col(f"{n}_a").alias(n) for n in TOUCH], same.alias("agree"))
 
 
 def depth_decomposition(reference: DataFrame, ours: DataFrame, close_ns: int, levels: int = 10) -> DataFrame:

@@ -76,7 +76,7 @@ def evaluate(fit: DataFrame, test: DataFrame, keys: list[str]) -> DataFrame:
     hit = ratio("hits", "graded")
     half = F.sqrt(F.lit(0.25) / F.when(F.col("graded") > 0, F.col("graded")))
     return g.select(*keys, "n_fit", "n_test", "beta", "t", known(1 - ratio("sse", "sst")).alias("r2"), F.when(beta.isNull(), 0).otherwise(F.col("hits")).alias("hits"), F.when(beta.isNull(), 0).otherwise(F.col("graded")).alias("graded"), (F.col("n_test") - F.when(beta.isNull(), 0).otherwise(F.col("graded"))).alias("excluded"),
-                    known(ratio("edge_sum", "signals")).alias("edge"), F.when(beta.isNull(), 0).otherwise(F.col("signals")).alias("signals"), hit.alias("hit_rate"), ((hit - 0.5) / half).alias("z"), (half * 1.96).alias("band"), (F.abs(hit - 0.5) > half * 1.96).alias("clears_band"))
+                    known(ratio("edge_sum", "signals")).alias("edge"), F.when(beta.isNull(), 0).otherwise(F.col("signals")).alias("signals"), hit.alias("hit_rate"), ((hit - 0.5) / half).alias("z"), (half * 1.96).alias("band"), (hit - 0.5 > half * 1.96).alias("clears_band"))
 
 
 def decay(p: DataFrame, keys: list[str], split_ns: int = SPLIT_NS) -> DataFrame:

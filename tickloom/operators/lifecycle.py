@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.exact import DAY, by_seq, ratio
+from tickloom.functions.exact import DAY, by_seq, floor_pick, ratio
 from tickloom.operators.book_stats import CENT, best
 
 ADD, REDUCE, DELETE, EXECUTE, HIDDEN = 1, 2, 3, 4, 5
@@ -72,10 +74,10 @@ def size_lots(life: DataFrame) -> DataFrame:
     return g.withColumn("order_share", ratio("orders", F.sum("orders").over(Window.partitionBy(*DAY))))
 
 
-def durations(life: DataFrame, event: str = "cancelled") -> DataFrame:
-    """(symbol, day, t, died): end times of `event` lives; all others are censored at their end or bound."""
-    t = F.when(F.col("outcome") == "censored", F.col("censor_ns")).otherwise(F.col("lifetime_ns"))
-    return life.select(*DAY, t.alias("t"), (F.col("outcome") == event).alias("died"))
+def durations(life: DataFrame) -> DataFrame:
+    """(symbol, day, t, died): lifetimes of orders whose end is seen, executed or cancelled; all others are censored at their bound."""
+    seen = F.col("outcome") != "censored"
+    return life.select(*DAY, F.when(seen, F.col("lifetime_ns")).otherwise(F.col("censor_ns")).alias("t"), seen.alias("died"))
 
 
 def kaplan_meier(times: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -104,24 +106,101 @@ def survival_at(curve: DataFrame, grid: DataFrame, keys: list[str] | None = None
     return both.withColumn("survival", F.coalesce(F.last("survival", ignorenulls=True).over(w), F.lit(1.0))).where("asked").drop("asked")
 
 
-def survival_grid(life: DataFrame, event: str = "cancelled", first_ns: int = 100_000, per_decade: int = 20, decades: int = 9) -> DataFrame:
-    """Survival, plain and censoring-aware, at log-spaced times."""
-    times = durations(life, event)
+def survival_grid(life: DataFrame, first_ns: int = 100_000, per_decade: int = 20, decades: int = 9) -> DataFrame:
+    """Survival at log-spaced times: the product-limit curve, and the plain share of observed lifetimes that are longer."""
+    times = durations(life)
     points = F.array(*[F.lit(int(first_ns * 10 ** (k / per_decade))).cast("bigint") for k in range(per_decade * decades + 1)])
     grid = times.select(*DAY).distinct().withColumn("t", F.explode(points))
     km = survival_at(kaplan_meier(times), grid).withColumnRenamed("survival", "s_km")
     died = times.where("died").groupBy(*DAY, "t").agg(F.count("*").alias("n"))
-    both = died.select(*DAY, "t", "n", F.lit(False).alias("asked")).unionByName(grid.select(*DAY, "t", F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("asked")))
+    asked = grid.select(*DAY, "t", F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("asked"))
+    both = died.select(*DAY, "t", "n", F.lit(False).alias("asked")).unionByName(asked)
     upto = F.sum("n").over(Window.partitionBy(*DAY).orderBy("t", "asked").rowsBetween(Window.unboundedPreceding, 0))
-    plain = both.withColumn("gone", upto).where("asked").join(died.groupBy(*DAY).agg(F.sum("n").alias("all")), [*DAY], "left")
+    whole = died.groupBy(*DAY).agg(F.sum("n").alias("all"))
+    plain = both.withColumn("gone", upto).where("asked").join(whole, [*DAY], "left")
     return km.join(plain.select(*DAY, "t", (1 - ratio("gone", "all")).alias("s_naive")), [*DAY, "t"])
 
 
-def cancel_to_trade(messages: DataFrame) -> DataFrame:
-    """Cancels to trades by messages, orders and shares, with dark and hidden executions counted among trades where they belong."""
-    ops = operations(messages)
-    raw = messages.groupBy(*DAY).agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in ((ADD, "adds"), (REDUCE, "reduces"), (DELETE, "deletes"), (EXECUTE, "executes"), (HIDDEN, "hiddens"))], F.coalesce(F.sum(F.when(F.col("kind").isin(4, 5), F.col("size"))), F.lit(0)).alias("exec_lots"))
-    dark = ops.groupBy(*DAY).agg(F.count_if("dark").alias("dark_ops"), F.coalesce(F.sum(F.when(F.col("dark"), F.col("size"))), F.lit(0)).alias("dark_shares"))
-    life = lives(messages).groupBy(*DAY).agg(F.count_if(F.col("outcome") == "cancelled").alias("cancelled_orders"), F.count_if(F.col("executed") > 0).alias("traded_orders"), F.sum("cancelled").alias("cancelled_shares"), F.sum("executed").alias("executed_shares"))
+#: The window of the market-wide activity file.
+ACTIVITY_OPEN, ACTIVITY_CLOSE = 34_500 * 10**9, 57_600 * 10**9
+_KINDS = {"adds": ADD, "reduces": REDUCE, "deletes": DELETE, "executes": EXECUTE, "hiddens": HIDDEN}
+
+
+def cancel_to_trade(messages: DataFrame, open_ns: int = ACTIVITY_OPEN, close_ns: int = ACTIVITY_CLOSE) -> DataFrame:
+    """Cancels to trades by messages (all day, and from open_ns to close_ns), by orders and by shares.
+
+    By orders are orders that end cancelled to orders that end executed. Executions, hidden ones and those of unknown
+    orders too, are counted by lot.
+    """
+    inside = (F.col("time_ns") >= open_ns) & (F.col("time_ns") < close_ns)
+    n = lambda p: F.count_if(p)
+    kinds = [n(F.col("kind") == k).alias(c) for c, k in _KINDS.items()]
+    kinds += [n(inside & (F.col("kind") == k)).alias(f"{c}_inside") for c, k in _KINDS.items()]
+    executed = F.col("kind").isin(EXECUTE, HIDDEN)
+    lots = [n(executed & (lot(F.col("size")) == k)).alias(f"{k}_lots") for k in ("round", "odd", "mixed")]
+    raw = messages.groupBy(*DAY).agg(*kinds, *lots)
+    shares = F.coalesce(F.sum(F.when(F.col("dark"), F.col("size"))), F.lit(0)).alias("dark_shares")
+    dark = operations(messages).groupBy(*DAY).agg(n(F.col("dark")).alias("dark_ops"), shares)
+    ended = [n(F.col("outcome") == k).alias(f"{k}_orders") for k in ("cancelled", "executed")]
+    sums = [F.sum(k).alias(f"{k}_shares") for k in ("cancelled", "executed")]
+    life = lives(messages).groupBy(*DAY).agg(*ended, *sums)
     r = raw.join(dark, [*DAY], "left").join(life, [*DAY], "left")
-    return r.withColumn("by_messages", ratio(F.col("reduces") + F.col("deletes"), F.col("executes") + F.col("hiddens"))).withColumn("by_orders", ratio("cancelled_orders", "traded_orders")).withColumn("by_shares", ratio("cancelled_shares", "executed_shares"))
+    trades = lambda tail: F.col(f"executes{tail}") + F.col(f"hiddens{tail}")
+    cancels = lambda tail: F.col(f"reduces{tail}") + F.col(f"deletes{tail}")
+    return r.select(
+        "*", ratio(cancels(""), trades("")).alias("by_messages"), ratio(cancels("_inside"), trades("_inside")).alias("by_messages_inside"),
+        ratio("cancelled_orders", "executed_orders").alias("by_orders"), ratio("cancelled_shares", "executed_shares").alias("by_shares"),
+        ratio("hiddens", trades("")).alias("hidden_share"), ratio("odd_lots", trades("")).alias("odd_lot_share"),
+    )
+
+
+def summarize(messages: DataFrame, book: DataFrame) -> DataFrame:
+    """Long (symbol, day, section, statistic, value): ends, observed and product-limit lifetimes, fills by distance, sizes,
+    cancel-to-trade and accounting. Ratios are null where undefined."""
+    before = F.lag("outcome").over(Window.partitionBy(*DAY, "order_id").orderBy("life_no"))
+    life = lives(messages, book).withColumn("readds", F.coalesce(before == "censored", F.lit(False)))
+    out = []
+
+    def add(section: str, rows: DataFrame, names: dict[str, Column]) -> None:
+        cells = F.array(*[F.struct(F.lit(k).alias("statistic"), v.cast("double").alias("value")) for k, v in names.items()])
+        out.append(rows.select(*DAY, F.lit(section).alias("section"), F.explode(cells).alias("s")).select(*DAY, "section", "s.*"))
+
+    ended = ("executed", "cancelled", "censored")
+    seen = F.col("outcome") != "censored"
+    ns = F.when(seen, F.col("lifetime_ns"))
+    lots = [F.count_if(lot(F.col("added")) == k).alias(f"lot_{k}") for k in ("round", "odd", "mixed")]
+    caps = {"under_100ms": ns < 10**8, "under_1s": ns < 10**9, "over_1min": ns >= 60 * 10**9}
+    g = life.groupBy(*DAY).agg(
+        F.count("*").alias("n"), *[F.count_if(F.col("outcome") == k).alias(f"n_{k}") for k in ended], *lots,
+        *[F.sum(c).alias(f"sh_{c}") for c in ("added", "executed", "cancelled")], F.count_if(seen).alias("observed"),
+        *[F.count_if(v).alias(k) for k, v in caps.items()], F.count_if("readds").alias("readded"),
+        F.sum("disagreements").alias("disagreements"),
+    )
+    left = F.col("sh_added") - F.col("sh_executed") - F.col("sh_cancelled")
+    names = {"orders_added": F.col("n")} | {f"orders_{k}": F.col(f"n_{k}") for k in ended} | {f"share_{k}": ratio(f"n_{k}", "n") for k in ended}
+    names |= {f"shares_{c}": F.col(f"sh_{c}") for c in ("added", "executed", "cancelled")} | {"shares_unresolved": left}
+    add("ends", g, names)
+    add("lifetime_naive", g, {f"share_{k}": ratio(k, "observed") for k in caps})
+    add("lifetime_km", g, {"censored_share": ratio("n_censored", "n")})
+    for kind, some in (*((k, life.where(F.col("outcome") == k)) for k in ended[:2]), ("observed", life.where(seen))):
+        for q in (0.1, 0.5, 0.9) if kind != "observed" else (0.5,):
+            picked = floor_pick(some, [*DAY], "lifetime_ns", q, "v")
+            add("lifetime_naive", picked, {f"{kind}_p{round(q * 100)}_ms": F.col("v") / 1e6})
+    times = durations(life)
+    curve = kaplan_meier(times)
+    add("lifetime_km", km_median(curve), {"median_ms": F.col("median") / 1e6})
+    by = life.withColumn("bucket", distance_bucket(F.col("distance"))).groupBy(*DAY, "bucket")
+    by = by.agg(F.count("*").alias("orders"), F.sum("added").alias("sh"), F.sum("executed").alias("ex"), F.count_if(F.col("fills") > 0).alias("filled"))
+    all_orders = F.sum("orders").over(Window.partitionBy(*DAY))
+    by = by.select(*DAY, "bucket", "orders", ratio("orders", all_orders).alias("share_of_adds"), ratio("ex", "sh").alias("fill_rate_shares"), ratio("filled", "orders").alias("fill_rate_orders"))
+    cells = [F.struct(F.concat("bucket", F.lit(f"_{c}")).alias("statistic"), F.col(c).cast("double").alias("value")) for c in by.columns[3:]]
+    by = by.select(*DAY, F.lit("fill_by_distance").alias("section"), F.explode(F.array(*cells)).alias("s")).select(*DAY, "section", "s.*")
+    add("sizes", g, {f"adds_{k}_lot_share": ratio(f"lot_{k}", "n") for k in ("round", "odd", "mixed")} | {"add_size_mean": ratio("sh_added", "n")})
+    add("sizes", floor_pick(life, [*DAY], "added", 0.5, "v"), {"add_size_p50": F.col("v")})
+    c = cancel_to_trade(messages)
+    share = {"by_messages_full_day": "by_messages", "by_messages_midas_window": "by_messages_inside", "by_orders": "by_orders", "by_shares": "by_shares",
+             "hidden_share_of_executions": "hidden_share", "odd_lot_share_of_executions": "odd_lot_share"}
+    add("cancel_to_trade", c, {k: F.col(v) for k, v in share.items()})
+    add("accounting", c, {"dark_ops": F.col("dark_ops"), "dark_shares": F.col("dark_shares"), "hidden_execs": F.col("hiddens")})
+    add("accounting", g, {"size_disagreements": F.col("disagreements"), "readded_ids": F.col("readded")})
+    return reduce(DataFrame.unionByName, [*out, by])

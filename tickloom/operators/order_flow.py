@@ -30,14 +30,20 @@ def events(touch: DataFrame) -> DataFrame:
 
 
 def day_summary(ev: DataFrame) -> DataFrame:
-    """Counts, balance, net and gross flow, largest event (first of ties) and mid change of each day."""
+    """Counts, bought, sold, net and gross flow, largest event (first of ties) with its time, and mid change of each day."""
     e = F.col("e")
+    shares = lambda p: F.coalesce(F.sum(F.when(p, F.abs(e))), F.lit(0))
+    largest = F.max_by(F.struct("e", "time_ns"), F.struct(F.abs("e"), -F.col("seq")))
     s = ev.groupBy(*DAY).agg(
-        F.count("*").alias("n_events"), F.count_if(e != 0).alias("nonzero"), F.count_if(e > 0).alias("positive"), F.count_if(e < 0).alias("negative"), F.sum("e").alias("net"), F.sum(F.abs("e")).alias("gross"),
-        F.max_by("e", F.struct(F.abs("e"), -F.col("seq"))).alias("largest"), F.min_by("mid2_prev", "seq").alias("mid2_open"), F.max_by("mid2", "seq").alias("mid2_close"),
+        F.count("*").alias("n_events"), F.count_if(e == 0).alias("zero"), F.count_if(e > 0).alias("positive"), F.count_if(e < 0).alias("negative"),
+        F.sum("e").alias("net"), F.sum(F.abs("e")).alias("gross"), shares(e > 0).alias("buy_shares"), shares(e < 0).alias("sell_shares"),
+        largest.alias("top"), F.min_by("mid2_prev", "seq").alias("mid2_open"), F.max_by("mid2", "seq").alias("mid2_close"),
     )
     change = F.col("mid2_close") - F.col("mid2_open")
-    return s.withColumn("zero_share", ratio(F.col("n_events") - F.col("nonzero"), "n_events")).withColumn("sign_balance", ratio(F.col("positive") - F.col("negative"), "nonzero")).withColumn("dmid_cents", change / 200.0).withColumn("dmid_bps", ratio(change, "mid2_open", 1e4))
+    return s.select(
+        "*", F.col("top.e").alias("largest"), F.col("top.time_ns").alias("largest_ns"), ratio("zero", "n_events").alias("zero_share"),
+        ratio(F.abs("net"), "gross").alias("net_share"), (change / 200.0).alias("dmid_cents"), ratio(change, "mid2_open", 1e4).alias("dmid_bps"),
+    ).drop("top")
 
 
 def calendar(ev: DataFrame, width: int, open_ns: int = OPEN, close_ns: int = CLOSE) -> DataFrame:
@@ -78,21 +84,27 @@ def measured(buckets: DataFrame) -> DataFrame:
 def ols(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Fits of y on x through the origin and with an intercept; both R2 against the centred sum of squares, and the hit rate.
 
-    All is one aggregate of sums. Null where x or y is constant.
+    Slopes are null where x does not vary (through the origin: is 0 throughout), R2 where y does not. One aggregate, of
+    central moments that are merged pairwise, so nothing is lost in differences of large sums.
     """
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     both = (a != 0) & (b != 0)
     s = rows.where(a.isNotNull() & b.isNotNull()).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * b).alias("sxy"), F.sum(a * a).alias("sxx"), F.sum(b * b).alias("syy"), F.min(a).alias("x0"), F.max(a).alias("x1"), F.min(b).alias("y0"), F.max(b).alias("y1"),
-        F.count_if(both).alias("graded"), F.count_if(both & (F.signum(a) == F.signum(b))).alias("hits"),
+        F.count("*").alias("n"), F.avg(a).alias("mx"), F.avg(b).alias("my"), F.sum(a * b).alias("sxy"), F.sum(a * a).alias("sxx"),
+        F.var_pop(a).alias("vx"), F.var_pop(b).alias("vy"), F.covar_pop(a, b).alias("cxy"), F.min(a).alias("x0"), F.max(a).alias("x1"),
+        F.min(b).alias("y0"), F.max(b).alias("y1"), F.count_if(both).alias("graded"),
+        F.count_if(both & (F.signum(a) == F.signum(b))).alias("hits"),
+    )
+    x_on = lambda v: F.when(F.col("x0") < F.col("x1"), v)
+    y_on = lambda v: F.when(F.col("y0") < F.col("y1"), v)
+    beta0, beta = F.when(F.col("sxx") != 0, F.col("sxy") / F.col("sxx")), F.col("cxy") / F.col("vx")
+    off = F.col("my") - beta0 * F.col("mx")
+    rss0 = F.col("vy") - 2 * beta0 * F.col("cxy") + beta0 * beta0 * F.col("vx") + off * off
+    return s.select(
+        *keys, "n", beta0.alias("beta0"), y_on(1 - rss0 / F.col("vy")).alias("r2_origin"), x_on(beta).alias("beta"),
+        x_on(F.col("my") - beta * F.col("mx")).alias("alpha"), x_on(y_on(F.col("cxy") * F.col("cxy") / (F.col("vx") * F.col("vy")))).alias("r2"),
+        ratio("hits", "graded").alias("hit_rate"), (F.col("n") - F.col("graded")).alias("excluded"),
     )
-    n = F.col("n").cast("double")
-    vary = (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1"))
-    on = lambda v: F.when(vary, v)
-    cxx, cyy, cxy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n, F.col("sxy") - F.col("sx") * F.col("sy") / n
-    beta0 = F.col("sxy") / F.col("sxx")
-    rss0 = F.col("syy") - beta0 * F.col("sxy")
-    return s.select(*keys, "n", on(beta0).alias("beta0"), on(1 - rss0 / cyy).alias("r2_origin"), on(cxy / cxx).alias("beta"), on((F.col("sy") - cxy / cxx * F.col("sx")) / n).alias("alpha"), on(cxy * cxy / (cxx * cyy)).alias("r2"), ratio("hits", "graded").alias("hit_rate"), (F.col("n") - F.col("graded")).alias("excluded"))
 
 
 def depth_scaling(buckets: DataFrame, depth: DataFrame, window: int = BIN, open_ns: int = OPEN) -> DataFrame:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-COLUMNS = ("trial_id", "logged_at", "script", "question", "ticker", "date", "clock", "bucket", "horizon", "window", "split", "n_obs", "metric", "value", "status", "note")
-STATUSES = ("descriptive", "exploratory", "confirmatory")
+#: The columns and statuses of a trial.
+COLUMNS = (
+    "trial_id", "logged_at", "script", "question", "ticker", "date", "clock", "bucket", "horizon", "window", "split",
+    "n_obs", "metric", "value", "status", "note",
+)
+STATUSES = ("descriptive", "predictive", "abandoned")
 _SCHEMA = ", ".join(f"`{c}` {'bigint' if c == 'trial_id' else 'string'}" for c in COLUMNS)
 
 
@@ -17,7 +21,7 @@ def read_trials(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], _SCHEMA)
     rows = spark.read.schema(_SCHEMA).parquet(path)
     place = F.row_number().over(Window.orderBy("trial_id"))
-    return rows.withColumn("ok", F.when(F.col("trial_id") != place, F.raise_error(F.lit("the registry has been edited"))).otherwise(F.lit(True))).where("ok").drop("ok")
+    return rows.withColumn("ok", F.when(F.col("trial_id") != place, F.raise_error(F.lit("trial ids do not run from 1 without gaps"))).otherwise(F.lit(True))).where("ok").drop("ok")
 
 
 def count_trials(spark: SparkSession, path: str) -> int:
@@ -25,7 +29,7 @@ def count_trials(spark: SparkSession, path: str) -> int:
 
 
 def log_trials(spark: SparkSession, path: str, trials: DataFrame) -> DataFrame:
-    """Append trials and return them with their ids. Ids and times are the registry's to give; one writer at a time.
+    """Append trials, in the order of the rows, and return them with their ids. Ids and times are the registry's to give; one writer at a time.
 
     Unknown columns are refused before anything is written, and rows with an empty question or metric or an unknown status fail the write.
     """
@@ -35,15 +39,18 @@ def log_trials(spark: SparkSession, path: str, trials: DataFrame) -> DataFrame:
         raise ValueError(f"columns not for the caller: {given + unknown}")
     for needed in ("question", "metric"):
         if needed not in trials.columns:
-            raise ValueError(f"a trial needs a {needed}")
+            raise ValueError(f"no column {needed}")
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in trials.columns else F.lit("descriptive" if c == "status" else "").alias(c) for c in COLUMNS[2:]]
     rows = trials.select(*cells)
-    bad = F.when((F.trim("question") == "") | (F.trim("metric") == ""), "a trial needs a question and a metric").when(~F.col("status").isin(*STATUSES), "unknown status")
+    bad = F.when((F.trim("question") == "") | (F.trim("metric") == ""), "an empty question or metric").when(~F.col("status").isin(*STATUSES), "unknown status")
     problems = rows.select(bad.alias("bad")).where("bad IS NOT NULL").take(1)
     if problems:
         raise ValueError(problems[0]["bad"])
     start = count_trials(spark, path)
-    number = F.row_number().over(Window.orderBy("question", "metric", "value")) + F.lit(start)
-    made = rows.select(number.cast("bigint").alias("trial_id"), F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("logged_at"), *COLUMNS[2:])
+    rows = rows.withColumn("given", F.monotonically_increasing_id())
+    number = F.row_number().over(Window.orderBy("given")) + F.lit(start)
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    stamp = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("logged_at")
+    made = rows.select(number.cast("bigint").alias("trial_id"), stamp, *COLUMNS[2:])
     made.write.mode("append").parquet(path)
     return read_trials(spark, path).where(F.col("trial_id") > start)

@@ -222,7 +222,8 @@ def _fold(rows: list[dict], state, kinds, levels: int, first: bool) -> pa.Table:
         columns["live"].append(len(state.book.orders))
         columns["asks"].append(state.book.top(ASK, levels) if levels else None)
         columns["bids"].append(state.book.top(BID, levels) if levels else None)
-    kinds_ = {"symbol": pa.int32(), "kind": pa.string(), "asks": _PA_LEVELS, "bids": _PA_LEVELS}
+    day = pa.string() if any(isinstance(d, str) for d in columns["day"][:1]) else pa.int64()
+    kinds_ = {"symbol": pa.int32(), "day": day, "kind": pa.string(), "asks": _PA_LEVELS, "bids": _PA_LEVELS}
     names = [x.split()[0] for x in ("symbol", "day", "seq", "kind", *FLAGS, "live", "asks", "bids")]
     return pa.table([pa.array(columns[c], kinds_.get(c, pa.int64())) for c in names], names)
 
@@ -231,7 +232,9 @@ def _grouped(messages: DataFrame, make, kinds, levels: int, first: bool) -> Data
     def run(table: pa.Table) -> pa.Table:
         return _fold(table.sort_by("seq").to_pylist(), make(), kinds, levels, first)
 
-    return messages.withColumn("symbol", F.col("symbol").cast("int")).withColumn("day", F.col("day").cast("bigint")).groupBy(*DAY).applyInArrow(run, _FOLD)
+    day = "string" if dict(messages.dtypes)["day"] == "string" else "bigint"
+    keyed = messages.withColumn("symbol", F.col("symbol").cast("int")).withColumn("day", F.col("day").cast(day))
+    return keyed.groupBy(*DAY).applyInArrow(run, _FOLD.replace("day bigint", f"day {day}"))
 
 
 def replay_filtered(messages: DataFrame, reference: DataFrame, levels: int = 10) -> DataFrame:

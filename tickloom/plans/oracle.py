@@ -36,11 +36,18 @@ def _r(top: str, bottom: str, scale: str = "1.0", places: int = 6) -> str:
     return f"round(CAST({top} AS DOUBLE) * {scale} / nullif(CAST({bottom} AS DOUBLE), 0), {places})"
 
 
+def _exact(top: str, bottom: str, times: int = 1, over: int = 1) -> str:
+    """A ratio rounded half up to six places by whole-number division."""
+    return f"CAST((CAST({top} AS HUGEINT) * {2_000_000 * times} + CAST({bottom} AS HUGEINT) * {over}) // nullif(CAST({bottom} AS HUGEINT) * {2 * over}, 0) AS DOUBLE) / 1e6"
+
+
 _RATIOS = {
-    "tw_spread_ticks": _r("spread_x_ns", "two_sided_ns"), "tw_spread_cents": _r("spread_x_ns", "two_sided_ns", "CAST(0.01 AS DOUBLE)"), "tw_spread_bps": _r("spread_x_ns", "mid2_x_ns", "CAST(20000 AS DOUBLE)"), "tw_mid": _r("mid2_x_ns", "two_sided_ns", "CAST(0.5 AS DOUBLE)"), "one_cent_share": _r("one_cent_ns", "two_sided_ns"),
-    "touch": _r("touch_x_ns", "two_sided_ns"), "depth5": _r("depth5_x_ns", "two_sided_ns"), "depth10": _r("depth10_x_ns", "two_sided_ns"), "one_sided_share": _r("one_sided_ns", "(two_sided_ns + one_sided_ns)"),
+    "tw_spread_ticks": _exact("spread_x_ns", "two_sided_ns"), "tw_spread_cents": _exact("spread_x_ns", "two_sided_ns", 1, 100),
+    "tw_spread_bps": _exact("spread_x_ns", "mid2_x_ns", 20_000), "tw_mid": _exact("mid2_x_ns", "two_sided_ns", 1, 2),
+    "one_cent_share": _exact("one_cent_ns", "two_sided_ns"), "touch": _exact("touch_x_ns", "two_sided_ns"),
+    "depth5": _exact("depth5_x_ns", "two_sided_ns"), "depth10": _exact("depth10_x_ns", "two_sided_ns"),
+    "one_sided_share": _exact("(one_sided_ns + empty_ns)", "hold_ns"),
 }
-_RATIOS = {k: v.replace("round(", "round(CAST(3.7e-9 AS DOUBLE) + ", 1) for k, v in _RATIOS.items()}  # exact ties go up in both engines
 _WIDE = ("hold_ns", "two_sided_ns", "one_sided_ns", "empty_ns", "spread_x_ns", "mid2_x_ns", "one_cent_ns", "touch_x_ns", "depth5_x_ns", "depth10_x_ns")
 _text = lambda names: ", ".join(f"CAST({n} AS VARCHAR) AS {n}" for n in names)
 _ratios = lambda names: ", ".join(f"{_RATIOS[n]} AS {n}" for n in names)
@@ -71,11 +78,14 @@ whole AS (SELECT symbol, day, sum(CAST(hold AS HUGEINT)) AS two_ns FROM two GROU
 lv AS (SELECT symbol, day, hold, side, j, step, n, CASE side WHEN 'ask' THEN az ELSE bs END + 10 * (j - 1) AS size FROM two, (SELECT unnest(['ask', 'bid']) AS side), (SELECT unnest(range(1, 11)) AS j) WHERE j <= n)"""
 _LEVELS = f"""WITH {_LONG}, g AS (SELECT symbol, day, side, j, sum(CAST(hold AS HUGEINT)) AS ex, sum(CAST(size AS HUGEINT) * hold) AS sx, sum(CAST((j - 1) * step AS HUGEINT) * hold) AS gx, sum(CAST(step AS HUGEINT) * hold) AS ax, coalesce(sum(CAST(hold AS HUGEINT)) FILTER (step = 100), 0) AS cx FROM lv GROUP BY ALL)
 SELECT symbol, day, side, j AS level, CAST(ex AS VARCHAR) AS exists_ns, CAST(sx AS VARCHAR) AS size_x_ns, {_r("sx", "ex")} AS tw_size, {_r("gx", "ex", "CAST(0.01 AS DOUBLE)")} AS tw_gap_cents, {_r("ex", "two_ns")} AS exists_share,
- CASE WHEN j > 1 THEN {_r("ax", "ex", "CAST(0.01 AS DOUBLE)")} END AS adjacent_gap_cents, CASE WHEN j > 1 AND cx > 0 THEN {_r("cx", "ex")} END AS one_cent_gap_share FROM g JOIN whole USING (symbol, day)"""
+ CASE WHEN j > 1 THEN {_r("ax", "ex", "CAST(0.01 AS DOUBLE)")} END AS adjacent_gap_cents, CASE WHEN j > 1 THEN {_r("cx", "ex")} END AS one_cent_gap_share,
+ {_r("sum(ax) FILTER (j > 1) OVER side", "(sum(ex) FILTER (j > 1) OVER side)", "CAST(0.01 AS DOUBLE)")} AS side_gap_cents,
+ {_r("sum(cx) FILTER (j > 1) OVER side", "(sum(ex) FILTER (j > 1) OVER side)")} AS side_one_cent_share
+ FROM g JOIN whole USING (symbol, day) WINDOW side AS (PARTITION BY symbol, day, side)"""
 _CENTS = f"""WITH {_LONG}, grid AS (SELECT symbol, day, side, cent FROM whole, (SELECT unnest(['ask', 'bid']) AS side), (SELECT unnest(range(0, 21)) AS cent)),
 sx AS (SELECT symbol, day, side, (j - 1) * step // 100 AS cent, sum(CAST(size AS HUGEINT) * hold) AS x FROM lv GROUP BY ALL),
 cov AS (SELECT g.symbol, g.day, g.cent, sum(CAST(hold AS HUGEINT)) AS c FROM (SELECT DISTINCT symbol, day, cent FROM grid) g JOIN two t ON t.symbol = g.symbol AND t.day = g.day AND (n - 1) * step // 100 >= cent GROUP BY ALL)
-SELECT g.symbol, g.day, side, g.cent, CAST(coalesce(x, 0) AS VARCHAR) AS size_x_ns, CAST(coalesce(c, 0) AS VARCHAR) AS covered_ns, {_r("coalesce(x, 0)", "two_ns")} AS tw_size, {_r("coalesce(c, 0)", "two_ns")} AS coverage
+SELECT g.symbol, g.day, side, g.cent, CAST(coalesce(x, 0) AS VARCHAR) AS size_x_ns, CAST(coalesce(c, 0) AS VARCHAR) AS covered_ns, {_r("coalesce(x, 0)", "coalesce(c, 0)")} AS tw_size, {_r("coalesce(c, 0)", "two_ns")} AS coverage
 FROM grid g JOIN whole USING (symbol, day) LEFT JOIN sx USING (symbol, day, side, cent) LEFT JOIN cov ON cov.symbol = g.symbol AND cov.day = g.day AND cov.cent = g.cent"""
 
 _EV = f"""{_BASE},
@@ -100,9 +110,13 @@ def _calendar(name: str, width: int) -> str:
 
 _HMS = "printf('%02d:%02d:%02d', start_ns // 3600000000000, start_ns // 60000000000 % 60, start_ns // 1000000000 % 60) AS start_hms"
 _CAL = f"WITH {_EV}, {_calendar('cal', 600_000_000_000)} SELECT * EXCLUDE (dmid_cents, dmid_bps), round(dmid_cents, 6) AS dmid_cents, round(dmid_bps, 6) AS dmid_bps, {_HMS} FROM cal"
-_OFI_DAY = f"""WITH {_EV}, g AS (SELECT symbol, day, count(*) AS n_events, count(*) FILTER (e <> 0) AS nonzero, count(*) FILTER (e > 0) AS positive, count(*) FILTER (e < 0) AS negative, CAST(sum(e) AS BIGINT) AS net, CAST(sum(abs(e)) AS BIGINT) AS gross,
- first(e ORDER BY abs(e) DESC, seq) AS largest, first(mid2_prev ORDER BY seq) AS mid2_open, last(mid2 ORDER BY seq) AS mid2_close FROM ev GROUP BY ALL)
-SELECT *, {_r("n_events - nonzero", "n_events")} AS zero_share, {_r("positive - negative", "nonzero")} AS sign_balance, round((mid2_close - mid2_open) / 200.0::DOUBLE, 6) AS dmid_cents, {_r("mid2_close - mid2_open", "mid2_open", "CAST(10000 AS DOUBLE)")} AS dmid_bps FROM g"""
+_OFI_DAY = f"""WITH {_EV},
+g AS (SELECT symbol, day, count(*) AS n_events, count(*) FILTER (e = 0) AS zero, count(*) FILTER (e > 0) AS positive, count(*) FILTER (e < 0) AS negative,
+ CAST(sum(e) AS BIGINT) AS net, CAST(sum(abs(e)) AS BIGINT) AS gross, CAST(coalesce(sum(e) FILTER (e > 0), 0) AS BIGINT) AS buy_shares,
+ CAST(coalesce(-sum(e) FILTER (e < 0), 0) AS BIGINT) AS sell_shares, first(mid2_prev ORDER BY seq) AS mid2_open, last(mid2 ORDER BY seq) AS mid2_close,
+ first(e ORDER BY abs(e) DESC, seq) AS largest, first(time_ns ORDER BY abs(e) DESC, seq) AS largest_ns FROM ev GROUP BY ALL)
+SELECT *, {_r("zero", "n_events")} AS zero_share, {_r("abs(net)", "gross")} AS net_share, round((mid2_close - mid2_open) / 200.0::DOUBLE, 6) AS dmid_cents,
+ {_r("mid2_close - mid2_open", "mid2_open", "CAST(10000 AS DOUBLE)")} AS dmid_bps FROM g"""
 
 
 def _clock(name: str, n: int) -> str:
@@ -118,11 +132,13 @@ _EVENT_CLOCK = f"""WITH {_EV}, {_clock("ec", 10)} SELECT *, end_ns - start_ns AS
 
 
 def _ols(rows: str, key: str, x: str, y: str) -> str:
-    ok = f"(min({x}) < max({x}) AND min({y}) < max({y}))"
+    """Two passes: the slopes, then the residuals' squares of each row."""
     both = f"({x} <> 0 AND {y} <> 0)"
-    return f"""SELECT {key}, count(*) AS n, CASE WHEN {ok} THEN round(sum({x} * {y}) / sum({x} * {x}), 6) END AS beta0, CASE WHEN {ok} THEN round(1 - (sum({y} * {y}) - sum({x} * {y}) / sum({x} * {x}) * sum({x} * {y})) / regr_syy({y}, {x}), 6) END AS r2_origin,
- CASE WHEN {ok} THEN round(regr_slope({y}, {x}), 6) END AS beta, CASE WHEN {ok} THEN round(regr_intercept({y}, {x}), 6) END AS alpha, CASE WHEN {ok} THEN round(regr_r2({y}, {x}), 6) END AS r2,
- round(count(*) FILTER ({both} AND sign({x}) = sign({y})) / nullif(CAST(count(*) FILTER {both} AS DOUBLE), 0), 6) AS hit_rate, count(*) - count(*) FILTER {both} AS excluded FROM {rows} GROUP BY {key}"""
+    return f"""SELECT {key}, n, round(b0, 6) AS beta0, CASE WHEN yv THEN round(1 - sum(({y} - b0 * {x}) ** 2) / sum(({y} - my) ** 2), 6) END AS r2_origin,
+ round(b1, 6) AS beta, round(my - b1 * mx, 6) AS alpha, CASE WHEN yv THEN round(1 - sum(({y} - (my - b1 * mx) - b1 * {x}) ** 2) / sum(({y} - my) ** 2), 6) END AS r2,
+ round(count(*) FILTER ({both} AND sign({x}) = sign({y})) / nullif(CAST(count(*) FILTER {both} AS DOUBLE), 0), 6) AS hit_rate, count(*) - count(*) FILTER {both} AS excluded
+ FROM {rows} JOIN (SELECT {key}, count(*) AS n, avg({x}) AS mx, avg({y}) AS my, sum({x} * {y}) / nullif(sum({x} * {x}), 0) AS b0, CASE WHEN min({x}) < max({x}) THEN regr_slope({y}, {x}) END AS b1,
+  min({y}) < max({y}) AS yv FROM {rows} WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY {key}) USING ({key}) WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY {key}, n, mx, my, b0, b1, yv"""
 
 
 _XY = "(SELECT *, CAST(ofi AS DOUBLE) AS x, CAST(dmid_cents AS DOUBLE) AS y FROM {})"
@@ -130,11 +146,11 @@ _FIRST_LOOK = f"""WITH {_EV}, {_calendar("c1", 600_000_000_000)}, {_calendar("c2
 allrows AS (SELECT '600 s' AS clock, ofi, dmid_cents FROM c1 UNION ALL SELECT '3600 s', ofi, dmid_cents FROM c2 UNION ALL SELECT '5 updates', ofi, (mid2_close - mid2_open) / 200.0::DOUBLE FROM k1 UNION ALL SELECT '20 updates', ofi, (mid2_close - mid2_open) / 200.0::DOUBLE FROM k2)
 {_ols(_XY.format("allrows"), "clock", "x", "y")}"""
 _SCALING = f"""WITH {_bins(7_200_000_000_000)}, {_EV.removeprefix(_BASE + ",")}, {_calendar("cal", 600_000_000_000)},
-w AS (SELECT symbol, day, start_ns // 7200000000000 AS bin, CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN sum(x * y) / sum(x * x) END AS beta0 FROM {_XY.format("cal")} GROUP BY ALL),
+w AS (SELECT symbol, day, start_ns // 7200000000000 AS bin, sum(x * y) / nullif(sum(x * x), 0) AS beta0 FROM {_XY.format("cal")} GROUP BY ALL),
 d AS (SELECT w.*, CAST(touch_x_ns AS DOUBLE) / nullif(CAST(two_sided_ns AS DOUBLE), 0) / 2 AS depth FROM w JOIN bins USING (symbol, day, bin)),
 l AS (SELECT symbol, day, coalesce(beta0 > 0 AND depth > 0, false) AS good, CASE WHEN beta0 > 0 AND depth > 0 THEN ln(depth) END AS lx, CASE WHEN beta0 > 0 AND depth > 0 THEN ln(beta0) END AS ly FROM d),
-f AS (SELECT symbol, day, count(*) FILTER (good) AS used, count(*) FILTER (NOT good) AS skipped, regr_slope(ly, lx) AS sl, regr_intercept(ly, lx) AS ic, regr_r2(ly, lx) AS r, min(lx) < max(lx) AND min(ly) < max(ly) AS ok FROM l GROUP BY ALL)
-SELECT symbol, day, used, skipped, CASE WHEN used >= 3 AND ok THEN round(sl, 6) END AS slope, CASE WHEN used >= 3 AND ok THEN round(ic, 6) END AS intercept, CASE WHEN used >= 3 AND ok THEN round(r, 6) END AS r2 FROM f"""
+f AS (SELECT symbol, day, count(*) FILTER (good) AS used, count(*) FILTER (NOT good) AS skipped, regr_slope(ly, lx) AS sl, regr_intercept(ly, lx) AS ic, regr_r2(ly, lx) AS r, min(lx) < max(lx) AS ok, min(ly) < max(ly) AS yok FROM l GROUP BY ALL)
+SELECT symbol, day, used, skipped, CASE WHEN used >= 3 AND ok THEN round(sl, 6) END AS slope, CASE WHEN used >= 3 AND ok THEN round(ic, 6) END AS intercept, CASE WHEN used >= 3 AND ok AND yok THEN round(r, 6) END AS r2 FROM f"""
 
 _OPS = f"""{_BASE},
 o1 AS (SELECT t.*, (SELECT count(*) FROM tape u WHERE u.symbol = t.symbol AND u.order_id = t.order_id AND u.kind = 1 AND u.seq <= t.seq) AS life_no FROM tape t WHERE kind BETWEEN 1 AND 4),
@@ -149,7 +165,7 @@ _DIST = f"""WITH {_OPS}, bk AS (SELECT t.symbol, t.seq, CASE WHEN NOT gone THEN
 x AS (SELECT l.*, trunc(CASE WHEN direction = 1 THEN pb - price ELSE price - pa END / 100.0::DOUBLE) AS d FROM lives l JOIN prior p ON p.symbol = l.symbol AND p.seq = l.add_seq),
 g AS (SELECT symbol, day, CASE WHEN d IS NULL THEN 'unknown' WHEN d < 0 THEN 'improve' WHEN d = 0 THEN 'at_best' WHEN d = 1 THEN '1' WHEN d <= 5 THEN '2_to_5' WHEN d <= 10 THEN '6_to_10' ELSE 'over_10' END AS bucket, count(*) AS orders, count(*) FILTER (executed > 0) AS filled, CAST(sum(added) AS BIGINT) AS shares, CAST(sum(executed) AS BIGINT) AS filled_shares FROM x GROUP BY ALL)
 SELECT *, {_r("filled", "orders")} AS fill_rate, {_r("filled_shares", "shares")} AS share_fill_rate FROM g"""
-_KM = f"""{_OPS}, dur AS (SELECT symbol, day, CASE WHEN outcome = 'censored' THEN censor_ns ELSE lifetime_ns END AS t, outcome = 'cancelled' AS died FROM lives),
+_KM = f"""{_OPS}, dur AS (SELECT symbol, day, CASE WHEN outcome = 'censored' THEN censor_ns ELSE lifetime_ns END AS t, outcome <> 'censored' AS died FROM lives),
 dt AS (SELECT symbol, day, t, count(*) AS deaths FROM dur WHERE died GROUP BY ALL),
 risk AS (SELECT d.*, (SELECT count(*) FROM dur u WHERE u.symbol = d.symbol AND u.t >= d.t) AS at_risk FROM dt d),
 km AS (SELECT symbol, day, t, at_risk, deaths, product(1 - deaths / CAST(at_risk AS DOUBLE)) OVER (PARTITION BY symbol, day ORDER BY t) AS survival FROM risk)"""
@@ -157,10 +173,60 @@ _GRID = "(" + ", ".join(f"({int(1_000_000_000 * 10 ** (k / 5))})" for k in range
 _SURVIVAL = f"""WITH {_KM}, grid AS (SELECT symbol, day, CAST(t AS BIGINT) AS t FROM (SELECT DISTINCT symbol, day FROM dur), (VALUES {_GRID[1:-1]}) AS v(t))
 SELECT g.symbol, g.day, g.t, round(coalesce((SELECT survival FROM km k WHERE k.symbol = g.symbol AND k.t <= g.t ORDER BY k.t DESC LIMIT 1), 1), 6) AS s_km,
  round(1 - (SELECT count(*) FROM dur u WHERE u.symbol = g.symbol AND died AND u.t <= g.t) / CAST((SELECT count(*) FROM dur u WHERE u.symbol = g.symbol AND died) AS DOUBLE), 6) AS s_naive FROM grid g"""
-_C2T = f"""WITH {_OPS}, raw AS (SELECT symbol, day, count(*) FILTER (kind = 1) AS adds, count(*) FILTER (kind = 2) AS reduces, count(*) FILTER (kind = 3) AS deletes, count(*) FILTER (kind = 4) AS executes, count(*) FILTER (kind = 5) AS hiddens, CAST(coalesce(sum(size) FILTER (kind IN (4, 5)), 0) AS BIGINT) AS exec_lots FROM tape GROUP BY ALL),
+_LOT = lambda c: f"CASE WHEN {c} < 100 THEN 'odd' WHEN {c} % 100 = 0 THEN 'round' ELSE 'mixed' END"
+_KIND_NAMES = ("adds", "reduces", "deletes", "executes", "hiddens")
+
+
+def _c2t(start: int, end: int) -> str:
+    inside = f"time_ns >= {start} AND time_ns < {end}"
+    counts = ", ".join(f"count(*) FILTER (kind = {k}) AS {c}, count(*) FILTER (kind = {k} AND {inside}) AS {c}_inside" for k, c in enumerate(_KIND_NAMES, 1))
+    lots = ", ".join(f"count(*) FILTER (kind IN (4, 5) AND {_LOT('size')} = '{k}') AS {k}_lots" for k in ("round", "odd", "mixed"))
+    return f"""raw AS (SELECT symbol, day, {counts}, {lots} FROM tape GROUP BY ALL),
 dk AS (SELECT symbol, day, count(*) FILTER (dark) AS dark_ops, CAST(coalesce(sum(size) FILTER (dark), 0) AS BIGINT) AS dark_shares FROM ops GROUP BY ALL),
-lf AS (SELECT symbol, day, count(*) FILTER (outcome = 'cancelled') AS cancelled_orders, count(*) FILTER (executed > 0) AS traded_orders, CAST(sum(cancelled) AS BIGINT) AS cancelled_shares, CAST(sum(executed) AS BIGINT) AS executed_shares FROM lives GROUP BY ALL)
-SELECT *, {_r("reduces + deletes", "(executes + hiddens)")} AS by_messages, {_r("cancelled_orders", "traded_orders")} AS by_orders, {_r("cancelled_shares", "executed_shares")} AS by_shares FROM raw LEFT JOIN dk USING (symbol, day) LEFT JOIN lf USING (symbol, day)"""
+lf AS (SELECT symbol, day, count(*) FILTER (outcome = 'cancelled') AS cancelled_orders, count(*) FILTER (outcome = 'executed') AS executed_orders, CAST(sum(cancelled) AS BIGINT) AS cancelled_shares, CAST(sum(executed) AS BIGINT) AS executed_shares FROM lives GROUP BY ALL),
+c2t AS (SELECT *, {_r("reduces + deletes", "(executes + hiddens)")} AS by_messages, {_r("reduces_inside + deletes_inside", "(executes_inside + hiddens_inside)")} AS by_messages_inside, {_r("cancelled_orders", "executed_orders")} AS by_orders,
+ {_r("cancelled_shares", "executed_shares")} AS by_shares, {_r("hiddens", "(executes + hiddens)")} AS hidden_share, {_r("odd_lots", "(executes + hiddens)")} AS odd_lot_share FROM raw LEFT JOIN dk USING (symbol, day) LEFT JOIN lf USING (symbol, day))"""
+
+
+_C2T = f"WITH {_OPS}, {_c2t(1_704_153_600 * 10**9, 1_706_572_800 * 10**9)} SELECT * FROM c2t"
+_pick = lambda v, q: f"list_sort(list({v}))[1 + least(count({v}) - 1, CAST(floor({q}::DOUBLE * count({v})) AS BIGINT))]"
+
+
+def _cells(section: str, names: dict[str, str], rows: str) -> str:
+    """Some columns of a table of (symbol, day) as long rows."""
+    return f"SELECT symbol, day, '{section}' AS section, unnest([{', '.join(repr(k) for k in names)}]) AS statistic, unnest([{', '.join(f'CAST({v} AS DOUBLE)' for v in names.values())}]) AS value FROM {rows}"
+
+
+def _life_summary() -> str:
+    share = lambda a, b="n": f"{a} / nullif(CAST({b} AS DOUBLE), 0)"
+    kinds = ("executed", "cancelled", "censored")
+    ends = {"orders_added": "n"} | {f"orders_{k}": f"n_{k}" for k in kinds} | {f"share_{k}": share(f"n_{k}") for k in kinds}
+    ends |= {f"shares_{k}": f"sh_{k}" for k in ("added", "executed", "cancelled")} | {"shares_unresolved": "sh_added - sh_executed - sh_cancelled"}
+    naive = {f"share_{k}": share(k, "observed") for k in ("under_100ms", "under_1s", "over_1min")}
+    naive |= {"observed_p50_ms": f"{_pick('CASE WHEN seen THEN lifetime_ns END', 0.5)} / 1e6"}
+    picks = {f"{k}_p{round(q * 100)}_ms": f"(SELECT {_pick('lifetime_ns', q)} / 1e6 FROM lv v WHERE v.symbol = g.symbol AND v.day = g.day AND outcome = '{k}')" for k in kinds[:2] for q in (0.1, 0.5, 0.9)}
+    picks |= {"observed_p50_ms": f"(SELECT {_pick('lifetime_ns', 0.5)} / 1e6 FROM lv v WHERE v.symbol = g.symbol AND v.day = g.day AND outcome <> 'censored')"}
+    naive = {k: v for k, v in naive.items() if k != "observed_p50_ms"} | picks
+    sizes = {f"adds_{k}_lot_share": share(f"lot_{k}") for k in ("round", "odd", "mixed")} | {"add_size_mean": share("sh_added")}
+    sizes |= {"add_size_p50": f"(SELECT {_pick('added', 0.5)} FROM lv v WHERE v.symbol = g.symbol AND v.day = g.day)"}
+    c2t = {"by_messages_full_day": "(reduces + deletes) / nullif(CAST(executes + hiddens AS DOUBLE), 0)", "by_messages_midas_window": "(reduces_inside + deletes_inside) / nullif(CAST(executes_inside + hiddens_inside AS DOUBLE), 0)",
+           "by_orders": "cancelled_orders / nullif(CAST(executed_orders AS DOUBLE), 0)", "by_shares": "cancelled_shares / nullif(CAST(executed_shares AS DOUBLE), 0)",
+           "hidden_share_of_executions": "hiddens / nullif(CAST(executes + hiddens AS DOUBLE), 0)", "odd_lot_share_of_executions": "odd_lots / nullif(CAST(executes + hiddens AS DOUBLE), 0)"}
+    parts = [
+        _cells("ends", ends, "g"), _cells("lifetime_naive", naive, "g"), _cells("lifetime_km", {"censored_share": share("n_censored")}, "g"), _cells("sizes", sizes, "g"),
+        _cells("cancel_to_trade", c2t, "c2t"), _cells("accounting", {"dark_ops": "dark_ops", "dark_shares": "dark_shares", "hidden_execs": "hiddens"}, "c2t"),
+        _cells("accounting", {"size_disagreements": "disagreements", "readded_ids": "readded"}, "g"),
+        "SELECT symbol, day, 'lifetime_km', 'median_ms', min(t) FILTER (survival <= 0.5) / 1e6 FROM km GROUP BY ALL",
+        "SELECT symbol, day, 'fill_by_distance', bucket || '_' || unnest(['orders', 'share_of_adds', 'fill_rate_shares', 'fill_rate_orders']), unnest([CAST(orders AS DOUBLE), orders / CAST(sum(orders) OVER (PARTITION BY symbol, day) AS DOUBLE), filled_shares / nullif(CAST(shares AS DOUBLE), 0), filled / CAST(orders AS DOUBLE)]) FROM dist",
+    ]
+    counted = ", ".join(f"count(*) FILTER (outcome = '{k}') AS n_{k}" for k in kinds) + ", " + ", ".join(f"count(*) FILTER ({_LOT('added')} = '{k}') AS lot_{k}" for k in ("round", "odd", "mixed"))
+    return f"""WITH {_KM}, {_DIST.removeprefix(f'WITH {_OPS}, ').rsplit('SELECT *', 1)[0].rstrip().replace('g AS (SELECT', 'dist AS (SELECT')}, {_c2t(34_500 * 10**9, 57_600 * 10**9)},
+lv AS (SELECT *, coalesce(lag(outcome) OVER (PARTITION BY symbol, day, order_id ORDER BY life_no) = 'censored', false) AS readds FROM lives),
+g AS (SELECT symbol, day, count(*) AS n, {counted}, sum(added) AS sh_added, sum(executed) AS sh_executed, sum(cancelled) AS sh_cancelled, count(*) FILTER (outcome <> 'censored') AS observed,
+ count(*) FILTER (lifetime_ns < 100000000) AS under_100ms, count(*) FILTER (lifetime_ns < 1000000000) AS under_1s, count(*) FILTER (lifetime_ns >= 60000000000) AS over_1min, count(*) FILTER (readds) AS readded, sum(disagreements) AS disagreements FROM lv GROUP BY ALL),
+stats AS ({' UNION ALL '.join(parts)}) SELECT symbol, day, section, statistic, round(value, 6) AS value FROM stats"""
+
+
 _q = lambda q: f"list_sort(list(lifetime_ns))[1 + least(count(*) - 1, CAST(floor({q}::DOUBLE * count(*)) AS BIGINT))]"
 _DELTAS = f"{_OPS}, deltas AS (SELECT symbol, day, seq, order_id, life_no, add_direction AS direction, add_price AS price, add_seq, CAST(CASE WHEN kind = 1 THEN size ELSE -take END AS BIGINT) AS delta FROM act)"
 _ITCH = f"""WITH {_DELTAS}, msg AS (SELECT d.symbol, t.time_ns // {_DAY} AS day, t.time_ns % {_DAY} AS ns, d.add_seq, d.direction, delta, 100 * (1 + (d.price // 100) % 20) AS away,
@@ -195,7 +261,7 @@ tests AS (SELECT {keys}, n_fit, beta, se2, y, r, CASE WHEN y IS NOT NULL THEN 1
 graded AS (SELECT {keys}, n_fit, beta, CASE WHEN se2 > 0 THEN beta / sqrt(se2) END AS t, CAST(sum(here) AS BIGINT) AS n_test, sum((y - beta * r) ** 2) AS sse, sum(y * y) AS sst, count(*) FILTER (r <> 0 AND beta <> 0 AND y <> 0) AS graded, count(*) FILTER (r <> 0 AND beta <> 0 AND y <> 0 AND way = sign(y)) AS hits,
  count(*) FILTER (r <> 0 AND beta <> 0 AND here = 1) AS signals, sum(way * y) FILTER (r <> 0 AND beta <> 0) AS es FROM tests GROUP BY {keys}, n_fit, beta, se2)
 SELECT {keys}, n_fit, n_test, round(beta, 6) AS beta, round(t, 6) AS t, CASE WHEN beta IS NOT NULL THEN round(1 - sse / nullif(sst, 0), 6) END AS r2, hits, graded, n_test - graded AS excluded, round(es / nullif(signals, 0), 6) AS edge, signals,
- round(hits / nullif(graded, 0)::DOUBLE, 6) AS hit_rate, round((hits / nullif(graded, 0)::DOUBLE - 0.5) / sqrt(0.25 / nullif(graded, 0)), 6) AS z, round(1.96 * sqrt(0.25 / nullif(graded, 0)), 6) AS band, abs(hits / nullif(graded, 0)::DOUBLE - 0.5) > 1.96 * sqrt(0.25 / nullif(graded, 0)) AS clears_band FROM graded"""
+ round(hits / nullif(graded, 0)::DOUBLE, 6) AS hit_rate, round((hits / nullif(graded, 0)::DOUBLE - 0.5) / sqrt(0.25 / nullif(graded, 0)), 6) AS z, round(1.96 * sqrt(0.25 / nullif(graded, 0)), 6) AS band, hits / nullif(graded, 0)::DOUBLE - 0.5 > 1.96 * sqrt(0.25 / nullif(graded, 0)) AS clears_band FROM graded"""
 
 
 _FIRST, _SECOND = "target_end_ns <= 45900000000000", "time_ns >= 45900000000000"
@@ -249,7 +315,21 @@ _PLACE = f"""WITH {_ACT}, asked AS (SELECT unnest(['1', '7', '11', 'NONE']) AS t
 SELECT k.ticker, EXISTS (SELECT 1 FROM ac WHERE CAST(t AS VARCHAR) = k.ticker) AS present, l.metric, round(l.value, 6) AS value, CASE WHEN l.value IS NOT NULL THEN round((SELECT count(*) FROM lg v WHERE v.metric = l.metric AND v.value <= l.value) / CAST((SELECT count(v.value) FROM lg v WHERE v.metric = l.metric) AS DOUBLE), 6) END AS percentile,
  (SELECT count(*) FROM ac) AS universe FROM asked k LEFT JOIN lg l ON l.ticker = k.ticker"""
 _DECILES = f"WITH {_ACT}, s AS (SELECT metric, list_sort(list(value)) AS l FROM lg WHERE value IS NOT NULL GROUP BY ALL), d AS (SELECT *, unnest(range(1, 10)) AS decile FROM s) SELECT metric, CAST(decile AS INT) AS decile, round(l[1 + CAST(floor(decile / 10.0::DOUBLE * (len(l) - 1) + 0.5) AS BIGINT)], 6) AS cut FROM d"
-_IDENTITY = f"""WITH {_states()}, g AS (SELECT symbol, day, {_sums("(t1 - t0)")} FROM st GROUP BY ALL) SELECT symbol, day, {_text(_WIDE[:8])}, true AS agree FROM g"""
+_SEVEN = ("two_sided_ns", "spread_x_ns", "mid2_x_ns", "one_cent_ns", "touch_x_ns", "trades", "trade_shares")
+
+
+def _touch(two: str) -> str:
+    made = ["1", "a - b", "a + b", "CASE WHEN a - b = 100 THEN 1 ELSE 0 END", "bs + az"]
+    trade = "kind = 4 AND time_ns >= start AND time_ns < close"
+    sums = [f"sum(CASE WHEN {two} THEN CAST({m} AS HUGEINT) * ns ELSE 0 END)" for m in made] + [f"count(*) FILTER ({trade})", f"CAST(coalesce(sum(size) FILTER ({trade}), 0) AS BIGINT)"]
+    return ", ".join(f"{v} AS {n}" for v, n in zip(sums, _SEVEN))
+
+
+_IDENTITY = f"""WITH {_BASE}, pr AS (SELECT t.*, gone, b, a, bs, az, row_number() OVER (PARTITION BY t.symbol ORDER BY t.seq) AS k, lead(t.time_ns) OVER (PARTITION BY t.symbol ORDER BY t.seq) AS after FROM tape t JOIN book k ON k.seq = t.seq),
+f AS (SELECT symbol, max(time_ns) FILTER (k IN (1, 4)) AS start, 1706572800000000000 AS close FROM pr GROUP BY ALL),
+s AS (SELECT *, greatest(0, least(greatest(time_ns, coalesce(after, close)), close) - greatest(time_ns, start)) AS ns FROM pr JOIN f USING (symbol)),
+ten AS (SELECT symbol, day, {_touch("NOT gone")} FROM s GROUP BY ALL), one AS (SELECT symbol, day, {_touch("NOT gone AND NOT (symbol = 3 AND seq % 50 = 0)")} FROM s WHERE k > 3 GROUP BY ALL)
+SELECT o.symbol, o.day, {", ".join(f"CAST(o.{n} AS VARCHAR) AS {n}" if n.endswith("_ns") else f"o.{n}" for n in _SEVEN)}, {" AND ".join(f"o.{n} = t.{n}" for n in _SEVEN)} AS agree FROM one o JOIN ten t USING (symbol, day)"""
 _BAD = f"""{_states()}, bad AS (SELECT *, t1 - t0 AS hold, CASE WHEN gone THEN 0 WHEN seq % 13 < 3 THEN n WHEN seq % 17 = 0 THEN least(2, n) ELSE n END AS m, NOT gone AND seq % 13 < 3 AS bigger FROM st)"""
 _DECOMP = f"""WITH {_BAD}, dp AS (SELECT symbol, day, hold, k, {_top('az', 10).replace('10, n', 'k, n')} + (least(k, n) * bs + 5 * least(k, n) * (least(k, n) - 1)) AS ref, {_top('az', 10).replace('10, n', 'k, n')} + (least(k, m) * bs + 5 * least(k, m) * (least(k, m) - 1)) + CASE WHEN bigger AND k > 1 THEN 50 ELSE 0 END AS our
  FROM bad, (SELECT unnest([1, 10]) AS k) WHERE NOT gone AND hold > 0), g AS (SELECT symbol, day, k, sum(CAST(hold AS HUGEINT)) AS ns, sum(CAST(ref AS HUGEINT) * hold) AS rx, sum(CAST(greatest(our - ref, 0) AS HUGEINT) * hold) AS sx, sum(CAST(greatest(ref - our, 0) AS HUGEINT) * hold) AS dx FROM dp GROUP BY ALL)
@@ -267,7 +347,7 @@ SQL = {
     "lifecycle_orders": f"WITH {_OPS} SELECT * EXCLUDE (add_seq) FROM lives", "lifecycle_ends": f"WITH {_OPS} SELECT symbol, day, outcome, count(*) AS orders, CAST(sum(added) AS BIGINT) AS added, CAST(sum(executed) AS BIGINT) AS executed, CAST(sum(cancelled) AS BIGINT) AS cancelled, CAST(sum(remaining) AS BIGINT) AS remaining FROM lives GROUP BY ALL",
     "fill_by_distance": _DIST, "size_lots": f"WITH {_OPS}, g AS (SELECT symbol, day, CASE WHEN added < 100 THEN 'odd' WHEN added % 100 = 0 THEN 'round' ELSE 'mixed' END AS lot, count(*) AS orders, CAST(sum(added) AS BIGINT) AS shares FROM lives GROUP BY ALL) SELECT *, round(orders / CAST(sum(orders) OVER (PARTITION BY symbol, day) AS DOUBLE), 6) AS order_share FROM g",
     "km_curve": f"WITH {_KM} SELECT symbol, day, t, at_risk, deaths, round(survival, 6) AS survival FROM km", "km_median": f"WITH {_KM} SELECT symbol, day, min(t) FILTER (survival <= 0.5) AS median FROM km GROUP BY ALL", "survival_grid": _SURVIVAL,
-    "lifetime_quantiles": f"WITH {_OPS} SELECT symbol, day, {_q(0.25)} AS q25, {_q(0.5)} AS q50, {_q(0.9)} AS q90 FROM lives WHERE outcome = 'cancelled' GROUP BY ALL", "cancel_to_trade": _C2T,
+    "lifetime_quantiles": f"WITH {_OPS} SELECT symbol, day, {_q(0.25)} AS q25, {_q(0.5)} AS q50, {_q(0.9)} AS q90 FROM lives WHERE outcome = 'cancelled' GROUP BY ALL", "cancel_to_trade": _C2T, "lifecycle_summary": _life_summary(),
     "forecast_pairs": _PAIR_SQL, "decay": _DECAY, "regimes": _REGIMES, "cost_verdict": _COST,
     "asof_quote": f"WITH {_TAQ} SELECT t.ticker, t.seq, price, bid, ask, {_MID} AS mid FROM tr t ASOF LEFT JOIN qq ON qq.ticker = t.ticker AND t.time_ns > qq.time_ns", "lee_ready": f"WITH {_SIGNS} SELECT ticker, seq, price, mid, sign FROM sg",
     "trade_spreads": f"WITH {_SPREADS} SELECT ticker, seq, sign, round(mid, 6) AS mid, round(eff, 6) AS effective_bps, round(real, 6) AS realized_bps, round(imp, 6) AS impact_bps FROM ts", "quoted_spread": f"WITH {_TAQ}, {_QUOTED} SELECT * FROM qt", "taq_summary": _SUMMARY,

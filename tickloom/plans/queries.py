@@ -32,19 +32,26 @@ def _states(spark, d):
     return bs.holds(ad.book(spark, d), WHOLE_DAY)
 
 
-def _long(df: DataFrame, names, up: float = 0.0) -> DataFrame:
-    """Wide decimals as text, doubles to six places after adding `up`, which settles exact ties: equal in any engine."""
+def _long(df: DataFrame, names, exact: bool = False) -> DataFrame:
+    """Wide decimals as text; doubles to six places, unless they are `exact` already."""
     kinds = dict(df.dtypes)
-    return df.select(*[F.col(c).cast("string").alias(c) if kinds[c].startswith("decimal(38") else F.round(F.col(c) + F.lit(up) if up else F.col(c), 6).alias(c) if kinds[c] == "double" else F.col(c) for c in names or df.columns])
+
+    def shown(c: str):
+        if kinds[c].startswith("decimal(38"):
+            return F.col(c).cast("string").alias(c)
+        return F.round(c, 6).alias(c) if kinds[c] == "double" and not exact else F.col(c)
+
+    return df.select(*map(shown, names or df.columns))
 
 
 def tw_spread_bins(spark, d):
-    return _long(bs.bin_ratios(bs.time_weighted(_states(spark, d), BIN, 0, WHOLE_DAY)), None, 3.7e-9)
+    return _long(bs.bin_ratios(bs.time_weighted(_states(spark, d), BIN, 0, WHOLE_DAY), True), None, True)
 
 
 def tw_session_bins(spark, d):
     bins = bs.time_weighted(bs.holds(ad.book(spark, d), bs.CLOSE))
-    return _long(bs.named_bins(bs.bin_ratios(bins)), (*DAY, "bin", "start_s", "start_hms", "hold_ns", "spread_x_ns", "tw_spread_bps"), 3.7e-9)
+    names = (*DAY, "bin", "start_s", "start_hms", "hold_ns", "spread_x_ns", "tw_spread_bps")
+    return _long(bs.named_bins(bs.bin_ratios(bins, True)), names, True)
 
 
 def tw_event_counts(spark, d):
@@ -54,7 +61,8 @@ def tw_event_counts(spark, d):
 def tw_day_windows(spark, d):
     bins = bs.time_weighted(_states(spark, d), BIN, 0, WHOLE_DAY)
     w = bs.windows(bins, bs.day_windows(0, WHOLE_DAY), BIN, 0)
-    return _long(bs.bin_ratios(w), (*DAY, "window", "spread_x_ns", "mid2_x_ns", "touch_x_ns", "tw_spread_cents", "tw_spread_bps", "depth10", "one_sided_share"), 3.7e-9)
+    sums, ratios = ("spread_x_ns", "mid2_x_ns", "touch_x_ns"), ("tw_spread_cents", "tw_spread_bps", "depth10", "one_sided_share")
+    return _long(bs.bin_ratios(w, True), (*DAY, "window", *sums, *ratios), True)
 
 
 def level_profile(spark, d):
@@ -137,7 +145,7 @@ def km_median(spark, d):
 
 
 def survival_grid(spark, d):
-    return _long(lc.survival_grid(lc.lives(ad.tape(spark, d)), "cancelled", 1_000_000_000, 5, 7), None)
+    return _long(lc.survival_grid(lc.lives(ad.tape(spark, d)), 1_000_000_000, 5, 7), None)
 
 
 def lifetime_quantiles(spark, d):
@@ -146,7 +154,11 @@ def lifetime_quantiles(spark, d):
 
 
 def cancel_to_trade(spark, d):
-    return _long(lc.cancel_to_trade(ad.tape(spark, d)), None)
+    return _long(lc.cancel_to_trade(ad.tape(spark, d), TAPE_OPEN, TAPE_CLOSE), None)
+
+
+def lifecycle_summary(spark, d):
+    return _long(lc.summarize(ad.tape(spark, d), _tape_book(spark, d)), None)
 
 
 def _pairs(spark, d):
@@ -242,8 +254,13 @@ def universe_deciles(spark, d):
 
 
 def level_identity(spark, d):
-    book = ad.book(spark, d)
-    return _long(cs.levels_agree(cs.cut_levels(book, 1), book, WHOLE_DAY), None)
+    """The tape's day from a file of ten levels and from one of a single level that begins three messages later; symbol 3 has
+    rows without bids in the second."""
+    ten = ad.tape(spark, d).join(ad.book(spark, d).select("seq", "asks", "bids"), "seq")
+    one = cs.cut_levels(ten, 1).withColumn("k", F.row_number().over(bs.by_seq())).where("k > 3").drop("k")
+    wrong = (F.col("symbol") == 3) & (F.col("seq") % 50 == 0)
+    one = one.withColumn("bids", F.when(wrong, F.slice("bids", 1, 0)).otherwise(F.col("bids")))
+    return _long(cs.levels_agree(one, ten, TAPE_CLOSE), None)
 
 
 def _disturbed(book: DataFrame) -> DataFrame:
@@ -339,7 +356,8 @@ def stream_book(spark, d):
 
 _ALL = (
     tw_spread_bins, tw_session_bins, tw_event_counts, tw_day_windows, level_profile, cent_profile, ofi_events, ofi_day, ofi_calendar, ofi_event_clock, ofi_ols, ofi_depth_scaling, ofi_first_look,
-    lifecycle_orders, lifecycle_ends, fill_by_distance, size_lots, km_curve, km_median, survival_grid, lifetime_quantiles, cancel_to_trade, forecast_pairs, decay, regimes, cost_verdict,
+    lifecycle_orders, lifecycle_ends, fill_by_distance, size_lots, km_curve, km_median, survival_grid, lifetime_quantiles, cancel_to_trade,
+    lifecycle_summary, forecast_pairs, decay, regimes, cost_verdict,
     asof_quote, lee_ready, trade_spreads, quoted_spread, taq_summary, decile_choose, decile_medians, spread_audit, universe_place, universe_deciles, level_identity, depth_decomposition, error_budget,
     validation_streaks, validation_hourly, clean_replay_levels, front_of_queue, clean_replay_stats, fifo_allocation, lobster_repair_replay, filter_view, itch_decode, stream_ofi_calendar, stream_book,
 )

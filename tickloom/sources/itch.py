@@ -146,7 +146,7 @@ def describe_itch(feed: DataFrame) -> DataFrame:
 
 def as_feed(feed: DataFrame) -> DataFrame:
     """Feed rows keyed for replay: one book a locate, one day a file."""
-    return feed.select(F.col("stock_locate").alias("symbol"), F.abs(F.hash("file")).cast("bigint").alias("day"), "seq", "time_ns", "kind", "order_ref", "new_order_ref", "side", "shares", "price")
+    return feed.select(F.col("stock_locate").alias("symbol"), F.col("file").alias("day"), "seq", "time_ns", "kind", "order_ref", "new_order_ref", "side", "shares", "price")
 
 
 def _store(path: str) -> tuple:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.exact import DAY, hms
@@ -27,11 +29,19 @@ def missing(c: Column) -> Column:
     return c.isNull() | F.upper(F.trim(c.cast("string"))).isin("", "NAN", "NA", "NAT", "NONE", "<NA>")
 
 
+def _raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, row, value): lines of text files, in file order by block and row. Large files are split as Spark splits them."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    at = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "file"), ("file_block_start", "block"))]
+    return lines.select(*at, F.monotonically_increasing_id().alias("row"), "value")
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq, fields) of CSV files without header. A file is one task's, so that seq is the order of its lines."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("name"), F.split("value", "\r?\n").alias("lines"))
-    rows = whole.select("name", F.posexplode("lines").alias("seq", "line")).where(F.trim("line") != "")
-    return rows.select("name", F.col("seq").cast("bigint").alias("seq"), F.split("line", ",").alias("f"))
+    """(name, seq, f) of CSV files without header: seq is a line's number in its file, f its fields. Blank lines are left out."""
+    rows = _raw_lines(spark, path).where(F.trim("value") != "")
+    seq = F.row_number().over(Window.partitionBy("file").orderBy("block", "row")) - 1
+    name = F.regexp_extract("file", "([^/]+)$", 1).alias("name")
+    return rows.select(name, seq.cast("bigint").alias("seq"), F.split(F.rtrim("value"), ",").alias("f"))
 
 
 def _named(rows: DataFrame) -> DataFrame:
@@ -90,37 +100,60 @@ def read_trades(spark: SparkSession, path: str) -> DataFrame:
 
 
 def iso_date(text: Column) -> Column:
-    """20120621, 2012-06-21 and 6/21/2012 to 2012-06-21; anything else to null."""
+    """20120621, 2012-06-21 and 6/21/2012 (the last two with anything after them) to 2012-06-21; anything else to null."""
     t = F.trim(text)
-    us = lambda k: F.lpad(F.regexp_extract(t, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", k), 2, "0")
-    return F.when(t.rlike(r"^\d{8}$"), F.concat_ws("-", t.substr(1, 4), t.substr(5, 2), t.substr(7, 2))).when(t.rlike(r"^\d{4}-\d\d-\d\d$"), t).when(t.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.concat_ws("-", F.regexp_extract(t, r"(\d{4})$", 1), us(1), us(2)))
+    plain, dashed, slashed = r"^(\d{4})(\d{2})(\d{2})$", r"^(\d{4})-(\d{2})-(\d{2})", r"^(\d{1,2})/(\d{1,2})/(\d{4})"
+    part = lambda pattern, k: F.lpad(F.regexp_extract(t, pattern, k), 4 if pattern != slashed and k == 1 else 2, "0")
+    joined = lambda pattern: F.concat_ws("-", *[part(pattern, k) for k in (1, 2, 3)])
+    turned = F.concat_ws("-", F.regexp_extract(t, slashed, 3), part(slashed, 1), part(slashed, 2))
+    return F.when(t.rlike(plain), joined(plain)).when(t.rlike(dashed), joined(dashed)).when(t.rlike(slashed), turned)
 
 
 def number(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), ",", "").try_cast("double")
 
 
+#: Delimiters of activity files; of those that a header has equally often the first counts.
+_MARKS = (",", "|", "\t", ";")
+#: Files up to which the table of their headers is broadcast; more of them are joined by shuffling.
+BROADCAST_FILES = 20_000
+
+
 def read_activity(spark: SparkSession, path: str, date: str, tickers: list[str] | None = None) -> DataFrame:
     """Daily activity records of any delimited file below `path`: ticker, date, and `fields`, a map of numbers by column name.
 
-    The delimiter is the commonest of comma, pipe, tab and semicolon in the header (ties: the first of these); files without
-    ticker and date columns are skipped; columns in ('000) are multiplied out; of one ticker the last file and row counts.
+    The delimiter is the commonest of comma, pipe, tab and semicolon in the header (ties: the first of these); cells may be
+    quoted. Ticker and date columns are found whatever their case, and files without them are skipped. A row counts if it
+    reaches both; cells that it lacks are null, and those beyond the header are left out. Columns in ('000) are multiplied out; of
+    one ticker the last file and row counts.
     """
-    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("lines"))
-    whole = whole.where(F.lower("file").rlike(r"\.(csv|txt|psv|tsv)$"))
-    head = F.regexp_replace(F.get("lines", F.lit(0)), "^﻿", "")
-    marks = [",", "|", "\t", ";"]
-    best = F.array_max(F.array(*[F.struct((F.length(head) - F.length(F.translate(head, m, ""))).alias("n"), F.lit(-i).alias("i"), F.lit(m).alias("m")) for i, m in enumerate(marks)]))["m"]
-    pattern = F.concat(F.lit("\\Q"), best, F.lit("\\E"))
-    trimmed = lambda a: F.transform(a, lambda x: F.trim(F.regexp_replace(x, '^"|"$', "")))
-    rows = whole.select("file", trimmed(F.split(head, pattern)).alias("names"), pattern.alias("pattern"), F.posexplode("lines").alias("row", "line")).where((F.col("row") > 0) & (F.trim("line") != ""))
-    rows = rows.where(F.array_contains("names", "Ticker") & F.array_contains("names", "Date")).withColumn("cells", trimmed(F.split("line", F.col("pattern")))).where(F.size("cells") == F.size("names"))
-    cell = lambda n: F.get("cells", (F.array_position("names", n) - 1).cast("int"))
-    scaled = F.map_from_entries(F.transform(F.arrays_zip("names", "cells"), lambda x: F.struct(x["names"], number(x["cells"]) * F.when(F.contains(x["names"], F.lit("('000)")), 1000).otherwise(1))))
-    rows = rows.select("file", "row", F.upper(cell("Ticker")).alias("ticker"), iso_date(cell("Date")).alias("date"), scaled.alias("fields")).where(F.col("date") == date)
+    lines = _raw_lines(spark, path).where(F.lower("file").rlike(r"\.(csv|txt|psv|tsv)$"))
+    head = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "row").alias("head"), F.min("row").alias("head_row"))
+    head = head.withColumn("head", F.regexp_replace("head", "^\ufeff", ""))
+    found = lambda i, m: F.struct(F.length("head") - F.length(F.translate("head", m, "")), F.lit(-i), F.lit(m).alias("m"))
+    head = head.withColumn("mark", F.array_max(F.array(*[found(i, m) for i, m in enumerate(_MARKS)]))["m"])
+    cells = F.split("head", F.concat(F.lit("\\Q"), "mark", F.lit("\\E")))
+    head = head.withColumn("names", F.transform(cells, lambda x: F.trim(F.regexp_replace(F.trim(x), '^"|"$', ""))))
+    place = lambda name: F.array_position(F.transform("names", F.lower), name) - 1
+    head = head.select("file", "head_row", "mark", "names", *[place(n).cast("int").alias(n) for n in ("ticker", "date")])
+    head = head.where("ticker >= 0 AND date >= 0")
+    seen = head.agg(F.max(F.size("names")).alias("width"), F.count("*").alias("files")).first()
+    names = [f"c{i}" for i in range(seen["width"] or 0)]
+    if not names:
+        return spark.createDataFrame([], "ticker string, date string, fields map<string,double>")
+    head = F.broadcast(head) if seen["files"] <= BROADCAST_FILES else head
+    rows = lines.join(head, "file").where("row != head_row")
+    parsed = lambda m: F.from_csv("value", ", ".join(f"{c} string" for c in names), {"sep": m})
+    row = reduce(lambda a, m: F.when(F.col("mark") == m, parsed(m)).otherwise(a), _MARKS[1:], parsed(_MARKS[0]))
+    rows = rows.withColumn("csv", row).withColumn("cells", F.array(*[f"csv.{c}" for c in names]))
+    times = lambda name: F.when(F.contains(name, F.lit("('000)")), 1000).otherwise(1)
+    entry = lambda x, i: F.struct(x, number(F.get("cells", i)) * times(x))
+    fields = F.map_from_entries(F.transform("names", entry)).alias("fields")
+    ticker, day = F.upper(F.trim(F.get("cells", "ticker"))).alias("ticker"), iso_date(F.get("cells", "date")).alias("date")
+    rows = rows.select("file", "block", "row", ticker, day, fields).where((F.col("date") == date) & F.col("ticker").isNotNull())
     if tickers is not None:
         rows = rows.where(F.col("ticker").isin([t.upper() for t in tickers]))
-    return rows.groupBy("ticker", "date").agg(F.max_by("fields", F.struct("file", "row")).alias("fields"))
+    return rows.groupBy("ticker", "date").agg(F.max_by("fields", F.struct("file", "block", "row")).alias("fields"))
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
