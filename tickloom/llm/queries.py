@@ -61,7 +61,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive all pages, copy the archive with some bytes gone bad, and find the records that the copy has wrong.
+    """Archive all pages with a gzip member a record, copy the archive with some bytes gone bad, and find what the copy has wrong.
 
     Bad are the last bytes of pages whose URL's MD5 begins below 05. Archive and copy are deleted when they are read.
     """
@@ -70,12 +70,12 @@ def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     record_id = F.concat(F.lit("<urn:x-page:"), F.md5(F.concat_ws(":", number, "url")), F.lit(">"))
     record = warc.record_text(record_id, F.col("url"), F.col("html"), {"X-Page-Id": number})
     path, copy = fresh_path(spark, "warc"), fresh_path(spark, "warc-copy")
-    warc.write_warc(pages, record, path)
+    warc.write_warc(pages, record, path, gzipped=True)
     h = F.col("headers")
     named = [h["x-page-id"].cast("bigint").alias("page_id"), F.md5("uri").alias("mark"), h["warc-payload-digest"].alias("digest")]
-    index = written(warc.read_warc(spark, path, payload=False).select("file", "seq", "start", "length", *named), "warc-index")
+    index = written(warc.read_warc(spark, path, payload=False).select("file", "seq", "start", "length", "size", *named), "warc-index")
     rotten = index.where("mark < '05'").select("file", (F.col("start") + F.col("length") - 5).alias("at"))
-    warc.copy_archive(warc.flip_bytes(warc.read_files(spark, path), rotten), copy)
+    warc.copy_archive(warc.flip_bytes(warc.read_files(spark, path), rotten), copy, gzipped=True)
     leaves = written(warc.leaf_hashes(warc.read_files(spark, path), index), "warc-leaves")
     others = written(warc.leaf_hashes(warc.read_files(spark, copy), index), "warc-leaves")
     bad = warc.audit(leaves, others)
@@ -83,7 +83,7 @@ def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     delete(spark, path, copy)
     marked = index.join(bad.select("file", "seq", F.lit(True).alias("bad")), ["file", "seq"], "left")
     damaged = F.coalesce("bad", F.lit(False)).alias("damaged")
-    return marked.select("page_id", F.col("length").alias("record_bytes"), F.substring("digest", 8, 64).alias("payload_sha256"), damaged)
+    return marked.select("page_id", F.col("size").alias("record_bytes"), F.substring("digest", 8, 64).alias("payload_sha256"), damaged)
 
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

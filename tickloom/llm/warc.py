@@ -139,32 +139,32 @@ def _unpacked(raw: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), min(at, len(raw)) - len(member.unused_data)
 
 
-def _cut(raw: bytes) -> Iterator[tuple[int, int, bytes, dict[str, str]]]:
-    """(offset, length, payload, headers) of every record of a file, plain or with a gzip member a record."""
+def _cut(raw: bytes) -> Iterator[tuple[int, int, int, bytes, dict[str, str]]]:
+    """(offset, length in the file, size, payload, headers) of every record of a file, plain or with a gzip member a record."""
     at, gzipped = 0, raw[:2] == b"\x1f\x8b"
     size = len(raw.rstrip(b"\0")) if gzipped and raw[-1] == 0 else len(raw)
     while at < size:
         if gzipped:
             data, end = _unpacked(raw, at)
             body, fields = _headers(data, 0)
-            yield at, end - at, data[body : body + int(fields["content-length"])], fields
+            yield at, end - at, len(data), data[body : body + int(fields["content-length"])], fields
         else:
             body, fields = _headers(raw, at)
             end = body + int(fields["content-length"]) + len(_END)
             if end > size:
                 raise ValueError(f"record at byte {at} is cut off")
-            yield at, end - at, raw[body : end - len(_END)], fields
+            yield at, end - at, end - at, raw[body : end - len(_END)], fields
         at = end
 
 
 _RECORD = {
-    "file": pa.string(), "seq": pa.int32(), "start": pa.int64(), "length": pa.int64(), "record_id": pa.string(),
-    "uri": pa.string(), "headers": pa.map_(pa.string(), pa.string()), "payload": pa.binary(),
+    "file": pa.string(), "seq": pa.int32(), "start": pa.int64(), "length": pa.int64(), "size": pa.int64(),
+    "record_id": pa.string(), "uri": pa.string(), "headers": pa.map_(pa.string(), pa.string()), "payload": pa.binary(),
 }
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records of an archive: file, seq, start, length (bytes in the file), record_id, uri, headers, payload.
+    """Records of an archive: file, seq, start, length (bytes in the file), size (bytes of the record), record_id, uri, headers, payload.
 
     Each file is one task's; payloads are bytes, or null where `payload` is false. Files of gzip members are
     recognised, and start and length are then those of the member. A file that is not WARC fails the query. A header that a
@@ -175,9 +175,9 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows, size = [], 0
-                for seq, (at, length, body, fields) in enumerate(_cut(content.as_py())):
+                for seq, (at, length, whole, body, fields) in enumerate(_cut(content.as_py())):
                     known = (fields.get("warc-record-id"), fields.get("warc-target-uri"), [*fields.items()])
-                    rows.append((name, seq, at, length, *known, body if payload else None))
+                    rows.append((name, seq, at, length, whole, *known, body if payload else None))
                     size += len(body) if payload else 0
                     if len(rows) == 500 or size > FILE_BYTES:
                         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), _RECORD.values())], [*_RECORD])
@@ -185,7 +185,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
                 if rows:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), _RECORD.values())], [*_RECORD])
 
-    kinds = "file string, seq int, start bigint, length bigint, record_id string, uri string"
+    kinds = "file string, seq int, start bigint, length bigint, size bigint, record_id string, uri string"
     return read_files(spark, path).mapInArrow(parse, f"{kinds}, headers map<string,string>, payload binary")
 
 
