@@ -17,13 +17,13 @@ from tickloom.llm.hashing import (
 #: A word with a larger counter is in lists only together with each of the next words of its line's prefix.
 HEAVY = 1024
 #: Most words of a line that is listed so; longer ones have lists of single words, and those near the bound have both.
-PAIRED_WORDS = 128
-#: Keys of a class, the rarest first, by which it tries the earliest of a list before all others.
+PAIRED_WORDS = 256
+#: Keys of a class, the rarest first, by which it tries one of a list, the class of most lines, before all others.
 TRIED = 4
 #: Ids of settled classes up to which their table is broadcast (8 bytes each); more of them are joined by shuffling.
 BROADCAST_IDS = 1_000_000
-#: Lines with a word: each match starts at the start of a line.
-_LINE = r"(?:^|\n)[\t\x0B\f\r ]*+[^\t\n\x0B\f\r ]"
+#: A character of a word.
+_WORD = "[^\\x20\\x09-\\x0D]"
 
 
 def _line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -147,8 +147,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
 
     Lines of equal sets are one class with its first place. Words are ordered rare first, by counters over all lines;
     classes that share a key of their prefix meet, after filters by length, position and signature (a lower bound of the sets'
-    difference). First every class tries the earliest of its first TRIED lists; classes that have an earlier match then are
-    settled. The others try all of their lists. Sets are read from the texts for pairs that pass, and verified.
+    difference). First every class tries one class of its first TRIED lists, that of most lines (which in a swarm of near copies
+    is the unchanged line); classes that have an earlier match then are settled. The others try all of their lists. Sets are read from the texts for pairs that pass, and verified.
     Only documents that may lose a line are shuffled with their texts. Sets are compared by 64-bit hashes of words,
     and in lists a class goes by a 64-bit hash.
     """
@@ -164,10 +164,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     lines = written(wide.select("doc", "h", "line", "node"), "lines")
     discard(wide)
 
-    doc = F.coalesce("at.doc", F.lit((1 << 63) - 1)).alias("doc")
-    x = classes.select("id", "n", "sig", doc, F.inline(F.slice("keys", 1, TRIED)))
-    early = [F.min_by(c, "doc").alias(c) for c in ("id", "n", "sig", "pos")]
-    y = x.groupBy("key").agg(*early, F.count("*").alias("all")).where("all > 1").alias("y")
+    early = F.when(F.col("at.doc") >= 0, 1 / (2 + F.col("at.doc"))).otherwise(F.lit(0.0))
+    x = classes.select("id", "n", "sig", (F.col("times") + early).alias("most"), F.inline(F.slice("keys", 1, TRIED)))
+    one = [F.max_by(c, "most").alias(c) for c in ("id", "n", "sig", "pos")]
+    y = x.groupBy("key").agg(*one, F.count("*").alias("all")).where("all > 1").alias("y")
     tried = x.alias("x").join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.id") != F.col("y.id")) & _passes(percent))
     settled = _late(tried.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), classes, texts, percent)
 
@@ -192,13 +192,14 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     carried = [c for c in docs.columns if c.lower() != "deduped"]
     whole, k, t = (free_name(docs, c) for c in ("dedup_text", "dedup_key", "dedup_text_hash"))
     rows = docs.select(*carried, F.col(text).alias(whole), F.col(key).cast("bigint").alias(k), F.xxhash64(text).alias(t))
-    count = F.coalesce(F.regexp_count(whole, F.lit(_LINE)), F.lit(0)).cast("bigint").alias("n_lines")
+    split = F.split(whole, "\n", -1)
+    worded = F.size(F.filter(split, lambda x: F.rlike(x, F.lit(_WORD))))
+    count = F.when(F.col(whole).isNull(), 0).otherwise(worded).cast("bigint").alias("n_lines")
     named = losing.select(F.col(d).alias(k), F.col(g).alias(t))
     kept_all = F.struct(F.col(whole).alias("text"), count, F.lit(0).cast("bigint").alias("n_removed")).alias("deduped")
     untouched = surely_out(rows, named, k, t).select(*carried, kept_all)
     touched = maybe_in(rows, named, k, t).join(losing, F.col(k).eqNullSafe(F.col(d)) & (F.col(t) == F.col(g)), "left")
     touched = touched.withColumn(n, F.coalesce(gone, F.array().cast("array<int>")))
-    split = F.split(whole, "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), n), lambda i: F.get(split, i))
     shown = F.when(F.size(n) == 0, F.col(whole)).otherwise(F.array_join(kept, "\n")).alias("text")
     cut = F.struct(shown, count, F.size(n).cast("bigint").alias("n_removed")).alias("deduped")
