@@ -8,13 +8,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import free_name, texts_of
+from tickloom.llm.common import discard, free_name, fresh_path, texts_of, written
 
-#: UTF-8 bytes of benchmark text whose patterns one search holds; a larger benchmark is searched block after block.
-BLOCK_BYTES = 16_000_000
+#: UTF-8 bytes of distinct benchmark texts whose patterns one search holds (some 100 bytes of tables for each of them); a
+#: larger benchmark is searched block after block.
+BLOCK_BYTES = 4_000_000
+#: Slices of the benchmark's hash order, in which running bytes are summed.
+_SLICES = 1_024
 
 #: Bytes of words to themselves, A-Z to a-z, all others to a space. Bytes of characters over U+007F are word bytes.
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -32,12 +35,12 @@ class _Search:
         self.length, self.block = length, min(2, length)
         self.default = length - self.block + 1
         self.shift: dict[tuple[bytes, ...], int] = {}
-        self.bucket: dict[tuple[bytes, ...], dict[bytes, list[tuple[tuple[bytes, ...], list[int]]]]] = defaultdict(lambda: defaultdict(list))
+        self.bucket: dict[tuple[bytes, ...], list[tuple[tuple[bytes, ...], list[int]]]] = defaultdict(list)
         for words, items in patterns.items():
             for end in range(self.block, length + 1):
                 key = words[end - self.block : end]
                 self.shift[key] = min(self.shift.get(key, self.default), length - end)
-            self.bucket[words[-self.block :]][words[0]].append((words, items))
+            self.bucket[words[-self.block :]].append((words, items))
 
     def find(self, words: list[bytes]) -> Iterator[tuple[int, list[int]]]:
         """(start, items) of every occurrence."""
@@ -49,11 +52,11 @@ class _Search:
             if step:
                 end += step
                 continue
-            start = end - m
-            tests = self.bucket[key].get(words[start]) if key in self.bucket else None
-            if tests:
-                here = tuple(words[start:end])
-                for pattern, items in tests:
+            start, here = end - m, None
+            first = words[start]
+            for pattern, items in self.bucket.get(key, ()):
+                if pattern[0] == first:
+                    here = here or tuple(words[start:end])
                     if pattern == here:
                         yield start, items
             end += 1
@@ -83,46 +86,75 @@ def search_text(text: str, searches: list[_Search]) -> tuple[int, np.ndarray, se
     return len(words), np.cumsum(edges[:-1]) > 0, items
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _blocks(items: DataFrame, block_bytes: int) -> DataFrame:
+    """(text, ids, block) of distinct texts (id, text): a block closes with the text that fills it, so only one larger than a
+    block makes it larger. Running bytes are summed by slice of the hash order, then within slices."""
+    texts = items.groupBy("text").agg(F.collect_set("id").alias("ids")).withColumn("size", F.octet_length("text").cast("bigint"))
+    texts = texts.withColumn("h", F.xxhash64("text")).withColumn("slice", F.pmod("h", F.lit(_SLICES)))
+    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = texts.groupBy("slice").agg(F.sum("size").alias("bytes"))
+    sums = sums.select("slice", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("slice").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    return texts.join(F.broadcast(sums), "slice").select("text", "ids", F.floor(upto / block_bytes).alias("block"))
+
+
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    window: int = 10, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """`docs` with a struct column `contamination`: n_words, n_hit, spans, item_ids and contaminated.
 
     A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window. `spans`
     are the maximal runs of hit words as (first, count); `item_ids` are the found ids as strings, sorted and distinct.
     Null and empty texts have no words and no hits; null items are skipped; an item without id makes hits but is not
-    named; items with equal ids count once; an empty benchmark finds nothing. Rows of `docs` are independent and are
-    never shuffled; a column of theirs called `contamination` is replaced.
+    named; items with equal ids count once; an empty benchmark finds nothing. Very long texts are searched in whole.
+    Rows of `docs` are independent, repeated ones too, and are never shuffled; a column called `contamination` is replaced.
 
-    The benchmark's size is measured first. Up to `block_bytes` of text its tables go to all tasks; a larger one is
-    cut into blocks of that size, and the documents pass the blocks one after the other, so no task ever holds
-    the tables of more than one block.
+    The benchmark's distinct texts are cut into blocks of `block_bytes`. The documents pass the blocks one after the
+    other, so no task ever holds the tables of more than one block, which a worker builds once.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-int(total) // block_bytes))
-    part = F.pmod(F.xxhash64("text"), F.lit(blocks))
+    blocked = written(_blocks(items, block_bytes), "benchmark-blocks")
+    numbers = [r["block"] for r in blocked.select("block").distinct().orderBy("block").collect()]
     hits, ids, n_words, source = (free_name(docs, c) for c in ("hit_bits", "hit_ids", "n_words_seen", "searched_text"))
     carried = [c for c in docs.columns if c.lower() != "contamination"]
-    rows = docs.select(*carried, F.col(text).alias(source), F.lit(None).cast("binary").alias(hits), F.array().cast("array<string>").alias(ids), F.lit(0).cast("bigint").alias(n_words))
-    for k in range(blocks):
-        mine = [(r["id"], r["text"]) for r in items.where(part == k).toLocalIterator()] if blocks > 1 else [(r["id"], r["text"]) for r in items.collect()]
-        rows = rows.mapInArrow(_pass(spark.sparkContext.broadcast(mine), window, keep_text=k + 1 < blocks), rows.schema)
-        if k + 1 < blocks:
+    empty = [F.lit(None).cast("binary").alias(hits), F.array().cast("array<string>").alias(ids), F.lit(0).cast("bigint").alias(n_words)]
+    rows = docs.select(*carried, F.col(text).alias(source), *empty)
+    for k in numbers or [0]:
+        last = k == (numbers or [0])[-1]
+        mine = [(r["ids"], r["text"]) for r in blocked.where(F.col("block") == k).select("ids", "text").collect()]
+        rows = rows.mapInArrow(_pass(spark.sparkContext.broadcast(mine), fresh_path(spark, str(k)), window, keep_text=not last), rows.schema)
+        if not last:
             rows = rows.checkpoint()
+    discard(blocked)
 
     spans = F.expr(f"from_json(decode({hits}, 'UTF-8'), 'array<struct<first:bigint,count:bigint>>')")
     n_hit = F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, s: a + s["count"])
-    found = F.struct(
-        F.col(n_words).alias("n_words"), n_hit.alias("n_hit"), spans.alias("spans"), F.sort_array(F.array_distinct(ids)).alias("item_ids"), (F.size(spans) > 0).alias("contaminated")
-    )
+    named = F.sort_array(F.array_distinct(ids)).alias("item_ids")
+    found = F.struct(F.col(n_words).alias("n_words"), n_hit.alias("n_hit"), spans.alias("spans"), named, (F.size(spans) > 0).alias("contaminated"))
     return rows.select(*carried, found.alias("contamination"))
 
 
-def _pass(shared, window: int, keep_text: bool):
+#: The tables that a worker has built last, by name.
+_built: dict[str, list[_Search]] = {}
+
+
+def _searches(name: str, pairs: list[tuple[list[str], str]], window: int) -> list[_Search]:
+    """A block's tables, built once a worker: tasks reach this function, and with it the worker's own memory, by its name."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = build_searches(((k, t) for k, (_, t) in enumerate(pairs)), window)
+    return _built[name]
+
+
+def _pass(shared, name: str, window: int, keep_text: bool):
     """One pass of all rows over one block's tables; the last four columns are text, spans so far, ids so far, words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = shared.value
-        searches = build_searches(((k, t) for k, (_, t) in enumerate(pairs)), window)
+        searches = _searches(name, pairs, window)
         for batch in batches:
             *carried, text, bits, ids, _ = batch.columns
             n_words, new_bits, new_ids = [], [], []
@@ -132,9 +164,11 @@ def _pass(shared, window: int, keep_text: bool):
                     hit[span["first"] : span["first"] + span["count"]] = True
                 edges = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
                 n_words.append(n)
-                new_bits.append(json.dumps([{"first": a, "count": z - a} for a, z in zip(edges[::2].tolist(), edges[1::2].tolist())]).encode())
-                new_ids.append(i + [pairs[k][0] for k in numbers if pairs[k][0] is not None])
-            made = [text if keep_text else pa.nulls(len(text), text.type), pa.array(new_bits, pa.binary()), pa.array(new_ids, pa.list_(pa.string())), pa.array(n_words, pa.int64())]
+                runs = zip(edges[::2].tolist(), edges[1::2].tolist())
+                new_bits.append(json.dumps([{"first": a, "count": z - a} for a, z in runs]).encode())
+                new_ids.append(i + [x for k in numbers for x in pairs[k][0]])
+            made = [text if keep_text else pa.nulls(len(text), text.type), pa.array(new_bits, pa.binary())]
+            made += [pa.array(new_ids, pa.list_(pa.string())), pa.array(n_words, pa.int64())]
             yield pa.RecordBatch.from_arrays([*carried, *made], batch.schema.names)
 
     return run

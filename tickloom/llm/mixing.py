@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import free_name, written
+from tickloom.llm.common import discard, free_name, written
 
 #: Weights of sources in code-point order (null last), repeated.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -100,6 +100,7 @@ def mix_sources(docs: DataFrame, size: Column, source: str = "source", keys: tup
     last = state.join(more, F.col("source").eqNullSafe(F.col("ms")), "left").select(F.col("source").alias("ls"), F.coalesce("m", "last").alias("last"))
     cuts = info.join(last, F.col("source").eqNullSafe(F.col("ls")), "left").select(F.struct("source", "source_size", "weight", "target", "slices", "last").alias("mix_at"))
     cuts = lookup(written(cuts, "mix-cuts").withColumn("mix_key", F.col("mix_at.source")))
+    discard(queue, totals, info, edge, queued, state)
 
     info_at = free_name(docs, "mix_at")
     cuts = cuts.select(F.col("mix_at").alias(info_at), F.col("mix_key").alias(free_name(docs, "mix_key")))

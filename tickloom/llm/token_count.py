@@ -143,6 +143,13 @@ class MergeTable:
 _tables: dict[str, MergeTable] = {}
 
 
+def _table(path: str) -> MergeTable:
+    """A file's merges, read once a worker: tasks reach this function, and with it the worker's own memory, by its name."""
+    if path not in _tables:
+        _tables[path] = MergeTable(path)
+    return _tables[path]
+
+
 def token_counts(docs: DataFrame, tokenizer_file: str, text: str = "text", into: str = "n_tokens", batch_chars: int = 4_000_000) -> DataFrame:
     """`docs` with the number of tokens of each whole text in column `into` (long), which replaces one of that name.
 
@@ -157,9 +164,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, text: str = "text", into:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _tables.get(tokenizer_file)
-        if table is None:
-            table = _tables[tokenizer_file] = MergeTable(tokenizer_file)
+        table = _table(tokenizer_file)
         for batch in batches:
             out, group, size = [], [], 0
             for x in batch.column(batch.num_columns - 1):
