@@ -1,4 +1,8 @@
-"""A corpus in five stages: quality, near duplicates, benchmark passages, source mix, token ids."""
+"""A corpus in five stages: quality, near duplicates, benchmark passages, source mix, token ids.
+
+In every stage a null or empty text is a document without words, whole texts are read however long, an empty table gives an empty one,
+and other columns are carried unchanged. Null ids take part like others.
+"""
 
 from __future__ import annotations
 
@@ -17,24 +21,28 @@ MIN_QUALITY = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on their labels, scores MIN_QUALITY or more."""
+    """Documents that the classifier, fitted on their labels, scores MIN_QUALITY or more. Repeated rows share one score, so
+    all stay or none."""
     scored = score_quality(docs, table(spark, sf_dir, "labels"))
     return scored.where(F.col("quality_score") >= MIN_QUALITY).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each component of five-word-shingle Jaccard 0.8 or more."""
+    """One document, that of the least id (null last), of each component of five-word-shingle Jaccard 0.8 or more. Documents
+    without words all stay; rows with equal id and text stay once."""
     return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a ten-word window of a benchmark item."""
+    """Documents without a ten-word window of a benchmark item. Repeated rows are judged alike; so are documents without words,
+    which stay."""
     found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.where(~F.col("contamination.contaminated")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the source mix takes them."""
+    """Documents as often as the source mix takes them, twice at most; a null source is a source. Documents of no words stay or
+    go with their place in the shuffled queue."""
     turn = free_name(docs, "turn")
     copies = F.col("mix.copies")
     mixed = mix_sources(docs, word_count()).where(copies > 0)
@@ -42,11 +50,15 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token-id shards, written to the shared folder and read back: doc_id, start, n_tokens, ids_crc32."""
+    """Token-id shards, written to the shared folder and read back: doc_id, start, n_tokens, ids_crc32. Null ids come first,
+    repeated rows are repeated documents, and a document without words is the end id alone."""
     return token_digests(docs)
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("token_ids", token_ids)]
+STAGES = [
+    ("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix),
+    ("token_ids", token_ids),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
