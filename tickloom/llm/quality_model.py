@@ -26,8 +26,8 @@ FEATURES = 2 * DIM + 3
 MAX_TRAIN_ROWS = 20_000
 #: Buckets in one row of a task's partial sums; tokens handled in one go; words a worker remembers.
 _ROWS = 256
-_GROUP_TOKENS = 300_000
-_REMEMBERED = 400_000
+_GROUP_TOKENS = 100_000
+_REMEMBERED = 150_000
 
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]")
 

@@ -98,7 +98,7 @@ class ChunkEncoder:
     Arrow's dictionary encoding, and their ids are laid out by index.
     """
 
-    def __init__(self, path: str, remembered: int = 250_000, longest: int = 48):
+    def __init__(self, path: str, remembered: int = 100_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
