@@ -20,9 +20,18 @@ from tickloom.llm.queries import table, token_digests, word_count
 MIN_QUALITY = 0.3
 
 
+#: Rows of an Arrow batch: with all columns and whole texts the default of 10,000 takes too much of a worker's memory.
+BATCH_ROWS = 2_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on their labels, scores MIN_QUALITY or more. Repeated rows share one score, so
     all stay or none."""
+    _small_batches(spark)
     scored = score_quality(docs, table(spark, sf_dir, "labels"))
     return scored.where(F.col("quality_score") >= MIN_QUALITY).select(*docs.columns)
 
@@ -30,12 +39,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id (null last), of each component of five-word-shingle Jaccard 0.8 or more. Documents
     without words all stay; rows with equal id and text stay once."""
+    _small_batches(spark)
     return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a ten-word window of a benchmark item. Repeated rows are judged alike; so are documents without words,
     which stay."""
+    _small_batches(spark)
     found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.where(~F.col("contamination.contaminated")).select(*docs.columns)
 
@@ -52,6 +63,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-id shards, written to the shared folder and read back: doc_id, start, n_tokens, ids_crc32. Null ids come first,
     repeated rows are repeated documents, and a document without words is the end id alone."""
+    _small_batches(spark)
     return token_digests(docs)
 
 
