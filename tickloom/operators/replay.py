@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,28 +23,38 @@ class Refused(ValueError):
 
 
 class Book:
-    """Resting orders of one book: the state that a fold carries. Queues are insertion-ordered."""
+    """Resting orders of one book: the state that a fold carries. Queues are insertion-ordered; prices are kept sorted, best
+    first, and sizes summed by level."""
 
     def __init__(self):
         self.orders: dict[int, list] = {}
         self.queue: dict[int, dict[int, dict[int, None]]] = {BID: {}, ASK: {}}
+        self.total: dict[int, dict[int, int]] = {BID: {}, ASK: {}}
+        self.line: dict[int, list[int]] = {BID: [], ASK: []}  # prices, for bids with their signs turned
 
     def best(self, side: int) -> int | None:
-        at = self.queue[side]
-        return (max(at) if side == BID else min(at)) if at else None
+        line = self.line[side]
+        return -side * line[0] if line else None
 
     def prices(self, side: int) -> list[int]:
-        return sorted(self.queue[side], reverse=side == BID)
+        return [-side * x for x in self.line[side]]
+
+    def ahead(self, side: int, price: int, with_it: bool = False) -> list[int]:
+        """Prices of a side better than a price, or as good, best first."""
+        line = self.line[side]
+        end = (bisect_right if with_it else bisect_left)(line, -side * price)
+        return [-side * x for x in line[:end]]
 
     def crosses(self, side: int, price: int) -> bool:
         other = self.best(-side)
         return other is not None and (price >= other if side == BID else price <= other)
 
     def size_at(self, side: int, price: int) -> int:
-        return sum(self.orders[i][2] for i in self.queue[side].get(price, ()))
+        return self.total[side].get(price, 0)
 
     def top(self, side: int, k: int) -> list[dict]:
-        return [{"price": p, "size": self.size_at(side, p)} for p in self.prices(side)[:k]]
+        total = self.total[side]
+        return [{"price": -side * x, "size": total[-side * x]} for x in self.line[side][:k]]
 
     def add(self, oid: int, side: int, price: int, qty: int) -> None:
         if qty <= 0:
@@ -53,7 +64,13 @@ class Book:
         if self.crosses(side, price):
             raise Refused("crosses the book")
         self.orders[oid] = [side, price, qty]
-        self.queue[side].setdefault(price, {})[oid] = None
+        level = self.queue[side].get(price)
+        if level is None:
+            level = self.queue[side][price] = {}
+            self.total[side][price] = 0
+            insort(self.line[side], -side * price)
+        level[oid] = None
+        self.total[side][price] += qty
 
     def cancel(self, oid: int) -> int:
         if oid not in self.orders:
@@ -61,8 +78,11 @@ class Book:
         side, price, qty = self.orders.pop(oid)
         level = self.queue[side][price]
         del level[oid]
+        self.total[side][price] -= qty
         if not level:
-            del self.queue[side][price]
+            del self.queue[side][price], self.total[side][price]
+            line = self.line[side]
+            del line[bisect_left(line, -side * price)]
         return qty
 
     def reduce(self, oid: int, by: int) -> None:
@@ -70,7 +90,9 @@ class Book:
             raise Refused("id is unknown")
         if not 0 < by < self.orders[oid][2]:
             raise Refused("reduction is not below what rests")
-        self.orders[oid][2] -= by
+        order = self.orders[oid]
+        order[2] -= by
+        self.total[order[0]][order[1]] -= by
 
     def replace(self, oid: int, price: int, qty: int, new: int | None = None) -> None:
         if oid not in self.orders:
@@ -87,7 +109,7 @@ class Book:
 
     def execute(self, side: int, qty: int) -> list[tuple[int, int, int]]:
         """(id, price, size) fills of resting orders by price, then time."""
-        if not 0 < qty <= sum(o[2] for o in self.orders.values() if o[0] == side):
+        if not 0 < qty <= sum(self.total[side].values()):
             raise Refused("more than the side holds")
         fills = []
         while qty:
@@ -125,17 +147,16 @@ class Repaired:
         kind, side, price, size, oid, book = m["kind"], m["direction"], m["price"], m["size"], m["order_id"], self.book
         if kind >= 5:
             return
-        beyond = lambda a, b: a > b if side == BID else a < b
-        better = [p for p in book.prices(side) if beyond(p, price)][::-1]
+        better = book.ahead(side, price)[::-1]
         if (extra := len(better) - self.levels + 1) > 0:
             better.sort(key=lambda p: (side, p) not in self.seeded)
             self._evict(side, better[:extra], out)
         if kind == 1:
-            self._evict(-side, [p for p in book.prices(-side) if not beyond(p, price)], out)
+            self._evict(-side, book.ahead(-side, price, True), out)
             book.add(oid, side, price, size)
             return
         if kind == 4:
-            self._evict(side, [p for p in book.prices(side) if beyond(p, price)], out)
+            self._evict(side, book.ahead(side, price), out)
         if oid in book.orders:
             rests = book.orders[oid][2]
             if kind == 3:
@@ -201,40 +222,48 @@ class Feed:
                 book.reduce(oid, size)
 
 
-def _fold(rows: list[dict], state, kinds, levels: int, first: bool) -> pa.Table:
-    columns = defaultdict(list)
-    for k, m in enumerate(rows):
-        out = dict.fromkeys(FLAGS, 0)
-        if first and k == 0:
-            state.seed(m["seed_asks"], m["seed_bids"])
-        elif kinds is None or m["kind"] in kinds:
-            try:
-                state.step(m, out)
-                out["applied"] += 1
-            except Refused:
-                out["anomaly"] += 1
-                out["applied"] += kinds is not None
-        for c in (*DAY, "seq"):
-            columns[c].append(m[c])
-        columns["kind"].append(str(m["kind"]))
-        for f in FLAGS:
-            columns[f].append(int(out[f]))
-        columns["live"].append(len(state.book.orders))
-        columns["asks"].append(state.book.top(ASK, levels) if levels else None)
-        columns["bids"].append(state.book.top(BID, levels) if levels else None)
-    day = pa.string() if any(isinstance(d, str) for d in columns["day"][:1]) else pa.int64()
-    kinds_ = {"symbol": pa.int32(), "day": day, "kind": pa.string(), "asks": _PA_LEVELS, "bids": _PA_LEVELS}
-    names = [x.split()[0] for x in ("symbol", "day", "seq", "kind", *FLAGS, "live", "asks", "bids")]
-    return pa.table([pa.array(columns[c], kinds_.get(c, pa.int64())) for c in names], names)
-
-
-def _grouped(messages: DataFrame, make, kinds, levels: int, first: bool) -> DataFrame:
-    def run(table: pa.Table) -> pa.Table:
-        return _fold(table.sort_by("seq").to_pylist(), make(), kinds, levels, first)
+def _grouped(messages: DataFrame, make: Callable[[], object], kinds, levels: int, first: bool) -> DataFrame:
+    """One row a message: the fold of each symbol and day from a fresh state, over rows that stream past in order of seq.
 
-    day = "string" if dict(messages.dtypes)["day"] == "string" else "bigint"
+    A task holds one state and one batch of rows, however long a day is.
+    """
+    text_day = dict(messages.dtypes)["day"] == "string"
+    names = ("symbol", "day", "seq", "kind", *FLAGS, "live", "asks", "bids")
+    types = {"symbol": pa.int32(), "kind": pa.string(), "asks": _PA_LEVELS, "bids": _PA_LEVELS}
+    types |= {"day": pa.string()} if text_day else {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            columns = {c: [] for c in names}
+            for m in batch.to_pylist():
+                out = dict.fromkeys(FLAGS, 0)
+                begins = (m["symbol"], m["day"]) != key
+                if begins:
+                    key, state = (m["symbol"], m["day"]), make()
+                if first and begins:
+                    state.seed(m["seed_asks"], m["seed_bids"])
+                elif kinds is None or m["kind"] in kinds:
+                    try:
+                        state.step(m, out)
+                        out["applied"] += 1
+                    except Refused:
+                        out["anomaly"] += 1
+                        out["applied"] += kinds is not None
+                for c in (*DAY, "seq"):
+                    columns[c].append(m[c])
+                columns["kind"].append(str(m["kind"]))
+                for f in FLAGS:
+                    columns[f].append(int(out[f]))
+                columns["live"].append(len(state.book.orders))
+                columns["asks"].append(state.book.top(ASK, levels) if levels else None)
+                columns["bids"].append(state.book.top(BID, levels) if levels else None)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[c], types.get(c, pa.int64())) for c in names], names)
+
+    day = "string" if text_day else "bigint"
     keyed = messages.withColumn("symbol", F.col("symbol").cast("int")).withColumn("day", F.col("day").cast(day))
-    return keyed.groupBy(*DAY).applyInArrow(run, _FOLD.replace("day bigint", f"day {day}"))
+    ordered = keyed.repartition(*DAY).sortWithinPartitions(*DAY, "seq")
+    return ordered.mapInArrow(run, _FOLD.replace("day bigint", f"day {day}"))
 
 
 def replay_filtered(messages: DataFrame, reference: DataFrame, levels: int = 10) -> DataFrame:

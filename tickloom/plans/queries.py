@@ -161,16 +161,21 @@ def lifecycle_summary(spark, d):
     return _long(lc.summarize(ad.tape(spark, d), _tape_book(spark, d)), None)
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder, for what several branches read: it is made once."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _pairs(spark, d):
     """Forecast pairs of all horizons: pair columns with the horizon h."""
-    ev, states = _events(spark, d), _states(spark, d)
+    ev, states = _kept(_events(spark, d), "flow"), _kept(_states(spark, d), "states")
     out = []
     for h in HORIZONS:
         spreads = bs.bin_ratios(bs.time_weighted(states, h * SECOND, 0, WHOLE_DAY)).select(*DAY, F.col("bin").alias("bucket"), F.col("tw_spread_cents").alias("spread"))
         out.append(fc.pairs(of.calendar(ev, h * SECOND, 0, WHOLE_DAY), spreads).withColumn("h", F.lit(h)))
-    path = shared_path(spark, "pairs")  # several aggregates read the pairs: they are made once
-    reduce(DataFrame.unionByName, out).write.parquet(path)
-    return spark.read.parquet(path)
+    return _kept(reduce(DataFrame.unionByName, out), "pairs")
 
 
 def forecast_pairs(spark, d):
