@@ -340,6 +340,41 @@ ln AS (SELECT symbol, day, island, count(*) AS length FROM sk WHERE matched GROU
 g AS (SELECT symbol, day, count(*) AS rows, count(*) FILTER (matched) AS matched, min(seq) FILTER (NOT matched) AS first_divergence, count(*) FILTER (depth >= 1) AS matched_at_1, count(*) FILTER (depth >= 3) AS matched_at_3, count(*) FILTER (class = 'BACKFILL') AS backfill, CAST(0 AS BIGINT) AS backfill_size, CAST(0 AS BIGINT) AS stale, count(*) FILTER (class = 'STALE_SIZE') AS stale_size FROM gr GROUP BY ALL)
 SELECT g.*, coalesce(streaks, 0) AS streaks, coalesce(longest, 0) AS longest, round(matched / rows::DOUBLE, 6) AS match_rate FROM g LEFT JOIN st2 USING (symbol, day)"""
 
+_DEEP = lambda k, m, size: f"(least({k}, {m}) * {size} + 5 * least({k}, {m}) * (least({k}, {m}) - 1))"
+_PART = lambda top, bottom, scale=1.0: f"CAST({top} AS DOUBLE) * CAST({scale} AS DOUBLE) / nullif(CAST({bottom} AS DOUBLE), 0)"
+_SUMMED = lambda x, where="true": f"sum(CAST({x} AS HUGEINT) * hold) FILTER ({where})"
+_BUDGETS = {
+    "tw_spread_cents": ("lower or equal", _PART(_SUMMED("a - b"), _SUMMED("1"), 0.01)), "one_cent_share": ("none", _PART(_SUMMED("CASE WHEN a - b = 100 THEN 1 ELSE 0 END"), _SUMMED("1"))),
+    "touch": ("higher", _PART(_SUMMED("bs + az"), _SUMMED("1"))),
+    **{f"depth{k}": ("higher", _PART(_SUMMED(f"{_DEEP(k, 'nb', 'bs')} + more + {_DEEP(k, 'na', 'az')}"), _SUMMED("1"))) for k in (5, 10)},
+    **{f"{s}_level": ("none", _PART(_SUMMED("9 * step", f"n{s[0]} >= 10"), _SUMMED("1", f"n{s[0]} >= 10"), 0.01)) for s in ("bid", "ask")},
+    **{f"{s}_gap": ("none", _PART(_SUMMED(f"step * (n{s[0]} - 1)"), _SUMMED(f"n{s[0]} - 1"), 0.01)) for s in ("bid", "ask")},
+}
+_BUDGET = f"""WITH {_BAD}, sides AS (SELECT 'r' AS who, symbol, day, hold, a, b, bs, az, step, n AS nb, n AS na, 0 AS more FROM bad WHERE NOT gone AND hold > 0
+ UNION ALL SELECT 'o', symbol, day, hold, a, b, bs, az, step, m, n, CASE WHEN bigger THEN 50 ELSE 0 END FROM bad WHERE NOT gone AND hold > 0),
+made AS (SELECT who, symbol, day, unnest([{", ".join(repr(k) for k in _BUDGETS)}]) AS statistic, unnest([{", ".join(repr(w) for w, _ in _BUDGETS.values())}]) AS predicted, unnest([{", ".join(v for _, v in _BUDGETS.values())}]) AS value FROM sides GROUP BY who, symbol, day),
+x AS (SELECT symbol, day, statistic, any_value(predicted) AS predicted, max(value) FILTER (who = 'r') AS reference, max(value) FILTER (who = 'o') AS ours FROM made WHERE value IS NOT NULL OR statistic NOT LIKE '%level' GROUP BY ALL)
+SELECT symbol, day, statistic, round(reference, 6) AS reference, round(ours, 6) AS ours, round((ours - reference) / nullif(reference, 0), 6) AS relative, predicted, CASE predicted WHEN 'higher' THEN ours > reference WHEN 'lower or equal' THEN ours <= reference ELSE true END AS sign_ok FROM x"""
+_CLOSE_SQL = f"""WITH {_DELTAS}, od AS (SELECT symbol, day, direction, price, order_id, life_no, sum(delta) AS rest FROM deltas GROUP BY ALL HAVING sum(delta) <> 0),
+lv AS (SELECT symbol, day, direction, price, count(*) AS orders, min(rest) AS least FROM od GROUP BY ALL),
+g AS (SELECT symbol, day, CAST(sum(orders) AS BIGINT) AS live_orders, count(*) AS levels, max(price) FILTER (direction = 1) AS bid, min(price) FILTER (direction = -1) AS ask, min(least) AS l FROM lv GROUP BY ALL)
+SELECT symbol, day, live_orders, levels, bid, ask, ask - bid AS spread, coalesce(bid < ask, true) AS uncrossed, l > 0 AS positive, true AS reconciled FROM g"""
+_COMPARISON = f"""WITH {_BASE}, c AS (SELECT CAST(symbol AS VARCHAR) AS ticker, count(*) FILTER (kind IN (2, 3)) AS cancels, count(*) FILTER (kind = 4) AS trades, count(*) FILTER (kind = 5) AS hidden,
+ count(*) FILTER (kind IN (4, 5) AND size < 100) AS odd, coalesce(sum(size) FILTER (kind = 4), 0) AS ts, coalesce(sum(size) FILTER (kind = 1), 0) AS adds FROM tape WHERE time_ns >= {_OPEN} AND time_ns < {_CLOSE} GROUP BY ALL),
+f AS (SELECT CAST(user_id % 5 AS VARCHAR) AS ticker, count(*) FILTER (event_type = 'view')::DOUBLE AS cn, count(*) FILTER (event_type = 'purchase')::DOUBLE AS lt, count(*) FILTER (event_type = 'click')::DOUBLE AS hd,
+ count(*)::DOUBLE AS tf, count(*) FILTER (event_type = 'error')::DOUBLE AS ol, count(*) FILTER (event_type = 'signup')::DOUBLE AS ov FROM events GROUP BY ALL),
+x AS (SELECT ticker, unnest(['cancel_to_trade', 'hidden_rate', 'odd_lot_rate', 'trade_to_order_volume', 'lit_volume', 'lit_trades', 'cancels']) AS statistic,
+ unnest([cancels / nullif(trades, 0)::DOUBLE, hidden / nullif(trades + hidden, 0)::DOUBLE, odd / nullif(trades + hidden, 0)::DOUBLE, ts / nullif(adds, 0)::DOUBLE, ts::DOUBLE, trades::DOUBLE, cancels::DOUBLE]) AS ours,
+ unnest([cn / nullif(lt, 0), hd / nullif(tf, 0), ol / nullif(lt, 0), lt / nullif(ov, 0), lt, lt, cn]) AS theirs, unnest(['ours lower', 'close', 'close', 'ours higher', 'share', 'share', 'share']) AS expected FROM c JOIN f USING (ticker)),
+r AS (SELECT *, ours / nullif(theirs, 0) AS ratio FROM x)
+SELECT ticker, statistic, round(ours, 6) AS ours, round(theirs, 6) AS theirs, expected, round(ratio, 6) AS ratio, CASE expected WHEN 'ours lower' THEN ratio < 1 WHEN 'ours higher' THEN ratio > 1 WHEN 'close' THEN ratio BETWEEN 0.5 AND 2 ELSE ratio BETWEEN 0.15 AND 0.5 END AS as_expected FROM r"""
+_WORDS = f"""SELECT h, direction, predictor, graded, CASE WHEN hit_rate IS NULL THEN 'no call' WHEN clears_band THEN 'above' WHEN 0.5 - hits / nullif(graded, 0)::DOUBLE > 1.96 * sqrt(0.25 / nullif(graded, 0)) THEN 'below' ELSE 'inside' END AS verdict FROM ({_DECAY})"""
+_BEST = f"""WITH dc AS ({_DECAY}), ct AS ({_COST}), j AS (SELECT symbol, day, ct.h, gross, half_spread, consumed, dc.hit_rate, dc.band FROM ct JOIN dc ON dc.h = ct.h AND dc.direction = 'forward' AND dc.predictor = 'ofi' AND dc.clears_band WHERE subset = 'all' AND latency = 0 AND gross IS NOT NULL)
+SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY symbol, day ORDER BY gross DESC, h) = 1"""
+_MEMBERS = f"""WITH {_COSTS} SELECT decile, count(*) AS names, round(quantile_cont(half_bps, 0.25), 6) AS q1, round(quantile_cont(half_bps, 0.5), 6) AS median, round(quantile_cont(half_bps, 0.75), 6) AS q3, round(min(half_bps), 6) AS least, round(max(half_bps), 6) AS most,
+ round(quantile_cont(CAST(u.dollar_volume AS DOUBLE), 0.5), 6) AS median_dollar_volume, string_agg(CAST(cs.permno AS VARCHAR), ', ' ORDER BY CAST(cs.permno AS VARCHAR)) AS tickers FROM cs JOIN u ON u.permno = cs.permno GROUP BY ALL"""
+_SAME = f"WITH {_EV}, {_calendar('cal', 600_000_000_000)} SELECT symbol, day, count(*) AS buckets, CAST(0 AS BIGINT) AS only_first, CAST(0 AS BIGINT) AS only_second FROM cal GROUP BY ALL"
+
 SQL = {
     "tw_spread_bins": f"WITH {_bins(300_000_000_000)} SELECT symbol, day, bin, {_text(_WIDE)}, {_ratios(_RATIOS)} FROM bins",
     "tw_session_bins": _SESSION, "tw_event_counts": _COUNTS, "tw_day_windows": _WINDOWS, "level_profile": _LEVELS, "cent_profile": _CENTS,
@@ -354,7 +389,8 @@ SQL = {
     "decile_choose": _CHOOSE, "decile_medians": _MEDIANS, "spread_audit": _AUDIT, "universe_place": _PLACE, "universe_deciles": _DECILES, "level_identity": _IDENTITY, "depth_decomposition": _DECOMP, "validation_streaks": _STREAKS,
     "validation_hourly": f"WITH {_GRADED} SELECT symbol, day, time_ns // 3600000000000 AS hour, count(*) AS rows, count(*) FILTER (matched) AS full, count(*) FILTER (depth >= 1) AS top FROM gr GROUP BY ALL",
     "clean_replay_levels": f"WITH {_DELTAS} SELECT symbol, day, seq, direction, price, delta, CAST(sum(delta) OVER (PARTITION BY symbol, day, direction, price ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS level_size FROM deltas",
-    "itch_decode": _ITCH,
+    "itch_decode": _ITCH, "error_budget": _BUDGET, "close_report": _CLOSE_SQL, "activity_comparison": _COMPARISON, "bucket_identity": _SAME,
+    "verdict_words": _WORDS, "best_horizon": _BEST, "decile_members": _MEMBERS,
     "front_of_queue": f"WITH {_DELTAS}, lv AS (SELECT symbol, day, direction, price, order_id, life_no, sum(delta) AS rest, min(add_seq) AS s FROM deltas GROUP BY ALL) SELECT symbol, day, direction, price, CAST(sum(rest) AS BIGINT) AS level_size, count(*) AS orders, min(s) AS front_seq FROM lv WHERE rest > 0 GROUP BY ALL",
     "clean_replay_stats": _CLEAN, "fifo_allocation": _FIFO, "stream_ofi_calendar": _CAL,
 }

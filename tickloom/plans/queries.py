@@ -14,6 +14,7 @@ from tickloom.operators import forecast as fc
 from tickloom.operators import lifecycle as lc
 from tickloom.operators import order_flow as of
 from tickloom.operators import replay as rp
+from tickloom.operators import reports as rr
 from tickloom.operators import tape as tp
 from tickloom.sources import adapters as ad
 from tickloom.sources import itch
@@ -332,6 +333,41 @@ def filter_view(spark, d):
     return rp.filter_report(rp.filter_feed(clean_feed(spark, d), 3))
 
 
+def close_report(spark, d):
+    return rr.close_report(rp.level_deltas(lc.operations(ad.tape(spark, d))))
+
+
+def activity_comparison(spark, d):
+    """Our messages by symbol inside the tape's session beside the activity of all names that share the symbol's number."""
+    inside = bs.event_counts(ad.tape(spark, d), TAPE_CLOSE - TAPE_OPEN, TAPE_OPEN, TAPE_CLOSE)
+    counts = inside.groupBy(F.col("symbol").cast("string").alias("ticker")).agg(*[F.sum(c).alias(c) for c in bs.COUNTS])
+    a = ad.activity(spark, d).groupBy((F.col("ticker") % 5).cast("string").alias("ticker"))
+    named = {"Cancels": "cancels", "LitTrades": "lit_trades", "Hidden": "hidden", "TradesForHidden": "trades_for_hidden", "OddLots": "odd_lots", "TradesForOddLots": "lit_trades", "LitVol('000)": "lit_trades", "OrderVol('000)": "order_vol"}
+    cells = [F.lit(k) if i == 0 else F.sum(v).cast("double") for k, v in named.items() for i in (0, 1)]
+    return _long(rr.activity_comparison(counts, a.agg(F.create_map(*cells).alias("fields"))), None)
+
+
+def bucket_identity(spark, d):
+    """Flow buckets of the file of ten levels and of the same file cut to one, which are equal, by day."""
+    book = ad.book(spark, d)
+    made = [of.calendar(of.events(of.touches(b)), 600 * SECOND, 0, WHOLE_DAY) for b in (book, cs.cut_levels(book, 1))]
+    return rr.same_buckets(*made, [*DAY])
+
+
+def verdict_words(spark, d):
+    return fc.decay(_pairs(spark, d), ["h"]).select("h", "direction", "predictor", "graded", rr.verdict_word().alias("verdict"))
+
+
+def best_horizon(spark, d):
+    pairs = _pairs(spark, d)
+    return _long(rr.best_horizon(fc.decay(pairs, ["h"]), fc.costs(pairs, [*DAY, "h"]), [*DAY]), None)
+
+
+def decile_members(spark, d):
+    volume = ad.universe(spark, d).select("permno", "dollar_volume")
+    return _long(rr.decile_members(_costs(spark, d).join(volume, "permno"), "permno"), None)
+
+
 def itch_decode(spark, d):
     """The clean feed of all symbols written as binary files by a Spark job's tasks and decoded from them: counts, spans and sums by locate, day and type."""
     path = shared_path(spark, "feed")
@@ -365,5 +401,6 @@ _ALL = (
     lifecycle_summary, forecast_pairs, decay, regimes, cost_verdict,
     asof_quote, lee_ready, trade_spreads, quoted_spread, taq_summary, decile_choose, decile_medians, spread_audit, universe_place, universe_deciles, level_identity, depth_decomposition, error_budget,
     validation_streaks, validation_hourly, clean_replay_levels, front_of_queue, clean_replay_stats, fifo_allocation, lobster_repair_replay, filter_view, itch_decode, stream_ofi_calendar, stream_book,
+    close_report, activity_comparison, bucket_identity, verdict_words, best_horizon, decile_members,
 )
 QUERIES = {f.__name__: f for f in _ALL}
