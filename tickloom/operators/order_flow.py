@@ -49,22 +49,29 @@ def day_summary(ev: DataFrame) -> DataFrame:
 def calendar(ev: DataFrame, width: int, open_ns: int = OPEN, close_ns: int = CLOSE) -> DataFrame:
     """Buckets of a fixed width, empty ones too; the last ends at the close. Events before the open only move the mid, later than the close none.
 
-    A day whose events go back in time fails the query.
+    A day whose events go back in time fails the query. One aggregate over the events; all else is one row a bucket.
     """
-    back = F.col("time_ns") < F.lag("time_ns").over(by_seq())
-    rows = ev.withColumn("ok", F.when(back, F.raise_error(F.lit("events out of order"))).otherwise(F.lit(True))).where("ok").where(F.col("time_ns") < close_ns)
-    rows = rows.withColumn("bucket", F.when(F.col("time_ns") < open_ns, F.lit(-1).cast("bigint")).otherwise(F.expr(f"(time_ns - {open_ns}) div {width}")))
-    sums = rows.groupBy(*DAY, "bucket").agg(F.count("*").alias("n"), F.count_if(F.col("e") != 0).alias("u"), F.sum("e").alias("s"), F.sum(F.abs("e")).alias("a"), F.max_by("mid2", "seq").alias("last"), F.min_by(F.struct("mid2_prev", "seq"), "seq").alias("first"))
-    grid = spine(ev, open_ns, close_ns, width).withColumnRenamed("bin", "bucket")
-    grid = grid.unionByName(grid.select(*DAY).distinct().withColumn("bucket", F.lit(-1).cast("bigint")))
+    back = F.col("time_ns") < F.col("time_prev")
+    rows = ev.where(F.when(back, F.raise_error(F.lit("events out of order"))).otherwise(F.lit(True)))
+    early, late, at = F.lit(-1).cast("bigint"), F.lit(-2).cast("bigint"), F.expr(f"(time_ns - {open_ns}) div {width}")
+    rows = rows.withColumn("bucket", F.when(F.col("time_ns") < open_ns, early).when(F.col("time_ns") >= close_ns, late).otherwise(at))
+    sums = rows.groupBy(*DAY, "bucket").agg(
+        F.count("*").alias("n"), F.count_if(F.col("e") != 0).alias("u"), F.sum("e").alias("s"), F.sum(F.abs("e")).alias("a"),
+        F.max_by("mid2", "seq").alias("last"), F.min_by("mid2_prev", "seq").alias("first"),
+    )
+    days = sums.select(*DAY).distinct()
+    grid = spine(days, open_ns, close_ns, width).withColumnRenamed("bin", "bucket")
+    grid = grid.unionByName(days.withColumn("bucket", early))
     g = grid.join(sums, [*DAY, "bucket"], "left")
     order = Window.partitionBy(*DAY).orderBy("bucket")
-    start = F.first("first", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    g = g.withColumn("fallback", start["mid2_prev"])
-    g = g.withColumn("mid2_open", F.coalesce(F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "fallback"))
-    g = g.withColumn("mid2_close", F.coalesce(F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "fallback")).where("bucket >= 0")
+    upto = lambda end: F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, end))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    g = g.withColumn("fallback", F.first("first", ignorenulls=True).over(whole))
+    g = g.withColumn("mid2_open", F.coalesce(upto(-1), "fallback")).withColumn("mid2_close", F.coalesce(upto(0), "fallback"))
     begin = F.lit(open_ns) + F.col("bucket") * width
-    return measured(g.select(*DAY, "bucket", begin.alias("start_ns"), F.least(begin + width, F.lit(close_ns)).alias("end_ns"), F.coalesce("n", F.lit(0)).alias("n_events"), F.coalesce("u", F.lit(0)).alias("n_updates"), F.coalesce("s", F.lit(0)).alias("ofi"), F.coalesce("a", F.lit(0)).alias("abs_flow"), "mid2_open", "mid2_close"))
+    counts = [F.coalesce(c, F.lit(0)).alias(n) for c, n in (("n", "n_events"), ("u", "n_updates"), ("s", "ofi"), ("a", "abs_flow"))]
+    edges = [begin.alias("start_ns"), F.least(begin + width, F.lit(close_ns)).alias("end_ns")]
+    return measured(g.where("bucket >= 0").select(*DAY, "bucket", *edges, *counts, "mid2_open", "mid2_close"))
 
 
 def event_clock(ev: DataFrame, n: int) -> DataFrame:
