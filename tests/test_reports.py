@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import replay as rp
 from tickloom.operators import reports as rr
 from tickloom.operators.book_stats import COUNTS
-from tickloom.sources import itch, text_feeds
+from tickloom.sources import itch, results, text_feeds
 from tests.test_goldens import LEVELS
 
 
@@ -84,3 +84,16 @@ def test_feed_description_and_mismatch_text(spark, tmp_path):
     ours, reference = rows(8), rows(7)
     shown = rp.mismatches(rp.graded_rows(ours, reference, 5), ours, reference).collect()
     assert [(r["seq"], r["ours"], r["reference"]) for r in shown] == [(1, "100 x 8 | 101 x 5", "100 x 7 | 101 x 5")]
+
+
+def test_result_tables_and_discovery(spark, tmp_path):
+    decay = spark.createDataFrame([(1, "forward", "ofi", 0.5, 3)], "h int, direction string, predictor string, r2 double, graded int")
+    results.write_result(decay, "decay", f"file://{tmp_path}/ofi_decay_AAA.csv")
+    results.write_result(decay, "decay", f"file://{tmp_path}/ofi_decay_B.csv")
+    back = spark.read.csv(f"file://{tmp_path}/ofi_decay_B.csv", header=True)
+    assert tuple(back.columns) == results.RESULTS["decay"]
+    assert [back.first()[c] for c in ("horizon_s", "r2_oos", "both_nonzero", "trial_id")] == ["1", "0.5", "3", None]
+    assert [r[0] for r in results.tickers_with(spark, f"file://{tmp_path}", "ofi_decay_([^/]+)[.]csv").collect()] == ["AAA", "B"]
+    universe = spark.createDataFrame([(7, "X", 1.5, None, 3.0, 2, True), (8, "Y", None, 1.0, None, None, False)], "permno bigint, ticker string, close double, volume double, dollar_volume double, decile int, chosen boolean")
+    results.write_result(universe, "universe", f"file://{tmp_path}/universe")
+    assert sorted(map(tuple, results.read_universe(spark, f"file://{tmp_path}/universe").collect())) == sorted(map(tuple, universe.collect()))
