@@ -15,7 +15,7 @@ GROUP_BYTES = 1_000_000
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -46,7 +46,7 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(start, 64-bit hash) of the words of UTF-8 text: runs of anything but space and \\t-\\r, A-Z as a-z.
 
     A word's hash is a polynomial of its bytes, read off running sums, so that no word is touched by itself.
-    Long texts are worked off in pieces of about 1 MB that end at white space.
+    Long texts are worked off in pieces of about 256 KB that end at white space.
     """
     data = np.frombuffer(text.lower(), np.uint8)
     starts, hashes, at = [], [], 0

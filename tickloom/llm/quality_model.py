@@ -28,6 +28,8 @@ MAX_TRAIN_ROWS = 20_000
 _ROWS = 256
 _GROUP_TOKENS = 100_000
 _REMEMBERED = 150_000
+#: Words that a worker may keep from one batch to the next.
+_KEPT = 50_000
 
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]")
 
@@ -62,6 +64,8 @@ def _groups(column: pa.Array) -> Iterator[list[np.ndarray]]:
             group, size = [], 0
     if group:
         yield group
+    if len(_bucket) > _KEPT:
+        _bucket.clear()
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:

@@ -107,6 +107,10 @@ class ChunkEncoder:
         self.before: dict[bytes, bytes] = {}
         self.remembered, self.longest = remembered, longest
 
+    def forget(self) -> None:
+        """Give the memory back: a worker that waits for its next task holds no chunks."""
+        self.known, self.before = {}, {}
+
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
 
@@ -196,6 +200,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id:
                     size += len(b)
         if ids:
             yield shard()
+        encoder.forget()
 
     rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
     ranged = rows.repartitionByRange(F.col("k").asc_nulls_first(), "h").sortWithinPartitions(F.col("k").asc_nulls_first(), "h")
