@@ -21,7 +21,7 @@ MIN_QUALITY = 0.3
 
 
 #: Rows of an Arrow batch: with all columns and whole texts the default of 10,000 takes too much of a worker's memory.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 
 
 def _small_batches(spark: SparkSession) -> None:
