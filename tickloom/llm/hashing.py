@@ -65,13 +65,13 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.empty(0, np.int64), np.empty(0, np.uint64))
 
 
-def grouped(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts as UTF-8) of consecutive rows with about GROUP_BYTES of text; null counts as empty."""
+def grouped(column: pa.Array, size_of_group: int = GROUP_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts as UTF-8) of consecutive rows with about `size_of_group` bytes of text; null counts as empty."""
     first, group, size = 0, [], 0
     for i, x in enumerate(column):
         group.append((x.as_py() or "").encode("utf-8", "surrogatepass"))
         size += len(group[-1])
-        if size >= GROUP_BYTES:
+        if size >= size_of_group:
             yield first, group
             first, group, size = i + 1, [], 0
     if group:

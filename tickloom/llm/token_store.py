@@ -14,6 +14,7 @@ A shard is one row of a Parquet table, so that Spark's own writer commits it to
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -29,6 +30,8 @@ SAMPLE = 64
 #: Tokens and documents after which a shard is closed; one longer document is a shard of its own.
 SHARD_TOKENS = 1_000_000
 SHARD_DOCS = 50_000
+#: Bytes of text that are encoded in one go.
+GROUP_BYTES = 4_000_000
 
 #: Parts up to which the table with one row a part is broadcast (some 16 bytes each); more of them are joined by shuffling.
 BROADCAST_PARTS = 1_000_000
@@ -101,12 +104,19 @@ class ChunkEncoder:
     def __init__(self, path: str, remembered: int = 100_000, longest: int = 48):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each task has one core; the library's threads would take more
         self.library = Tokenizer.from_file(path)
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        # Where case is dropped and signs are apart from letters and digits before them, chunks can be folded (_folded).
+        signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+        self.folds = all(self._ids(f"Ab1{p} Zz{p}Yx") == self._ids(f"ab1 {p} zz {p}yx") for p in signs)
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.remembered, self.longest = remembered, longest
 
+    def _ids(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def forget(self) -> None:
         """Give the memory back: a worker that waits for its next task holds no chunks."""
         self.known, self.before = {}, {}
@@ -134,10 +144,13 @@ class ChunkEncoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end of each text among them)."""
-        data = np.frombuffer(b"\n".join(texts), np.uint8)
+        raw = b"\n".join(texts)
+        data = np.frombuffer(raw, np.uint8)
         white = WHITE[data]
         edges = np.flatnonzero(np.diff(np.concatenate(([True], white, [True]))))
         start, size = edges[::2], edges[1::2] - edges[::2]
+        if self.folds:
+            data, start, size = _folded(raw, data, start, size)
         offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
         buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data[~white])]
         coded = pa.Array.from_buffers(pa.large_binary(), len(size), buffers).dictionary_encode()
@@ -151,6 +164,28 @@ class ChunkEncoder:
         return flat[at], ends[np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))]
 
 
+_ALNUM, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_SIGN[33:127] = ~_ALNUM[33:127]
+
+
+def _folded(raw: bytes, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks that differ in capitals or in signs after them made one: (data, start, size) of more, shorter chunks.
+
+    A-Z become a-z where no byte over 7F follows, so that no mark can compose with the letter. A chunk is cut where an ASCII
+    sign follows an ASCII letter or digit. Texts that may hold a special token (<|...|>) stay as they are.
+    """
+    if b"<|" in raw:
+        return data, start, size
+    capital = (data >= 65) & (data <= 90)
+    capital[:-1] &= data[1:] < 128
+    cut = np.flatnonzero(_ALNUM[data[:-1]] & _SIGN[data[1:]]) + 1
+    begins, ends = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+    begins[start] = begins[cut] = ends[start + size] = ends[cut] = True
+    start = np.flatnonzero(begins)
+    return data + capital * np.uint8(32), start, np.flatnonzero(ends) - start
+
+
 _encoders: dict[str, ChunkEncoder] = {}
 
 
@@ -185,7 +220,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id:
 
         for batch in batches:
             part = batch.column(2)[0].as_py() if batch.num_rows else part
-            for row, texts in grouped(batch.column(1)):
+            for row, texts in grouped(batch.column(1), GROUP_BYTES):
                 flat, ends = encoder.encode(texts)
                 at = 0
                 for k, z in zip(batch.column(0).slice(row, len(texts)).to_pylist(), ends.tolist()):
