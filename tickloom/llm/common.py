@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.hashing import grouped
+from tickloom.llm.hashing import frugal, grouped
 
 _unset: dict[str, str] = {}
 
@@ -149,7 +149,7 @@ def rarity_counts(docs: DataFrame, text: str, members: Callable[[list[bytes]], n
         yield pa.record_batch([pa.array(used, pa.int32()), pa.array(sums, pa.binary())], ["block", "sums"])
 
     out = np.zeros((1 << COUNTER_BITS) // _BLOCK * _BLOCK, np.int64).reshape(-1, _BLOCK)
-    parts = docs.select(text).mapInArrow(count, "block int, sums binary")
+    parts = docs.select(text).mapInArrow(frugal(count), "block int, sums binary")
     for r in summed_vectors(parts, "block", "sums", "<u4").collect():
         out[r["block"]] = np.frombuffer(r["sums"], "<i8")
     return out.ravel()
@@ -176,4 +176,4 @@ def summed_vectors(parts: DataFrame, key: str, vector: str, dtype: str = "<i4")
             yield pa.record_batch(columns, [key, vector])
 
     spread = parts.select(F.col(key).cast("int").alias(key), vector).repartition(key)
-    return spread.mapInArrow(add, f"{key} int, {vector} binary")
+    return spread.mapInArrow(frugal(add), f"{key} int, {vector} binary")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import discard, free_name, fresh_path, texts_of, written
+from tickloom.llm.hashing import frugal
 
 #: UTF-8 bytes of distinct benchmark texts whose patterns one search holds (some 100 bytes of tables for each of them); a
 #: larger benchmark is searched block after block.
@@ -125,7 +126,7 @@ def find_contamination(
     for k in numbers or [0]:
         last = k == (numbers or [0])[-1]
         mine = [(r["ids"], r["text"]) for r in blocked.where(F.col("block") == k).select("ids", "text").collect()]
-        rows = rows.mapInArrow(_pass(spark.sparkContext.broadcast(mine), fresh_path(spark, str(k)), window, keep_text=not last), rows.schema)
+        rows = rows.mapInArrow(frugal(_pass(spark.sparkContext.broadcast(mine), fresh_path(spark, str(k)), window, not last)), rows.schema)
         if not last:
             rows = rows.checkpoint()
     discard(blocked)

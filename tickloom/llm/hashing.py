@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,35 @@ GROUP_BYTES = 1_000_000
 
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
+#: glibc's number of the setting, and bytes from which a block goes back to the system as it is freed.
+_MMAP_THRESHOLD, _LARGE = -3, 4_000_000
+
+
+def give_back(first: bool = False) -> None:
+    """Return this process's free memory to the system; at `first` also ask that large blocks always go back as they are freed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        if first:
+            libc.mallopt(_MMAP_THRESHOLD, _LARGE)
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it keeps what it likes
+
+
+def frugal(run: Callable) -> Callable:
+    """A function for mapInArrow, whose worker gives its free memory back when a task ends: idle workers hold little."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(True)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 _BASE = 0x9E3779B97F4A7C15
 _PIECE = 1 << 18
 

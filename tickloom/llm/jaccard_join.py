@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import counter_of, discard, free_name, maybe_in, rarity_counts, surely_out, written
 from tickloom.llm.graph import components
 from tickloom.llm.hashing import (
-    differing_bits, grouped, ordered_sets, rarity_ranks, set_digests, set_signatures, shingle_hashes,
+    differing_bits, frugal, grouped, ordered_sets, rarity_ranks, set_digests, set_signatures, shingle_hashes,
 )
 
 #: Columns of a set's signature, 64 bits each.
@@ -41,7 +41,7 @@ def _whole_sets(texts: DataFrame, words: int) -> DataFrame:
                 shingles = _lists(h, np.diff(np.append(first, len(h))))
                 yield pa.RecordBatch.from_arrays([node.take(fresh), shingles.take(fresh)], ["node", "shingles"])
 
-    return texts.select("t").mapInArrow(read, "node binary, shingles array<bigint>")
+    return texts.select("t").mapInArrow(frugal(read), "node binary, shingles array<bigint>")
 
 
 def _unseen(keys: list[bytes], sent: set[bytes]) -> pa.Array:
@@ -97,7 +97,7 @@ def _set_rows(rows: DataFrame, ranks, words: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     kinds = "doc bigint, h bigint, n bigint, node binary, gid bigint, prefix array<bigint>"
-    return rows.mapInArrow(read, f"{kinds}, {', '.join(f'{s} bigint' for s in SIGNATURE)}")
+    return rows.mapInArrow(frugal(read), f"{kinds}, {', '.join(f'{s} bigint' for s in SIGNATURE)}")
 
 
 def _mixed_prefix(h: np.ndarray) -> np.ndarray:

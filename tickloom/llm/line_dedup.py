@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import counter_of, discard, free_name, maybe_in, rarity_counts, surely_out, written
 from tickloom.llm.hashing import (
-    differing_bits, grouped, mixed, ordered_sets, rarity_ranks, set_digests, set_signatures, word_hashes,
+    differing_bits, frugal, grouped, mixed, ordered_sets, rarity_ranks, set_digests, set_signatures, word_hashes,
 )
 
 #: A word with a larger counter is in lists only together with each of the next words of its line's prefix.
@@ -85,7 +85,7 @@ def _line_rows(docs: DataFrame, ranks, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc", "h", "line", "n", "node", "sig", "keys"])
 
     kinds = "doc bigint, h bigint, line int, n int, node binary, sig bigint, keys array<struct<key: bigint, pos: int>>"
-    return docs.mapInArrow(read, kinds)
+    return docs.mapInArrow(frugal(read), kinds)
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     places = places.agg(F.collect_set(F.struct("line", "node")).alias("lines"))
     same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))
     rows = maybe_in(docs, wanted, "doc", "h").join(places, same).select("t", "lines")
-    return rows.mapInArrow(read, "node binary, words array<bigint>").dropDuplicates(["node"])
+    return rows.mapInArrow(frugal(read), "node binary, words array<bigint>").dropDuplicates(["node"])
 
 
 def _late(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import free_name, summed_vectors, texts_of
+from tickloom.llm.hashing import frugal
 
 #: Hashed vocabulary: words share 2**14 rows of DIM numbers, so tables have one size whatever the corpus.
 BUCKETS = 1 << 14
@@ -100,7 +101,7 @@ def context_sums(docs: DataFrame, text: str = "text") -> np.ndarray:
         used = np.flatnonzero(blocks.any(1))
         yield pa.record_batch([pa.array(used, pa.int32()), pa.array([blocks[k].tobytes() for k in used], pa.binary())], ["block", "sums"])
 
-    parts = docs.select(text).mapInArrow(add, "block int, sums binary")
+    parts = docs.select(text).mapInArrow(frugal(add), "block int, sums binary")
     out = np.zeros((BUCKETS // _ROWS, _ROWS * DIM), np.int64)
     for r in summed_vectors(parts, "block", "sums").collect():
         out[r["block"]] = np.frombuffer(r["sums"], "<i8")
@@ -226,7 +227,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
     known = known.groupBy("k").agg(F.min("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(max_train_rows)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(known), "k").select("k", "y", "t")
     kind = dict(rows.dtypes)["k"]
-    sample = rows.mapInArrow(features, f"k {kind}, y double, x binary").groupBy("k").agg(F.min("y").alias("y"), F.min("x").alias("x"))
+    sample = rows.mapInArrow(frugal(features), f"k {kind}, y double, x binary").groupBy("k").agg(F.min("y").alias("y"), F.min("x").alias("x"))
     train = sorted(sample.collect(), key=lambda r: str(r["k"]))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in train], np.float64).reshape(-1, FEATURES)
     net = fit_network(x, np.array([r["y"] for r in train]))
@@ -240,4 +241,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
             made = [net.score(_pool(group, vectors.value).astype(np.float64)) for group in _groups(batch.column(batch.num_columns - 1))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(made) if made else [], pa.float64())], [*carried, "quality_score"])
 
-    return docs.select(*carried, F.col(text).alias(source)).mapInArrow(score, f"{schema}{', ' if schema else ''}`quality_score` double")
+    return docs.select(*carried, F.col(text).alias(source)).mapInArrow(frugal(score), f"{schema}{', ' if schema else ''}`quality_score` double")

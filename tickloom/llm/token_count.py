@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import free_name
+from tickloom.llm.hashing import frugal
 
 #: Pre-token counts a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 400_000
@@ -176,4 +177,4 @@ def token_counts(docs: DataFrame, tokenizer_file: str, text: str = "text", into:
             out += table.count_texts(group)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.int64())], [*carried, into])
 
-    return rows.mapInArrow(count, f"{schema}{', ' if schema else ''}`{into}` bigint")
+    return rows.mapInArrow(frugal(count), f"{schema}{', ' if schema else ''}`{into}` bigint")

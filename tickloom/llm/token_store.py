@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.hashing import WHITE, grouped
+from tickloom.llm.hashing import WHITE, frugal, grouped
 
 #: Set bits between two select samples.
 SAMPLE = 64
@@ -239,7 +239,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id:
 
     rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
     ranged = rows.repartitionByRange(F.col("k").asc_nulls_first(), "h").sortWithinPartitions(F.col("k").asc_nulls_first(), "h")
-    shards = ranged.select("k", "t", F.spark_partition_id().alias("p")).mapInArrow(pack, _SHARD)
+    shards = ranged.select("k", "t", F.spark_partition_id().alias("p")).mapInArrow(frugal(pack), _SHARD)
     shards.write.option("compression", "zstd").parquet(path)
 
 
@@ -278,7 +278,7 @@ def map_documents(shards: DataFrame, make: Callable[[np.ndarray], object], kind:
                 yield pa.record_batch([*columns, pa.array(made, kind)], ["doc_id", "start", "n_tokens", into])
 
     some = shards.select("base", "doc_ids", "n_docs", "width", "ids", "low_bits", "low", "high", "samples")
-    return some.mapInArrow(read, f"doc_id bigint, start bigint, n_tokens bigint, {into} {sql_kind}")
+    return some.mapInArrow(frugal(read), f"doc_id bigint, start bigint, n_tokens bigint, {into} {sql_kind}")
 
 
 def ids_crc32(ids: np.ndarray) -> int:
