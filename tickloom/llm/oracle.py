@@ -90,4 +90,19 @@ SELECT page_id, sha256(b) AS payload_sha256, coalesce(md5(u) < '05', false) AS d
 FROM p"""
 
 
-SQL = {"op5_warc_audit": warc_audit(), "op1_decontamination": decontamination(), "op3_quality_rules": quality_rules(), "op9_mixing": mixing()}
+def fill_in_middle() -> str:
+    return r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d,
+                  regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT *, [CAST('0x' || d[i * 8 + 1:i * 8 + 8] AS BIGINT) for i in [0, 1, 2, 3]] AS h FROM t),
+c AS (SELECT doc_id, x, w, len(w) AS n, least(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS a, greatest(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS z,
+             CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+                  WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, coalesce(array_to_string(w[1:a], ''), '') AS pre, coalesce(array_to_string(w[a + 1:z], ''), '') AS mid, coalesce(array_to_string(w[z + 1:], ''), '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars, sha256(x) AS restored_sha256,
+       sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256
+FROM p"""
+
+
+SQL = {"op13_fill_in_middle": fill_in_middle(), "op5_warc_audit": warc_audit(), "op1_decontamination": decontamination(), "op3_quality_rules": quality_rules(), "op9_mixing": mixing()}

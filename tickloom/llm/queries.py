@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.llm import warc
 from tickloom.llm.common import delete, discard, fresh_path, written
 from tickloom.llm.decontaminate import find_contamination
+from tickloom.llm.fill_middle import fill_in_middle, restored
 from tickloom.llm.jaccard_join import near_components
 from tickloom.llm.line_dedup import dedup_lines
 from tickloom.llm.mixing import mix_sources
@@ -124,8 +125,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", d["n_lines"].alias("n_lines"), d["n_removed"].alias("n_removed"), d["text"].alias("text"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = F.col("fim")
+    done = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fim")
+    return done.select(
+        "doc_id", *[f[c].alias(c) for c in ("n", "form", "prefix_chars", "middle_chars")],
+        F.sha2(f["output"], 256).alias("output_sha256"), F.sha2(restored(f["output"], f["form"]), 256).alias("restored_sha256"),
+    )
+
+
 _ALL = (
     op1_decontamination, op2_quality_classifier, op3_quality_rules, op4_token_counts, op5_warc_audit,
     op6_token_ids, op7_surrogates, op8_ngram_jaccard, op9_mixing, op10_line_dedup,
+    op13_fill_in_middle,
 )
 QUERIES = {f.__name__: f for f in _ALL}
