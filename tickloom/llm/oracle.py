@@ -105,4 +105,26 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
 FROM p"""
 
 
-SQL = {"op13_fill_in_middle": fill_in_middle(), "op5_warc_audit": warc_audit(), "op1_decontamination": decontamination(), "op3_quality_rules": quality_rules(), "op9_mixing": mixing()}
+def phrases(least: int = 10, percent: int = 50, top: int = 2000) -> str:
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS g, array_to_string(w[i:i], ' ') AS first, array_to_string(w[i + m - 1:i + m - 1], ' ') AS last,
+                 array_to_string(w[i + 1:i + m - 1], ' ') AS tail, array_to_string(w[i:i + m - 2], ' ') AS head
+          FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, g, any_value(first) AS first, any_value(last) AS last, any_value(tail) AS tail, any_value(head) AS head, count(*) AS a FROM grams GROUP BY lang, m, g),
+totals AS (SELECT lang, sum(a) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE m > 1 AND a >= {least}),
+cuts AS (SELECT c.lang, c.g, c.m, c.a, 1 AS k, x.a AS l, y.a AS r FROM c JOIN f x ON x.lang = c.lang AND x.m = 1 AND x.g = c.first JOIN f y ON y.lang = c.lang AND y.m = c.m - 1 AND y.g = c.tail
+         UNION ALL
+         SELECT c.lang, c.g, c.m, c.a, 2, x.a, y.a FROM c JOIN f x ON x.lang = c.lang AND x.m = 2 AND x.g = c.head JOIN f y ON y.lang = c.lang AND y.m = 1 AND y.g = c.last WHERE c.m = 3),
+scored AS (SELECT *, CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g, m ORDER BY score, k) = 1),
+inside AS (SELECT lang, g, max(a) AS longer FROM (SELECT lang, head AS g, a FROM c WHERE m = 3 UNION ALL SELECT lang, tail, a FROM c WHERE m = 3) GROUP BY lang, g),
+kept AS (SELECT s.* FROM lowest s LEFT JOIN inside i ON s.m = 2 AND s.lang = i.lang AND s.g = i.g WHERE longer IS NULL OR 100 * longer < {percent} * s.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= {top}"""
+
+
+SQL = {"op12_phrases": phrases(), "op13_fill_in_middle": fill_in_middle(), "op5_warc_audit": warc_audit(), "op1_decontamination": decontamination(), "op3_quality_rules": quality_rules(), "op9_mixing": mixing()}

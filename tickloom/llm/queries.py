@@ -15,6 +15,7 @@ from tickloom.llm.jaccard_join import near_components
 from tickloom.llm.line_dedup import dedup_lines
 from tickloom.llm.mixing import mix_sources
 from tickloom.llm.oracle import SQL
+from tickloom.llm.phrases import mine_phrases
 from tickloom.llm.quality_model import fold_of, score_quality
 from tickloom.llm.quality_rules import quality_metrics
 from tickloom.llm.surrogates import replace_entities
@@ -125,6 +126,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", d["n_lines"].alias("n_lines"), d["n_removed"].alias("n_removed"), d["text"].alias("text"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = F.col("fim")
     done = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fim")
@@ -137,6 +142,6 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     op1_decontamination, op2_quality_classifier, op3_quality_rules, op4_token_counts, op5_warc_audit,
     op6_token_ids, op7_surrogates, op8_ngram_jaccard, op9_mixing, op10_line_dedup,
-    op13_fill_in_middle,
+    op12_phrases, op13_fill_in_middle,
 )
 QUERIES = {f.__name__: f for f in _ALL}
