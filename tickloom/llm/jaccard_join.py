@@ -37,14 +37,14 @@ def _whole_sets(texts: DataFrame, words: int) -> DataFrame:
                 owner, h = shingle_hashes(group, words)
                 owner, h, first = ordered_sets(owner, h, np.zeros(len(h), np.uint16))
                 node = set_digests(h, first)
-                fresh = _unseen(node.to_pylist(), sent)
+                fresh = unseen(node.to_pylist(), sent)
                 shingles = _lists(h, np.diff(np.append(first, len(h))))
                 yield pa.RecordBatch.from_arrays([node.take(fresh), shingles.take(fresh)], ["node", "shingles"])
 
     return texts.select("t").mapInArrow(frugal(read), "node binary, shingles array<bigint>")
 
 
-def _unseen(keys: list[bytes], sent: set[bytes]) -> pa.Array:
+def unseen(keys: list[bytes], sent: set[bytes]) -> pa.Array:
     """Places of the keys that are not in `sent`, each once; they are added to it."""
     out = []
     for i, k in enumerate(keys):
@@ -84,7 +84,7 @@ def _set_rows(rows: DataFrame, ranks, words: int, percent: int) -> DataFrame:
                 n, at = np.zeros(len(texts), np.int64), np.full(len(texts), -1)
                 n[owner[first]], at[owner[first]] = size, np.arange(len(first))
                 fresh = np.full(len(first), -1)
-                places = _unseen(node.to_pylist(), sent).to_numpy()
+                places = unseen(node.to_pylist(), sent).to_numpy()
                 fresh[places] = places
                 lone = np.where(100 * size >= percent * (size + 1), fresh, -1)
                 new, listed = (np.where(at >= 0, x[at], -1) if len(first) else at for x in (fresh, lone))
@@ -130,7 +130,7 @@ def _screened(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.where(near & _alike(percent)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Of (a, b) node pairs those with 100 * intersection >= percent * union, by whole sets, which are read from texts."""
     some = written(pairs.distinct(), "near-pairs")
     named = some.select(F.col("a").alias("node")).union(some.select("b")).distinct()
@@ -261,7 +261,7 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     sides = [_side(groups, s, "gid", "rep").withColumnRenamed(s, f"g{s}") for s in "ab"]
     pairs = cand.join(sides[0], "ga").join(sides[1], "gb").where(_alike(percent)).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
     inside = nodes.join(several, "gid").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    found = _verified(pairs.union(inside), nodes, texts, words, percent)
+    found = verified(pairs.union(inside), nodes, texts, words, percent)
     discard(groups, cand)
     comps = components(found)
     discard(found)
@@ -277,7 +277,7 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
             pairs = written(_screened(tried, nodes, percent), "near-tried")
             discard(units)
         if not pairs.isEmpty():
-            found, old = _verified(pairs, nodes, texts, words, percent), comps
+            found, old = verified(pairs, nodes, texts, words, percent), comps
             comps = components(old.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found))
             discard(found, old)
         discard(pairs)

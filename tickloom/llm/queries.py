@@ -13,6 +13,7 @@ from tickloom.llm.decontaminate import find_contamination
 from tickloom.llm.fill_middle import fill_in_middle, restored
 from tickloom.llm.jaccard_join import near_components
 from tickloom.llm.line_dedup import dedup_lines
+from tickloom.llm.minhash_join import minhash_components
 from tickloom.llm.mixing import mix_sources
 from tickloom.llm.oracle import SQL
 from tickloom.llm.phrases import mine_phrases
@@ -126,6 +127,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", d["n_lines"].alias("n_lines"), d["n_removed"].alias("n_removed"), d["text"].alias("text"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = minhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2, percent=80)
+    return near.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(table(spark, sf_dir, "documents").select("lang", "text"))
 
@@ -142,6 +148,6 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     op1_decontamination, op2_quality_classifier, op3_quality_rules, op4_token_counts, op5_warc_audit,
     op6_token_ids, op7_surrogates, op8_ngram_jaccard, op9_mixing, op10_line_dedup,
-    op12_phrases, op13_fill_in_middle,
+    op11_minhash, op12_phrases, op13_fill_in_middle,
 )
 QUERIES = {f.__name__: f for f in _ALL}
