@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions.exact import floor_pick, millionths, nearest_rank
+from tickloom.operators import book_scan as scan
 from tickloom.operators import book_stats as bs
 from tickloom.operators import cross_section as cs
 from tickloom.operators import forecast as fc
@@ -66,10 +67,10 @@ def test_binary_feed(spark, tmp_path):
     rows = feed.orderBy("seq").collect()
     assert [r["kind"] for r in rows] == list("RSAUEZ") and rows[2]["side"] == "B" and rows[3]["new_order_ref"] == 8 and not rows[5]["decoded"]
     assert itch.for_symbols(feed, ["ABC"]).count() == 5 and itch.read_itch(spark, str(tmp_path / "day.gz"), 2).count() == 2
-    stats = rp.replay_stats(rp.replay_feed(itch.as_feed(itch.for_symbols(feed, ["ABC"])))).where("symbol = 1").first()
+    stats = rp.replay_stats(scan.replay_feed(itch.as_feed(itch.for_symbols(feed, ["ABC"])))).where("symbol = 1").first()
     assert stats["clean"] and stats["applied"] == 3 and stats["full_fill"] == 1 and stats["day"] == "day.gz"
     (tmp_path / "next.gz").write_bytes((tmp_path / "day.gz").read_bytes())
-    two = rp.replay_stats(rp.replay_feed(itch.as_feed(feed.union(itch.read_itch(spark, str(tmp_path / "next.gz")))))).where("symbol = 1").collect()
+    two = rp.replay_stats(scan.replay_feed(itch.as_feed(feed.union(itch.read_itch(spark, str(tmp_path / "next.gz")))))).where("symbol = 1").collect()
     assert sorted((r["day"], r["applied"]) for r in two) == [("day.gz", 3), ("next.gz", 3)]
     (tmp_path / "cut").write_bytes(itch.encode(day)[:-3])
     with pytest.raises(Exception, match="cut off"):
@@ -268,7 +269,7 @@ def test_filter_and_its_replay(spark):
 def test_feed_refusals(spark):
     rows = [("A", 1, None, "B", 100, 10000), ("A", 2, None, "B", 50, 10000), ("A", 3, None, "S", 10, 10010), ("E", 2, None, None, 20, None), ("C", 2, None, None, 10, None), ("U", 1, 9, None, 10, 10010), ("E", 1, None, None, 100, None), ("X", 2, None, None, 20, None), ("D", 77, None, None, None, None), ("P", 0, None, None, None, None)]
     feed = spark.createDataFrame([(0, 0, i, i, *r) for i, r in enumerate(rows)], "symbol int, day bigint, seq bigint, time_ns bigint, kind string, order_ref bigint, new_order_ref bigint, side string, shares bigint, price bigint")
-    s = rp.replay_stats(rp.replay_feed(feed)).first()
+    s = rp.replay_stats(scan.replay_feed(feed)).first()
     assert (s["front_violation"], s["crossing"], s["full_fill"], s["anomaly"], s["unknown_ref"], s["applied"], s["messages"], s["max_live"]) == (1, 1, 1, 1, 1, 9, 10, 3) and not s["clean"]
 
 
@@ -284,7 +285,7 @@ def test_streams_equal_batches(spark):
 
     messages = tape(spark, "/root/testdata/sf0.001").where("symbol < 2")
     rows = stateful.run_through(spark, messages, stateful.book_states).orderBy("symbol", "seq").collect()
-    batch = rp._grouped(messages, lambda: rp.Repaired(10), None, 1, False).orderBy("symbol", "seq").collect()
+    batch = rp._grouped(messages, lambda: rp.Repaired(10), 1, False).orderBy("symbol", "seq").collect()
     assert [(r["seq"], r["bid"], r["ask"], r["dark"], r["late"]) for r in rows] == [(b["seq"], b["bids"][0]["price"] if b["bids"] else None, b["asks"][0]["price"] if b["asks"] else None, b["dark"], False) for b in batch]
 
 

@@ -63,6 +63,10 @@ class Book:
             raise Refused("id rests already")
         if self.crosses(side, price):
             raise Refused("crosses the book")
+        self.put(oid, side, price, qty)
+
+    def put(self, oid: int, side: int, price: int, qty: int) -> None:
+        """Rest an order that is known to be one."""
         self.orders[oid] = [side, price, qty]
         level = self.queue[side].get(price)
         if level is None:
@@ -182,47 +186,7 @@ class Repaired:
             out["unresolved_shares"] += size - rests
 
 
-class Feed:
-    """Replay of a complete order feed from an empty book, without repairs."""
-
-    def __init__(self, levels: int = 0):
-        self.book, self.levels = Book(), levels
-
-    def step(self, m: dict, out: dict) -> None:
-        kind, oid, size, book = m["kind"], m["order_ref"], m["shares"], self.book
-        if kind in "AF":
-            side = BID if m["side"] == "B" else ASK
-            crossing = size > 0 and oid not in book.orders and book.crosses(side, m["price"])
-            out["crossing"] += crossing
-            if not crossing:
-                book.add(oid, side, m["price"], size)
-            return
-        if oid not in book.orders:
-            out["unknown_ref"] += 1
-            return
-        side, price, rests = book.orders[oid]
-        if kind == "D":
-            book.cancel(oid)
-        elif kind == "X":
-            book.reduce(oid, size)
-        elif kind == "U":
-            fresh = m["new_order_ref"] not in book.orders and size > 0
-            crossing = fresh and book.crosses(side, m["price"])
-            out["crossing"] += crossing
-            if not crossing:
-                book.replace(oid, m["price"], size, m["new_order_ref"])
-        else:
-            out["front_violation"] += kind == "E" and next(iter(book.queue[side][price])) != oid
-            if size > rests:
-                raise Refused("more than the order rests")
-            if size == rests:
-                book.cancel(oid)
-                out["full_fill"] += 1
-            else:
-                book.reduce(oid, size)
-
-
-def _grouped(messages: DataFrame, make: Callable[[], object], kinds, levels: int, first: bool) -> DataFrame:
+def _grouped(messages: DataFrame, make: Callable[[], object], levels: int, first: bool) -> DataFrame:
     """One row a message: the fold of each symbol and day from a fresh state, over rows that stream past in order of seq.
 
     A task holds one state and one batch of rows, however long a day is.
@@ -243,13 +207,12 @@ def _grouped(messages: DataFrame, make: Callable[[], object], kinds, levels: int
                     key, state = (m["symbol"], m["day"]), make()
                 if first and begins:
                     state.seed(m["seed_asks"], m["seed_bids"])
-                elif kinds is None or m["kind"] in kinds:
+                else:
                     try:
                         state.step(m, out)
                         out["applied"] += 1
                     except Refused:
                         out["anomaly"] += 1
-                        out["applied"] += kinds is not None
                 for c in (*DAY, "seq"):
                     columns[c].append(m[c])
                 columns["kind"].append(str(m["kind"]))
@@ -273,12 +236,7 @@ def replay_filtered(messages: DataFrame, reference: DataFrame, levels: int = 10)
     """
     first = F.min("seq").over(Window.partitionBy(*DAY))
     seeds = reference.withColumn("first", first).where("seq = first").select(*DAY, "seq", F.col("asks").alias("seed_asks"), F.col("bids").alias("seed_bids"))
-    return _grouped(messages.join(seeds, [*DAY, "seq"], "left"), lambda: Repaired(levels), None, levels, True)
-
-
-def replay_feed(messages: DataFrame, levels: int = 0) -> DataFrame:
-    """One row a message of a complete feed, with flags and counts; kinds that do not touch the book are counted only."""
-    return _grouped(messages, lambda: Feed(levels), frozenset("AFXDECU"), levels, False)
+    return _grouped(messages.join(seeds, [*DAY, "seq"], "left"), lambda: Repaired(levels), levels, True)
 
 
 def replay_stats(rows: DataFrame) -> DataFrame:

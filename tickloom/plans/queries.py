@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.exact import DAY, floor_pick
+from tickloom.operators import book_scan as scan
 from tickloom.operators import book_stats as bs
 from tickloom.operators import cross_section as cs
 from tickloom.operators import forecast as fc
@@ -315,7 +316,7 @@ def clean_feed(spark, d) -> DataFrame:
 
 
 def clean_replay_stats(spark, d):
-    s = rp.replay_stats(rp.replay_feed(clean_feed(spark, d)))
+    s = rp.replay_stats(scan.replay_feed(clean_feed(spark, d)))
     return s.select("symbol", "messages", "applied", "anomaly", "crossing", "unknown_ref", "max_live", "clean")
 
 

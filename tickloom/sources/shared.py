@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -21,3 +21,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
         root = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-shared-")
         _own[spark.sparkContext.applicationId] = root
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the shared folder: made once, for what several branches read, and safe from lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return out
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared folder."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of kept() that nothing reads any more."""
+    for t in tables:
+        delete(t.sparkSession, t.kept_path)
