@@ -26,7 +26,7 @@ LEAST_PERCENT = 80
 #: Columns of the signature, 8 slots each, and of the parity sketch (see hashing.set_signatures), 64 bits each.
 SIGNATURE = [f"m{k}" for k in range(SLOTS // 8)]
 PARITY = [f"s{k}" for k in range(8)]
-#: Rounds of probing before the exact rest, and partners that each set of a list tries in a round.
+#: Rounds after the first, of which the last one is the exact rest, and partners that each set of a list tries in the others.
 ROUNDS, PROBES = 2, 3
 
 _rng = np.random.default_rng(0x5107)
@@ -149,17 +149,17 @@ def _screened(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).where("a < b")
 
 
-def _drawn(posts: DataFrame, turn: int, *others: str) -> DataFrame:
-    """(key, least, most, ys): of each list the sets of the lowest hashes in PROBES orders, and of the ends of the first order."""
-    unit = F.struct("id", "n", *others).alias("u")
+def _drawn(posts: DataFrame, turn: int) -> DataFrame:
+    """(key, ys): the sets of each list that have the lowest hashes in PROBES orders."""
+    unit = F.struct("id", "n", "comp").alias("u")
     order = lambda k: F.struct(F.xxhash64(F.lit(turn * PROBES + k), "id").alias("o"), unit)
-    best = posts.groupBy("key").agg(*[F.min(order(k)).alias(f"p{k}") for k in range(PROBES)], F.max(order(0)).alias("end"), F.count("*").alias("all"))
-    return best.select("key", "all", F.col("end.u").alias("end"), F.col("p0.u").alias("begin"), F.array_distinct(F.array(*[f"p{k}.u" for k in range(PROBES)])).alias("ys"))
+    best = posts.groupBy("key").agg(*[F.min(order(k)).alias(f"p{k}") for k in range(PROBES)])
+    return best.select("key", F.array_distinct(F.array(*[f"p{k}.u" for k in range(PROBES)])).alias("ys"))
 
 
-def _tried(posts: DataFrame, drawn: DataFrame, percent: int, differs: Column) -> DataFrame:
-    """Pairs of ids (a, b), a < b, of each set of a list with those drawn of it, as far as lengths let them link."""
-    both = posts.join(drawn.select("key", "ys"), "key").withColumn("y", F.explode("ys")).where(differs)
+def _tried(posts: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ids (a, b), a < b, of each set of a list with those drawn of it in other components, as far as lengths let them link."""
+    both = posts.join(drawn, "key").withColumn("y", F.explode("ys")).where(F.col("comp") != F.col("y.comp"))
     near = 100 * F.least("n", "y.n") >= percent * F.greatest("n", "y.n")
     return both.where(near).select(F.least("id", "y.id").alias("a"), F.greatest("id", "y.id").alias("b"))
 
@@ -167,7 +167,7 @@ def _tried(posts: DataFrame, drawn: DataFrame, percent: int, differs: Column) ->
 def _joined(lists: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
     """Postings with their component, of lists that hold more than one."""
     at = nodes.select("id", "node").join(comps, "node", "left").select("id", F.coalesce("comp", "node").alias("comp"))
-    posts = written(lists.join(at, "id"), "minhash-open")
+    posts = written(lists.select("key", "id", "n").join(at, "id"), "minhash-open")
     spread = posts.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     out = written(posts.join(spread, "key", "left_semi"), "minhash-open")
     discard(posts)
@@ -175,17 +175,22 @@ def _joined(lists: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _rest(posts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of ids (a, b) of all sets of one list in two components that pass all filters, by list and class of size."""
-    full = posts.join(nodes.select("id", *SIGNATURE, *PARITY), "id")
+    """Pairs of ids (a, b) of all sets of one list in two components that pass all filters, by list and class of size.
+
+    The members of a list's largest component are not joined with each other, so a list of one large component and a few other sets
+    costs its length for each of these.
+    """
+    sizes = posts.groupBy("key", "comp").agg(F.count("*").alias("members"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("members", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
+    full = posts.join(main, "key").join(nodes.select("id", *SIGNATURE, *PARITY), "id").withColumn("in_main", F.col("comp") == F.col("main"))
     level = F.floor(F.log(F.col("n")) / (1.0001 * math.log(100 / percent))).cast("int")
-    kept = ("id", "n", "comp", *SIGNATURE, *PARITY)
+    kept = ("id", "n", "comp", "in_main", *SIGNATURE, *PARITY)
     y = full.select("key", level.alias("level"), *kept).alias("y")
-    x = full.select("key", F.explode(F.array(level, level + 1)).alias("level"), *kept).alias("x")
+    x = full.where("NOT in_main").select("key", F.explode(F.array(level - 1, level, level + 1)).alias("level"), *kept).alias("x")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.level") == F.col("y.level"))
-    # A pair of one class would meet twice, one of two classes once, from its lower side.
-    lower = F.struct("x.n", "x.id") < F.struct("y.n", "y.id")
-    near = x.join(y, same & (F.col("x.comp") != F.col("y.comp")) & lower & _alike(percent, "x.", "y."))
-    return near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    once = F.col("y.in_main") | (F.col("x.id") < F.col("y.id"))
+    near = x.join(y, same & once & (F.col("x.comp") != F.col("y.comp")) & _alike(percent, "x.", "y."))
+    return near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
 def minhash_components(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
@@ -202,8 +207,8 @@ def minhash_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     at most GUARANTEED slots share a list; a pair of Jaccard 0.8 differs in 19 on average, in more than that once in some 600, and
     then still shares a list but for one in ten million. Of two sets of a list the sizes, the slots (_allowed) and a parity
     sketch must allow a link; then whole sets are read from the texts and compared.
-    In each list sets first try PROBES others of it, in ROUNDS rounds, which joins most of what belongs together; then all pairs of two components
-    of a list are tried. So no link between components is lost, and m near copies cost about m comparisons and not m squared.
+    In each list sets first try two others of it, then PROBES others, which joins most of what belongs together; after ROUNDS rounds all
+    pairs of two components of a list are tried. So no link between components is lost, and m near copies cost about m comparisons and not m squared.
     """
     if percent < LEAST_PERCENT:
         raise ValueError(f"signatures are made for {LEAST_PERCENT} % or more")
@@ -217,16 +222,16 @@ def minhash_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     discard(wide)
 
     posts = _postings(nodes, percent)
-    drawn = written(_drawn(posts, 0).where("begin.id != end.id"), "minhash-drawn")
-    two = drawn.where("all = 2").select("begin", "end")
-    two = two.where(100 * F.least("begin.n", "end.n") >= percent * F.greatest("begin.n", "end.n"))
-    two = two.select(F.least("begin.id", "end.id").alias("a"), F.greatest("begin.id", "end.id").alias("b"))
-    more = drawn.where("all > 2")
-    lists = written(maybe_in(posts, more, "key").join(more.select("key"), "key", "left_semi"), "minhash-lists")
-    pairs = two.union(_tried(lists, more, percent, F.col("id") != F.col("y.id")))
+    # Ids are hashes, so the least and the most of a list are two of it drawn at random.
+    ends = posts.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), (F.count("*") > 2).alias("more")).where("lo < hi")
+    ends = written(ends, "minhash-ends")
+    two, more = ends.where("NOT more").select(F.col("lo").alias("a"), F.col("hi").alias("b")), ends.where("more")
+    lists = written(maybe_in(posts, more, "key").join(more.drop("more"), "key"), "minhash-lists")
+    tried = lists.select("id", F.explode(F.array("lo", "hi")).alias("y")).where("id != y").select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))
+    pairs = two.union(tried)
     pairs = written(_screened(pairs, nodes, percent), "minhash-pairs")
     found = verified(pairs, nodes, texts, words, percent)
-    discard(drawn, pairs)
+    discard(ends, pairs)
     comps = components(found)
     discard(found)
 
@@ -235,7 +240,7 @@ def minhash_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         if turn == ROUNDS:
             pairs = _rest(still, nodes, percent)
         else:
-            pairs = _tried(still, _drawn(still, turn, "comp"), percent, F.col("comp") != F.col("y.comp"))
+            pairs = _tried(still, _drawn(still, turn), percent)
         pairs = written(_screened(pairs, nodes, percent), "minhash-pairs")
         if not pairs.isEmpty():
             found, old = verified(pairs, nodes, texts, words, percent), comps
