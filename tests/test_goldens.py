@@ -132,7 +132,15 @@ def test_lifecycle_day(spark):
     assert (c["dark_ops"], c["dark_shares"]) == (1, 10) and (round(c["by_messages"], 9), c["by_orders"], c["by_shares"]) == (round(4 / 3, 9), 2.0, 5.0)
     assert (c["executed_orders"], c["odd_lots"], c["round_lots"], c["hidden_share"], c["odd_lot_share"]) == (1, 3, 0, 1 / 3, 1.0)
     book_rows = m.select("symbol", "day", "seq", "time_ns", F.array(F.struct(F.lit(10100).cast("bigint").alias("price"), F.lit(1).cast("bigint").alias("size"))).alias("asks"), F.array(F.struct(F.lit(10000).cast("bigint").alias("price"), F.lit(1).cast("bigint").alias("size"))).alias("bids"))
-    long = {(r["section"], r["statistic"]): r["value"] for r in lc.summarize(m, book_rows).collect()}
+    rows = lc.summarize(m, book_rows).collect()
+    long = {(r["section"], r["statistic"]): r["value"] for r in rows}
+    assert len(rows) == len(long) == 83 and all(r["definition"] for r in rows)
+    assert [long["lifetime_naive", f"S_at_{k}"] for k in ("1ms", "1s", "10s")] == [1, 1, 0]
+    assert [round(long["lifetime_km", f"S_at_{k}"], 9) for k in ("1s", "10s", "1h")] == [1, 0, 0]
+    assert [long["fill_by_distance", f"over_10_{k}"] for k in ("orders", "share_of_adds", "fill_rate_shares")] == [0, 0, None]
+    grid = lc.survival_grid(lc.lives(m)).orderBy("t").collect()
+    assert len(grid) == 122 and (grid[0]["t"], grid[1]["t"], grid[-1]["t"]) == (100_000, int(10**5.05), 23_400 * S)
+    assert {(r["n_observed"], r["n_censored"]) for r in grid} == {(3, 2)} and grid[-1]["s_naive"] == 0
     assert long["ends", "orders_added"] == 5 and long["ends", "share_censored"] == 0.4 and long["ends", "shares_unresolved"] == 150
     assert long["lifetime_naive", "observed_p50_ms"] == 2800 and long["lifetime_naive", "executed_p50_ms"] == 2500 and long["lifetime_km", "censored_share"] == 0.4
     # Two orders are last seen when they are added; of three at risk the first to end, after 2.5 s, is the executed one.

@@ -51,6 +51,14 @@ def lives(messages: DataFrame, book: DataFrame | None = None) -> DataFrame:
     return out.withColumn("remaining", F.col("added") - F.col("executed") - F.col("cancelled")).withColumn("lifetime_ns", F.col("end_ns") - F.col("added_ns")).withColumn("censor_ns", F.when(F.col("end_ns").isNull(), F.col("last_seen_ns") - F.col("added_ns"))).withColumn("distance", F.expr(f"behind div {CENT}")).drop("behind")
 
 
+#: Buckets of cents behind the best, and times at which the summary reads survival, with their names.
+DISTANCE_BUCKETS = ("improve", "at_best", "1", "2_to_5", "6_to_10", "over_10", "unknown")
+SURVIVAL_TIMES = {
+    "1ms": 10**6, "10ms": 10**7, "100ms": 10**8, "1s": 10**9, "10s": 10**10,
+    "1min": 60 * 10**9, "10min": 600 * 10**9, "1h": 3_600 * 10**9,
+}
+
+
 def distance_bucket(d: Column) -> Column:
     return F.when(d.isNull(), "unknown").when(d < 0, "improve").when(d == 0, "at_best").when(d == 1, "1").when(d <= 5, "2_to_5").when(d <= 10, "6_to_10").otherwise("over_10")
 
@@ -106,19 +114,25 @@ def survival_at(curve: DataFrame, grid: DataFrame, keys: list[str] | None = None
     return both.withColumn("survival", F.coalesce(F.last("survival", ignorenulls=True).over(w), F.lit(1.0))).where("asked").drop("asked")
 
 
-def survival_grid(life: DataFrame, first_ns: int = 100_000, per_decade: int = 20, decades: int = 9) -> DataFrame:
-    """Survival at log-spaced times: the product-limit curve, and the plain share of observed lifetimes that are longer."""
+#: Length of a session, and its survival grid: whole nanoseconds from 10**5, 20 a decade, up to 10**11.
+SESSION_NS = 23_400 * 10**9
+
+
+def survival_grid(life: DataFrame, first_power: int = 5, per_decade: int = 20, decades: int = 6, session_ns: int = SESSION_NS) -> DataFrame:
+    """Survival at log-spaced times up to the session's length, which is the last point: the product-limit curve, the plain share
+    of observed lifetimes that are longer, and the orders behind both. A day without observed ends has no plain share."""
     times = durations(life)
-    points = F.array(*[F.lit(int(first_ns * 10 ** (k / per_decade))).cast("bigint") for k in range(per_decade * decades + 1)])
-    grid = times.select(*DAY).distinct().withColumn("t", F.explode(points))
-    km = survival_at(kaplan_meier(times), grid).withColumnRenamed("survival", "s_km")
+    spaced = [int(10 ** (first_power + k / per_decade)) for k in range(per_decade * decades + 1)]
+    points = F.array(*[F.lit(t).cast("bigint") for t in [*[t for t in spaced if t <= session_ns], session_ns]])
+    whole = times.groupBy(*DAY).agg(F.count_if("died").alias("n_observed"), F.count_if(~F.col("died")).alias("n_censored"))
+    grid = whole.withColumn("t", F.explode(points))
+    km = survival_at(kaplan_meier(times), grid).withColumnRenamed("survival", "s_km").distinct()
     died = times.where("died").groupBy(*DAY, "t").agg(F.count("*").alias("n"))
-    asked = grid.select(*DAY, "t", F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("asked"))
+    asked = grid.select(*DAY, "t", F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("asked")).distinct()
     both = died.select(*DAY, "t", "n", F.lit(False).alias("asked")).unionByName(asked)
     upto = F.sum("n").over(Window.partitionBy(*DAY).orderBy("t", "asked").rowsBetween(Window.unboundedPreceding, 0))
-    whole = died.groupBy(*DAY).agg(F.sum("n").alias("all"))
-    plain = both.withColumn("gone", upto).where("asked").join(whole, [*DAY], "left")
-    return km.join(plain.select(*DAY, "t", (1 - ratio("gone", "all")).alias("s_naive")), [*DAY, "t"])
+    plain = both.withColumn("gone", upto).where("asked").join(whole, [*DAY])
+    return km.join(plain.select(*DAY, "t", (1 - ratio("gone", "n_observed")).alias("s_naive"), "n_observed", "n_censored"), [*DAY, "t"])
 
 
 #: The window of the market-wide activity file.
@@ -154,15 +168,65 @@ def cancel_to_trade(messages: DataFrame, open_ns: int = ACTIVITY_OPEN, close_ns:
     )
 
 
+#: What each statistic of the summary is; {x} stands for what its name adds.
+DEFINITIONS = {
+    "orders_added": "orders whose add is in the file",
+    "orders_executed": "orders whose last shares left by execution",
+    "orders_cancelled": "orders whose last shares left by cancel or delete",
+    "orders_censored": "orders without an observed end",
+    "share_executed": "orders_executed over orders_added",
+    "share_cancelled": "orders_cancelled over orders_added",
+    "share_censored": "orders_censored over orders_added",
+    "shares_added": "shares of adds",
+    "shares_executed": "shares executed against orders of the file",
+    "shares_cancelled": "shares cancelled or deleted of orders of the file",
+    "shares_unresolved": "added shares whose removal is not observed",
+    "_p": "quantile of observed lifetimes of that end, ms",
+    "share_under": "share of observed lifetimes below the time",
+    "share_over": "share of observed lifetimes of the time or more",
+    "censored_share": "orders without an observed end over orders_added",
+    "median_ms": "least time with product-limit survival of one half or less, ms",
+    "S_at": "share of orders alive after the time: product-limit, or of observed lifetimes alone",
+    "_orders": "adds at this distance from the side's best just before",
+    "_share_of_adds": "orders of this distance over orders_added",
+    "_fill_rate_shares": "shares executed over shares added, this distance",
+    "_fill_rate_orders": "orders with an execution over orders, this distance",
+    "adds_": "adds of this kind of lot over orders_added",
+    "add_size_p50": "median size of adds",
+    "add_size_mean": "mean size of adds",
+    "by_messages_full_day": "cancels and deletes over executions and hidden executions, messages of the whole day",
+    "by_messages_midas_window": "the same from the start of the activity file's window",
+    "by_orders": "orders that end cancelled over orders that end executed",
+    "by_shares": "shares cancelled over shares executed",
+    "hidden_share_of_executions": "hidden executions over all executions",
+    "odd_lot_share_of_executions": "executions below 100 shares over all executions",
+    "dark_ops": "operations on orders that the file never added",
+    "dark_shares": "shares of these operations",
+    "hidden_execs": "hidden executions",
+    "size_disagreements": "removals of more than rested, and deletes of another size",
+    "readded_ids": "adds of an id that is alive",
+}
+
+
+def _definition(section: str, statistic: str) -> str:
+    """A statistic's definition: by its whole name, else by how it begins or ends."""
+    if section == "fill_by_distance":
+        return DEFINITIONS[next(k for k in ("_share_of_adds", "_fill_rate_shares", "_fill_rate_orders", "_orders") if statistic.endswith(k))]
+    found = [k for k in DEFINITIONS if k == statistic] or [k for k in ("share_under", "share_over", "S_at", "adds_") if statistic.startswith(k)]
+    return DEFINITIONS[(found or ["_p"])[0]]
+
+
 def summarize(messages: DataFrame, book: DataFrame) -> DataFrame:
-    """Long (symbol, day, section, statistic, value): ends, observed and product-limit lifetimes, fills by distance, sizes,
-    cancel-to-trade and accounting. Ratios are null where undefined."""
+    """Long (symbol, day, section, statistic, value, definition): ends, observed and product-limit lifetimes, fills by distance,
+    sizes, cancel-to-trade and accounting. Every day has every statistic: counts of nothing are 0, ratios, quantiles and plain
+    survival of nothing null."""
     before = F.lag("outcome").over(Window.partitionBy(*DAY, "order_id").orderBy("life_no"))
     life = lives(messages, book).withColumn("readds", F.coalesce(before == "censored", F.lit(False)))
     out = []
 
     def add(section: str, rows: DataFrame, names: dict[str, Column]) -> None:
-        cells = F.array(*[F.struct(F.lit(k).alias("statistic"), v.cast("double").alias("value")) for k, v in names.items()])
+        shown = lambda k, v: F.struct(F.lit(k).alias("statistic"), v.cast("double").alias("value"), F.lit(_definition(section, k)).alias("definition"))
+        cells = F.array(*[shown(k, v) for k, v in names.items()])
         out.append(rows.select(*DAY, F.lit(section).alias("section"), F.explode(cells).alias("s")).select(*DAY, "section", "s.*"))
 
     ended = ("executed", "cancelled", "censored")
@@ -170,31 +234,37 @@ def summarize(messages: DataFrame, book: DataFrame) -> DataFrame:
     ns = F.when(seen, F.col("lifetime_ns"))
     lots = [F.count_if(lot(F.col("added")) == k).alias(f"lot_{k}") for k in ("round", "odd", "mixed")]
     caps = {"under_100ms": ns < 10**8, "under_1s": ns < 10**9, "over_1min": ns >= 60 * 10**9}
+    longer = {f"S_at_{k}": ns > t for k, t in SURVIVAL_TIMES.items()}
+    bucket = distance_bucket(F.col("distance"))
+    parts = []
+    for k in DISTANCE_BUCKETS:
+        of = lambda c, here=(bucket == k): F.sum(F.when(here, F.col(c)))
+        parts += [F.count_if(bucket == k).alias(f"orders_at_{k}"), of("added").alias(f"added_at_{k}"), of("executed").alias(f"executed_at_{k}"), F.count_if((bucket == k) & (F.col("fills") > 0)).alias(f"filled_at_{k}")]
     g = life.groupBy(*DAY).agg(
         F.count("*").alias("n"), *[F.count_if(F.col("outcome") == k).alias(f"n_{k}") for k in ended], *lots,
         *[F.sum(c).alias(f"sh_{c}") for c in ("added", "executed", "cancelled")], F.count_if(seen).alias("observed"),
-        *[F.count_if(v).alias(k) for k, v in caps.items()], F.count_if("readds").alias("readded"),
-        F.sum("disagreements").alias("disagreements"),
+        *[F.count_if(v).alias(k) for k, v in (caps | longer).items()], F.count_if("readds").alias("readded"),
+        F.sum("disagreements").alias("disagreements"), *parts,
     )
     left = F.col("sh_added") - F.col("sh_executed") - F.col("sh_cancelled")
     names = {"orders_added": F.col("n")} | {f"orders_{k}": F.col(f"n_{k}") for k in ended} | {f"share_{k}": ratio(f"n_{k}", "n") for k in ended}
     names |= {f"shares_{c}": F.col(f"sh_{c}") for c in ("added", "executed", "cancelled")} | {"shares_unresolved": left}
     add("ends", g, names)
-    add("lifetime_naive", g, {f"share_{k}": ratio(k, "observed") for k in caps})
+    add("lifetime_naive", g, {f"share_{k}": ratio(k, "observed") for k in caps} | {k: ratio(k, "observed") for k in longer})
     add("lifetime_km", g, {"censored_share": ratio("n_censored", "n")})
+    days = g.select(*DAY)
     for kind, some in (*((k, life.where(F.col("outcome") == k)) for k in ended[:2]), ("observed", life.where(seen))):
         for q in (0.1, 0.5, 0.9) if kind != "observed" else (0.5,):
-            picked = floor_pick(some, [*DAY], "lifetime_ns", q, "v")
+            picked = days.join(floor_pick(some, [*DAY], "lifetime_ns", q, "v"), [*DAY], "left")
             add("lifetime_naive", picked, {f"{kind}_p{round(q * 100)}_ms": F.col("v") / 1e6})
-    times = durations(life)
-    curve = kaplan_meier(times)
-    add("lifetime_km", km_median(curve), {"median_ms": F.col("median") / 1e6})
-    by = life.withColumn("bucket", distance_bucket(F.col("distance"))).groupBy(*DAY, "bucket")
-    by = by.agg(F.count("*").alias("orders"), F.sum("added").alias("sh"), F.sum("executed").alias("ex"), F.count_if(F.col("fills") > 0).alias("filled"))
-    all_orders = F.sum("orders").over(Window.partitionBy(*DAY))
-    by = by.select(*DAY, "bucket", "orders", ratio("orders", all_orders).alias("share_of_adds"), ratio("ex", "sh").alias("fill_rate_shares"), ratio("filled", "orders").alias("fill_rate_orders"))
-    cells = [F.struct(F.concat("bucket", F.lit(f"_{c}")).alias("statistic"), F.col(c).cast("double").alias("value")) for c in by.columns[3:]]
-    by = by.select(*DAY, F.lit("fill_by_distance").alias("section"), F.explode(F.array(*cells)).alias("s")).select(*DAY, "section", "s.*")
+    curve = kaplan_meier(durations(life))
+    add("lifetime_km", days.join(km_median(curve), [*DAY], "left"), {"median_ms": F.col("median") / 1e6})
+    times = F.explode(F.array(*[F.lit(t).cast("bigint") for t in SURVIVAL_TIMES.values()])).alias("t")
+    at = survival_at(curve, days.select(*DAY, times)).groupBy(*DAY).agg(*[F.max(F.when(F.col("t") == t, F.col("survival"))).alias(k) for k, t in SURVIVAL_TIMES.items()])
+    add("lifetime_km", at, {f"S_at_{k}": F.col(k) for k in SURVIVAL_TIMES})
+    for k in DISTANCE_BUCKETS:
+        rates = {"orders": F.col(f"orders_at_{k}"), "share_of_adds": ratio(f"orders_at_{k}", "n"), "fill_rate_shares": ratio(f"executed_at_{k}", f"added_at_{k}"), "fill_rate_orders": ratio(f"filled_at_{k}", f"orders_at_{k}")}
+        add("fill_by_distance", g, {f"{k}_{c}": v for c, v in rates.items()})
     add("sizes", g, {f"adds_{k}_lot_share": ratio(f"lot_{k}", "n") for k in ("round", "odd", "mixed")} | {"add_size_mean": ratio("sh_added", "n")})
     add("sizes", floor_pick(life, [*DAY], "added", 0.5, "v"), {"add_size_p50": F.col("v")})
     c = cancel_to_trade(messages)
@@ -203,4 +273,4 @@ def summarize(messages: DataFrame, book: DataFrame) -> DataFrame:
     add("cancel_to_trade", c, {k: F.col(v) for k, v in share.items()})
     add("accounting", c, {"dark_ops": F.col("dark_ops"), "dark_shares": F.col("dark_shares"), "hidden_execs": F.col("hiddens")})
     add("accounting", g, {"size_disagreements": F.col("disagreements"), "readded_ids": F.col("readded")})
-    return reduce(DataFrame.unionByName, [*out, by])
+    return reduce(DataFrame.unionByName, out)

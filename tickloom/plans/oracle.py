@@ -8,8 +8,8 @@ _MIX = ", ".join(f"((g * g * {69069 + 15838 * i} + g * {m} + {12345 * i}) % 2147
 _BASE = f"""
 e AS (SELECT event_id, user_id, event_type, value, props, epoch_us(ts) AS us, event_id // 3 AS g FROM events),
 m AS (SELECT *, {_MIX} FROM e),
-tape AS (SELECT CAST(user_id % 5 AS INT) AS symbol, 0 AS day, event_id AS seq, us * 1000 AS time_ns,
-         CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'error' THEN 3 WHEN 'purchase' THEN 4 WHEN 'click' THEN 5 END AS kind, user_id AS order_id,
+tape AS (SELECT CAST(user_id % 5 AS INT) AS symbol, us // 86400000000 AS day, event_id AS seq, us * 1000 AS time_ns,
+         CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'error' THEN 3 WHEN 'purchase' THEN 4 WHEN 'click' THEN 5 END AS kind, event_id % 13 AS order_id,
          1 + CAST(floor(value) AS BIGINT) AS size, 1000000 + 100 * CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS price, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS direction FROM e),
 book AS (SELECT 0 AS symbol, us // 86400000000 AS day, event_id AS seq, (us % 86400000000) * 1000 AS time_ns, event_id % 97 = 0 AS gone,
          1000000 + 100 * (r1 % 11) AS b, 1000000 + 100 * (r1 % 11) + 100 * (1 + r2 % 5) AS a, 100 * (1 + r3 % 6) + r3 % 7 AS bs, 100 * (1 + r4 % 6) + r4 % 7 AS az, least(10, 3 + r3 % 8) AS n, 100 * (1 + r2 % 3) AS step FROM m)"""
@@ -153,26 +153,30 @@ f AS (SELECT symbol, day, count(*) FILTER (good) AS used, count(*) FILTER (NOT g
 SELECT symbol, day, used, skipped, CASE WHEN used >= 3 AND ok THEN round(sl, 6) END AS slope, CASE WHEN used >= 3 AND ok THEN round(ic, 6) END AS intercept, CASE WHEN used >= 3 AND ok AND yok THEN round(r, 6) END AS r2 FROM f"""
 
 _OPS = f"""{_BASE},
-o1 AS (SELECT t.*, (SELECT count(*) FROM tape u WHERE u.symbol = t.symbol AND u.order_id = t.order_id AND u.kind = 1 AND u.seq <= t.seq) AS life_no FROM tape t WHERE kind BETWEEN 1 AND 4),
+o1 AS (SELECT t.*, (SELECT count(*) FROM tape u WHERE u.symbol = t.symbol AND u.day = t.day AND u.order_id = t.order_id AND u.kind = 1 AND u.seq <= t.seq) AS life_no FROM tape t WHERE kind BETWEEN 1 AND 4),
 born AS (SELECT symbol, day, order_id, life_no, seq AS add_seq, time_ns AS added_ns, size AS added, price AS add_price, direction AS add_direction FROM o1 WHERE kind = 1),
-o2 AS (SELECT o.*, coalesce(sum(CASE WHEN kind <> 1 THEN size END) OVER w, 0) AS cum, coalesce(bool_or(kind = 3) OVER w, false) AS deleted FROM o1 o WINDOW w AS (PARTITION BY symbol, order_id, life_no ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-ops AS (SELECT o.*, add_seq, added_ns, added, add_price, add_direction, kind <> 1 AND (o.life_no = 0 OR deleted OR (cum > 0 AND cum >= added)) AS dark, CASE WHEN o.life_no > 0 THEN greatest(added - cum, 0) END AS rest FROM o2 o LEFT JOIN born b ON b.symbol = o.symbol AND b.order_id = o.order_id AND b.life_no = o.life_no),
+o2 AS (SELECT o.*, coalesce(sum(CASE WHEN kind <> 1 THEN size END) OVER w, 0) AS cum, coalesce(bool_or(kind = 3) OVER w, false) AS deleted FROM o1 o WINDOW w AS (PARTITION BY symbol, day, order_id, life_no ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ops AS (SELECT o.*, add_seq, added_ns, added, add_price, add_direction, kind <> 1 AND (o.life_no = 0 OR deleted OR (cum > 0 AND cum >= added)) AS dark, CASE WHEN o.life_no > 0 THEN greatest(added - cum, 0) END AS rest FROM o2 o LEFT JOIN born b ON b.symbol = o.symbol AND b.day = o.day AND b.order_id = o.order_id AND b.life_no = o.life_no),
 act AS (SELECT *, CASE WHEN kind = 1 THEN NULL WHEN kind = 3 THEN rest ELSE least(size, rest) END AS take, kind <> 1 AND (kind = 3 OR size >= rest) AS ends, kind <> 1 AND (size > rest OR (kind = 3 AND size <> rest)) AS disagrees FROM ops WHERE life_no > 0 AND NOT dark),
 life AS (SELECT symbol, day, order_id, life_no, any_value(added_ns) AS added_ns, any_value(add_direction) AS direction, any_value(add_price) AS price, any_value(add_seq) AS add_seq, any_value(added) AS added, CAST(coalesce(sum(take) FILTER (kind = 4), 0) AS BIGINT) AS executed, CAST(coalesce(sum(take) FILTER (kind IN (2, 3)), 0) AS BIGINT) AS cancelled,
  count(*) FILTER (kind = 4) AS fills, min(time_ns) FILTER (kind = 4) AS first_fill_ns, max(time_ns) AS last_seen_ns, max(time_ns) FILTER (ends) AS end_ns, max(kind) FILTER (ends) AS end_kind, count(*) FILTER (disagrees) AS disagreements FROM act GROUP BY symbol, day, order_id, life_no),
 lives AS (SELECT *, CASE WHEN end_ns IS NULL THEN 'censored' WHEN end_kind = 4 THEN 'executed' ELSE 'cancelled' END AS outcome, CAST(added - executed - cancelled AS BIGINT) AS remaining, end_ns - added_ns AS lifetime_ns, CASE WHEN end_ns IS NULL THEN last_seen_ns - added_ns END AS censor_ns FROM life)"""
-_DIST = f"""WITH {_OPS}, bk AS (SELECT t.symbol, t.seq, CASE WHEN NOT gone THEN b END AS b, a FROM tape t JOIN book USING (seq)), prior AS (SELECT symbol, seq, lag(b) OVER (PARTITION BY symbol ORDER BY seq) AS pb, lag(a) OVER (PARTITION BY symbol ORDER BY seq) AS pa FROM bk),
+_BUCKET = """CASE WHEN d IS NULL THEN 'unknown' WHEN d < 0 THEN 'improve' WHEN d = 0 THEN 'at_best' WHEN d = 1 THEN '1' WHEN d <= 5 THEN '2_to_5' WHEN d <= 10 THEN '6_to_10' ELSE 'over_10' END"""
+_DIST = f"""WITH {_OPS}, bk AS (SELECT t.symbol, t.day, t.seq, CASE WHEN NOT gone THEN b END AS b, a FROM tape t JOIN book USING (seq)), prior AS (SELECT symbol, seq, lag(b) OVER (PARTITION BY symbol, day ORDER BY seq) AS pb, lag(a) OVER (PARTITION BY symbol, day ORDER BY seq) AS pa FROM bk),
 x AS (SELECT l.*, trunc(CASE WHEN direction = 1 THEN pb - price ELSE price - pa END / 100.0::DOUBLE) AS d FROM lives l JOIN prior p ON p.symbol = l.symbol AND p.seq = l.add_seq),
-g AS (SELECT symbol, day, CASE WHEN d IS NULL THEN 'unknown' WHEN d < 0 THEN 'improve' WHEN d = 0 THEN 'at_best' WHEN d = 1 THEN '1' WHEN d <= 5 THEN '2_to_5' WHEN d <= 10 THEN '6_to_10' ELSE 'over_10' END AS bucket, count(*) AS orders, count(*) FILTER (executed > 0) AS filled, CAST(sum(added) AS BIGINT) AS shares, CAST(sum(executed) AS BIGINT) AS filled_shares FROM x GROUP BY ALL)
+g AS (SELECT symbol, day, {_BUCKET} AS bucket, count(*) AS orders, count(*) FILTER (executed > 0) AS filled, CAST(sum(added) AS BIGINT) AS shares, CAST(sum(executed) AS BIGINT) AS filled_shares FROM x GROUP BY ALL)
 SELECT *, {_r("filled", "orders")} AS fill_rate, {_r("filled_shares", "shares")} AS share_fill_rate FROM g"""
 _KM = f"""{_OPS}, dur AS (SELECT symbol, day, CASE WHEN outcome = 'censored' THEN censor_ns ELSE lifetime_ns END AS t, outcome <> 'censored' AS died FROM lives),
 dt AS (SELECT symbol, day, t, count(*) AS deaths FROM dur WHERE died GROUP BY ALL),
-risk AS (SELECT d.*, (SELECT count(*) FROM dur u WHERE u.symbol = d.symbol AND u.t >= d.t) AS at_risk FROM dt d),
+risk AS (SELECT d.*, (SELECT count(*) FROM dur u WHERE u.symbol = d.symbol AND u.day = d.day AND u.t >= d.t) AS at_risk FROM dt d),
 km AS (SELECT symbol, day, t, at_risk, deaths, product(1 - deaths / CAST(at_risk AS DOUBLE)) OVER (PARTITION BY symbol, day ORDER BY t) AS survival FROM risk)"""
-_GRID = "(" + ", ".join(f"({int(1_000_000_000 * 10 ** (k / 5))})" for k in range(36)) + ")"
-_SURVIVAL = f"""WITH {_KM}, grid AS (SELECT symbol, day, CAST(t AS BIGINT) AS t FROM (SELECT DISTINCT symbol, day FROM dur), (VALUES {_GRID[1:-1]}) AS v(t))
-SELECT g.symbol, g.day, g.t, round(coalesce((SELECT survival FROM km k WHERE k.symbol = g.symbol AND k.t <= g.t ORDER BY k.t DESC LIMIT 1), 1), 6) AS s_km,
- round(1 - (SELECT count(*) FROM dur u WHERE u.symbol = g.symbol AND died AND u.t <= g.t) / CAST((SELECT count(*) FROM dur u WHERE u.symbol = g.symbol AND died) AS DOUBLE), 6) AS s_naive FROM grid g"""
+_GRID = ", ".join(f"({t})" for t in (*filter(lambda t: t <= _DAY, (int(10 ** (9 + k / 5)) for k in range(36))), _DAY))
+_SURVIVAL = f"""WITH {_KM}, grid AS (SELECT symbol, day, CAST(t AS BIGINT) AS t FROM (SELECT DISTINCT symbol, day FROM dur), (VALUES {_GRID}) AS v(t))
+SELECT g.symbol, g.day, g.t,
+ round(coalesce((SELECT survival FROM km k WHERE k.symbol = g.symbol AND k.day = g.day AND k.t <= g.t ORDER BY k.t DESC LIMIT 1), 1), 6) AS s_km,
+ round(1 - (SELECT count(*) FROM dur u WHERE u.symbol = g.symbol AND u.day = g.day AND died AND u.t <= g.t) / nullif(CAST(n_observed AS DOUBLE), 0), 6) AS s_naive,
+ n_observed, n_censored
+FROM grid g JOIN (SELECT symbol, day, count(*) FILTER (died) AS n_observed, count(*) FILTER (NOT died) AS n_censored FROM dur GROUP BY ALL) USING (symbol, day)"""
 _LOT = lambda c: f"CASE WHEN {c} < 100 THEN 'odd' WHEN {c} % 100 = 0 THEN 'round' ELSE 'mixed' END"
 _KIND_NAMES = ("adds", "reduces", "deletes", "executes", "hiddens")
 
@@ -207,6 +211,15 @@ def _life_summary() -> str:
     picks = {f"{k}_p{round(q * 100)}_ms": f"(SELECT {_pick('lifetime_ns', q)} / 1e6 FROM lv v WHERE v.symbol = g.symbol AND v.day = g.day AND outcome = '{k}')" for k in kinds[:2] for q in (0.1, 0.5, 0.9)}
     picks |= {"observed_p50_ms": f"(SELECT {_pick('lifetime_ns', 0.5)} / 1e6 FROM lv v WHERE v.symbol = g.symbol AND v.day = g.day AND outcome <> 'censored')"}
     naive = {k: v for k, v in naive.items() if k != "observed_p50_ms"} | picks
+    times = {"1ms": 10**6, "10ms": 10**7, "100ms": 10**8, "1s": 10**9, "10s": 10**10, "1min": 6 * 10**10, "10min": 6 * 10**11, "1h": 36 * 10**11}
+    seen = "FROM lv v WHERE v.symbol = g.symbol AND v.day = g.day AND outcome <> 'censored'"
+    naive |= {f"S_at_{k}": f"(SELECT count(*) FILTER (lifetime_ns > {t}) / nullif(CAST(count(*) AS DOUBLE), 0) {seen})" for k, t in times.items()}
+    at = "FROM km k WHERE k.symbol = g.symbol AND k.day = g.day"
+    curve = {f"S_at_{k}": f"coalesce((SELECT arg_max(survival, t) {at} AND t <= {t}), 1)" for k, t in times.items()}
+    curve |= {"median_ms": f"(SELECT min(t) FILTER (survival <= 0.5) / 1e6 {at})"}
+    shown = {"orders": "count(*)", "share_of_adds": "count(*) / CAST(any_value(n) AS DOUBLE)", "fill_rate_shares": "sum(executed) / nullif(CAST(sum(added) AS DOUBLE), 0)", "fill_rate_orders": "count(*) FILTER (executed > 0) / nullif(CAST(count(*) AS DOUBLE), 0)"}
+    buckets = ("improve", "at_best", "1", "2_to_5", "6_to_10", "over_10", "unknown")
+    near = {f"{b}_{k}": f"(SELECT {v.replace('any_value(n)', 'g.n')} FROM bucketed v WHERE v.symbol = g.symbol AND v.day = g.day AND v.bucket = '{b}')" for b in buckets for k, v in shown.items()}
     sizes = {f"adds_{k}_lot_share": share(f"lot_{k}") for k in ("round", "odd", "mixed")} | {"add_size_mean": share("sh_added")}
     sizes |= {"add_size_p50": f"(SELECT {_pick('added', 0.5)} FROM lv v WHERE v.symbol = g.symbol AND v.day = g.day)"}
     c2t = {"by_messages_full_day": "(reduces + deletes) / nullif(CAST(executes + hiddens AS DOUBLE), 0)", "by_messages_midas_window": "(reduces_inside + deletes_inside) / nullif(CAST(executes_inside + hiddens_inside AS DOUBLE), 0)",
@@ -216,11 +229,11 @@ def _life_summary() -> str:
         _cells("ends", ends, "g"), _cells("lifetime_naive", naive, "g"), _cells("lifetime_km", {"censored_share": share("n_censored")}, "g"), _cells("sizes", sizes, "g"),
         _cells("cancel_to_trade", c2t, "c2t"), _cells("accounting", {"dark_ops": "dark_ops", "dark_shares": "dark_shares", "hidden_execs": "hiddens"}, "c2t"),
         _cells("accounting", {"size_disagreements": "disagreements", "readded_ids": "readded"}, "g"),
-        "SELECT symbol, day, 'lifetime_km', 'median_ms', min(t) FILTER (survival <= 0.5) / 1e6 FROM km GROUP BY ALL",
-        "SELECT symbol, day, 'fill_by_distance', bucket || '_' || unnest(['orders', 'share_of_adds', 'fill_rate_shares', 'fill_rate_orders']), unnest([CAST(orders AS DOUBLE), orders / CAST(sum(orders) OVER (PARTITION BY symbol, day) AS DOUBLE), filled_shares / nullif(CAST(shares AS DOUBLE), 0), filled / CAST(orders AS DOUBLE)]) FROM dist",
+        _cells("lifetime_km", curve, "g"), _cells("fill_by_distance", near, "g"),
     ]
     counted = ", ".join(f"count(*) FILTER (outcome = '{k}') AS n_{k}" for k in kinds) + ", " + ", ".join(f"count(*) FILTER ({_LOT('added')} = '{k}') AS lot_{k}" for k in ("round", "odd", "mixed"))
-    return f"""WITH {_KM}, {_DIST.removeprefix(f'WITH {_OPS}, ').rsplit('SELECT *', 1)[0].rstrip().replace('g AS (SELECT', 'dist AS (SELECT')}, {_c2t(34_500 * 10**9, 57_600 * 10**9)},
+    return f"""WITH {_KM}, {_DIST.removeprefix(f'WITH {_OPS}, ').split('g AS (SELECT')[0]}
+bucketed AS (SELECT *, {_BUCKET} AS bucket FROM x), {_c2t(34_500 * 10**9, 57_600 * 10**9)},
 lv AS (SELECT *, coalesce(lag(outcome) OVER (PARTITION BY symbol, day, order_id ORDER BY life_no) = 'censored', false) AS readds FROM lives),
 g AS (SELECT symbol, day, count(*) AS n, {counted}, sum(added) AS sh_added, sum(executed) AS sh_executed, sum(cancelled) AS sh_cancelled, count(*) FILTER (outcome <> 'censored') AS observed,
  count(*) FILTER (lifetime_ns < 100000000) AS under_100ms, count(*) FILTER (lifetime_ns < 1000000000) AS under_1s, count(*) FILTER (lifetime_ns >= 60000000000) AS over_1min, count(*) FILTER (readds) AS readded, sum(disagreements) AS disagreements FROM lv GROUP BY ALL),
@@ -230,12 +243,12 @@ stats AS ({' UNION ALL '.join(parts)}) SELECT symbol, day, section, statistic, r
 _q = lambda q: f"list_sort(list(lifetime_ns))[1 + least(count(*) - 1, CAST(floor({q}::DOUBLE * count(*)) AS BIGINT))]"
 _DELTAS = f"{_OPS}, deltas AS (SELECT symbol, day, seq, order_id, life_no, add_direction AS direction, add_price AS price, add_seq, CAST(CASE WHEN kind = 1 THEN size ELSE -take END AS BIGINT) AS delta FROM act)"
 _ITCH = f"""WITH {_DELTAS}, msg AS (SELECT d.symbol, t.time_ns // {_DAY} AS day, t.time_ns % {_DAY} AS ns, d.add_seq, d.direction, delta, 100 * (1 + (d.price // 100) % 20) AS away,
-         CASE WHEN delta > 0 THEN 'A' WHEN sum(delta) OVER (PARTITION BY d.symbol, d.order_id, d.life_no ORDER BY d.seq) = 0 THEN 'D' ELSE 'X' END AS kind FROM deltas d JOIN tape t ON t.seq = d.seq WHERE delta <> 0)
+         CASE WHEN delta > 0 THEN 'A' WHEN sum(delta) OVER (PARTITION BY d.symbol, d.day, d.order_id, d.life_no ORDER BY d.seq) = 0 THEN 'D' ELSE 'X' END AS kind FROM deltas d JOIN tape t ON t.seq = d.seq WHERE delta <> 0)
 SELECT CAST(symbol + 1 AS INT) AS stock_locate, day, kind, CASE WHEN kind = 'A' THEN 'SYM' || symbol END AS stock, min(ns) AS first_ns, max(ns) AS last_ns, count(*) AS messages, count(*) * CASE kind WHEN 'A' THEN 38 WHEN 'D' THEN 21 ELSE 25 END AS bytes, CAST(0 AS BIGINT) AS not_decoded,
        count(*) FILTER (kind = 'A' AND direction = 1) AS bids, CAST(sum(add_seq) AS BIGINT) AS order_ref, CAST(sum(CASE WHEN kind <> 'D' THEN abs(delta) END) AS BIGINT) AS shares, CAST(sum(CASE WHEN kind = 'A' THEN 1000000 - direction * away END) AS BIGINT) AS price FROM msg GROUP BY symbol, day, kind"""
-_CLEAN = f"""WITH {_DELTAS}, live AS (SELECT d.symbol, d.seq, CASE WHEN delta > 0 THEN 1 WHEN sum(delta) OVER (PARTITION BY d.symbol, d.order_id, d.life_no ORDER BY d.seq) = 0 THEN -1 ELSE 0 END AS step FROM deltas d WHERE delta <> 0),
-run AS (SELECT *, sum(step) OVER (PARTITION BY symbol ORDER BY seq) AS alive FROM live)
-SELECT symbol, count(*) AS messages, count(*) AS applied, CAST(0 AS BIGINT) AS anomaly, CAST(0 AS BIGINT) AS crossing, CAST(0 AS BIGINT) AS unknown_ref, CAST(max(alive) AS BIGINT) AS max_live, true AS clean FROM run GROUP BY symbol"""
+_CLEAN = f"""WITH {_DELTAS}, live AS (SELECT d.symbol, d.day, d.seq, CASE WHEN delta > 0 THEN 1 WHEN sum(delta) OVER (PARTITION BY d.symbol, d.day, d.order_id, d.life_no ORDER BY d.seq) = 0 THEN -1 ELSE 0 END AS step FROM deltas d WHERE delta <> 0),
+run AS (SELECT *, sum(step) OVER (PARTITION BY symbol, day ORDER BY seq) AS alive FROM live)
+SELECT symbol, day, count(*) AS messages, count(*) AS applied, CAST(0 AS BIGINT) AS anomaly, CAST(0 AS BIGINT) AS crossing, CAST(0 AS BIGINT) AS unknown_ref, CAST(max(alive) AS BIGINT) AS max_live, true AS clean FROM run GROUP BY symbol, day"""
 _FIFO = f"""WITH {_BASE}, rg AS (SELECT symbol, direction, kind, seq, size, sum(size) OVER (PARTITION BY symbol, direction, kind ORDER BY seq) AS stop FROM tape WHERE kind IN (1, 4))
 SELECT r.symbol, r.direction, r.seq AS resting_seq, d.seq AS demand_seq, CAST(least(r.stop, d.stop) - greatest(r.stop - r.size, d.stop - d.size) AS BIGINT) AS fill FROM rg r JOIN rg d ON r.symbol = d.symbol AND r.direction = d.direction AND r.kind = 1 AND d.kind = 4 AND r.stop > d.stop - d.size AND d.stop > r.stop - r.size"""
 
@@ -325,9 +338,9 @@ def _touch(two: str) -> str:
     return ", ".join(f"{v} AS {n}" for v, n in zip(sums, _SEVEN))
 
 
-_IDENTITY = f"""WITH {_BASE}, pr AS (SELECT t.*, gone, b, a, bs, az, row_number() OVER (PARTITION BY t.symbol ORDER BY t.seq) AS k, lead(t.time_ns) OVER (PARTITION BY t.symbol ORDER BY t.seq) AS after FROM tape t JOIN book k ON k.seq = t.seq),
-f AS (SELECT symbol, max(time_ns) FILTER (k IN (1, 4)) AS start, 1706572800000000000 AS close FROM pr GROUP BY ALL),
-s AS (SELECT *, greatest(0, least(greatest(time_ns, coalesce(after, close)), close) - greatest(time_ns, start)) AS ns FROM pr JOIN f USING (symbol)),
+_IDENTITY = f"""WITH {_BASE}, pr AS (SELECT t.*, gone, b, a, bs, az, row_number() OVER (PARTITION BY t.symbol, t.day ORDER BY t.seq) AS k, lead(t.time_ns) OVER (PARTITION BY t.symbol, t.day ORDER BY t.seq) AS after FROM tape t JOIN book k ON k.seq = t.seq),
+f AS (SELECT symbol, day, max(time_ns) FILTER (k IN (1, 4)) AS start, 1706572800000000000 AS close FROM pr GROUP BY ALL),
+s AS (SELECT *, greatest(0, least(greatest(time_ns, coalesce(after, close)), close) - greatest(time_ns, start)) AS ns FROM pr JOIN f USING (symbol, day)),
 ten AS (SELECT symbol, day, {_touch("NOT gone")} FROM s GROUP BY ALL), one AS (SELECT symbol, day, {_touch("NOT gone AND NOT (symbol = 3 AND seq % 50 = 0)")} FROM s WHERE k > 3 GROUP BY ALL)
 SELECT o.symbol, o.day, {", ".join(f"CAST(o.{n} AS VARCHAR) AS {n}" if n.endswith("_ns") else f"o.{n}" for n in _SEVEN)}, {" AND ".join(f"o.{n} = t.{n}" for n in _SEVEN)} AS agree FROM one o JOIN ten t USING (symbol, day)"""
 _BAD = f"""{_states()}, bad AS (SELECT *, t1 - t0 AS hold, CASE WHEN gone THEN 0 WHEN seq % 13 < 3 THEN n WHEN seq % 17 = 0 THEN least(2, n) ELSE n END AS m, NOT gone AND seq % 13 < 3 AS bigger FROM st)"""

@@ -147,7 +147,7 @@ def km_median(spark, d):
 
 
 def survival_grid(spark, d):
-    return _long(lc.survival_grid(lc.lives(ad.tape(spark, d)), 1_000_000_000, 5, 7), None)
+    return _long(lc.survival_grid(lc.lives(ad.tape(spark, d)), 9, 5, 7, WHOLE_DAY), None)
 
 
 def lifetime_quantiles(spark, d):
@@ -160,7 +160,7 @@ def cancel_to_trade(spark, d):
 
 
 def lifecycle_summary(spark, d):
-    return _long(lc.summarize(ad.tape(spark, d), _tape_book(spark, d)), None)
+    return _long(lc.summarize(ad.tape(spark, d), _tape_book(spark, d)).drop("definition"), None)
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
@@ -317,7 +317,7 @@ def clean_feed(spark, d) -> DataFrame:
 
 def clean_replay_stats(spark, d):
     s = rp.replay_stats(scan.replay_feed(clean_feed(spark, d)))
-    return s.select("symbol", "messages", "applied", "anomaly", "crossing", "unknown_ref", "max_live", "clean")
+    return s.select(*DAY, "messages", "applied", "anomaly", "crossing", "unknown_ref", "max_live", "clean")
 
 
 def fifo_allocation(spark, d):

@@ -23,10 +23,10 @@ def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order messages: symbol, day (0), seq, time_ns, kind, order_id, size, price, direction."""
+    """Order messages: symbol, day (of the epoch), seq, time_ns (of the epoch), kind, order_id, size, price, direction."""
     kind = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in KINDS.items()])
     return _timed(spark, sf_dir).select(
-        (F.col("user_id") % 5).cast("int").alias("symbol"), F.lit(0).alias("day"), F.col("event_id").alias("seq"), (F.col("us") * 1000).alias("time_ns"), kind.alias("kind"), F.col("user_id").alias("order_id"),
+        (F.col("user_id") % 5).cast("int").alias("symbol"), F.expr("us div 86400000000").alias("day"), F.col("event_id").alias("seq"), (F.col("us") * 1000).alias("time_ns"), kind.alias("kind"), (F.col("event_id") % 13).alias("order_id"),
         (1 + F.floor("value")).cast("bigint").alias("size"), (1000000 + 100 * F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")).alias("price"), F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("direction"),
     )
 
