@@ -249,6 +249,23 @@ SELECT CAST(symbol + 1 AS INT) AS stock_locate, day, kind, CASE WHEN kind = 'A'
 _CLEAN = f"""WITH {_DELTAS}, live AS (SELECT d.symbol, d.day, d.seq, CASE WHEN delta > 0 THEN 1 WHEN sum(delta) OVER (PARTITION BY d.symbol, d.day, d.order_id, d.life_no ORDER BY d.seq) = 0 THEN -1 ELSE 0 END AS step FROM deltas d WHERE delta <> 0),
 run AS (SELECT *, sum(step) OVER (PARTITION BY symbol, day ORDER BY seq) AS alive FROM live)
 SELECT symbol, day, count(*) AS messages, count(*) AS applied, CAST(0 AS BIGINT) AS anomaly, CAST(0 AS BIGINT) AS crossing, CAST(0 AS BIGINT) AS unknown_ref, CAST(max(alive) AS BIGINT) AS max_live, true AS clean FROM run GROUP BY symbol, day"""
+_REFUSED = f"""WITH {_DELTAS},
+base AS (SELECT d.symbol, d.day, d.seq AS n, d.add_seq, d.direction AS side, 1000000 - d.direction * 100 * (1 + (d.price // 100) % 20) AS price, abs(delta) AS shares,
+         CASE WHEN delta > 0 THEN 'A' WHEN sum(delta) OVER (PARTITION BY d.symbol, d.day, d.order_id, d.life_no ORDER BY d.seq) = 0 THEN 'D' ELSE 'X' END AS was FROM deltas d WHERE delta <> 0),
+msg AS (SELECT *, CASE WHEN was = 'X' AND n % 3 = 0 THEN 'E' WHEN was = 'X' AND n % 3 = 1 THEN 'C' WHEN was = 'D' AND n % 4 = 0 THEN 'E' WHEN was = 'D' AND n % 4 = 1 THEN 'U' ELSE was END AS kind FROM base),
+orders AS (SELECT symbol, day, any_value(side) AS side, any_value(price) AS price, add_seq AS place, max(n) FILTER (was = 'D') AS died FROM msg GROUP BY symbol, day, add_seq
+           UNION ALL SELECT symbol, day, side, price, n, NULL FROM msg WHERE kind = 'U'),
+front AS (SELECT e.symbol, e.day, e.n, count(o.place) > 0 AS behind FROM msg e LEFT JOIN orders o ON o.symbol = e.symbol AND o.day = e.day AND o.side = e.side AND o.price = e.price AND o.place < e.add_seq AND (o.died IS NULL OR o.died > e.n)
+          WHERE e.kind = 'E' GROUP BY ALL),
+live AS (SELECT symbol, day, n, 2 + sum(CASE WHEN was = 'A' THEN 1 WHEN was = 'D' AND kind <> 'U' THEN -1 ELSE 0 END) OVER (PARTITION BY symbol, day ORDER BY n) AS alive FROM msg),
+extra AS (SELECT symbol, day, count(*) FILTER (n % 11 = 0) AS unknown_ref, count(*) FILTER (n % 13 = 0) + count(*) FILTER (was = 'A' AND n % 5 = 0) AS crossing,
+                 count(*) FILTER (was = 'A' AND n % 17 = 0) + count(*) FILTER (was = 'A' AND n % 19 = 0) + count(*) FILTER (was = 'A' AND n % 7 = 0) AS anomaly,
+                 count(*) FILTER (was = 'D' AND kind = 'E') AS full_fill, count(*) AS base FROM msg GROUP BY ALL)
+SELECT symbol, day, base + 2 + unknown_ref + crossing + anomaly AS messages, base + 2 + unknown_ref + crossing + anomaly AS applied, crossing,
+       (SELECT count(*) FILTER (behind) FROM front f WHERE f.symbol = x.symbol AND f.day = x.day) AS front_violation, full_fill, unknown_ref, anomaly,
+       (SELECT CAST(max(alive) AS BIGINT) FROM live l WHERE l.symbol = x.symbol AND l.day = x.day) AS max_live,
+       unknown_ref + crossing + anomaly + (SELECT count(*) FILTER (behind) FROM front f WHERE f.symbol = x.symbol AND f.day = x.day) = 0 AS clean
+FROM extra x"""
 _FIFO = f"""WITH {_BASE}, rg AS (SELECT symbol, direction, kind, seq, size, sum(size) OVER (PARTITION BY symbol, direction, kind ORDER BY seq) AS stop FROM tape WHERE kind IN (1, 4))
 SELECT r.symbol, r.direction, r.seq AS resting_seq, d.seq AS demand_seq, CAST(least(r.stop, d.stop) - greatest(r.stop - r.size, d.stop - d.size) AS BIGINT) AS fill FROM rg r JOIN rg d ON r.symbol = d.symbol AND r.direction = d.direction AND r.kind = 1 AND d.kind = 4 AND r.stop > d.stop - d.size AND d.stop > r.stop - r.size"""
 
@@ -405,5 +422,5 @@ SQL = {
     "itch_decode": _ITCH, "error_budget": _BUDGET, "close_report": _CLOSE_SQL, "activity_comparison": _COMPARISON, "bucket_identity": _SAME,
     "verdict_words": _WORDS, "best_horizon": _BEST, "decile_members": _MEMBERS,
     "front_of_queue": f"WITH {_DELTAS}, lv AS (SELECT symbol, day, direction, price, order_id, life_no, sum(delta) AS rest, min(add_seq) AS s FROM deltas GROUP BY ALL) SELECT symbol, day, direction, price, CAST(sum(rest) AS BIGINT) AS level_size, count(*) AS orders, min(s) AS front_seq FROM lv WHERE rest > 0 GROUP BY ALL",
-    "clean_replay_stats": _CLEAN, "fifo_allocation": _FIFO, "stream_ofi_calendar": _CAL,
+    "clean_replay_stats": _CLEAN, "refused_replay_stats": _REFUSED, "fifo_allocation": _FIFO, "stream_ofi_calendar": _CAL,
 }

@@ -19,7 +19,7 @@ from tickloom.operators import reports as rr
 from tickloom.operators import tape as tp
 from tickloom.sources import adapters as ad
 from tickloom.sources import itch
-from tickloom.sources.shared import shared_path
+from tickloom.sources.shared import kept, shared_path
 from tickloom.streaming import stateful
 
 SECOND = 1_000_000_000
@@ -163,21 +163,14 @@ def lifecycle_summary(spark, d):
     return _long(lc.summarize(ad.tape(spark, d), _tape_book(spark, d)).drop("definition"), None)
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """A table in the shared folder, for what several branches read: it is made once."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _pairs(spark, d):
     """Forecast pairs of all horizons: pair columns with the horizon h."""
-    ev, states = _kept(_events(spark, d), "flow"), _kept(_states(spark, d), "states")
+    ev, states = kept(_events(spark, d), "flow"), kept(_states(spark, d), "states")
     out = []
     for h in HORIZONS:
         spreads = bs.bin_ratios(bs.time_weighted(states, h * SECOND, 0, WHOLE_DAY)).select(*DAY, F.col("bin").alias("bucket"), F.col("tw_spread_cents").alias("spread"))
         out.append(fc.pairs(of.calendar(ev, h * SECOND, 0, WHOLE_DAY), spreads).withColumn("h", F.lit(h)))
-    return _kept(reduce(DataFrame.unionByName, out), "pairs")
+    return kept(reduce(DataFrame.unionByName, out), "pairs")
 
 
 def forecast_pairs(spark, d):
@@ -320,6 +313,37 @@ def clean_replay_stats(spark, d):
     return s.select(*DAY, "messages", "applied", "anomaly", "crossing", "unknown_ref", "max_live", "clean")
 
 
+def refused_feed(spark, d) -> DataFrame:
+    """The clean feed with executions and replacements in it, and with messages that a book must refuse: unknown, repeated and crossing
+    orders, and removals of too much. Two orders far from all others rest on each day, so that what crosses does so always."""
+    base = clean_feed(spark, d).withColumn("n", F.col("seq")).withColumn("seq", 10 * F.col("seq"))
+    n, kind = F.col("n"), F.col("kind")
+    new = F.lit(None).cast("bigint")
+    changed = F.when((kind == "X") & (n % 3 == 0), "E").when((kind == "X") & (n % 3 == 1), "C").when((kind == "D") & (n % 4 == 0), "E").when((kind == "D") & (n % 4 == 1), "U").otherwise(kind)
+    replaced = (kind == "D") & (n % 4 == 1)
+    shown = lambda df, k, at, ref, to, side, shares, price: df.select(*DAY, (F.col("seq") + at).alias("seq"), "time_ns", k.alias("kind"), ref.alias("order_ref"), to.alias("new_order_ref"), side.alias("side"), shares.cast("bigint").alias("shares"), price.cast("bigint").alias("price"))
+    ref, side, shares, price = (F.col(c) for c in ("order_ref", "side", "shares", "price"))
+    parts = [shown(base, changed, 0, ref, F.when(replaced, 5 * 10**12 + n), side, F.when(replaced, shares + 5).otherwise(shares), price)]
+    some = lambda k: base.where(n % k == 0)
+    added = lambda k: base.where((n % k == 0) & (kind == "A"))
+    over = F.when(side == "B", 2_000_000).otherwise(1)
+    parts += [
+        shown(some(11), F.lit("X"), 1, 9 * 10**12 + n, new, side, F.lit(1), price), shown(some(13), F.lit("A"), 2, 8 * 10**12 + n, new, F.lit("B"), F.lit(5), F.lit(2_000_000)),
+        shown(added(17), F.lit("A"), 3, ref, new, side, shares, price), shown(added(19), F.lit("X"), 4, ref, new, side, shares, price),
+        shown(added(7), F.lit("C"), 5, ref, new, side, shares + 1, price), shown(added(5), F.lit("U"), 6, ref, 7 * 10**12 + n, side, F.lit(3), over),
+    ]
+    days = base.groupBy(*DAY).agg(F.min("time_ns").alias("time_ns"))
+    for k, (s, p) in enumerate((("B", 1_000), ("S", 1_900_000)), 1):
+        parts.append(shown(days.withColumn("seq", F.lit(-k).cast("bigint")), F.lit("A"), 0, F.lit(6 * 10**12 + k), new, F.lit(s), F.lit(1), F.lit(p)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def refused_replay_stats(spark, d):
+    """Counters of a feed with refusals. Chunks are small here, so that the tape's days are cut."""
+    s = rp.replay_stats(scan.replay_feed(refused_feed(spark, d), 0, 2_000))
+    return s.select(*DAY, "messages", "applied", "crossing", "front_violation", "full_fill", "unknown_ref", "anomaly", "max_live", "clean")
+
+
 def fifo_allocation(spark, d):
     t = ad.tape(spark, d)
     side = lambda k: t.where(F.col("kind") == k).select("symbol", "direction", "seq", "size")
@@ -401,7 +425,7 @@ _ALL = (
     lifecycle_orders, lifecycle_ends, fill_by_distance, size_lots, km_curve, km_median, survival_grid, lifetime_quantiles, cancel_to_trade,
     lifecycle_summary, forecast_pairs, decay, regimes, cost_verdict,
     asof_quote, lee_ready, trade_spreads, quoted_spread, taq_summary, decile_choose, decile_medians, spread_audit, universe_place, universe_deciles, level_identity, depth_decomposition, error_budget,
-    validation_streaks, validation_hourly, clean_replay_levels, front_of_queue, clean_replay_stats, fifo_allocation, lobster_repair_replay, filter_view, itch_decode, stream_ofi_calendar, stream_book,
+    validation_streaks, validation_hourly, clean_replay_levels, front_of_queue, clean_replay_stats, refused_replay_stats, fifo_allocation, lobster_repair_replay, filter_view, itch_decode, stream_ofi_calendar, stream_book,
     close_report, activity_comparison, bucket_identity, verdict_words, best_horizon, decile_members,
 )
 QUERIES = {f.__name__: f for f in _ALL}
