@@ -292,9 +292,36 @@ def test_streams_equal_batches(spark):
     from tickloom.sources.adapters import tape
 
     messages = tape(spark, "/root/testdata/sf0.001").where("symbol < 2")
-    rows = stateful.run_through(spark, messages, stateful.book_states).orderBy("symbol", "seq").collect()
-    batch = rp._grouped(messages, lambda: rp.Repaired(10), 1, False).orderBy("symbol", "seq").collect()
-    assert [(r["seq"], r["bid"], r["ask"], r["dark"], r["late"]) for r in rows] == [(b["seq"], b["bids"][0]["price"] if b["bids"] else None, b["asks"][0]["price"] if b["asks"] else None, b["dark"], False) for b in batch]
+    check = shared_path(spark, "stream-check")
+    out = stateful.run_through(spark, messages, stateful.book_states, check=check)
+    rows = out.where("NOT closed").orderBy("symbol", "day", "seq").collect()
+    batch = rp._grouped(messages, lambda: rp.Repaired(10), 1000, False).orderBy("symbol", "day", "seq").collect()
+    best = lambda side: side[0]["price"] if side else None
+    assert [(r["symbol"], r["day"], r["seq"], r["bid"], r["ask"], r["dark"], r["evicted"], r["late"]) for r in rows] == [(b["symbol"], b["day"], b["seq"], best(b["bids"]), best(b["asks"]), b["dark"], b["evicted"], False) for b in batch]
+    # Each day but the last is closed by a timer, with the book as its last message left it, and its state is gone.
+    ends = {(b["symbol"], b["day"]): b for b in batch}
+    last = max(d for _, d in ends)
+    closed = {(r["symbol"], r["day"]): r for r in out.where("closed").collect()}
+    assert closed.keys() == {k for k in ends if k[1] < last}
+    assert all((r["bid"], r["ask"]) == (best(ends[k]["bids"]), best(ends[k]["asks"])) for k, r in closed.items())
+    # The last day's book is in the checkpoint, an entry a level.
+    levels = spark.read.format("statestore").option("stateVarName", "levels").load(check).select("key.*", "user_map_key.*", "user_map_value.*").collect()
+    assert {r["day"] for r in levels} <= {last}
+    for k in (k for k in ends if k[1] == last):
+        found = sorted((r["side"], r["price"], r["size"]) for r in levels if (r["symbol"], r["day"]) == k)
+        assert found == sorted((s, x["price"], x["size"]) for s, c in ((1, "bids"), (-1, "asks")) for x in ends[k][c])
+
+
+def test_late_messages_and_messages_of_a_closed_day(spark):
+    check, sink, source = (shared_path(spark, x) for x in ("check", "sink", "source"))
+    kind = "symbol int, day bigint, seq bigint, time_ns bigint, kind int, order_id bigint, size bigint, price bigint, direction int"
+    parts = [[(0, 0, 1, S, 1, 7, 5, 100, 1), (0, 0, 3, 2 * S, 1, 8, 5, 101, 1)], [(0, 0, 2, 3 * S, 3, 7, 5, 100, 1), (0, 0, 4, 4 * S, 4, 8, 2, 101, 1)], [(0, 1, 1, 86_401 * S, 1, 9, 5, 90, 1)], [(0, 0, 9, 5 * S, 1, 7, 5, 100, 1), (0, 1, 2, 86_402 * S, 1, 10, 5, 95, 1)]]
+    for rows in parts:
+        spark.createDataFrame(rows, kind).write.mode("append").parquet(source)
+        stream = stateful.book_states(spark.readStream.schema(kind).parquet(source))
+        stream.writeStream.format("parquet").option("checkpointLocation", check).option("path", sink).trigger(availableNow=True).start().awaitTermination()
+    out = sorted((r["day"], r["seq"], r["bid"], r["late"], r["closed"]) for r in spark.read.parquet(sink).collect())
+    assert out == [(0, 1, 100, False, False), (0, 2, 101, True, False), (0, 3, 101, False, False), (0, 4, 101, False, False), (0, 4, 101, False, True), (1, 1, 90, False, False), (1, 2, 95, False, False)]
 
 
 def test_registry(spark):

@@ -416,7 +416,7 @@ def stream_ofi_calendar(spark, d):
 
 
 def stream_book(spark, d):
-    rows = stateful.run_through(spark, ad.tape(spark, d), stateful.book_states)
+    rows = stateful.run_through(spark, ad.tape(spark, d), stateful.book_states).where("NOT closed")
     return rows.groupBy("symbol").agg(F.count("*").alias("messages"), F.sum("applied").alias("applied"), F.sum("dark").alias("dark"), F.sum("evicted").alias("evicted"), F.count_if("late").alias("late"))
 
 
