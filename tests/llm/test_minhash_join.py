@@ -50,12 +50,24 @@ def test_distance_counts_differing_slots(spark):
     rng = np.random.default_rng(5)
     a = rng.integers(0, 256, (40, m.SLOTS), np.uint8)
     b = np.where(rng.random((40, m.SLOTS)) < 0.3, rng.integers(0, 256, (40, m.SLOTS), np.uint8), a).astype(np.uint8)
-    row = lambda x, y, i: (*map(int, x.view(np.int64)), *map(int, y.view(np.int64)), i)
+    row = lambda x, y, i: (*map(int, m._packed(x[None])[0]), *map(int, m._packed(y[None])[0]), i)
     names = ", ".join([f"{s}_{c} bigint" for s in "xy" for c in m.SIGNATURE] + ["i int"])
     df = spark.createDataFrame([row(x, y, i) for i, (x, y) in enumerate(zip(a, b))], names)
     assert [r["d"] for r in df.select(m._distance("x_", "y_").alias("d"), "i").orderBy("i").collect()] == (a != b).sum(1).tolist()
 
 
+def test_each_pair_comes_from_one_list(spark):
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 256, (200, m.SLOTS), np.uint8)
+    b = np.where(rng.random((200, m.SLOTS)) < rng.choice([0.0, 0.1, 0.4, 0.9], (200, 1)), rng.integers(0, 256, (200, m.SLOTS), np.uint8), a).astype(np.uint8)
+    names = ", ".join([f"{s}_{c} bigint" for s in "xy" for c in m.SIGNATURE] + ["i int", "k bigint"])
+    keys = [sorted(set(x) & set(y)) for x, y in zip(m.chunk_keys(a).tolist(), m.chunk_keys(b).tolist())]
+    both = np.concatenate((m._packed(a), m._packed(b)), 1).tolist()
+    df = spark.createDataFrame([(*both[i], i, k) for i in range(200) for k in keys[i]], names)
+    found = [r["i"] for r in df.where(m._first_list("k", "x_", "y_")).collect()]
+    assert sorted(found) == [i for i in range(200) if keys[i]] and 60 < len(found) < 200
+
+
 def swarms():
     """Texts of few and many words with copies, near copies around the threshold, and chains of near copies."""
     rng = random.Random(11)

@@ -17,14 +17,14 @@ from tickloom.llm.hashing import differing_bits, frugal, grouped, mixed, ordered
 from tickloom.llm.jaccard_join import unseen, verified
 
 #: Slots of a signature, of 8 bits each; slots of a chunk; errors that a chunk may have.
-SLOTS, CHUNK, ERRORS = 96, 6, 1
+SLOTS, CHUNK, ERRORS = 96, 6, 1  # one error: _first_list counts on it
 CHUNKS = SLOTS // CHUNK
 #: By pigeonhole, signatures that differ in at most so many slots have a chunk with at most ERRORS errors.
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
 #: Least Jaccard percentage for which SLOTS and CHUNK are chosen.
 LEAST_PERCENT = 80
-#: Columns of the signature, 8 slots each, and of the parity sketch (see hashing.set_signatures), 64 bits each.
-SIGNATURE = [f"m{k}" for k in range(SLOTS // 8)]
+#: Columns of the signature, a chunk each, and of the parity sketch (see hashing.set_signatures), 64 bits each.
+SIGNATURE = [f"m{k}" for k in range(CHUNKS)]
 PARITY = [f"s{k}" for k in range(8)]
 #: Rounds after the first, of which the last one is the exact rest, and partners that each set of a list tries in the others.
 ROUNDS, PROBES = 2, 3
@@ -60,6 +60,13 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return keys.reshape(len(sig), -1)
 
 
+def _packed(sig: np.ndarray) -> np.ndarray:
+    """Signatures as a whole number a chunk, slots in bytes from the lowest."""
+    wide = np.zeros((len(sig), CHUNKS, 8), np.uint8)
+    wide[:, :, :CHUNK] = sig.reshape(len(sig), CHUNKS, CHUNK)
+    return wide.view("<i8")[:, :, 0]
+
+
 def _set_rows(rows: DataFrame, words: int) -> DataFrame:
     """(doc, h, text) rows to doc, h, n, node, signature and parity; n is the set's size and node its digest.
 
@@ -81,7 +88,7 @@ def _set_rows(rows: DataFrame, words: int) -> DataFrame:
                 fresh[places] = places
                 new = np.where(at >= 0, fresh[at], -1) if len(first) else at
                 there, new = (pa.array(x, mask=x < 0) for x in (at, new))
-                both = [signatures(h, first).view(np.uint64).view(np.int64), set_signatures(h, first, len(PARITY)).view(np.int64)]
+                both = [_packed(signatures(h, first)), set_signatures(h, first, len(PARITY)).view(np.int64)]
                 keys = batch.slice(row, len(texts))
                 columns = [keys.column(0), keys.column(1), pa.array(n), node.take(there)]
                 columns += [pa.array(np.ascontiguousarray(x[:, k])).take(new) for x in both for k in range(x.shape[1])]
@@ -96,8 +103,8 @@ def _postings(nodes: DataFrame, percent: int) -> DataFrame:
 
     def list_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = np.stack([c.to_numpy() for c in batch.columns[2:]], 1).view(np.uint8) if batch.num_rows else np.zeros((0, SLOTS), np.uint8)
-            keys = chunk_keys(np.ascontiguousarray(sig))
+            wide = np.ascontiguousarray(np.stack([c.to_numpy() for c in batch.columns[2:]], 1)).view(np.uint8)
+            keys = chunk_keys(np.ascontiguousarray(wide.reshape(-1, CHUNKS, 8)[:, :, :CHUNK]).reshape(-1, SLOTS))
             again = np.repeat(np.arange(len(keys)), keys.shape[1])
             columns = [pa.array(keys.ravel().view(np.int64)), *[pa.array(batch.column(i).to_numpy()[again]) for i in (0, 1)]]
             yield pa.RecordBatch.from_arrays(columns, ["key", "id", "n"])
@@ -106,26 +113,27 @@ def _postings(nodes: DataFrame, percent: int) -> DataFrame:
     return able.mapInArrow(frugal(list_all), "key bigint, id bigint, n bigint")
 
 
-def _distance(a: str, b: str) -> Column:
-    """Slots in which two signatures differ: the bits of each byte of x ^ y are folded into its lowest."""
+#: The low seven bits, and the high one, of each slot of a chunk.
+_LOW, _HIGH = (sum(x << 8 * i for i in range(CHUNK)) for x in (0x7F, 0x80))
 
-    def word(s: str) -> str:
-        x = f"({a}{s} ^ {b}{s})"
-        for step in (4, 2, 1):
-            x = f"({x} | shiftrightunsigned({x} & {_bytes_over(step)}, {step}))"
-        return f"bit_count({x} & {_bytes(1)})"
 
-    return F.expr(" + ".join(word(s) for s in SIGNATURE))
+def _errors(a: str, b: str, s: str) -> str:
+    """Slots in which a chunk of two signatures differs."""
+    x = f"({a}{s} ^ {b}{s})"
+    return f"bit_count((({x} & {_LOW}L) + {_LOW}L | {x}) & {_HIGH}L)"
 
 
-def _bytes(x: int) -> str:
-    """A bigint literal of eight equal bytes."""
-    v = int.from_bytes(bytes([x] * 8), "big")
-    return f"{v - (1 << 64) if v >> 63 else v}L"
+def _distance(a: str, b: str) -> Column:
+    """Slots in which two signatures differ."""
+    return F.expr(" + ".join(_errors(a, b, s) for s in SIGNATURE))
 
 
-def _bytes_over(step: int) -> str:
-    return _bytes(256 - (1 << step))
+def _first_list(key: str, a: str, b: str) -> Column:
+    """Whether the list of `key` is the first that two signatures share: the first chunk with few errors, and in it the first choice."""
+    chunk, choice = f"(({key} >> {8 * (CHUNK - ERRORS)}) div {len(_KEPT)})", f"(({key} >> {8 * (CHUNK - ERRORS)}) % {len(_KEPT)})"
+    cases = " ".join(f"WHEN {_errors(a, b, s)} <= {ERRORS} THEN {k}" for k, s in enumerate(SIGNATURE))
+    own = " ".join(f"WHEN {k} THEN {_errors(a, b, s)}" for k, s in enumerate(SIGNATURE))
+    return F.expr(f"{chunk} = CASE {cases} END AND ({choice} = 0 OR CASE {chunk} {own} END = {ERRORS})")
 
 
 def _allowed(percent: int) -> int:
@@ -178,7 +186,7 @@ def _rest(posts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs of ids (a, b) of all sets of one list in two components that pass all filters, by list and class of size.
 
     The members of a list's largest component are not joined with each other, so a list of one large component and a few other sets
-    costs its length for each of these.
+    costs its length for each of these. A pair comes from the first list that both share.
     """
     sizes = posts.groupBy("key", "comp").agg(F.count("*").alias("members"))
     main = sizes.groupBy("key").agg(F.max(F.struct("members", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
@@ -189,7 +197,8 @@ def _rest(posts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     x = full.where("NOT in_main").select("key", F.explode(F.array(level - 1, level, level + 1)).alias("level"), *kept).alias("x")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.level") == F.col("y.level"))
     once = F.col("y.in_main") | (F.col("x.id") < F.col("y.id"))
-    near = x.join(y, same & once & (F.col("x.comp") != F.col("y.comp")) & _alike(percent, "x.", "y."))
+    fresh = _first_list("x.key", "x.", "y.")
+    near = x.join(y, same & once & (F.col("x.comp") != F.col("y.comp")) & _alike(percent, "x.", "y.") & fresh)
     return near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
