@@ -78,21 +78,26 @@ def test_near_components_of_long_lists(spark, monkeypatch, k, percent):
 
 
 def plain_lines(spark, rows, percent):
-    """(id, text hash) to (lines, removed, text): rows of equal id and text are one place."""
-    hashed = spark.createDataFrame(rows, "d bigint, t string").select("d", F.xxhash64("t").alias("h"), "t").distinct().collect()
-    places = sorted(((r["d"] is None, r["d"] or 0, r["h"], r["d"], r["t"]) for r in hashed))
+    """All results (id, text hash, lines, removed, text), sorted; repeated rows follow each other."""
+    hashed = spark.createDataFrame(rows, "d bigint, t string").select("d", F.xxhash64("t").alias("h"), "t").collect()
+    places = sorted(((r["d"] is None, r["d"] or 0, r["h"], r["d"], r["t"]) for r in hashed), key=lambda x: x[:3])
     done = brute.line_dedup([(d, t) for *_, d, t in places], percent)
-    return {(d, h): (n, gone, text) for (_, _, h, d, _), (_, n, gone, text) in zip(places, done)}
+    return sorted(((d, h, n, gone, text) for (_, _, h, d, _), (_, n, gone, text) in zip(places, done)), key=repr)
+
+
+def deduped_lines(out):
+    return sorted(((r["doc_id"], r["h"], *(r["deduped"][c] for c in ("n_lines", "n_removed", "text"))) for r in out.collect()), key=repr)
 
 
 @pytest.mark.parametrize(("heavy", "paired"), [(1024, 128), (0, 128), (3, 8)])
 def test_line_dedup_of_odd_rows(spark, odd, monkeypatch, heavy, paired):
     monkeypatch.setattr(line_dedup, "HEAVY", heavy)
     monkeypatch.setattr(line_dedup, "PAIRED_WORDS", paired)
-    want = plain_lines(spark, pairs(), 80)
-    for r in dedup_lines(odd.withColumn("h", F.xxhash64("text"))).collect():
-        d = r["deduped"]
-        assert (d["n_lines"], d["n_removed"], d["text"]) == want[r["doc_id"], r["h"]], (r["doc_id"], (r["text"] or "")[:40])
+    more = [(None, "no id here"), (None, "no id here"), (None, " \nx"), (None, " \nx"), (5, "two WORDS"), (77, None), (77, None)]
+    more = spark.createDataFrame(more, "doc_id bigint, text string")
+    rows = odd.select("doc_id", "text").union(more)
+    want = plain_lines(spark, [tuple(r) for r in rows.collect()], 80)
+    assert deduped_lines(dedup_lines(rows.withColumn("h", F.xxhash64("text")).withColumn("copies", F.lit(3)))) == want
 
 
 @pytest.mark.parametrize(("heavy", "percent"), [(0, 80), (4, 60), (1024, 50)])
@@ -102,8 +107,7 @@ def test_line_dedup_of_a_swarm(spark, monkeypatch, heavy, percent):
     rows += [(100 + i, " ".join(random.Random(i).choices("abcdefgh", k=6))) for i in range(40)]
     want = plain_lines(spark, rows, percent)
     out = dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("h", F.xxhash64("text")), percent=percent)
-    for r in out.collect():
-        assert tuple(r["deduped"][c] for c in ("n_lines", "n_removed", "text")) == want[r["doc_id"], r["h"]]
+    assert deduped_lines(out) == want
 
 
 def test_quality_rules_of_long_texts(spark):

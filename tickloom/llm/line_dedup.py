@@ -139,10 +139,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     """`docs` with a struct column `deduped`: text (without removed lines), n_lines (with words), n_removed.
 
     Lines are \\n-split; a line's words are runs of anything but white space, A-Z as a-z, and count once. A line is
-    removed when an earlier line, by (key, hash of the text, line number), of any document has a word set
+    removed when an earlier line, by (key, hash of the text, copy, line number), of any document has a word set
     with Jaccard >= percent / 100. Whether that line is removed too plays no part. Lines without words stay. A
-    null text stays null, with 0 lines; a null key comes last. Rows of equal key and text are one place in the order and
-    get equal results. Very long texts and lines are read in whole; an empty table gives no rows. Other columns are
+    null text stays null, with 0 lines; a null key comes last. Of rows with equal key and text one, whichever, is the first copy, and
+    the others lose all lines with words. Very long texts and lines are read in whole; an empty table gives no rows. Other columns are
     carried; one called `deduped` is replaced.
 
     Lines of equal sets are one class with its first place. Words are ordered rare first, by counters over all lines;
@@ -185,12 +185,16 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     marks = written(repeated.union(late).groupBy("node").agg(F.max("first").alias("first"), F.max("late").alias("late")), "line-marks")
     judged = maybe_in(lines, marks, "node").join(marks, "node").where(F.col("late") | (at != F.col("first")))
     d, g, gone, n = (free_name(docs, c) for c in ("dedup_doc", "dedup_hash", "dedup_gone", "dedup_lines"))
-    losing = judged.groupBy(F.col("doc").alias(d), F.col("h").alias(g)).agg(F.collect_set("line").alias(gone))
+    late_lines = judged.groupBy(F.col("doc").alias(d), F.col("h").alias(g)).agg(F.collect_set("line").alias(gone))
+    copies = texts.where(F.col("t").isNotNull()).groupBy(F.col("doc").alias(d), F.col("h").alias(g)).agg(F.count("*").alias("copies")).where("copies > 1")
+    nothing = F.array().cast("array<int>").alias(gone)
+    losing = late_lines.withColumn("copies", F.lit(1).cast("bigint")).unionByName(copies.select(d, g, nothing, "copies"))
+    losing = losing.groupBy(d, g).agg(F.flatten(F.collect_list(gone)).alias(gone), (F.max("copies") > 1).alias(n))
     losing = written(losing, "line-losing")
     discard(classes, lines, settled, others, marks)
 
     carried = [c for c in docs.columns if c.lower() != "deduped"]
-    whole, k, t = (free_name(docs, c) for c in ("dedup_text", "dedup_key", "dedup_text_hash"))
+    whole, k, t, row, first = (free_name(docs, c) for c in ("dedup_text", "dedup_key", "dedup_text_hash", "dedup_row", "dedup_first"))
     rows = docs.select(*carried, F.col(text).alias(whole), F.col(key).cast("bigint").alias(k), F.xxhash64(text).alias(t))
     split = F.split(whole, "\n", -1)
     worded = F.size(F.filter(split, lambda x: F.rlike(x, F.lit(_WORD))))
@@ -198,9 +202,16 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     named = losing.select(F.col(d).alias(k), F.col(g).alias(t))
     kept_all = F.struct(F.col(whole).alias("text"), count, F.lit(0).cast("bigint").alias("n_removed")).alias("deduped")
     untouched = surely_out(rows, named, k, t).select(*carried, kept_all)
-    touched = maybe_in(rows, named, k, t).join(losing, F.col(k).eqNullSafe(F.col(d)) & (F.col(t) == F.col(g)), "left")
+    # Rows that may lose lines are written with a number each, so that all reads agree on which copy is the first.
+    some = written(maybe_in(rows, named, k, t).withColumn(row, F.monotonically_increasing_id()), "line-rows")
+    same = F.col(k).eqNullSafe(F.col(d)) & (F.col(t) == F.col(g))
+    firsts = some.select(k, t, row).join(losing.where(n).select(d, g), same).groupBy(d, g).agg(F.min(row).alias(first))
+    touched = some.join(losing.drop(n).join(firsts.select(F.col(d).alias(f"{d}_"), F.col(g).alias(f"{g}_"), first), F.col(d).eqNullSafe(F.col(f"{d}_")) & (F.col(g) == F.col(f"{g}_")), "left"), same, "left")
     touched = touched.withColumn(n, F.coalesce(gone, F.array().cast("array<int>")))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), n), lambda i: F.get(split, i))
-    shown = F.when(F.size(n) == 0, F.col(whole)).otherwise(F.array_join(kept, "\n")).alias("text")
-    cut = F.struct(shown, count, F.size(n).cast("bigint").alias("n_removed")).alias("deduped")
+    shown = F.when(F.size(n) == 0, F.col(whole)).otherwise(F.array_join(kept, "\n"))
+    again = F.col(row) != F.coalesce(F.col(first), F.col(row))
+    bare = F.array_join(F.filter(split, lambda x: ~F.rlike(x, F.lit(_WORD))), "\n")
+    removed = F.when(again, worded).otherwise(F.size(n)).cast("bigint")
+    cut = F.struct(F.when(again, bare).otherwise(shown).alias("text"), count, removed.alias("n_removed")).alias("deduped")
     return untouched.unionByName(touched.select(*carried, cut))
