@@ -7,7 +7,8 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.functions.exact import floor_pick, millionths, nearest_rank
+from tickloom.functions.exact import millionths
+from tickloom.functions.ranks import floor_pick, nearest_rank
 from tickloom.operators import book_scan as scan
 from tickloom.operators import book_stats as bs
 from tickloom.operators import cross_section as cs

@@ -43,24 +43,6 @@ def by_seq(*keys: str) -> Window:
     return Window.partitionBy(*(keys or DAY)).orderBy("seq")
 
 
-def floor_pick(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
-    """Value number clamp(int(q n)) of each group's sorted values."""
-    return _pick(df, keys, value, lambda n: F.least(n - 1, F.floor(F.lit(float(q)) * n)), name)
-
-
-def nearest_rank(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
-    """Value number int(q (n - 1) + 0.5) of each group's sorted values."""
-    return _pick(df, keys, value, lambda n: F.floor(F.lit(float(q)) * (n - 1) + 0.5), name)
-
-
-def _pick(df: DataFrame, keys: list[str], value: str, place, name: str) -> DataFrame:
-    """Equal values are counted first, so that what is ordered is one row a distinct value."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*keys).orderBy(value)
-    ranked = counts.withColumn("_upto", F.sum("_n").over(order)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
-    return ranked.where(F.col("_upto") > place(F.col("_all"))).groupBy(*keys).agg(F.min(value).alias(name))
-
-
 def hms(ns: Column | str) -> Column:
     s = F.floor(col(ns) / 1_000_000_000)
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)

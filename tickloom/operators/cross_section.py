@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.exact import DAY, nearest_rank, ratio, total
+from tickloom.functions.exact import DAY, ratio, total
+from tickloom.functions.ranks import nearest_place, picks, running_total
 from tickloom.operators.book_stats import CENT, best, bin_ratios, holds, level_profile, time_weighted, top_size, windows
 
 METRICS = ("lit_trades", "lit_vol", "cancels", "cancel_to_trade", "trade_to_order_volume", "hidden_rate", "odd_lot_rate")
@@ -26,15 +27,16 @@ def percentiles(rows: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
     """
     long = rows.select("ticker", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("s")).select("ticker", "s.*")
     counts = long.where("value IS NOT NULL").groupBy("metric", "value").agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("metric").orderBy("value"))).withColumn("all", F.sum("n").over(Window.partitionBy("metric")))
+    upto = running_total(counts, ["value"], "n", "upto", ["metric"], "all")
     return long.join(upto.select("metric", "value", ratio("upto", "all").alias("percentile")), ["metric", "value"], "left").select("ticker", "metric", "value", "percentile")
 
 
 def deciles(rows: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
     """The nine nearest-rank cuts of each metric: (metric, decile, cut)."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("s")).select("s.*")
-    cuts = [nearest_rank(long, ["metric"], "value", k / 10, "cut").withColumn("decile", F.lit(k)) for k in range(1, 10)]
-    return reduce(DataFrame.unionByName, cuts).select("metric", "decile", "cut")
+    cuts = picks(long, ["metric"], "value", {f"d{k}": nearest_place(k / 10) for k in range(1, 10)})
+    cells = F.array(*[F.struct(F.lit(k).alias("decile"), F.col(f"d{k}").alias("cut")) for k in range(1, 10)])
+    return cuts.select("metric", F.explode(cells).alias("s")).select("metric", "s.*")
 
 
 def place(rows: DataFrame, tickers: DataFrame, metrics: tuple[str, ...]) -> DataFrame:

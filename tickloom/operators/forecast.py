@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.exact import DAY, nearest_rank, ratio
+from tickloom.functions.exact import DAY, ratio
+from tickloom.functions.ranks import nearest_place, nearest_rank, picks
 
 SECOND = 1_000_000_000
 SPLIT_NS = 45_900 * SECOND
@@ -96,7 +97,7 @@ def regime_members(p: DataFrame, keys: list[str], split_ns: int = SPLIT_NS, wind
     width = F.col("target_end_ns") - F.col("time_ns")
     inside = [F.struct(F.lit(n).alias("regime"), ((F.col("time_ns") - width >= a * SECOND) & (F.col("time_ns") <= z * SECOND)).alias("member")) for n, a, z in windows]
     first = p.where(first_half(split_ns))
-    cuts = nearest_rank(first, keys, "var", 1 - decile, "hi").join(nearest_rank(first, keys, "var", decile, "lo"), keys)
+    cuts = picks(first, keys, "var", {"hi": nearest_place(1 - decile), "lo": nearest_place(decile)})
     rows = p.join(cuts, keys, "left")
     member = lambda c: F.coalesce(c, F.lit(False))
     by_var = [F.struct(F.when(F.col("hi").isNotNull(), F.lit("high-vol")).alias("regime"), member(F.col("var") >= F.col("hi")).alias("member")), F.struct(F.when(F.col("hi").isNotNull(), F.lit("quiet")).alias("regime"), member(F.col("var") <= F.col("lo")).alias("member"))]

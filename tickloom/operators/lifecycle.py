@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.exact import DAY, by_seq, floor_pick, ratio
+from tickloom.functions.exact import DAY, by_seq, ratio
+from tickloom.functions.ranks import floor_place, picks
 from tickloom.operators.book_stats import CENT, best
+from tickloom.sources.shared import kept
 
 ADD, REDUCE, DELETE, EXECUTE, HIDDEN = 1, 2, 3, 4, 5
 
@@ -221,7 +223,7 @@ def summarize(messages: DataFrame, book: DataFrame) -> DataFrame:
     sizes, cancel-to-trade and accounting. Every day has every statistic: counts of nothing are 0, ratios, quantiles and plain
     survival of nothing null."""
     before = F.lag("outcome").over(Window.partitionBy(*DAY, "order_id").orderBy("life_no"))
-    life = lives(messages, book).withColumn("readds", F.coalesce(before == "censored", F.lit(False)))
+    life = kept(lives(messages, book).withColumn("readds", F.coalesce(before == "censored", F.lit(False))), "lives")
     out = []
 
     def add(section: str, rows: DataFrame, names: dict[str, Column]) -> None:
@@ -254,9 +256,9 @@ def summarize(messages: DataFrame, book: DataFrame) -> DataFrame:
     add("lifetime_km", g, {"censored_share": ratio("n_censored", "n")})
     days = g.select(*DAY)
     for kind, some in (*((k, life.where(F.col("outcome") == k)) for k in ended[:2]), ("observed", life.where(seen))):
-        for q in (0.1, 0.5, 0.9) if kind != "observed" else (0.5,):
-            picked = days.join(floor_pick(some, [*DAY], "lifetime_ns", q, "v"), [*DAY], "left")
-            add("lifetime_naive", picked, {f"{kind}_p{round(q * 100)}_ms": F.col("v") / 1e6})
+        named = {f"{kind}_p{round(q * 100)}_ms": floor_place(q) for q in ((0.1, 0.5, 0.9) if kind != "observed" else (0.5,))}
+        picked = days.join(picks(some, [*DAY], "lifetime_ns", named), [*DAY], "left")
+        add("lifetime_naive", picked, {k: F.col(k) / 1e6 for k in named})
     curve = kaplan_meier(durations(life))
     add("lifetime_km", days.join(km_median(curve), [*DAY], "left"), {"median_ms": F.col("median") / 1e6})
     times = F.explode(F.array(*[F.lit(t).cast("bigint") for t in SURVIVAL_TIMES.values()])).alias("t")
@@ -266,7 +268,7 @@ def summarize(messages: DataFrame, book: DataFrame) -> DataFrame:
         rates = {"orders": F.col(f"orders_at_{k}"), "share_of_adds": ratio(f"orders_at_{k}", "n"), "fill_rate_shares": ratio(f"executed_at_{k}", f"added_at_{k}"), "fill_rate_orders": ratio(f"filled_at_{k}", f"orders_at_{k}")}
         add("fill_by_distance", g, {f"{k}_{c}": v for c, v in rates.items()})
     add("sizes", g, {f"adds_{k}_lot_share": ratio(f"lot_{k}", "n") for k in ("round", "odd", "mixed")} | {"add_size_mean": ratio("sh_added", "n")})
-    add("sizes", floor_pick(life, [*DAY], "added", 0.5, "v"), {"add_size_p50": F.col("v")})
+    add("sizes", picks(life, [*DAY], "added", {"v": floor_place(0.5)}), {"add_size_p50": F.col("v")})
     c = cancel_to_trade(messages)
     share = {"by_messages_full_day": "by_messages", "by_messages_midas_window": "by_messages_inside", "by_orders": "by_orders", "by_shares": "by_shares",
              "hidden_share_of_executions": "hidden_share", "odd_lot_share_of_executions": "odd_lot_share"}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.exact import ratio
+from tickloom.functions.ranks import numbered
 
 SECOND = 1_000_000_000
 FIVE_MINUTES = 300 * SECOND
@@ -99,8 +100,8 @@ def summarize_names(trades: DataFrame, quotes: DataFrame, keys: list[str], open_
 
 
 def volume_deciles(universe: DataFrame) -> DataFrame:
-    """Names with a dollar volume, ranked ascending, with decile min(10, 1 + 10 i // n). One row a name is ranked."""
-    ranked = universe.where("dollar_volume > 0").withColumn("i", F.row_number().over(Window.orderBy("dollar_volume", "permno")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
+    """Names with a dollar volume, ranked ascending, with decile min(10, 1 + 10 i // n)."""
+    ranked = numbered(universe.where("dollar_volume > 0"), ["dollar_volume", "permno"], "i", total="n").withColumn("i", F.col("i") - 1)
     return ranked.withColumn("decile", F.least(F.lit(10), 1 + F.expr("(10 * i) div n")).cast("int"))
 
 

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.exact import DAY, floor_pick
+from tickloom.functions.exact import DAY
+from tickloom.functions.ranks import floor_place, picks
 from tickloom.operators import book_scan as scan
 from tickloom.operators import book_stats as bs
 from tickloom.operators import cross_section as cs
@@ -152,7 +153,7 @@ def survival_grid(spark, d):
 
 def lifetime_quantiles(spark, d):
     died = lc.lives(ad.tape(spark, d)).where("outcome = 'cancelled'")
-    return floor_pick(died, [*DAY], "lifetime_ns", 0.25, "q25").join(floor_pick(died, [*DAY], "lifetime_ns", 0.5, "q50"), [*DAY]).join(floor_pick(died, [*DAY], "lifetime_ns", 0.9, "q90"), [*DAY])
+    return picks(died, [*DAY], "lifetime_ns", {"q25": floor_place(0.25), "q50": floor_place(0.5), "q90": floor_place(0.9)})
 
 
 def cancel_to_trade(spark, d):

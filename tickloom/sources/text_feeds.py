@@ -37,11 +37,17 @@ def _raw_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq, f) of CSV files without header: seq is a line's number in its file, f its fields. Blank lines are left out."""
-    rows = _raw_lines(spark, path).where(F.trim("value") != "")
-    seq = F.row_number().over(Window.partitionBy("file").orderBy("block", "row")) - 1
+    """(name, seq, f) of CSV files without header: seq is a line's number in its file, f its fields. Blank lines are left out.
+
+    Lines are numbered within the blocks that Spark reads, and blocks by the lines before them: no file is sorted in one task.
+    """
+    rows = _raw_lines(spark, path).where(F.trim("value") != "").withColumn("row", F.monotonically_increasing_id())
+    blocks = rows.groupBy("file", "block").agg(F.min("row").alias("first"), F.count("*").alias("lines"))
+    upto = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("file").alias("of"), F.col("block").alias("at"), "first", F.coalesce(F.sum("lines").over(upto), F.lit(0)).alias("before"))
+    rows = rows.join(blocks, (F.col("file") == F.col("of")) & (F.col("block") == F.col("at")))
     name = F.regexp_extract("file", "([^/]+)$", 1).alias("name")
-    return rows.select(name, seq.cast("bigint").alias("seq"), F.split(F.rtrim("value"), ",").alias("f"))
+    return rows.select(name, (F.col("before") + F.col("row") - F.col("first")).alias("seq"), F.split(F.rtrim("value"), ",").alias("f"))
 
 
 def _named(rows: DataFrame) -> DataFrame:
