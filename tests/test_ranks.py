@@ -67,3 +67,21 @@ def test_no_window_over_one_partition(spark, tmp_path):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SinglePartition" not in plan
     assert sorted(r["decile"] for r in volume_deciles(universe).collect())[0] == 1
+
+
+def test_all_widths_from_one_pass(spark):
+    from tickloom.operators import book_stats as bs
+    from tickloom.operators import order_flow as of
+    from tickloom.sources import adapters as ad
+
+    d, s = "/root/testdata/sf0.001", 1_000_000_000
+    widths = (1_800 * s, 2_700 * s, 36_000 * s)
+    states, day = bs.holds(ad.book(spark, d), 86_400 * s), 86_400 * s
+    ev = of.events(of.touches(ad.book(spark, d)))
+    assert sorted(map(repr, of.touches(ad.book(spark, d)).collect())) == sorted(map(repr, ad.touch(spark, d).collect()))
+    many = bs.time_weighted_many(states, widths, 0, day).cache()
+    flows = of.calendars(ev, widths, 3_600 * s, day - 3_600 * s).cache()
+    for w in widths:
+        same = lambda a, b: sorted(map(repr, a.select(*b.columns).collect())) == sorted(map(repr, b.collect()))
+        assert same(many.where(F.col("width") == w), bs.time_weighted(states, w, 0, day))
+        assert same(flows.where(F.col("width") == w), of.calendar(ev, w, 3_600 * s, day - 3_600 * s))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +56,33 @@ def spine(days: DataFrame, open_ns: int, close_ns: int, width: int) -> DataFrame
 
 def time_weighted(states: DataFrame, width: int = BIN, open_ns: int = OPEN, close_ns: int = CLOSE) -> DataFrame:
     """Integer sums by (symbol, day, bin): states are clipped to the session and split at bin edges; bins keep their full width."""
+    made = _bin_sums(states, width, open_ns, close_ns)
+    return _filled(spine(states, open_ns, close_ns, width), made, [*DAY, "bin"])
+
+
+def time_weighted_many(states: DataFrame, widths: tuple[int, ...], open_ns: int = OPEN, close_ns: int = CLOSE) -> DataFrame:
+    """time_weighted() of several widths, with the width as `width`: states are split once, at the edges of the widths' common
+    divisor, and these bins are summed up to each width."""
+    fine = math.gcd(*widths)
+    made = rolled_up(_bin_sums(states, fine, open_ns, close_ns), "bin", fine, widths)
+    sums = made.groupBy("width", *DAY, "bin").agg(*[F.sum(n).cast("decimal(38,0)").alias(n) for n in SUMS])
+    grid = [spine(states, open_ns, close_ns, w).withColumn("width", F.lit(w)) for w in widths]
+    return _filled(reduce(DataFrame.unionByName, grid), sums, ["width", *DAY, "bin"])
+
+
+def rolled_up(rows: DataFrame, bin_: str, fine: int, widths: tuple[int, ...]) -> DataFrame:
+    """Rows of bins of width `fine` once for each of the widths, which are multiples of it, with `width` and the number of the wider bin.
+    Numbers below 0 stay."""
+    each = F.explode(F.array(*[F.lit(w).cast("bigint") for w in widths]))
+    return rows.withColumn("width", each).withColumn(bin_, F.expr(f"CASE WHEN {bin_} < 0 THEN {bin_} ELSE {bin_} div (width div {fine}) END"))
+
+
+def _filled(grid: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
+    zero = F.lit(0).cast("decimal(38,0)")
+    return grid.join(sums, keys, "left").select(*keys, *[F.coalesce(F.col(n), zero).alias(n) for n in SUMS])
+
+
+def _bin_sums(states: DataFrame, width: int, open_ns: int, close_ns: int) -> DataFrame:
     lo, hi = F.greatest("start_ns", F.lit(open_ns)), F.least(F.col("start_ns") + F.col("hold_ns"), F.lit(close_ns))
     cut = states.select(*DAY, best("bids", "price").alias("bid"), best("asks", "price").alias("ask"), best("bids", "size").alias("bid_size"), best("asks", "size").alias("ask_size"),
                         *[(top_size("bids", k) + top_size("asks", k)).alias(f"depth{k}") for k in (5, 10)], (lo - open_ns).alias("lo"), (hi - open_ns).alias("hi")).where("lo < hi")
@@ -62,9 +92,7 @@ def time_weighted(states: DataFrame, width: int = BIN, open_ns: int = OPEN, clos
     on = lambda x: F.when(two, x)
     sums = [total("ns"), total(on(F.col("ns"))), total(F.when(~two & ~none, F.col("ns"))), total(F.when(none, F.col("ns"))), total(on(F.col("ask") - F.col("bid")), "ns"), total(on(F.col("ask") + F.col("bid")), "ns"),
             total(F.when(two & (F.col("ask") - F.col("bid") == CENT), F.col("ns"))), total(on(F.col("bid_size") + F.col("ask_size")), "ns"), total(on(F.col("depth5")), "ns"), total(on(F.col("depth10")), "ns")]
-    made = cut.groupBy(*DAY, "bin").agg(*[s.alias(n) for s, n in zip(sums, SUMS)])
-    zero = F.lit(0).cast("decimal(38,0)")
-    return spine(states, open_ns, close_ns, width).join(made, [*DAY, "bin"], "left").select(*DAY, "bin", *[F.coalesce(F.col(n), zero).alias(n) for n in SUMS])
+    return cut.groupBy(*DAY, "bin").agg(*[s.alias(n) for s, n in zip(sums, SUMS)])
 
 
 def event_counts(messages: DataFrame, width: int = BIN, open_ns: int = OPEN, close_ns: int = CLOSE) -> DataFrame:

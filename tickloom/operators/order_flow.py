@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.exact import DAY, by_seq, hms, ratio
-from tickloom.operators.book_stats import BIN, CLOSE, OPEN, best, spine
+from tickloom.operators.book_stats import BIN, CLOSE, OPEN, best, rolled_up, spine
 
 
 def touches(rows: DataFrame) -> DataFrame:
@@ -46,32 +49,54 @@ def day_summary(ev: DataFrame) -> DataFrame:
     ).drop("top")
 
 
-def calendar(ev: DataFrame, width: int, open_ns: int = OPEN, close_ns: int = CLOSE) -> DataFrame:
-    """Buckets of a fixed width, empty ones too; the last ends at the close. Events before the open only move the mid, later than the close none.
-
-    A day whose events go back in time fails the query. One aggregate over the events; all else is one row a bucket.
-    """
+def _flow_sums(ev: DataFrame, width: int, open_ns: int, close_ns: int) -> DataFrame:
+    """Sums of a day's events by bucket, -1 before the open and -2 from the close on; events that go back in time fail the query."""
     back = F.col("time_ns") < F.col("time_prev")
     rows = ev.where(F.when(back, F.raise_error(F.lit("events out of order"))).otherwise(F.lit(True)))
     early, late, at = F.lit(-1).cast("bigint"), F.lit(-2).cast("bigint"), F.expr(f"(time_ns - {open_ns}) div {width}")
     rows = rows.withColumn("bucket", F.when(F.col("time_ns") < open_ns, early).when(F.col("time_ns") >= close_ns, late).otherwise(at))
-    sums = rows.groupBy(*DAY, "bucket").agg(
+    return rows.groupBy(*DAY, "bucket").agg(
         F.count("*").alias("n"), F.count_if(F.col("e") != 0).alias("u"), F.sum("e").alias("s"), F.sum(F.abs("e")).alias("a"),
         F.max_by("mid2", "seq").alias("last"), F.min_by("mid2_prev", "seq").alias("first"),
     )
+
+
+def calendar(ev: DataFrame, width: int, open_ns: int = OPEN, close_ns: int = CLOSE) -> DataFrame:
+    """Buckets of a fixed width, empty ones too; the last ends at the close. Events before the open only move the mid, later than the close none.
+
+    A day whose events go back in time fails the query. One aggregate over the events; all else is one row a bucket.
+    """
+    sums = _flow_sums(ev, width, open_ns, close_ns).withColumn("width", F.lit(width).cast("bigint"))
+    return _buckets(sums, (width,), open_ns, close_ns).drop("width")
+
+
+def calendars(ev: DataFrame, widths: tuple[int, ...], open_ns: int = OPEN, close_ns: int = CLOSE) -> DataFrame:
+    """calendar() of several widths, with the width as `width`: one aggregate over the events, at the widths' common divisor, whose
+    buckets add up to each width (the first and last mids are those of the first and last bucket)."""
+    fine = math.gcd(*widths)
+    sums = rolled_up(_flow_sums(ev, fine, open_ns, close_ns).withColumn("order", F.col("bucket")), "bucket", fine, widths)
+    sums = sums.groupBy("width", *DAY, "bucket").agg(*[F.sum(c).alias(c) for c in "nusa"], F.max_by("last", "order").alias("last"), F.min_by("first", "order").alias("first"))
+    return _buckets(sums, widths, open_ns, close_ns)
+
+
+def _buckets(sums: DataFrame, widths: tuple[int, ...], open_ns: int, close_ns: int) -> DataFrame:
+    """Measured buckets, empty ones too, of sums with their `width`."""
+    keys = ("width", *DAY)
     days = sums.select(*DAY).distinct()
-    grid = spine(days, open_ns, close_ns, width).withColumnRenamed("bin", "bucket")
-    grid = grid.unionByName(days.withColumn("bucket", early))
-    g = grid.join(sums, [*DAY, "bucket"], "left")
-    order = Window.partitionBy(*DAY).orderBy("bucket")
+    grids = [spine(days, open_ns, close_ns, w).withColumn("width", F.lit(w).cast("bigint")) for w in widths]
+    grid = reduce(DataFrame.unionByName, grids).withColumnRenamed("bin", "bucket")
+    each = F.explode(F.array(*[F.lit(w).cast("bigint") for w in widths]))
+    grid = grid.unionByName(days.withColumn("bucket", F.lit(-1).cast("bigint")).withColumn("width", each))
+    g = grid.join(sums, [*keys, "bucket"], "left")
+    order = Window.partitionBy(*keys).orderBy("bucket")
     upto = lambda end: F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, end))
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     g = g.withColumn("fallback", F.first("first", ignorenulls=True).over(whole))
     g = g.withColumn("mid2_open", F.coalesce(upto(-1), "fallback")).withColumn("mid2_close", F.coalesce(upto(0), "fallback"))
-    begin = F.lit(open_ns) + F.col("bucket") * width
+    begin = F.lit(open_ns) + F.col("bucket") * F.col("width")
     counts = [F.coalesce(c, F.lit(0)).alias(n) for c, n in (("n", "n_events"), ("u", "n_updates"), ("s", "ofi"), ("a", "abs_flow"))]
-    edges = [begin.alias("start_ns"), F.least(begin + width, F.lit(close_ns)).alias("end_ns")]
-    return measured(g.where("bucket >= 0").select(*DAY, "bucket", *edges, *counts, "mid2_open", "mid2_close"))
+    edges = [begin.alias("start_ns"), F.least(begin + F.col("width"), F.lit(close_ns)).alias("end_ns")]
+    return measured(g.where("bucket >= 0").select(*keys, "bucket", *edges, *counts, "mid2_open", "mid2_close"))
 
 
 def event_clock(ev: DataFrame, n: int) -> DataFrame:
@@ -116,7 +141,7 @@ def ols(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 def depth_scaling(buckets: DataFrame, depth: DataFrame, window: int = BIN, open_ns: int = OPEN) -> DataFrame:
     """Origin slope by window of bucket starts, then the log-log fit of slopes on depth: (symbol, day, depth, bin of `window`)."""
-    parts = ols(buckets.withColumn("bin", F.expr(f"(start_ns - {open_ns}) div {window}")), [*DAY, "bin"], "ofi", "dmid_cents").join(depth, [*DAY, "bin"])
+    parts = ols(buckets.withColumn("bin", F.expr(f"(start_ns - {open_ns}) div {window}")), [*DAY, "bin"], "ofi", "dmid_cents").join(depth, [*DAY, "bin"], "right")
     good = (F.col("beta0") > 0) & (F.col("depth") > 0)
     logs = parts.select(*DAY, F.when(good, F.ln("depth")).alias("lx"), F.when(good, F.ln("beta0")).alias("ly"), good.alias("good"))
     fit = ols(logs, [*DAY], "lx", "ly")

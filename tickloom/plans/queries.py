@@ -31,8 +31,13 @@ TAPE_OPEN, TAPE_CLOSE, HORIZON = 1_704_153_600 * SECOND, 1_706_572_800 * SECOND,
 HORIZONS = (300, 600, 1_800)
 
 
+def _book(spark, d):
+    """The book's rows as a table: reading its levels is cheap, making them anew for each price, size and test is not."""
+    return kept(ad.book(spark, d), "book")
+
+
 def _states(spark, d):
-    return bs.holds(ad.book(spark, d), WHOLE_DAY)
+    return bs.holds(_book(spark, d), WHOLE_DAY)
 
 
 def _long(df: DataFrame, names, exact: bool = False) -> DataFrame:
@@ -77,7 +82,7 @@ def cent_profile(spark, d):
 
 
 def _events(spark, d):
-    return of.events(of.touches(ad.book(spark, d)))
+    return of.events(ad.touch(spark, d))
 
 
 def ofi_events(spark, d):
@@ -165,13 +170,13 @@ def lifecycle_summary(spark, d):
 
 
 def _pairs(spark, d):
-    """Forecast pairs of all horizons: pair columns with the horizon h."""
-    ev, states = kept(_events(spark, d), "flow"), kept(_states(spark, d), "states")
-    out = []
-    for h in HORIZONS:
-        spreads = bs.bin_ratios(bs.time_weighted(states, h * SECOND, 0, WHOLE_DAY)).select(*DAY, F.col("bin").alias("bucket"), F.col("tw_spread_cents").alias("spread"))
-        out.append(fc.pairs(of.calendar(ev, h * SECOND, 0, WHOLE_DAY), spreads).withColumn("h", F.lit(h)))
-    return kept(reduce(DataFrame.unionByName, out), "pairs")
+    """Forecast pairs of all horizons, pair columns with the horizon h: flow and states are binned once, and wider bins are sums."""
+    widths = tuple(h * SECOND for h in HORIZONS)
+    spreads = bs.bin_ratios(bs.time_weighted_many(_states(spark, d), widths, 0, WHOLE_DAY))
+    h = F.expr(f"cast(width div {SECOND} as int)").alias("h")
+    spreads = spreads.select(h, *DAY, F.col("bin").alias("bucket"), F.col("tw_spread_cents").alias("spread"))
+    buckets = of.calendars(_events(spark, d), widths, 0, WHOLE_DAY).select("*", h)
+    return kept(fc.pairs(buckets, spreads, keys=(*DAY, "h")), "pairs")
 
 
 def forecast_pairs(spark, d):

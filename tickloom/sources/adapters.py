@@ -31,21 +31,33 @@ def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Book rows, one an event: symbol (0), day (of the epoch), seq, time_ns (of the day), asks and bids, best first."""
+def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row an event: symbol (0), day (of the epoch), seq, time_ns (of the day), both best prices and sizes, number and step of levels."""
     e = _timed(spark, sf_dir).select("event_id", "us", *[mixed(i).alias(f"r{i}") for i in (1, 2, 3, 4)])
+    day = F.expr("us div 86400000000")
+    e = e.select(F.lit(0).alias("symbol"), day.alias("day"), F.col("event_id").alias("seq"), ((F.col("us") - day * 86400000000) * 1000).alias("time_ns"), "r1", "r2", "r3", "r4")
     e = e.withColumn("bid", 1000000 + 100 * (F.col("r1") % 11)).withColumn("ask", F.col("bid") + 100 * (1 + F.col("r2") % 5))
-    e = e.withColumn("levels", (3 + F.col("r3") % 8).cast("int")).withColumn("step", 100 * (1 + F.col("r2") % 3))
+    sizes = [(100 * (1 + F.col(r) % 6) + F.col(r) % 7).cast("bigint").alias(n) for n, r in (("bid_size", "r3"), ("ask_size", "r4"))]
+    return e.select("*", *sizes, (3 + F.col("r3") % 8).cast("int").alias("levels"), (100 * (1 + F.col("r2") % 3)).alias("step"), (F.col("seq") % 97 == 0).alias("no_bids"))
+
+
+def touch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first levels of book(), as a table of best quotes has them: symbol, day, seq, time_ns, bid, bid_size, ask, ask_size."""
+    e = _drawn(spark, sf_dir)
+    return e.select("symbol", "day", "seq", "time_ns", *[F.when(~F.col("no_bids"), F.col(c)).alias(c) for c in ("bid", "bid_size")], "ask", "ask_size")
 
-    def side(best: str, sign: int, size: Column) -> Column:
-        at = lambda j: F.struct((F.col(best) + sign * F.col("step") * (j - 1)).cast("bigint").alias("price"), (size + 10 * (j - 1)).cast("bigint").alias("size"))
+
+def book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Book rows, one an event: symbol (0), day (of the epoch), seq, time_ns (of the day), asks and bids, best first."""
+    e = _drawn(spark, sf_dir)
+
+    def side(best: str, sign: int) -> Column:
+        price = lambda j: (F.col(best) + sign * F.col("step") * (j - 1)).cast("bigint")
+        at = lambda j: F.struct(price(j).alias("price"), (F.col(f"{best}_size") + 10 * (j - 1)).cast("bigint").alias("size"))
         return F.transform(F.sequence(F.lit(1), F.least(F.lit(10), F.col("levels"))), at)
 
-    asks = side("ask", 1, 100 * (1 + F.col("r4") % 6) + F.col("r4") % 7)
-    bids = side("bid", -1, 100 * (1 + F.col("r3") % 6) + F.col("r3") % 7)
-    bids = F.when(F.col("event_id") % 97 == 0, F.slice(bids, 1, 0)).otherwise(bids)
-    day = F.expr("us div 86400000000")
-    return e.select(F.lit(0).alias("symbol"), day.alias("day"), F.col("event_id").alias("seq"), ((F.col("us") - day * 86400000000) * 1000).alias("time_ns"), asks.alias("asks"), bids.alias("bids"))
+    bids = F.when(F.col("no_bids"), F.slice(side("bid", -1), 1, 0)).otherwise(side("bid", -1))
+    return e.select("symbol", "day", "seq", "time_ns", side("ask", 1).alias("asks"), bids.alias("bids"))
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
