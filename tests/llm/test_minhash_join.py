@@ -60,11 +60,11 @@ def test_each_pair_comes_from_one_list(spark):
     rng = np.random.default_rng(6)
     a = rng.integers(0, 256, (200, m.SLOTS), np.uint8)
     b = np.where(rng.random((200, m.SLOTS)) < rng.choice([0.0, 0.1, 0.4, 0.9], (200, 1)), rng.integers(0, 256, (200, m.SLOTS), np.uint8), a).astype(np.uint8)
-    names = ", ".join([f"{s}_{c} bigint" for s in "xy" for c in m.SIGNATURE] + ["i int", "k bigint"])
+    names = "x array<bigint>, y array<bigint>, i int, k bigint"
     keys = [sorted(set(x) & set(y)) for x, y in zip(m.chunk_keys(a).tolist(), m.chunk_keys(b).tolist())]
-    both = np.concatenate((m._packed(a), m._packed(b)), 1).tolist()
-    df = spark.createDataFrame([(*both[i], i, k) for i in range(200) for k in keys[i]], names)
-    found = [r["i"] for r in df.where(m._first_list("k", "x_", "y_")).collect()]
+    x, y = m._packed(a).tolist(), m._packed(b).tolist()
+    df = spark.createDataFrame([(x[i], y[i], i, k) for i in range(200) for k in keys[i]], names)
+    found = [r["i"] for r in df.where(m._first_list("k", "x", "y")).collect()]
     assert sorted(found) == [i for i in range(200) if keys[i]] and 60 < len(found) < 200
 
 

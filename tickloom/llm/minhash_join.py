@@ -117,23 +117,23 @@ def _postings(nodes: DataFrame, percent: int) -> DataFrame:
 _LOW, _HIGH = (sum(x << 8 * i for i in range(CHUNK)) for x in (0x7F, 0x80))
 
 
-def _errors(a: str, b: str, s: str) -> str:
-    """Slots in which a chunk of two signatures differs."""
-    x = f"({a}{s} ^ {b}{s})"
-    return f"bit_count((({x} & {_LOW}L) + {_LOW}L | {x}) & {_HIGH}L)"
+def _errors(a: str, b: str) -> str:
+    """Slots in which two chunks differ."""
+    return f"bit_count(((({a} ^ {b}) & {_LOW}L) + {_LOW}L | ({a} ^ {b})) & {_HIGH}L)"
 
 
 def _distance(a: str, b: str) -> Column:
     """Slots in which two signatures differ."""
-    return F.expr(" + ".join(_errors(a, b, s) for s in SIGNATURE))
+    return F.expr(" + ".join(_errors(a + s, b + s) for s in SIGNATURE))
 
 
 def _first_list(key: str, a: str, b: str) -> Column:
-    """Whether the list of `key` is the first that two signatures share: the first chunk with few errors, and in it the first choice."""
-    chunk, choice = f"(({key} >> {8 * (CHUNK - ERRORS)}) div {len(_KEPT)})", f"(({key} >> {8 * (CHUNK - ERRORS)}) % {len(_KEPT)})"
-    cases = " ".join(f"WHEN {_errors(a, b, s)} <= {ERRORS} THEN {k}" for k, s in enumerate(SIGNATURE))
-    own = " ".join(f"WHEN {k} THEN {_errors(a, b, s)}" for k, s in enumerate(SIGNATURE))
-    return F.expr(f"{chunk} = CASE {cases} END AND ({choice} = 0 OR CASE {chunk} {own} END = {ERRORS})")
+    """Whether the list of `key` is the first that two signatures, given as arrays of chunks, share: the first chunk with few errors, and in
+    it the first choice. It is one small call, as conditions that are too long for the JVM's compiler make a join slow."""
+    chunk, choice = f"cast(({key} >> {8 * (CHUNK - ERRORS)}) div {len(_KEPT)} as int)", f"(({key} >> {8 * (CHUNK - ERRORS)}) % {len(_KEPT)})"
+    before = f"zip_with(slice({a}, 1, {chunk}), slice({b}, 1, {chunk}), (p, q) -> {_errors('p', 'q')} <= {ERRORS})"
+    own = _errors(f"element_at({a}, {chunk} + 1)", f"element_at({b}, {chunk} + 1)")
+    return F.expr(f"NOT exists({before}, e -> e) AND ({choice} = 0 OR {own} = {ERRORS})")
 
 
 def _allowed(percent: int) -> int:
@@ -192,12 +192,13 @@ def _rest(posts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     main = sizes.groupBy("key").agg(F.max(F.struct("members", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
     full = posts.join(main, "key").join(nodes.select("id", *SIGNATURE, *PARITY), "id").withColumn("in_main", F.col("comp") == F.col("main"))
     level = F.floor(F.log(F.col("n")) / (1.0001 * math.log(100 / percent))).cast("int")
-    kept = ("id", "n", "comp", "in_main", *SIGNATURE, *PARITY)
+    full = full.withColumn("chunks", F.array(*SIGNATURE))
+    kept = ("id", "n", "comp", "in_main", "chunks", *SIGNATURE, *PARITY)
     y = full.select("key", level.alias("level"), *kept).alias("y")
     x = full.where("NOT in_main").select("key", F.explode(F.array(level - 1, level, level + 1)).alias("level"), *kept).alias("x")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.level") == F.col("y.level"))
     once = F.col("y.in_main") | (F.col("x.id") < F.col("y.id"))
-    fresh = _first_list("x.key", "x.", "y.")
+    fresh = _first_list("x.key", "x.chunks", "y.chunks")
     near = x.join(y, same & once & (F.col("x.comp") != F.col("y.comp")) & _alike(percent, "x.", "y.") & fresh)
     return near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
