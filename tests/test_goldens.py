@@ -56,6 +56,14 @@ def test_activity_files(spark, tmp_path):
     assert round(out["AAPL"]["LitVol('000)"]) == 6539038 and out["AAPL"]["Cancels"] == 933448 and out["MSFT"]["LitVol('000)"] is None
     assert (out["IBM"]["Cancels"], out["IBM"]["Hidden"]) == (1234, 5) and out["GE"]["Cancels"] is None and len(out) == 4
     assert text_feeds.read_activity(spark, str(tmp_path / "c.csv"), "2012-06-21").count() == 0
+    odd = tmp_path / "odd"
+    odd.mkdir()
+    (odd / "a.csv").write_text("Ticker,Date,Cancels,Hidden,Cancels,,\nx,20120621,1,2,3,4,5\ny,20120621,1,2\nz\nw,20120621,1,2,3,4,5,6,7\n")
+    (odd / "b.csv").write_text("\nTicker,Date\n")
+    (odd / "d.csv").write_text("Ticker|Date|Other('000)|LitVol('000)|Other('000)\nv|20120621|7|7|8\n")
+    out = {r["ticker"]: r["fields"] for r in text_feeds.read_activity(spark, str(odd), "2012-06-21").collect()}
+    assert {k: (v["Cancels"], v["Hidden"]) for k, v in out.items() if k != "V"} == {"X": (3, 2), "Y": (None, 2), "W": (3, 2)}
+    assert (out["V"]["LitVol('000)"], out["V"]["Other('000)"]) == (7000, 8) and "" not in out["X"]
     dates = ["20120621", "2012-06-21", "6/1/2012", "21 June 2012", ""]
     shown = spark.createDataFrame([(d,) for d in dates], "t string").select(text_feeds.iso_date(F.col("t")).alias("d"))
     assert [r["d"] for r in shown.collect()] == ["2012-06-21", "2012-06-21", "2012-06-01", None, None]

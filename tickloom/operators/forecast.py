@@ -89,44 +89,66 @@ def decay(p: DataFrame, keys: list[str], split_ns: int = SPLIT_NS) -> DataFrame:
     return evaluate(fit, test, [*keys, "direction", "predictor"])
 
 
+def short(x: Column) -> Column:
+    """A number with four significant digits, without trailing zeros; with an exponent where that is below -4 or above 3."""
+    shown = F.format_string("%.3e", x)
+    power = F.substring_index(shown, "e", -1).cast("int")
+    bare = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    plain = bare(shown.cast("decimal(30,12)").cast("string"))
+    return F.when(power.between(-4, 3), plain).otherwise(F.concat(bare(F.substring_index(shown, "e", 1)), F.lit("e"), F.substring_index(shown, "e", -1)))
+
+
 def regime_members(p: DataFrame, keys: list[str], split_ns: int = SPLIT_NS, windows=WINDOWS, decile: float = DECILE) -> DataFrame:
-    """Pairs with a row for each regime and whether the pair is in it: three windows of the day, and the top and bottom decile of trailing variance.
+    """Pairs with a row for each regime, its label and whether the pair is in it: three windows of the day, and the top and bottom decile of trailing variance.
 
     The deciles' cuts are nearest ranks among first-half pairs; a group without such pairs has no decile regimes.
     """
     width = F.col("target_end_ns") - F.col("time_ns")
-    inside = [F.struct(F.lit(n).alias("regime"), ((F.col("time_ns") - width >= a * SECOND) & (F.col("time_ns") <= z * SECOND)).alias("member")) for n, a, z in windows]
+    clock = lambda t: f"{t // 3600:02d}:{t % 3600 // 60:02d}"
+    regime = lambda name, label, member: F.struct(name.alias("regime"), label.alias("label"), member.alias("member"))
+    within = lambda a, z: (F.col("time_ns") - width >= a * SECOND) & (F.col("time_ns") <= z * SECOND)
+    inside = [regime(F.lit(n), F.lit(f"{clock(a)}-{clock(z)}"), within(a, z)) for n, a, z in windows]
     first = p.where(first_half(split_ns))
     cuts = picks(first, keys, "var", {"hi": nearest_place(1 - decile), "lo": nearest_place(decile)})
     rows = p.join(cuts, keys, "left")
     member = lambda c: F.coalesce(c, F.lit(False))
-    by_var = [F.struct(F.when(F.col("hi").isNotNull(), F.lit("high-vol")).alias("regime"), member(F.col("var") >= F.col("hi")).alias("member")), F.struct(F.when(F.col("hi").isNotNull(), F.lit("quiet")).alias("regime"), member(F.col("var") <= F.col("lo")).alias("member"))]
-    return rows.withColumn("g", F.explode(F.array(*inside, *by_var))).select("*", "g.regime", "g.member").drop("g", "hi", "lo").where("regime IS NOT NULL")
+    words = lambda sign, c, end: F.concat(F.lit(f"trailing variance {sign} "), short(F.col(c)), F.lit(f" ({end} decile, first-half cut)"))
+    by_var = [
+        regime(F.when(F.col("hi").isNotNull(), F.lit("high-vol")), words(">=", "hi", "top"), member(F.col("var") >= F.col("hi"))),
+        regime(F.when(F.col("hi").isNotNull(), F.lit("quiet")), words("<=", "lo", "bottom"), member(F.col("var") <= F.col("lo"))),
+    ]
+    return rows.withColumn("g", F.explode(F.array(*inside, *by_var))).select("*", "g.regime", "g.label", "g.member").drop("g", "hi", "lo").where("regime IS NOT NULL")
 
 
 def regimes(p: DataFrame, keys: list[str], split_ns: int = SPLIT_NS, windows=WINDOWS) -> DataFrame:
     """Fit outside each regime, test inside it."""
     s = stacked(regime_members(p, keys, split_ns, windows))
-    return evaluate(s.where(~F.col("member")), s.where("member"), [*keys, "regime", "predictor"])
+    return evaluate(s.where(~F.col("member")), s.where("member"), [*keys, "regime", "label", "predictor"])
 
 
 def cost_verdict(fit: DataFrame, test: DataFrame, betas: DataFrame, keys: list[str], subset: str = "all", latency: int = 0, decile: float = DECILE) -> DataFrame:
     """Trade each test signal in the fitted direction for a bucket, entering `latency` buckets later, against the half-spread.
 
     `betas` has (keys, beta). For 'top-decile' the cut on the signal's size is a nearest rank among non-zero fit signals; a
-    signal whose entry bucket is missing among the test pairs is skipped.
+    signal whose entry bucket is missing among the test pairs is skipped. A group whose slope is known and not 0 has a row, with n = 0 where
+    nothing signals.
     """
     order = Window.partitionBy(*keys).orderBy("time_ns")
     entry = F.struct("time_ns", "y", "half_spread")
     rows = test.withColumn("q", F.lead(entry, latency).over(order) if latency else entry)
     rows = rows.withColumn("_width", F.first(F.col("target_end_ns") - F.col("time_ns")).over(order)).join(betas.select(*keys, "beta"), keys)
+    cut = betas.where("beta != 0").select(*keys)
     if subset == "top-decile":
-        cut = nearest_rank(fit.where("x != 0").withColumn("size", F.abs("x")), keys, "size", 1 - decile, "threshold")
-        rows = rows.join(cut, keys).where(F.abs("x") >= F.col("threshold"))
+        large = fit.where("x != 0").withColumn("size", F.abs("x"))
+        cut = cut.join(nearest_rank(large, keys, "size", 1 - decile, "threshold"), keys, "left")
+        rows = rows.join(cut, keys).where(F.abs("x") >= F.col("threshold")).drop("threshold")
+    else:
+        cut = cut.withColumn("threshold", F.lit(None).cast("double"))
     rows = rows.where("x != 0 AND beta != 0").where(F.col("q.time_ns") == F.col("time_ns") + latency * F.col("_width"))
     move, hs = F.signum(F.col("beta") * F.col("x")) * F.col("q.y"), F.col("q.half_spread")
     g = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if((F.col("q.y") != 0) & (move > 0)).alias("hits"), F.count_if(F.col("q.y") != 0).alias("graded"), F.avg(move).alias("gross"), F.avg(hs).alias("half_spread"), F.avg(move - hs).alias("net1"), F.avg(move - 2 * hs).alias("net2"), F.avg(F.when(hs.isNotNull(), (move > hs).cast("double"))).alias("beat"))
-    return g.withColumn("consumed", F.when(F.col("gross") > 0, F.col("half_spread") / F.col("gross"))).withColumn("subset", F.lit(subset)).withColumn("latency", F.lit(latency))
+    g = cut.join(g, keys, "left").fillna(0, ["n", "hits", "graded"]).withColumn("consumed", F.when(F.col("gross") > 0, F.col("half_spread") / F.col("gross")))
+    return g.withColumn("subset", F.lit(subset)).withColumn("latency", F.lit(latency))
 
 
 def costs(p: DataFrame, keys: list[str], split_ns: int = SPLIT_NS) -> DataFrame:

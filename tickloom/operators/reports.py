@@ -132,8 +132,8 @@ def contemporaneous(trials: DataFrame) -> DataFrame:
 
 
 def summarize_names(bins: DataFrame, calendar: DataFrame, decay: DataFrame, costs: DataFrame, fits: DataFrame) -> DataFrame:
-    """One row a ticker from result tables: day ratios of the bins' sums, mean updates a bucket, the first look's fit, and the
-    forward flow forecasts of 1 and 5 seconds with the cost of the latter. What is missing is null."""
+    """One row a ticker from published tables with their ticker: day ratios of the bins' sums, mean updates a bucket, the first look's fit, and
+    the flow forecasts of the primary split at 1 and 5 seconds with the cost of the latter. What is missing is null."""
     named = ("two_sided_ns", "spread_x_ns", "mid2_x_ns", "one_cent_ns", "touch_x_ns")
     s = bins.groupBy("ticker").agg(*[F.sum(c).alias(c) for c in named])
     two = "two_sided_ns"
@@ -141,9 +141,10 @@ def summarize_names(bins: DataFrame, calendar: DataFrame, decay: DataFrame, cost
         "ticker", ratio("spread_x_ns", two, 1 / CENT).alias("spread_cents"), ratio("spread_x_ns", "mid2_x_ns", 2e4).alias("spread_bps"),
         ratio("one_cent_ns", two).alias("one_cent_share"), ratio("touch_x_ns", two).alias("touch_depth"),
     )
-    updates = calendar.groupBy("ticker").agg(F.avg("n_updates").alias("updates"))
-    forward = decay.where("direction = 'forward' AND predictor = 'ofi'")
-    at = lambda h, *cols: forward.where(F.col("h") == h).select("ticker", *[F.col(c).alias(f"{c}_{h}s") for c in cols])
-    cost = costs.where("subset = 'all' AND latency = 0 AND h = 5").select("ticker", *[F.col(c).alias(f"{c}_5s") for c in ("gross", "half_spread", "consumed")])
-    parts = [day, updates, fits, at(1, "hit_rate", "band"), at(5, "hit_rate", "band", "r2"), cost]
+    updates = calendar.groupBy("ticker").agg(F.avg("n_updates").alias("updates_per_10s"))
+    forward = decay.where("direction = 'primary' AND predictor = 'ofi'")
+    at = lambda h, **cols: forward.where(F.col("horizon_s") == h).select("ticker", *[F.col(c).alias(n) for n, c in cols.items()])
+    cost = costs.where("subset = 'all' AND latency = 0 AND horizon_s = 5").select("ticker", F.col("gross_cents").alias("gross_5s"), F.col("half_spread_cents").alias("half_spread_5s"), F.col("consumed").alias("consumed_5s"))
+    first = fits.select("ticker", F.col("r2").alias("r2_contemporaneous_10s"), F.col("beta0").alias("beta_contemporaneous"))
+    parts = [day, updates, first, at(1, hit_1s="hit_rate", band_1s="band"), at(5, hit_5s="hit_rate", band_5s="band", r2_oos_5s="r2_oos"), cost]
     return reduce(lambda a, b: a.join(b, "ticker", "left"), parts)

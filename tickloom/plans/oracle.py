@@ -307,7 +307,10 @@ th AS (SELECT symbol, day, h, {_CUT("abs(x)", "0.9")} AS threshold FROM pairs WH
 legs AS (SELECT p.symbol, p.day, p.h, subset, latency, sign(beta * p.x) * q.y AS move, q.y, q.half_spread AS hs FROM te p JOIN bt USING (symbol, day, h) CROSS JOIN (VALUES ('all'), ('top-decile')) AS s(subset) CROSS JOIN (VALUES (0), (1)) AS l(latency) JOIN te q ON q.symbol = p.symbol AND q.day = p.day AND q.h = p.h AND q.time_ns = p.time_ns + latency * (p.target_end_ns - p.time_ns)
  LEFT JOIN th ON th.symbol = p.symbol AND th.day = p.day AND th.h = p.h WHERE p.x <> 0 AND beta <> 0 AND (subset = 'all' OR abs(p.x) >= threshold)),
 g AS (SELECT symbol, day, h, subset, latency, count(*) AS n, count(*) FILTER (y <> 0 AND move > 0) AS hits, count(*) FILTER (y <> 0) AS graded, avg(move) AS gross, avg(hs) AS hs, avg(move - hs) AS net1, avg(move - 2 * hs) AS net2, avg(CAST(move > hs AS DOUBLE)) FILTER (hs IS NOT NULL) AS beat FROM legs GROUP BY ALL)
-SELECT symbol, day, h, subset, latency, n, hits, graded, round(gross, 6) AS gross, round(hs, 6) AS half_spread, round(net1, 6) AS net1, round(net2, 6) AS net2, round(beat, 6) AS beat, CASE WHEN gross > 0 THEN round(hs / gross, 6) END AS consumed FROM g"""
+cells AS (SELECT symbol, day, h, subset, latency FROM bt, (VALUES ('all'), ('top-decile')) AS s(subset), (VALUES (0), (1)) AS l(latency) WHERE beta <> 0)
+SELECT symbol, day, h, subset, latency, CASE WHEN subset <> 'all' THEN threshold END AS threshold, coalesce(n, 0) AS n, coalesce(hits, 0) AS hits, coalesce(graded, 0) AS graded,
+       round(gross, 6) AS gross, round(hs, 6) AS half_spread, round(net1, 6) AS net1, round(net2, 6) AS net2, round(beat, 6) AS beat, CASE WHEN gross > 0 THEN round(hs / gross, 6) END AS consumed
+FROM cells LEFT JOIN g USING (symbol, day, h, subset, latency) LEFT JOIN th USING (symbol, day, h)"""
 
 _OPEN, _CLOSE, _LATER = 1_704_153_600_000_000_000, 1_706_572_800_000_000_000, 3_600_000_000_000
 _TAQ = f"""{_BASE}, q AS (SELECT CAST(user_id % 4 AS INT) AS ticker, event_id AS seq, us * 1000 AS time_ns, CAST(100 + 0.25 * (r1 % 16) AS DOUBLE) AS bid, CAST(100 + 0.25 * (r1 % 16) + 0.5 * (r2 % 4) AS DOUBLE) AS ask FROM m WHERE event_type IN ('view', 'click', 'error')),

@@ -192,7 +192,7 @@ def decay(spark, d):
 
 
 def regimes(spark, d):
-    return _rounded(fc.regimes(_pairs(spark, d), ["h"]))
+    return _rounded(fc.regimes(_pairs(spark, d), ["h"]).drop("label"))
 
 
 def cost_verdict(spark, d):

@@ -121,6 +121,8 @@ def number(text: Column) -> Column:
 
 #: Delimiters of activity files; of those that a header has equally often the first counts.
 _MARKS = (",", "|", "\t", ";")
+#: Columns of activity files that count thousands of shares.
+THOUSANDS = ("LitVol('000)", "OrderVol('000)", "HiddenVol('000)", "TradeVolForHidden('000)", "OddLotVol('000)", "TradeVolForOddLots('000)")
 #: Files up to which the table of their headers is broadcast; more of them are joined by shuffling.
 BROADCAST_FILES = 20_000
 
@@ -130,8 +132,8 @@ def read_activity(spark: SparkSession, path: str, date: str, tickers: list[str]
 
     The delimiter is the commonest of comma, pipe, tab and semicolon in the header (ties: the first of these); cells may be
     quoted. Ticker and date columns are found whatever their case, and files without them are skipped. A row counts if it
-    reaches both; cells that it lacks are null, and those beyond the header are left out. Columns in ('000) are multiplied out; of
-    one ticker the last file and row counts.
+    reaches both; cells that it lacks are null, and those beyond the header are left out. Columns without a name are left out, and of
+    columns of one name the last counts. THOUSANDS are multiplied out; of one ticker the last file and row counts.
     """
     lines = _raw_lines(spark, path).where(F.lower("file").rlike(r"\.(csv|txt|psv|tsv)$"))
     head = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "row").alias("head"), F.min("row").alias("head_row"))
@@ -141,7 +143,9 @@ def read_activity(spark: SparkSession, path: str, date: str, tickers: list[str]
     cells = F.split("head", F.concat(F.lit("\\Q"), "mark", F.lit("\\E")))
     head = head.withColumn("names", F.transform(cells, lambda x: F.trim(F.regexp_replace(F.trim(x), '^"|"$', ""))))
     place = lambda name: F.array_position(F.transform("names", F.lower), name) - 1
-    head = head.select("file", "head_row", "mark", "names", *[place(n).cast("int").alias(n) for n in ("ticker", "date")])
+    later = lambda i: F.array_contains(F.slice("names", i + 2, F.size("names")), F.get("names", i))
+    used = F.filter(F.sequence(F.lit(0), F.size("names") - 1), lambda i: (F.get("names", i) != "") & ~later(i)).alias("used")
+    head = head.select("file", "head_row", "mark", "names", used, *[place(n).cast("int").alias(n) for n in ("ticker", "date")])
     head = head.where("ticker >= 0 AND date >= 0")
     seen = head.agg(F.max(F.size("names")).alias("width"), F.count("*").alias("files")).first()
     names = [f"c{i}" for i in range(seen["width"] or 0)]
@@ -152,9 +156,9 @@ def read_activity(spark: SparkSession, path: str, date: str, tickers: list[str]
     parsed = lambda m: F.from_csv("value", ", ".join(f"{c} string" for c in names), {"sep": m})
     row = reduce(lambda a, m: F.when(F.col("mark") == m, parsed(m)).otherwise(a), _MARKS[1:], parsed(_MARKS[0]))
     rows = rows.withColumn("csv", row).withColumn("cells", F.array(*[f"csv.{c}" for c in names]))
-    times = lambda name: F.when(F.contains(name, F.lit("('000)")), 1000).otherwise(1)
-    entry = lambda x, i: F.struct(x, number(F.get("cells", i)) * times(x))
-    fields = F.map_from_entries(F.transform("names", entry)).alias("fields")
+    times = lambda name: F.when(name.isin(*THOUSANDS), 1000).otherwise(1)
+    entry = lambda i: F.struct(F.get("names", i), number(F.get("cells", i)) * times(F.get("names", i)))
+    fields = F.map_from_entries(F.transform("used", entry)).alias("fields")
     ticker, day = F.upper(F.trim(F.get("cells", "ticker"))).alias("ticker"), iso_date(F.get("cells", "date")).alias("date")
     rows = rows.select("file", "block", "row", ticker, day, fields).where((F.col("date") == date) & F.col("ticker").isNotNull())
     if tickers is not None:
