@@ -202,15 +202,18 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     named = losing.select(F.col(d).alias(k), F.col(g).alias(t))
     kept_all = F.struct(F.col(whole).alias("text"), count, F.lit(0).cast("bigint").alias("n_removed")).alias("deduped")
     untouched = surely_out(rows, named, k, t).select(*carried, kept_all)
-    # Rows that may lose lines are written with a number each, so that all reads agree on which copy is the first.
-    some = written(maybe_in(rows, named, k, t).withColumn(row, F.monotonically_increasing_id()), "line-rows")
     same = F.col(k).eqNullSafe(F.col(d)) & (F.col(t) == F.col(g))
-    firsts = some.select(k, t, row).join(losing.where(n).select(d, g), same).groupBy(d, g).agg(F.min(row).alias(first))
-    touched = some.join(losing.drop(n).join(firsts.select(F.col(d).alias(f"{d}_"), F.col(g).alias(f"{g}_"), first), F.col(d).eqNullSafe(F.col(f"{d}_")) & (F.col(g) == F.col(f"{g}_")), "left"), same, "left")
+    touched = maybe_in(rows, named, k, t).join(losing, same, "left").where(~F.coalesce(n, F.lit(False))).withColumn(row, F.lit(False))
+    # Rows with copies are written with a number each, so that all reads agree on which one is the first.
+    several = losing.where(n).select(F.col(d).alias(k), F.col(g).alias(t))
+    some = written(maybe_in(rows, several, k, t).join(losing.where(n), same).withColumn(row, F.monotonically_increasing_id()), "line-rows")
+    firsts = some.groupBy(F.col(d).alias(f"{d}_"), F.col(g).alias(f"{g}_")).agg(F.min(row).alias(first))
+    some = some.join(firsts, F.col(d).eqNullSafe(F.col(f"{d}_")) & (F.col(g) == F.col(f"{g}_")))
+    touched = touched.unionByName(some.withColumn(row, F.col(row) != F.col(first)).select(*touched.columns))
     touched = touched.withColumn(n, F.coalesce(gone, F.array().cast("array<int>")))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), n), lambda i: F.get(split, i))
     shown = F.when(F.size(n) == 0, F.col(whole)).otherwise(F.array_join(kept, "\n"))
-    again = F.col(row) != F.coalesce(F.col(first), F.col(row))
+    again = F.col(row)
     bare = F.array_join(F.filter(split, lambda x: ~F.rlike(x, F.lit(_WORD))), "\n")
     removed = F.when(again, worded).otherwise(F.size(n)).cast("bigint")
     cut = F.struct(F.when(again, bare).otherwise(shown).alias("text"), count, removed.alias("n_removed")).alias("deduped")
