@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,10 +18,10 @@ from tickloom.operators import lifecycle as lc
 from tickloom.operators import order_flow as of
 from tickloom.operators import replay as rp
 from tickloom.operators import tape as tp
-from tickloom.operators.registry import count_trials, log_trials, read_trials
+from tickloom.operators.registry import count_trials, decay_trial, log_trials, logged, read_trials
 from tickloom.plans.queries import QUERIES
-from tickloom.sources import itch, text_feeds
-from tickloom.sources.shared import shared_path
+from tickloom.sources import itch, results, text_feeds
+from tickloom.sources.shared import delete, shared_path
 from tickloom.streaming import stateful
 
 S = 1_000_000_000
@@ -345,6 +346,51 @@ def test_registry(spark):
     later = spark.createDataFrame([("z", "m", "9", "abandoned"), ("a", "m", "1", "predictive")], "question string, metric string, value string, status string")
     logged = log_trials(spark, path, later).orderBy("trial_id").collect()
     assert [(r["trial_id"], r["question"], r["status"]) for r in logged] == [(5, "z", "abandoned"), (6, "a", "predictive")]
-    read_trials(spark, path).where("trial_id > 2").write.parquet(f"{path}-cut")
+    assert sorted(r["trial_id"] for r in read_trials(spark, path).collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_two_writers_of_a_registry(spark):
+    path = shared_path(spark, "trials")
+    rows = lambda k, n: spark.createDataFrame([(f"q{k}-{i}", "m") for i in range(n)], "question string, metric string")
+    seen: dict[int, list] = {}
+
+    def write(k):
+        seen[k] = [r["trial_id"] for n in (1, 3, 2) for r in log_trials(spark, path, rows(k, n)).orderBy("trial_id").collect()]
+
+    writers = [threading.Thread(target=write, args=(k,)) for k in range(3)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    every = read_trials(spark, path).orderBy("trial_id").collect()
+    assert [r["trial_id"] for r in every] == list(range(1, 19)) and sorted(x for k in seen for x in seen[k]) == list(range(1, 19))
+    at = {r["trial_id"]: r["question"] for r in every}
+    assert all([at[i] for i in seen[k]] == [f"q{k}-{i}" for n in (1, 3, 2) for i in range(n)] for k in seen)
+    # A batch that was staged and never claimed is not read; a claim that is lost fails the query.
+    rows(9, 2).write.parquet(f"{path}/batches/lost")
+    assert count_trials(spark, path) == 18
+    delete(spark, f"{path}/claims/{2:010d}")
     with pytest.raises(Exception, match="without gaps"):
-        read_trials(spark, f"{path}-cut").collect()
+        read_trials(spark, path).collect()
+
+
+def test_results_carry_their_trials(spark):
+    path = shared_path(spark, "trials")
+    forecasts = spark.createDataFrame([(5, "forward", "ofi", 9, 7, 0.5, None, 0.1, 0.6, 1.0), (5, "reverse", "last", 9, 7, 0.5, 2.0, 0.1, None, 1.0)], "h int, direction string, predictor string, n_fit bigint, n_test bigint, beta double, t double, r2 double, hit_rate double, z double")
+    out = logged(spark, path, forecasts, decay_trial("ABC", "2012-06-21"))
+    trials = {r["trial_id"]: r for r in read_trials(spark, path).collect()}
+    for r in out.collect():
+        t = trials[r["trial_id"]]
+        assert (t["horizon"], t["split"].split("/")[0], t["value"]) == ("5", "first-half" if r["direction"] == "forward" else "second-half", "" if r["hit_rate"] is None else "0.6")
+    assert [r["trial_id"] for r in results.published(out, "decay").orderBy("trial_id").collect()] == [1, 2]
+
+
+def test_members_of_many_days(spark):
+    c = spark.createDataFrame([(1, "2010-01-05", "2012-12-31"), (1, "2011-01-01", "2011-06-30"), (2, "2012-03-01", None), (3, "2012-05-02", "2012-05-01"), (4, "1990-01-01", "2030-01-01")], "permno int, start string, ending string")
+    n = spark.createDataFrame([(1, "OLD", "2009-01-01", "2012-01-01"), (1, "NEW", "2011-12-31", None), (2, "B", "2000-01-01", "2012-03-01"), (4, "D", "2000-01-01", "2040-01-01")], "permno int, ticker string, namedt string, nameendt string")
+    daily = spark.createDataFrame([(1, "2012-01-01", -2.5, 10), (4, "2012-03-01", 3.0, None)], "permno int, date string, prc double, vol int")
+    days = spark.createDataFrame([(x,) for x in ("2010-01-04", "2010-01-05", "2012-01-01", "2012-01-01", "2012-03-01", "2013-01-01", None)], "date string")
+    out = sorted((str(r["date"]), r["permno"], r["ticker"], r["close"], r["dollar_volume"]) for r in tp.members_over(c, n, daily, days).collect())
+    assert out == [("2010-01-04", 4, "D", None, None), ("2010-01-05", 1, "OLD", None, None), ("2010-01-05", 4, "D", None, None), ("2012-01-01", 1, "NEW", 2.5, 25.0), ("2012-01-01", 4, "D", None, None), ("2012-03-01", 1, "NEW", None, None), ("2012-03-01", 2, "B", None, None), ("2012-03-01", 4, "D", 3.0, None), ("2013-01-01", 4, "D", None, None)]
+    assert [tuple(r) for r in tp.members(c, n, daily, "2010-01-05").select("permno", "ticker").orderBy("permno").collect()] == [(1, "OLD"), (4, "D")]
+    assert tp.members_over(c, n, daily, days.limit(0)).count() == 0

@@ -11,28 +11,29 @@ from pyspark.sql import functions as F
 
 from tickloom.sources.shared import kept
 
-_PART, _ROW = "_part", "_row"
+#: Columns beside the caller's; no column of a caller has these names.
+_PART, _ROW, _FIRST, _T, _BEFORE, _ALL = (f"_ranks_{x}" for x in ("part", "row", "first", "t", "before", "all"))
 
 
 def _ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """`df` written in ranges of (keys, order), each a partition: `_part` names it and `_row` ascends in it."""
+    """`df` written in ranges of (keys, order), each a partition: _PART names it and _ROW ascends in it."""
     by = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
     rows = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(_ROW, F.monotonically_increasing_id())
     return kept(rows.withColumn(_PART, F.shiftright(_ROW, 33)), "ranged")
 
 
 def _before(totals: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, _part, .., before, all) of (keys, _part, .., t): what earlier partitions of a key hold, and all of them."""
+    """(keys, _PART, .., _BEFORE, _ALL) of (keys, _PART, .., _T): what earlier partitions of a key hold, and all of them."""
     if keys:
         upto = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-        all_of = F.sum("t").over(Window.partitionBy(*keys))
-        return totals.withColumn("before", F.coalesce(F.sum("t").over(upto), F.lit(0))).withColumn("all", all_of)
+        all_of = F.sum(_T).over(Window.partitionBy(*keys))
+        return totals.withColumn(_BEFORE, F.coalesce(F.sum(_T).over(upto), F.lit(0))).withColumn(_ALL, all_of)
     rows, before, out = sorted(totals.collect(), key=lambda r: r[_PART]), 0, []  # one row a partition
     for r in rows:
         out.append((*r, before))
-        before += r["t"]
+        before += r[_T]
     kind = ", ".join(f"{n} {t}" for n, t in totals.dtypes)
-    return totals.sparkSession.createDataFrame([(*r, before) for r in out], f"{kind}, before bigint, all bigint")
+    return totals.sparkSession.createDataFrame([(*r, before) for r in out], f"{kind}, {_BEFORE} bigint, {_ALL} bigint")
 
 
 def numbered(df: DataFrame, order: list[str], name: str, keys: list[str] | None = None, total: str | None = None) -> DataFrame:
@@ -42,15 +43,15 @@ def numbered(df: DataFrame, order: list[str], name: str, keys: list[str] | None
     """
     keys = keys or []
     rows = _ranged(df, keys, order)
-    starts = _before(rows.groupBy(*keys, _PART).agg(F.min(_ROW).alias("first"), F.count("*").alias("t")), keys)
-    at = (F.col(_ROW) - F.col("first") + F.col("before") + 1).cast("bigint").alias(name)
-    more = [F.col("all").cast("bigint").alias(total)] if total else []
+    starts = _before(rows.groupBy(*keys, _PART).agg(F.min(_ROW).alias(_FIRST), F.count("*").alias(_T)), keys)
+    at = (F.col(_ROW) - F.col(_FIRST) + F.col(_BEFORE) + 1).cast("bigint").alias(name)
+    more = [F.col(_ALL).cast("bigint").alias(total)] if total else []
     return _joined(rows, starts, keys).select(*df.columns, at, *more)
 
 
 def _joined(rows: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with what stands before their partition; null keys are keys."""
-    named = {c: f"_of_{c}" for c in (*keys, _PART)}
+    named = {c: f"_ranks_of_{c}" for c in (*keys, _PART)}
     starts = starts.withColumnsRenamed(named)
     same = F.col(_PART) == F.col(named[_PART])
     for k in keys:
@@ -61,9 +62,9 @@ def _joined(rows: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
 def running_total(df: DataFrame, order: list[str], value: str, name: str, keys: list[str], total: str) -> DataFrame:
     """`df` with `name`: the sum of `value` over the rows of equal keys up to and with each, and with their whole sum as `total`."""
     rows = _ranged(df, keys, order)
-    starts = _before(rows.groupBy(*keys, _PART).agg(F.sum(value).alias("t")), keys)
+    starts = _before(rows.groupBy(*keys, _PART).agg(F.sum(value).alias(_T)), keys)
     inside = F.sum(value).over(Window.partitionBy(*keys, _PART).orderBy(_ROW))
-    return _joined(rows, starts, keys).select(*df.columns, (F.col("before") + inside).alias(name), F.col("all").alias(total))
+    return _joined(rows, starts, keys).select(*df.columns, (F.col(_BEFORE) + inside).alias(name), F.col(_ALL).alias(total))
 
 
 def floor_place(q: float):

@@ -23,13 +23,33 @@ def usable_trades(raw: DataFrame, open_ns: int, close_ns: int) -> DataFrame:
 def members(constituents: DataFrame, names: DataFrame, daily: DataFrame, date: str) -> DataFrame:
     """Index members of a day with the ticker that was valid then and, where there is one, the day's price and volume.
 
-    constituents (permno, start, ending), names (permno, ticker, namedt, nameendt), daily (permno, date, prc, vol).
+    constituents (permno, start, ending), names (permno, ticker, namedt, nameendt), daily (permno, date, prc, vol); dates are ISO text or dates.
     """
-    d = F.lit(date)
-    inside = constituents.where((F.col("start") <= d) & (F.col("ending") >= d)).select("permno").distinct()
-    valid = names.where((F.col("namedt") <= d) & (F.col("nameendt") >= d)).select("permno", "ticker").dropDuplicates(["permno"])
-    day = daily.where(F.col("date") == d).select("permno", F.abs("prc").alias("close"), F.col("vol").alias("volume"))
-    return inside.join(valid, "permno").join(day, "permno", "left").withColumn("dollar_volume", F.col("close") * F.col("volume"))
+    day = constituents.sparkSession.createDataFrame([(date,)], "date string")
+    return members_over(constituents, names, daily, day).drop("date")
+
+
+def members_over(constituents: DataFrame, names: DataFrame, daily: DataFrame, days: DataFrame) -> DataFrame:
+    """members() of many days (date), a row a date and member. Of names valid at once the one that began last counts, then the greater ticker.
+
+    Intervals meet days by year: an interval, cut to the span of the days, is a row for each year that it touches, joined on the year and
+    then tested. A null end is open; days and intervals that are null or empty match nothing, and repeated ones count once.
+    """
+    asked = days.select(F.col("date").cast("date").alias("date")).where("date IS NOT NULL").distinct()
+    span = asked.agg(F.min("date").alias("a"), F.max("date").alias("z")).first()
+    asked = asked.withColumn("year", F.year("date"))
+
+    def valid(rows: DataFrame, start: str, end: str, *columns: str) -> DataFrame:
+        begin, stop = F.col(start).cast("date"), F.coalesce(F.col(end).cast("date"), F.lit(span["z"]))
+        cut = rows.select("permno", *columns, begin.alias("begin"), stop.alias("stop")).where((F.col("begin") <= F.lit(span["z"])) & (F.col("stop") >= F.lit(span["a"])) & (F.col("begin") <= F.col("stop")))
+        years = F.sequence(F.year(F.greatest("begin", F.lit(span["a"]))), F.year(F.least("stop", F.lit(span["z"]))))
+        return cut.withColumn("year", F.explode(years)).join(asked, "year").where("date BETWEEN begin AND stop").drop("year", "stop")
+
+    inside = valid(constituents, "start", "ending").select("date", "permno").distinct()
+    named = valid(names, "namedt", "nameendt", "ticker").groupBy("date", "permno").agg(F.max(F.struct("begin", "ticker"))["ticker"].alias("ticker"))
+    traded = daily.select("permno", F.col("date").cast("date").alias("date"), F.abs("prc").alias("close"), F.col("vol").alias("volume"))
+    found = inside.join(named, ["date", "permno"]).join(traded, ["date", "permno"], "left")
+    return found.withColumn("dollar_volume", F.col("close") * F.col("volume"))
 
 
 def two_sided(bid: Column, ask: Column) -> Column:

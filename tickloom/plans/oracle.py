@@ -312,6 +312,13 @@ SELECT symbol, day, h, subset, latency, CASE WHEN subset <> 'all' THEN threshold
        round(gross, 6) AS gross, round(hs, 6) AS half_spread, round(net1, 6) AS net1, round(net2, 6) AS net2, round(beat, 6) AS beat, CASE WHEN gross > 0 THEN round(hs / gross, 6) END AS consumed
 FROM cells LEFT JOIN g USING (symbol, day, h, subset, latency) LEFT JOIN th USING (symbol, day, h)"""
 
+_MEMBERS = """WITH o AS (SELECT o_custkey AS permno, o_orderkey AS k, o_totalprice AS p, CAST(o_orderdate AS DATE) AS d FROM orders),
+days AS (SELECT DISTINCT CAST(date_trunc('month', d) AS DATE) AS date FROM o),
+inside AS (SELECT DISTINCT date, permno FROM days JOIN o ON date >= d AND date <= d + CAST(k % 300 AS INT)),
+named AS (SELECT date, permno, arg_max('T' || k, (d, 'T' || k)) AS ticker FROM days JOIN o ON date >= d AND date <= d + CAST(200 + k % 200 AS INT) GROUP BY ALL),
+traded AS (SELECT d AS date, permno, abs(max(-p)) AS close, CAST(sum(k % 1000) AS BIGINT) AS volume FROM o GROUP BY ALL)
+SELECT date, permno, ticker, round(close, 6) AS close, volume, round(close * volume, 6) AS dollar_volume
+FROM inside JOIN named USING (date, permno) LEFT JOIN traded USING (date, permno)"""
 _OPEN, _CLOSE, _LATER = 1_704_153_600_000_000_000, 1_706_572_800_000_000_000, 3_600_000_000_000
 _TAQ = f"""{_BASE}, q AS (SELECT CAST(user_id % 4 AS INT) AS ticker, event_id AS seq, us * 1000 AS time_ns, CAST(100 + 0.25 * (r1 % 16) AS DOUBLE) AS bid, CAST(100 + 0.25 * (r1 % 16) + 0.5 * (r2 % 4) AS DOUBLE) AS ask FROM m WHERE event_type IN ('view', 'click', 'error')),
 qq AS (SELECT ticker, time_ns, arg_max(bid, seq) AS bid, arg_max(ask, seq) AS ask FROM q GROUP BY ALL),
@@ -425,5 +432,5 @@ SQL = {
     "itch_decode": _ITCH, "error_budget": _BUDGET, "close_report": _CLOSE_SQL, "activity_comparison": _COMPARISON, "bucket_identity": _SAME,
     "verdict_words": _WORDS, "best_horizon": _BEST, "decile_members": _MEMBERS,
     "front_of_queue": f"WITH {_DELTAS}, lv AS (SELECT symbol, day, direction, price, order_id, life_no, sum(delta) AS rest, min(add_seq) AS s FROM deltas GROUP BY ALL) SELECT symbol, day, direction, price, CAST(sum(rest) AS BIGINT) AS level_size, count(*) AS orders, min(s) AS front_seq FROM lv WHERE rest > 0 GROUP BY ALL",
-    "clean_replay_stats": _CLEAN, "refused_replay_stats": _REFUSED, "fifo_allocation": _FIFO, "stream_ofi_calendar": _CAL,
+    "universe_members": _MEMBERS, "clean_replay_stats": _CLEAN, "refused_replay_stats": _REFUSED, "fifo_allocation": _FIFO, "stream_ofi_calendar": _CAL,
 }

@@ -226,6 +226,17 @@ def taq_summary(spark, d):
     return _rounded(tp.summarize_names(ad.trades(spark, d), ad.quotes(spark, d), ["ticker"], TAPE_OPEN, TAPE_CLOSE, HORIZON))
 
 
+def universe_members(spark, d):
+    """Members on the first of every month in which there are orders. A customer is a member for some time from each order on, is named
+    after the last order whose name still holds, and is priced on days with orders."""
+    o = ad.table(spark, d, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    later = lambda n: F.date_add("day", n.cast("int")).alias
+    constituents = o.select(F.col("o_custkey").alias("permno"), F.col("day").alias("start"), later(F.col("o_orderkey") % 300)("ending"))
+    names = o.select(F.col("o_custkey").alias("permno"), F.concat(F.lit("T"), F.col("o_orderkey").cast("string")).alias("ticker"), F.col("day").alias("namedt"), later(200 + F.col("o_orderkey") % 200)("nameendt"))
+    daily = o.groupBy(F.col("o_custkey").alias("permno"), F.col("day").alias("date")).agg(F.max(-F.col("o_totalprice")).alias("prc"), F.sum(F.col("o_orderkey") % 1_000).alias("vol"))
+    return _rounded(tp.members_over(constituents, names, daily, o.select(F.trunc("day", "month").alias("date"))))
+
+
 def decile_choose(spark, d):
     return tp.choose(ad.universe(spark, d), 3).select("permno", F.col("dollar_volume").cast("string").alias("dollar_volume"), "decile")
 
@@ -430,7 +441,7 @@ _ALL = (
     tw_spread_bins, tw_session_bins, tw_event_counts, tw_day_windows, level_profile, cent_profile, ofi_events, ofi_day, ofi_calendar, ofi_event_clock, ofi_ols, ofi_depth_scaling, ofi_first_look,
     lifecycle_orders, lifecycle_ends, fill_by_distance, size_lots, km_curve, km_median, survival_grid, lifetime_quantiles, cancel_to_trade,
     lifecycle_summary, forecast_pairs, decay, regimes, cost_verdict,
-    asof_quote, lee_ready, trade_spreads, quoted_spread, taq_summary, decile_choose, decile_medians, spread_audit, universe_place, universe_deciles, level_identity, depth_decomposition, error_budget,
+    asof_quote, lee_ready, trade_spreads, quoted_spread, taq_summary, universe_members, decile_choose, decile_medians, spread_audit, universe_place, universe_deciles, level_identity, depth_decomposition, error_budget,
     validation_streaks, validation_hourly, clean_replay_levels, front_of_queue, clean_replay_stats, refused_replay_stats, fifo_allocation, lobster_repair_replay, filter_view, itch_decode, stream_ofi_calendar, stream_book,
     close_report, activity_comparison, bucket_identity, verdict_words, best_horizon, decile_members,
 )
