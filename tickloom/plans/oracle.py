@@ -306,13 +306,13 @@ _COST = f"""WITH {_PAIRS}, bt AS (SELECT symbol, day, h, CASE WHEN count(*) >= 2
 th AS (SELECT symbol, day, h, {_CUT("abs(x)", "0.9")} AS threshold FROM pairs WHERE {_FIRST} AND x <> 0 GROUP BY ALL), te AS (SELECT * FROM pairs WHERE {_SECOND}),
 legs AS (SELECT p.symbol, p.day, p.h, subset, latency, sign(beta * p.x) * q.y AS move, q.y, q.half_spread AS hs FROM te p JOIN bt USING (symbol, day, h) CROSS JOIN (VALUES ('all'), ('top-decile')) AS s(subset) CROSS JOIN (VALUES (0), (1)) AS l(latency) JOIN te q ON q.symbol = p.symbol AND q.day = p.day AND q.h = p.h AND q.time_ns = p.time_ns + latency * (p.target_end_ns - p.time_ns)
  LEFT JOIN th ON th.symbol = p.symbol AND th.day = p.day AND th.h = p.h WHERE p.x <> 0 AND beta <> 0 AND (subset = 'all' OR abs(p.x) >= threshold)),
-g AS (SELECT symbol, day, h, subset, latency, count(*) AS n, count(*) FILTER (y <> 0 AND move > 0) AS hits, count(*) FILTER (y <> 0) AS graded, avg(move) AS gross, avg(hs) AS hs, avg(move - hs) AS net1, avg(move - 2 * hs) AS net2, avg(CAST(move > hs AS DOUBLE)) FILTER (hs IS NOT NULL) AS beat FROM legs GROUP BY ALL)
+g AS (SELECT symbol, day, h, subset, latency, count(*) AS n, count(*) FILTER (y <> 0 AND move > 0) AS hits, count(*) FILTER (y <> 0) AS graded, avg(move) AS gross, avg(hs) AS hs, avg(move - hs) AS net1, avg(move - 2 * hs) AS net2, avg(CAST(move > hs AS DOUBLE)) FILTER (hs IS NOT NULL) AS beat FROM legs GROUP BY ALL),
 cells AS (SELECT symbol, day, h, subset, latency FROM bt, (VALUES ('all'), ('top-decile')) AS s(subset), (VALUES (0), (1)) AS l(latency) WHERE beta <> 0)
 SELECT symbol, day, h, subset, latency, CASE WHEN subset <> 'all' THEN threshold END AS threshold, coalesce(n, 0) AS n, coalesce(hits, 0) AS hits, coalesce(graded, 0) AS graded,
        round(gross, 6) AS gross, round(hs, 6) AS half_spread, round(net1, 6) AS net1, round(net2, 6) AS net2, round(beat, 6) AS beat, CASE WHEN gross > 0 THEN round(hs / gross, 6) END AS consumed
 FROM cells LEFT JOIN g USING (symbol, day, h, subset, latency) LEFT JOIN th USING (symbol, day, h)"""
 
-_MEMBERS = """WITH o AS (SELECT o_custkey AS permno, o_orderkey AS k, o_totalprice AS p, CAST(o_orderdate AS DATE) AS d FROM orders),
+_INDEX = """WITH o AS (SELECT o_custkey AS permno, o_orderkey AS k, o_totalprice AS p, CAST(o_orderdate AS DATE) AS d FROM orders),
 days AS (SELECT DISTINCT CAST(date_trunc('month', d) AS DATE) AS date FROM o),
 inside AS (SELECT DISTINCT date, permno FROM days JOIN o ON date >= d AND date <= d + CAST(k % 300 AS INT)),
 named AS (SELECT date, permno, arg_max('T' || k, (d, 'T' || k)) AS ticker FROM days JOIN o ON date >= d AND date <= d + CAST(200 + k % 200 AS INT) GROUP BY ALL),
@@ -432,5 +432,5 @@ SQL = {
     "itch_decode": _ITCH, "error_budget": _BUDGET, "close_report": _CLOSE_SQL, "activity_comparison": _COMPARISON, "bucket_identity": _SAME,
     "verdict_words": _WORDS, "best_horizon": _BEST, "decile_members": _MEMBERS,
     "front_of_queue": f"WITH {_DELTAS}, lv AS (SELECT symbol, day, direction, price, order_id, life_no, sum(delta) AS rest, min(add_seq) AS s FROM deltas GROUP BY ALL) SELECT symbol, day, direction, price, CAST(sum(rest) AS BIGINT) AS level_size, count(*) AS orders, min(s) AS front_seq FROM lv WHERE rest > 0 GROUP BY ALL",
-    "universe_members": _MEMBERS, "clean_replay_stats": _CLEAN, "refused_replay_stats": _REFUSED, "fifo_allocation": _FIFO, "stream_ofi_calendar": _CAL,
+    "universe_members": _INDEX, "clean_replay_stats": _CLEAN, "refused_replay_stats": _REFUSED, "fifo_allocation": _FIFO, "stream_ofi_calendar": _CAL,
 }
