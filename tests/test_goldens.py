@@ -279,11 +279,25 @@ def test_filter_and_its_replay(spark):
     played = rp.replay_filtered(shown, shown, 1)
     r = rp.filter_report(out, played).first()
     assert (r["emitted"], r["silent_adds"], r["drift_shares"], r["predicted_dark"], r["predicted_disagree"], r["phantoms"]) == (8, 1, 20, 2, 1, 0) and r["as_predicted"]
+    c = rp.filter_checks(out, 1).first()
+    assert c["ok"] and (c["unexplained"], c["phantoms"], c["survivors"]) == (0, 0, 0)
     classes = {x["class"] for x in rp.graded_rows(played, shown, 1).collect()}
     assert {"BACKFILL", "STALE_SIZE"} <= classes
     assert rp.trace_silent(out).where("cause IS NOT NULL").count() > 0
 
 
+def test_census_of_phantoms(spark):
+    # Order 1 is shown, sinks below a better one and dies unseen; the replay cannot know. On the second day a worse price shows that its level is gone.
+    a = lambda oid, side, price, shares: ("A", oid, None, side, shares, price)
+    d = lambda oid: ("D", oid, None, None, None, None)
+    day = [a(9, "S", 10100, 5), a(1, "B", 10000, 10), a(3, "B", 10010, 20), d(1), a(4, "S", 10200, 5), ("X", 3, None, None, 5, None)]
+    rows = [(0, 0, i, i * S, *r) for i, r in enumerate(day)] + [(1, 0, i, i * S, *r) for i, r in enumerate([*day[:4], d(3), a(5, "B", 9990, 1)])]
+    feed = spark.createDataFrame(rows, "symbol int, day bigint, seq bigint, time_ns bigint, kind string, order_ref bigint, new_order_ref bigint, side string, shares bigint, price bigint")
+    c = {r["symbol"]: r for r in rp.filter_checks(rp.filter_feed(feed, 1), 1).collect()}
+    found = lambda r: tuple(r[k] for k in ("phantoms", "evicted_phantoms", "survivors", "survivor_shares", "oldest_ns"))
+    assert found(c[0]) == (1, 0, 1, 10, 2 * S) and found(c[1]) == (1, 1, 0, 0, None) and c[0]["no_anomaly"] and c[1]["no_anomaly"]
+
+
 def test_feed_refusals(spark):
     rows = [("A", 1, None, "B", 100, 10000), ("A", 2, None, "B", 50, 10000), ("A", 3, None, "S", 10, 10010), ("E", 2, None, None, 20, None), ("C", 2, None, None, 10, None), ("U", 1, 9, None, 10, 10010), ("E", 1, None, None, 100, None), ("X", 2, None, None, 20, None), ("D", 77, None, None, None, None), ("P", 0, None, None, None, None)]
     feed = spark.createDataFrame([(0, 0, i, i, *r) for i, r in enumerate(rows)], "symbol int, day bigint, seq bigint, time_ns bigint, kind string, order_ref bigint, new_order_ref bigint, side string, shares bigint, price bigint")

@@ -186,57 +186,103 @@ class Repaired:
             out["unresolved_shares"] += size - rests
 
 
+def _folded(batches: Iterator[pa.RecordBatch], make: Callable[[], object], first: bool) -> Iterator[tuple]:
+    """(key, state after a message, the message, its flags) of rows that stream past by symbol and day; the first of a day only seeds with `first`."""
+    key, state = None, None
+    for batch in batches:
+        for m in batch.to_pylist():
+            out = dict.fromkeys(FLAGS, 0)
+            begins = (m["symbol"], m["day"]) != key
+            if begins:
+                key, state = (m["symbol"], m["day"]), make()
+            if first and begins:
+                state.seed(m["seed_asks"], m["seed_bids"])
+            else:
+                try:
+                    state.step(m, out)
+                    out["applied"] += 1
+                except Refused:
+                    out["anomaly"] += 1
+            yield key, state, m, out
+
+
+def _in_order(messages: DataFrame) -> tuple[DataFrame, str]:
+    """Messages by symbol and day in order of seq, and the type of their day."""
+    day = "string" if dict(messages.dtypes)["day"] == "string" else "bigint"
+    keyed = messages.withColumn("symbol", F.col("symbol").cast("int")).withColumn("day", F.col("day").cast(day))
+    return keyed.repartition(*DAY).sortWithinPartitions(*DAY, "seq"), day
+
+
+#: Rows of a batch that a fold gives on.
+_BATCH = 10_000
+
+
 def _grouped(messages: DataFrame, make: Callable[[], object], levels: int, first: bool) -> DataFrame:
     """One row a message: the fold of each symbol and day from a fresh state, over rows that stream past in order of seq.
 
     A task holds one state and one batch of rows, however long a day is.
     """
-    text_day = dict(messages.dtypes)["day"] == "string"
+    ordered, day = _in_order(messages)
     names = ("symbol", "day", "seq", "kind", *FLAGS, "live", "asks", "bids")
     types = {"symbol": pa.int32(), "kind": pa.string(), "asks": _PA_LEVELS, "bids": _PA_LEVELS}
-    types |= {"day": pa.string()} if text_day else {}
+    types |= {"day": pa.string()} if day == "string" else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state = None, None
-        for batch in batches:
-            columns = {c: [] for c in names}
-            for m in batch.to_pylist():
-                out = dict.fromkeys(FLAGS, 0)
-                begins = (m["symbol"], m["day"]) != key
-                if begins:
-                    key, state = (m["symbol"], m["day"]), make()
-                if first and begins:
-                    state.seed(m["seed_asks"], m["seed_bids"])
-                else:
-                    try:
-                        state.step(m, out)
-                        out["applied"] += 1
-                    except Refused:
-                        out["anomaly"] += 1
-                for c in (*DAY, "seq"):
-                    columns[c].append(m[c])
-                columns["kind"].append(str(m["kind"]))
-                for f in FLAGS:
-                    columns[f].append(int(out[f]))
-                columns["live"].append(len(state.book.orders))
-                columns["asks"].append(state.book.top(ASK, levels) if levels else None)
-                columns["bids"].append(state.book.top(BID, levels) if levels else None)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[c], types.get(c, pa.int64())) for c in names], names)
-
-    day = "string" if text_day else "bigint"
-    keyed = messages.withColumn("symbol", F.col("symbol").cast("int")).withColumn("day", F.col("day").cast(day))
-    ordered = keyed.repartition(*DAY).sortWithinPartitions(*DAY, "seq")
+        columns = {c: [] for c in names}
+        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(columns[c], types.get(c, pa.int64())) for c in names], names)
+        for _, state, m, out in _folded(batches, make, first):
+            for c in (*DAY, "seq"):
+                columns[c].append(m[c])
+            columns["kind"].append(str(m["kind"]))
+            for f in FLAGS:
+                columns[f].append(int(out[f]))
+            columns["live"].append(len(state.book.orders))
+            columns["asks"].append(state.book.top(ASK, levels) if levels else None)
+            columns["bids"].append(state.book.top(BID, levels) if levels else None)
+            if len(columns["seq"]) >= _BATCH:
+                yield batch_of()
+                columns = {c: [] for c in names}
+        yield batch_of()
+
     return ordered.mapInArrow(run, _FOLD.replace("day bigint", f"day {day}"))
 
 
+def _seeded(messages: DataFrame, reference: DataFrame) -> DataFrame:
+    """Messages with the book row of a day's first one, which seeds the replay."""
+    first = F.min("seq").over(Window.partitionBy(*DAY))
+    seeds = reference.withColumn("first", first).where("seq = first").select(*DAY, "seq", F.col("asks").alias("seed_asks"), F.col("bids").alias("seed_bids"))
+    return messages.join(seeds, [*DAY, "seq"], "left")
+
+
+def resting_orders(messages: DataFrame, reference: DataFrame, levels: int = 10) -> DataFrame:
+    """(symbol, day, order_id, direction, price, size): what still rests after the last message of a level-filtered feed's replay."""
+    ordered, day = _in_order(_seeded(messages, reference))
+    kind = f"symbol int, day {day}, order_id bigint, direction int, price bigint, size bigint"
+    names = [x.split()[0] for x in kind.split(", ")]
+    types = [pa.int32(), pa.string() if day == "string" else pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def closing(key: tuple, state: Repaired) -> pa.RecordBatch:
+            rows = [(*key, oid, *order) for oid, order in state.book.orders.items()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, types)], names)
+
+        last = None
+        for key, state, _, _ in _folded(batches, lambda: Repaired(levels), True):
+            if last is not None and last[0] != key:
+                yield closing(*last)
+            last = key, state
+        if last is not None:
+            yield closing(*last)
+
+    return ordered.mapInArrow(run, kind)
+
+
 def replay_filtered(messages: DataFrame, reference: DataFrame, levels: int = 10) -> DataFrame:
     """One row a message of a level-filtered feed, with flags and our top levels after it. Row one of a day is the seed.
 
     Each symbol and day is one task: what a message proves depends on the book that it meets.
     """
-    first = F.min("seq").over(Window.partitionBy(*DAY))
-    seeds = reference.withColumn("first", first).where("seq = first").select(*DAY, "seq", F.col("asks").alias("seed_asks"), F.col("bids").alias("seed_bids"))
-    return _grouped(messages.join(seeds, [*DAY, "seq"], "left"), lambda: Repaired(levels), levels, True)
+    return _grouped(_seeded(messages, reference), lambda: Repaired(levels), levels, True)
 
 
 def replay_stats(rows: DataFrame) -> DataFrame:
@@ -365,6 +411,36 @@ def filter_report(filtered: DataFrame, replayed: DataFrame | None = None) -> Dat
     return g.join(s, [*DAY]).withColumn("as_predicted", F.expr("dark = predicted_dark AND size_disagrees = predicted_disagree AND anomaly = 0"))
 
 
+def filter_checks(filtered: DataFrame, levels: int) -> DataFrame:
+    """By symbol and day, the seven checks of a filter against a replay of what it emitted, whether all hold, and the census of phantoms.
+
+    A phantom is an order that was shown and whose end was not. Of those the replay has evicted some; the others still rest in its book at the
+    close (a semi join with resting_orders), with their ages then and their shares.
+    """
+    shown = filtered.where("emitted").withColumn("seq", 2 * F.col("seq") + F.col("part"))  # a replace is two rows of one seq
+    played = replay_filtered(shown, shown, levels)
+    named = ("BACKFILL", "BACKFILL_SIZE", "STALE", "STALE_SIZE")
+    off = ~F.col("matched")
+    graded = graded_rows(played, shown, levels).groupBy(*DAY).agg(
+        F.count_if(off).alias("divergent"), F.count_if(off & F.col("class").isNotNull()).alias("classified"),
+        F.count_if(F.col("class").isNotNull() & ~F.col("class").isin(*named)).alias("other_classes"),
+    )
+    g = filter_report(filtered).join(graded, [*DAY], "left").join(replay_stats(played).select(*DAY, "dark", "size_disagrees", "anomaly"), [*DAY], "left")
+    checks = {
+        "hid_something": "events > emitted", "diverged": "divergent > 0", "all_classified": "classified = divergent", "known_classes": "other_classes = 0",
+        "dark_as_predicted": "dark >= predicted_dark", "disagree_as_predicted": "size_disagrees <= predicted_disagree", "no_anomaly": "anomaly = 0",
+    }
+    g = g.withColumns({k: F.coalesce(F.expr(v), F.lit(False)) for k, v in checks.items()})
+    g = g.withColumn("ok", F.expr(" AND ".join(checks)))
+    end = filtered.groupBy(*DAY).agg(F.max("time_ns").alias("last_ns"))
+    ghosts = filtered.where("prediction = 'phantom'").select(*DAY, "order_id", "time_ns", "size")
+    ghosts = ghosts.join(resting_orders(shown, shown, levels), [*DAY, "order_id"], "left_semi").join(end, [*DAY])
+    age = F.col("last_ns") - F.col("time_ns")
+    census = ghosts.groupBy(*DAY).agg(F.count("*").alias("survivors"), F.sum("size").alias("survivor_shares"), F.min(age).alias("youngest_ns"), F.median(age).alias("median_age_ns"), F.max(age).alias("oldest_ns"))
+    g = g.join(census, [*DAY], "left").fillna(0, ["survivors", "survivor_shares"])
+    return g.select(*DAY, *checks, "ok", "divergent", (F.col("divergent") - F.col("classified")).alias("unexplained"), "phantoms", (F.col("phantoms") - F.col("survivors")).alias("evicted_phantoms"), "survivors", "survivor_shares", "youngest_ns", "median_age_ns", "oldest_ns")
+
+
 def trace_silent(filtered: DataFrame) -> DataFrame:
     """For each emitted row the last silent one before it at its side and price: an as-of join by one window."""
     w = Window.partitionBy(*DAY, "direction", "price").orderBy("seq", "part").rowsBetween(Window.unboundedPreceding, -1)

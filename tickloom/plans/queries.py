@@ -375,6 +375,10 @@ def filter_view(spark, d):
     return rp.filter_report(rp.filter_feed(clean_feed(spark, d), 3))
 
 
+def filter_checks(spark, d):
+    return rp.filter_checks(kept(rp.filter_feed(clean_feed(spark, d), 3), "filtered"), 3)
+
+
 def close_report(spark, d):
     return rr.close_report(rp.level_deltas(lc.operations(ad.tape(spark, d))))
 
@@ -442,7 +446,7 @@ _ALL = (
     lifecycle_orders, lifecycle_ends, fill_by_distance, size_lots, km_curve, km_median, survival_grid, lifetime_quantiles, cancel_to_trade,
     lifecycle_summary, forecast_pairs, decay, regimes, cost_verdict,
     asof_quote, lee_ready, trade_spreads, quoted_spread, taq_summary, universe_members, decile_choose, decile_medians, spread_audit, universe_place, universe_deciles, level_identity, depth_decomposition, error_budget,
-    validation_streaks, validation_hourly, clean_replay_levels, front_of_queue, clean_replay_stats, refused_replay_stats, fifo_allocation, lobster_repair_replay, filter_view, itch_decode, stream_ofi_calendar, stream_book,
+    validation_streaks, validation_hourly, clean_replay_levels, front_of_queue, clean_replay_stats, refused_replay_stats, fifo_allocation, lobster_repair_replay, filter_view, filter_checks, itch_decode, stream_ofi_calendar, stream_book,
     close_report, activity_comparison, bucket_identity, verdict_words, best_horizon, decile_members,
 )
 QUERIES = {f.__name__: f for f in _ALL}
