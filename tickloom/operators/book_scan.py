@@ -209,10 +209,14 @@ def replay_feed(messages: DataFrame, levels: int = 0, chunk_rows: int = CHUNK_RO
     day = "string" if dict(messages.dtypes)["day"] == "string" else "bigint"
     feed = messages.select(F.col("symbol").cast("int").alias("symbol"), F.col("day").cast(day).alias("day"), *[F.col(c) for c in ("seq", "kind", "order_ref", "new_order_ref", "side", "shares", "price")])
     m = cut_in_chunks(feed, chunk_rows)
-    changes = kept(net_changes(m), "changes")
+    kinds = f"symbol int, day {day}, chunk int, order_ref bigint, side int, price bigint, rest bigint, place bigint"
+    cut = not m.groupBy(*DAY).agg(F.min("chunk").alias("a"), F.max("chunk").alias("z")).where("a < z").isEmpty()
+    changes = kept(net_changes(m) if cut else m.sparkSession.createDataFrame([], kinds), "changes")
     opening = kept(openings(changes, m), "opening")
     out = kept(_played(m, opening, levels), "played")
-    while True:
+    stale = kept(m.select(*DAY, "chunk").limit(0), "stale")
+    while cut:  # days of one chunk begin with empty books, and that is all
+        discard(stale)
         old, was = changes, opening
         changes = kept(out.where("order_ref IS NOT NULL").select(*_CHANGE), "changes")
         opening = kept(openings(changes, m), "opening")
