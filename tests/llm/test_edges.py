@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 from tests.llm.test_operators import SCHEMA, SF, kept_columns, odd_rows, pairs
 
-from tickloom.llm import jaccard_join, line_dedup, quality_model, surrogates, warc
+from tickloom.llm import jaccard_join, line_dedup, quality_model, surrogates, token_store, warc
 from tickloom.llm.common import fresh_path, maybe_in, surely_out, written
 from tickloom.llm.decontaminate import find_contamination
 from tickloom.llm.hashing import ordered_sets
@@ -299,3 +299,25 @@ def test_stages_of_odd_and_empty_tables(spark, odd, name):
         rows = {tuple(r) for r in docs.collect()}
         assert all(tuple(r) in rows for r in out.collect())
     assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_chunks_are_coded_once_and_as_the_library_does():
+    from tickloom.llm.queries import WORD_BPE
+
+    encoder = token_store.ChunkEncoder(WORD_BPE, remembered=50)
+    calls, library = [], encoder.library
+
+    class Counted:
+        def encode_batch_fast(self, texts, **k):
+            calls.extend(texts)
+            return library.encode_batch_fast(texts, **k)
+
+    encoder.library = Counted()
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.choice('aéßñ')}wörd{rng.randint(0, 40)}{rng.choice(',.! ')}" for _ in range(200)) for _ in range(6)]
+    for t in [*texts, "", "\u0301x | y"]:
+        flat, ends = encoder.encode([t.encode(), b"Again 12"])
+        want = [library.encode(x, add_special_tokens=False).ids for x in (t, "Again 12")]
+        assert flat.tolist() == want[0] + want[1] and ends.tolist() == [len(want[0]), len(want[0]) + len(want[1])]
+        assert all(encoder.pack(x) == np.array(x, f"<u{encoder.width}").tobytes() for x in want)
+    assert calls.count("again") == 1
