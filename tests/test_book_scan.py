@@ -118,3 +118,32 @@ def test_sides_through_a_long_chain_of_replacements(spark):
     rows = [(0, 0, 0, 0, "A", 1, None, "S", 5, 10)] + [(0, 0, i, 0, "U", i, i + 1, None, 5, 10 + i) for i in range(1, 40)]
     sides = scan.sides_of_replaced(spark.createDataFrame(rows, FEED).withColumn("side", F.when(F.col("side") == "B", 1).when(F.col("side") == "S", -1))).collect()
     assert sorted((r["order_ref"], r["side"]) for r in sides) == [(i + 1, -1) for i in range(1, 40)]
+
+
+def test_opening_books_are_no_larger_than_the_feed(spark, monkeypatch):
+    """Orders that are never removed: with chunks of ten messages the opening books would have some fifty orders a message."""
+    rows = [(0, 0, i, i, "A", i + 1, None, "BS"[i % 2], 5, 1000 - i if i % 2 == 0 else 2000 + i) for i in range(1000)]
+    sent, openings = [], scan.openings
+    monkeypatch.setattr(scan, "openings", lambda changes, m: sent.append(openings(changes, m)) or sent[-1])
+    out = scan.replay_feed(spark.createDataFrame(rows, FEED), 1, 10)
+    found = {r["seq"]: r for r in out.collect()}
+    for r, (flags, live, asks, bids) in zip(rows, plain(rows, 1)):
+        x = found[r[2]]
+        assert {k: x[k] for k in flags} == flags and x["live"] == live
+        assert [(y["price"], y["size"]) for y in x["asks"]] == asks and [(y["price"], y["size"]) for y in x["bids"]] == bids
+    m = scan.cut_in_chunks(spark.createDataFrame(rows, FEED), 10)
+    merged = scan.chunks_to_merge(scan.net_changes(m.withColumn("side", F.col("side"))), m)
+    assert merged > 10
+    wide = m.withColumn("chunk", F.expr(f"cast(chunk div {merged} as int)"))
+    assert 0 < openings(scan.net_changes(wide), wide).count() <= 1.1 * len(rows)
+
+
+def test_small_chunks_of_a_long_feed_are_few_files(spark, monkeypatch):
+    monkeypatch.setattr(scan, "PART_ROWS", 400)
+    rows = [r for k in range(2) for r in feed(k, 1000, k, 0, False)]
+    m = scan.cut_in_chunks(spark.createDataFrame(rows, FEED).repartition(3), 5)
+    parts = max(5, spark.sparkContext.defaultParallelism)
+    assert m.select(F.input_file_name()).distinct().count() <= parts
+    chunks = m.groupBy("chunk").agg(F.count("*").alias("n"), F.min(F.struct("symbol", "seq")).alias("a"), F.max(F.struct("symbol", "seq")).alias("z")).orderBy("chunk").collect()
+    assert [c["chunk"] for c in chunks] == list(range(len(chunks))) and len(chunks) >= 400 and max(c["n"] for c in chunks) <= 5
+    assert all(x["z"] < y["a"] for x, y in zip(chunks, chunks[1:]))

@@ -23,6 +23,8 @@ from tickloom.sources.shared import discard, kept
 
 #: Messages of a chunk, on average. An opening book is sent to each chunk, so a chunk should have more messages than a book has orders.
 CHUNK_ROWS = 50_000
+#: Messages of a range that one task sorts and cuts in chunks, where there are more of them than tasks at once.
+PART_ROWS = 200_000
 #: Kinds that touch the book.
 KINDS = "AFXDECU"
 CROSSING, FRONT, FULL, UNKNOWN, ANOMALY = 1, 2, 4, 8, 16
@@ -94,11 +96,24 @@ class ChunkBook:
 
 
 def cut_in_chunks(messages: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
-    """The messages as a table with `chunk`: ranges of symbol, day and seq of about `rows` messages each. A day has as many as it needs."""
+    """The messages as a table with `chunk`: ranges of symbol, day and seq of about `rows` messages each. A day has as many as it needs.
+
+    Chunks are numbered without gaps. They are pieces of wider ranges, so that small chunks of a long feed are not as many shuffle
+    partitions and files.
+    """
     table = kept(messages, "feed")
-    n = max(1, -(-table.count() // rows))
-    cut = kept(table.repartitionByRange(n, *DAY, "seq").withColumn("chunk", F.spark_partition_id()), "feed-chunks")
-    discard(table)
+    total = table.count()
+    parts = max(1, min(-(-total // rows), max(table.sparkSession.sparkContext.defaultParallelism, -(-total // PART_ROWS))))
+    ranged = table.repartitionByRange(parts, *DAY, "seq").sortWithinPartitions(*DAY, "seq").withColumn("row", F.monotonically_increasing_id())
+    ranged = kept(ranged, "feed-chunks")
+    part, row = F.expr("shiftright(row, 33)"), F.expr("row & 8589934591")
+    sizes = ranged.groupBy(part.cast("int").alias("part")).agg(F.count("*").alias("size"))
+    pieces = F.ceil(F.col("size") / rows)  # of a range; one row a range is summed
+    sizes = sizes.withColumn("pieces", pieces).withColumn("before", F.sum("pieces").over(Window.orderBy("part")) - F.col("pieces"))
+    cut = ranged.withColumn("part", part.cast("int")).join(F.broadcast(sizes), "part")
+    chunk = (F.col("before") + F.floor(row * F.col("pieces") / F.col("size"))).cast("int").alias("chunk")
+    cut = kept(cut.select(*table.columns, chunk), "feed-chunks")
+    discard(table, ranged)
     return cut
 
 
@@ -145,11 +160,25 @@ def net_changes(m: DataFrame) -> DataFrame:
 
 def openings(changes: DataFrame, m: DataFrame) -> DataFrame:
     """The orders that rest as each chunk begins: an order's last change before it."""
+    alive = _alive(changes, m).withColumn("chunk", F.explode(F.sequence(F.col("chunk") + 1, F.col("upto"))))
+    return alive.select(*_CHANGE)
+
+
+def _alive(changes: DataFrame, m: DataFrame) -> DataFrame:
+    """Changes that leave a resting order for later chunks, with `upto`, the last one that it rests at the beginning of."""
     last = m.groupBy(*DAY).agg(F.max("chunk").alias("last"))
     upto = F.lead("chunk").over(Window.partitionBy(*DAY, "order_ref").orderBy("chunk"))
     alive = changes.withColumn("upto", upto).where("rest > 0").join(last, [*DAY]).withColumn("upto", F.coalesce("upto", "last"))
-    alive = alive.where("chunk < upto").withColumn("chunk", F.explode(F.sequence(F.col("chunk") + 1, F.col("upto"))))
-    return alive.select(*_CHANGE)
+    return alive.where("chunk < upto")
+
+
+def chunks_to_merge(changes: DataFrame, m: DataFrame) -> int:
+    """Neighbouring chunks that should be one, so that all opening books have no more orders than the feed has messages.
+
+    A book that grows with the day would else be sent to a number of chunks that grows with it too.
+    """
+    sent = _alive(changes, m).agg(F.sum(F.col("upto") - F.col("chunk"))).first()[0] or 0
+    return max(1, -(-sent // max(1, m.count())))
 
 
 def _played(m: DataFrame, opening: DataFrame, levels: int) -> DataFrame:
@@ -203,15 +232,20 @@ def _prints(opening: DataFrame, name: str) -> DataFrame:
 def replay_feed(messages: DataFrame, levels: int = 0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One row a message of a complete feed, with flags, live orders and our top levels after it; kinds that do not touch the book are counted only.
 
-    Chunks are ranges of seq, so one day of one symbol is as many tasks as its messages ask for. seq is unique in a symbol and
+    Chunks are ranges of seq, so one day of one symbol is as many tasks as its messages ask for; they are longer than `chunk_rows` where
+    books are large (chunks_to_merge). seq is unique in a symbol and
     day; columns beyond those of a feed play no part; an empty feed gives no rows.
     """
     day = "string" if dict(messages.dtypes)["day"] == "string" else "bigint"
     feed = messages.select(F.col("symbol").cast("int").alias("symbol"), F.col("day").cast(day).alias("day"), *[F.col(c) for c in ("seq", "kind", "order_ref", "new_order_ref", "side", "shares", "price")])
-    m = cut_in_chunks(feed, chunk_rows)
+    table = m = cut_in_chunks(feed, chunk_rows)
     kinds = f"symbol int, day {day}, chunk int, order_ref bigint, side int, price bigint, rest bigint, place bigint"
     cut = not m.groupBy(*DAY).agg(F.min("chunk").alias("a"), F.max("chunk").alias("z")).where("a < z").isEmpty()
     changes = kept(net_changes(m) if cut else m.sparkSession.createDataFrame([], kinds), "changes")
+    if cut and (merged := chunks_to_merge(changes, m)) > 1:
+        m = table.withColumn("chunk", F.expr(f"cast(chunk div {merged} as int)"))
+        finer, changes = changes, kept(net_changes(m), "changes")
+        discard(finer)
     opening = kept(openings(changes, m), "opening")
     out = kept(_played(m, opening, levels), "played")
     stale = kept(m.select(*DAY, "chunk").limit(0), "stale")
@@ -229,7 +263,7 @@ def replay_feed(messages: DataFrame, levels: int = 0, chunk_rows: int = CHUNK_RO
         again = _played(some(m), some(opening), levels)
         before, out = out, kept(out.join(stale, [*DAY, "chunk"], "left_anti").unionByName(again), "played")
         discard(before, stale)
-    discard(m, changes, opening, stale)
+    discard(table, changes, opening, stale)
     bit = lambda f: F.when(F.col("bits").bitwiseAND(_BITS[f]) != 0, 1).otherwise(0) if f in _BITS else F.lit(0)
     flags = [(F.when(F.col("kind").isin(*KINDS), 1).otherwise(0) if f == "applied" else bit(f)).cast("bigint").alias(f) for f in FLAGS]
     return out.where("order_ref IS NULL").select(*DAY, "seq", "kind", *flags, "live", "asks", "bids")

@@ -333,7 +333,7 @@ def clean_replay_stats(spark, d):
 def refused_feed(spark, d) -> DataFrame:
     """The clean feed with executions and replacements in it, and with messages that a book must refuse: unknown, repeated and crossing
     orders, and removals of too much. Two orders far from all others rest on each day, so that what crosses does so always."""
-    base = clean_feed(spark, d).withColumn("n", F.col("seq")).withColumn("seq", 10 * F.col("seq"))
+    base = kept(clean_feed(spark, d), "clean").withColumn("n", F.col("seq")).withColumn("seq", 10 * F.col("seq"))
     n, kind = F.col("n"), F.col("kind")
     new = F.lit(None).cast("bigint")
     changed = F.when((kind == "X") & (n % 3 == 0), "E").when((kind == "X") & (n % 3 == 1), "C").when((kind == "D") & (n % 4 == 0), "E").when((kind == "D") & (n % 4 == 1), "U").otherwise(kind)
