@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.hashing import frugal, grouped
+from tickloom.llm.hashing import frugal, give_back, grouped
 
 _unset: dict[str, str] = {}
 
@@ -75,6 +76,17 @@ def delete(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def settle_driver(spark: SparkSession) -> None:
+    """The driver drops what no query needs any more and returns free memory to the system.
+
+    Plans, broadcasts and map outputs of ended jobs stay with the driver until it collects its garbage, which it does when its heap is
+    full; a method of many small jobs asks for it between its steps.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+    give_back()
+
+
 #: Bits of a row of a bitmap; bits of the smallest and of the largest bitmap (16 MB).
 _BLOCK_BITS = 1 << 15
 _LEAST_BITS, _MOST_BITS = 1 << 20, 1 << 27

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import discard, written
+from tickloom.llm.common import discard, settle_driver, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,6 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(down, "a").select(F.explode(F.array(pair(F.col("a")), pair(F.col("b")))).alias("e"))
         old, e = e, written(small.select("e.a", "e.b").where(F.col("a") != F.col("b")).distinct(), "cc")
         discard(old)
+        settle_driver(e.sparkSession)
         before, state = state, _state(e)
         if before == state:
             break
