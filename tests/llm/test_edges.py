@@ -301,6 +301,16 @@ def test_stages_of_odd_and_empty_tables(spark, odd, name):
     assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_one_pair_of_each_set_is_verified_first(spark, monkeypatch):
+    """Eight texts, each with a word more than the last, are 28 pairs; whole sets are sent for seven, as these join all of them."""
+    asked, verified = [], jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, *a: asked.append(pairs.distinct().count()) or verified(pairs, *a))
+    rows = [(i, " ".join(f"w{k}" for k in range(100 + i))) for i in range(8)]
+    out = jaccard_join.near_components(spark.createDataFrame(rows, "doc_id bigint, text string"), words=3, percent=90)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()) == brute.components(rows, 3, 90)
+    assert asked[0] <= 7 and sum(asked) <= 7
+
+
 def test_chunks_are_coded_once_and_as_the_library_does():
     from tickloom.llm.queries import WORD_BPE
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import counter_of, discard, free_name, maybe_in, rarity_counts, surely_out, written
+from tickloom.llm.common import counter_of, discard, free_name, maybe_in, rarity_counts, settle_driver, surely_out, written
 from tickloom.llm.graph import components
 from tickloom.llm.hashing import (
     differing_bits, frugal, grouped, ordered_sets, rarity_ranks, set_digests, set_signatures, shingle_hashes,
@@ -130,6 +130,18 @@ def _screened(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.where(near & _alike(percent)).select("a", "b")
 
 
+def _fewest(pairs: DataFrame) -> DataFrame:
+    """Of (a, b) node pairs one for each b, with the least a: enough to join most of what belongs together."""
+    return pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Of (a, b) node pairs those that lie in two components."""
+    at = lambda s: comps.select(F.col("node").alias(s), F.col("comp").alias(f"c{s}"))
+    both = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Of (a, b) node pairs those with 100 * intersection >= percent * union, by whole sets, which are read from texts."""
     some = written(pairs.distinct(), "near-pairs")
@@ -222,7 +234,7 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     alone leave before any list is made. Pairs of groups are filtered by length, position and signature (a lower bound
     of the sets' difference), and what remains is expanded to members and verified by whole sets. Short lists are
     paired in full. In a long list each group first tries PROBES others, ROUNDS times, which joins most of what belongs together;
-    then all its pairs of two components are tried. So no link between components is lost, and a list of m near copies
+    then all its pairs of two components are tried. Of the first pairs one for each set is verified, then those of two components. So no link between components is lost, and a list of m near copies
     costs about m comparisons and not m squared.
     Sets are 64-bit hashes of shingles, read from the texts of pairs that passed the filters, and compared whole.
     """
@@ -261,8 +273,12 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     sides = [_side(groups, s, "gid", "rep").withColumnRenamed(s, f"g{s}") for s in "ab"]
     pairs = cand.join(sides[0], "ga").join(sides[1], "gb").where(_alike(percent)).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
     inside = nodes.join(several, "gid").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    found = verified(pairs.union(inside), nodes, texts, words, percent)
+    pairs = pairs.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    screened = written(pairs.distinct(), "near-screened")
     discard(groups, cand)
+    settle_driver(spark)
+    # Whole sets are sent once for each pair, so one pair of each set comes first, and then those of two components yet.
+    found = verified(_fewest(screened), nodes, texts, words, percent)
     comps = components(found)
     discard(found)
 
@@ -274,8 +290,8 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
             units = written(_units(nodes, comps), "near-units")
             tried = _probed(_open(big.join(units, "gid")), turn, percent)
             tried = tried.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-            pairs = written(_screened(tried, nodes, percent), "near-tried")
-            discard(units)
+            pairs = written(_screened(tried, nodes, percent).union(_apart(screened, comps)), "near-tried")
+            discard(units, screened)
         if not pairs.isEmpty():
             found, old = verified(pairs, nodes, texts, words, percent), comps
             comps = components(old.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found))
