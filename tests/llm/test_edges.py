@@ -331,3 +331,28 @@ def test_chunks_are_coded_once_and_as_the_library_does():
         assert flat.tolist() == want[0] + want[1] and ends.tolist() == [len(want[0]), len(want[0]) + len(want[1])]
         assert all(encoder.pack(x) == np.array(x, f"<u{encoder.width}").tobytes() for x in want)
     assert calls.count("again") == 1
+
+
+def test_chunks_are_coded_many_at_a_time():
+    """Few texts go to the library, and no letter, mark, sign or special token makes a difference to its ids."""
+    from tickloom.llm.queries import WORD_BPE
+
+    encoder = token_store.ChunkEncoder(WORD_BPE)
+    calls, library = [], encoder.library
+
+    class Counted:
+        def encode_batch_fast(self, texts, **k):
+            calls.extend(texts)
+            return library.encode_batch_fast(texts, **k)
+
+    encoder.library = Counted()
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(2_000)]
+    encoder.encode([" ".join(f"{w} {w}\xe9. {w}\xe9,".title() for w in words).encode()])
+    assert len(calls) <= 100  # 4,000 distinct chunks and two signs
+    odd = [*"abZz019'.,-<|>_~\xc0\xc9\xe9\xff\xd7\xf7\xdf\u0158\u0149\u0130\u0131\xb5\xbd\u03a9\u4e00\u0301\u0327\u2014\u212a\xa0\u2028 \n", "'s", "'LL", " 0 "]
+    for special in ([], ["<|endoftext|>"]):
+        texts = ["".join(rng.choice([x for x in odd if special or x != "<"] + special) for _ in range(50)) for _ in range(1_000)]
+        flat, ends = encoder.encode([t.encode() for t in texts])
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert np.split(flat, ends[:-1])[7].tolist() == want[7] and flat.tolist() == [i for x in want for i in x]

@@ -14,6 +14,7 @@ A shard is one row of a Parquet table, so that Spark's own writer commits it to
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import zlib
@@ -34,6 +35,9 @@ SHARD_TOKENS = 1_000_000
 SHARD_DOCS = 50_000
 #: Bytes of text that are encoded in one go.
 GROUP_BYTES = 4_000_000
+#: Chunks that the library codes as one text, and a chunk of one token that parts them.
+JOINED = 200
+SEPARATOR = b"0"
 
 #: Parts up to which the table with one row a part is broadcast (some 16 bytes each); more of them are joined by shuffling.
 BROADCAST_PARTS = 1_000_000
@@ -112,7 +116,14 @@ class ChunkEncoder:
         self.code = next(c for c in "HIL" if array(c).itemsize == self.width)
         # Where case is dropped and signs are apart from letters and digits before them, chunks can be folded (_folded).
         signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
-        self.folds = all(self._ids(f"Ab1{p} Zz{p}Yx") == self._ids(f"ab1 {p} zz {p}yx") for p in signs)
+        self.folds = all(self._ids(f"Ab1{p} Zz{p}Yx \xc9\xe7Z\u0159{p}") == self._ids(f"ab1 {p} zz {p}yx \xe9\xe7z\u0159 {p}") for p in signs)
+        # Many chunks are coded as one text: a run of letters ends with the token that has the vocabulary's suffix of words, and
+        # others are parted by a token that only SEPARATOR gives.
+        suffix = json.loads(self.library.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.last, self.parting = np.zeros((2, max(vocabulary.values()) + 1), bool)
+        self.last[[i for x, i in vocabulary.items() if suffix and x.endswith(suffix)]] = True
+        self.parting[self._ids(SEPARATOR.decode())] = True
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.remembered, self.longest = remembered, longest
@@ -141,18 +152,53 @@ class ChunkEncoder:
                 if old is not None:
                     out[i] = self.known[chunks[i]] = old
             new = [i for i, old in zip(new, olds) if old is None]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            names = [chunks[i] for i in some]
-            coded = self.library.encode_batch_fast([c.decode("utf-8", "replace") for c in names], add_special_tokens=False)
-            packed = [self.pack(e.ids) for e in coded]
-            for i, x in zip(some, packed):
-                out[i] = x
-            self.known.update((c, x) for c, x in zip(names, packed) if len(c) <= self.longest)
+        letters = [i for i in new if chunks[i].isalpha()]
+        others = [i for i in new if not chunks[i].isalpha()]
+        for code, those in ((self._code_letters, letters), (self._code_others, others)):
+            for at in range(0, len(those), 20_000):
+                some = those[at : at + 20_000]
+                names = [chunks[i] for i in some]
+                packed = code(names)
+                for i, x in zip(some, packed):
+                    out[i] = x
+                self.known.update((c, x) for c, x in zip(names, packed) if len(c) <= self.longest)
         if len(self.known) > self.remembered:
             self.before, self.known = self.known, {}
         return out
 
+    def _code_letters(self, chunks: list[bytes]) -> list[bytes]:
+        """Packed ids of runs of ASCII letters."""
+        return self._code_joined(chunks, b"\n", self.last, 1) or self._code_each(chunks)
+
+    def _code_others(self, chunks: list[bytes]) -> list[bytes]:
+        """Packed ids of any chunks. What may hold the separator or a special token is coded by itself."""
+        odd = [SEPARATOR in c or b"<|" in c for c in chunks]
+        common = [c for c, x in zip(chunks, odd) if not x]
+        rare = iter(self._code_each([c for c, x in zip(chunks, odd) if x]))
+        found = iter(self._code_joined(common, b"\n" + SEPARATOR + b"\n", self.parting, 0) or self._code_each(common))
+        return [next(rare if x else found) for x in odd]
+
+    def _code_each(self, chunks: list[bytes]) -> list[bytes]:
+        coded = self.library.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
+        return [self.pack(e.ids) for e in coded]
+
+    def _code_joined(self, chunks: list[bytes], between: bytes, marks: np.ndarray, own: int) -> list[bytes]:
+        """Packed ids of chunks, JOINED of them coded as one text with `between` them. Each chunk ends at the next id that is in
+        `marks`, which is its own or not; nothing is returned if such ids are not as many as the chunks."""
+        texts = [between.join(chunks[at : at + JOINED]).decode("utf-8", "replace") for at in range(0, len(chunks), JOINED)]
+        coded = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        out = []
+        for at, e in zip(range(0, len(chunks), JOINED), coded):
+            ids = np.array(e.ids, f"<u{self.width}")
+            end = np.flatnonzero(marks[ids])
+            if not own:
+                end = np.append(end, len(ids))
+            if len(end) != len(chunks[at : at + JOINED]):
+                return []
+            packed, start = ids.tobytes(), np.concatenate(([0], end[:-1] + 1)) * self.width
+            out += [packed[a:z] for a, z in zip(start.tolist(), ((end + own) * self.width).tolist())]
+        return out
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end of each text among them)."""
         raw = b"\n".join(texts)
@@ -175,22 +221,33 @@ class ChunkEncoder:
         return flat[at], ends[np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))]
 
 
-_ALNUM, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM, _SIGN, _PLAIN = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _SIGN[33:127] = ~_ALNUM[33:127]
+#: First bytes of ASCII and of U+00C0 to U+017F: none of these is a mark that composes with what is before it.
+_PLAIN[[*range(128), 0xC3, 0xC4, 0xC5]] = True
 
 
 def _folded(raw: bytes, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Chunks that differ in capitals or in signs after them made one: (data, start, size) of more, shorter chunks.
 
-    A-Z become a-z where no byte over 7F follows, so that no mark can compose with the letter. A chunk is cut where an ASCII
-    sign follows an ASCII letter or digit. Texts that may hold a special token (<|...|>) stay as they are.
+    A-Z and the capitals of Latin-1 become small where ASCII or U+00C0 to U+017F follows, so that no mark can compose with the
+    letter. A chunk is cut where an ASCII sign follows an ASCII letter or digit or a letter of U+00C0 to U+017F. Texts that may hold a
+    special token (<|...|>) stay as they are.
     """
     if b"<|" in raw:
         return data, start, size
     capital = (data >= 65) & (data <= 90)
-    capital[:-1] &= data[1:] < 128
-    cut = np.flatnonzero(_ALNUM[data[:-1]] & _SIGN[data[1:]]) + 1
+    letter = _ALNUM[data]
+    if not raw.isascii():
+        # Second bytes of two after C3 to C5, but for the signs of multiplication and division, and I with a dot, whose dot becomes a mark.
+        second = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC5)) + 1
+        first, byte = data[second - 1], data[second]
+        worded = ((first != 0xC3) | ((byte != 0x97) & (byte != 0xB7))) & ((first != 0xC4) | (byte != 0xB0))
+        letter[second[worded]] = True
+        capital[second[worded & (first == 0xC3) & (byte <= 0x9E)]] = True
+        capital[:-1] &= _PLAIN[data[1:]]
+    cut = np.flatnonzero(letter[:-1] & _SIGN[data[1:]]) + 1
     begins, ends = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
     begins[start] = begins[cut] = ends[start + size] = ends[cut] = True
     start = np.flatnonzero(begins)
