@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -311,6 +312,20 @@ def test_one_pair_of_each_set_is_verified_first(spark, monkeypatch):
     assert asked[0] <= 7 and sum(asked) <= 7
 
 
+def test_texts_and_not_sets_are_sent(spark, monkeypatch):
+    """What is written to verify the pairs of a swarm is less than its sets, and pairs at the bound and beside it come out right."""
+    tables = []
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name: tables.append((name, written(df, name))) or tables[-1][1])
+    monkeypatch.setattr(jaccard_join, "discard", lambda *t: None)
+    rows = swarm(8, 2_000, 12, 3) + [(8, "a b"), (9, "A  b"), (10, "c"), (11, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    out = jaccard_join.near_components(docs, words=3, percent=90).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == sorted(brute.components(rows, 3, 90))
+    first = [name for name, _ in tables].index("near-links")
+    sent = [f for name, t in tables[:first] if name in ("near-sets", "near-texts") for f in Path(re.sub("^file:", "", t.written_path)).glob("*.parquet")]
+    assert 0 < sum(f.stat().st_size for f in sent) < 8 * 8 * 1_500  # eight sets of 2,000 shingles are 128,000 bytes
+
+
 def test_chunks_are_coded_once_and_as_the_library_does():
     from tickloom.llm.queries import WORD_BPE
 

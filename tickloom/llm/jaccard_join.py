@@ -27,21 +27,23 @@ ROUNDS = 2
 _REMEMBERED = 1_000_000
 
 
-def _whole_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of every text `t` with a word: in a task once for each set, as far as it remembers."""
+def _linked(pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of (a, b, ta, tb) pairs of texts with words those (a, b) whose whole sets have Jaccard >= percent / 100."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[bytes] = set()
         for batch in batches:
-            for _, group in grouped(batch.column(0)):
-                owner, h = shingle_hashes(group, words)
+            for row, group in grouped(batch.column(2)):
+                pair = batch.slice(row, len(group))
+                _, others = zip(*grouped(pair.column(3)))
+                texts = [t for both in zip(group, (t for some in others for t in some)) for t in both]
+                owner, h = shingle_hashes(texts, words)
                 owner, h, first = ordered_sets(owner, h, np.zeros(len(h), np.uint16))
-                node = set_digests(h, first)
-                fresh = unseen(node.to_pylist(), sent)
-                shingles = _lists(h, np.diff(np.append(first, len(h))))
-                yield pa.RecordBatch.from_arrays([node.take(fresh), shingles.take(fresh)], ["node", "shingles"])
+                both = np.diff(np.append(first[::2], len(h)))
+                union = np.bincount(ordered_sets(owner // 2, h, np.zeros(len(h), np.uint16))[0], minlength=len(group))
+                linked = pa.array(np.flatnonzero(100 * (both - union) >= percent * union))
+                yield pa.RecordBatch.from_arrays([pair.column(0).take(linked), pair.column(1).take(linked)], ["a", "b"])
 
-    return texts.select("t").mapInArrow(frugal(read), "node binary, shingles array<bigint>")
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(frugal(read), "a binary, b binary")
 
 
 def unseen(keys: list[bytes], sent: set[bytes]) -> pa.Array:
@@ -143,19 +145,18 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of (a, b) node pairs those with 100 * intersection >= percent * union, by whole sets, which are read from texts."""
+    """Of (a, b) node pairs those with 100 * intersection >= percent * union, by whole sets, which are read from texts.
+
+    Texts are sent, one of each node, and not sets: a set of 64-bit hashes is longer than its text and does not compress.
+    """
     some = written(pairs.distinct(), "near-pairs")
     named = some.select(F.col("a").alias("node")).union(some.select("b")).distinct()
     wanted = written(nodes.join(named, "node", "left_semi").select("node", "h"), "near-wanted")
-    sets = _whole_sets(maybe_in(texts, wanted, "h"), words).join(wanted.select("node"), "node", "left_semi")
-    sets = written(sets.dropDuplicates(["node"]), "near-sets")
-    whole = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
-    both = some.join(whole("a"), "a").join(whole("b"), "b")
-    common = F.size(F.array_intersect("sa", "sb")).alias("i")
-    both = both.select("a", "b", F.size("sa").alias("n"), F.size("sb").alias("m"), common)
-    linked = both.where(100 * F.col("i") >= percent * (F.col("n") + F.col("m") - F.col("i")))
-    found = written(linked.select("a", "b"), "near-links")
-    discard(some, wanted, sets)
+    whole = maybe_in(texts, wanted, "h").groupBy("h").agg(F.min("t").alias("t")).join(wanted, "h")
+    whole = written(whole.select("node", "t"), "near-texts")
+    side = lambda x: whole.select(F.col("node").alias(x), F.col("t").alias(f"t{x}"))
+    found = written(_linked(some.join(side("b"), "b").join(side("a"), "a"), words, percent), "near-links")
+    discard(some, wanted, whole)
     return found
 
 
@@ -236,7 +237,8 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     paired in full. In a long list each group first tries PROBES others, ROUNDS times, which joins most of what belongs together;
     then all its pairs of two components are tried. Of the first pairs one for each set is verified, then those of two components. So no link between components is lost, and a list of m near copies
     costs about m comparisons and not m squared.
-    Sets are 64-bit hashes of shingles, read from the texts of pairs that passed the filters, and compared whole.
+    Sets are 64-bit hashes of shingles, read from the texts of pairs that passed the filters, and compared whole. Texts go by a
+    64-bit hash.
     """
     spark = docs.sparkSession
     counts = rarity_counts(docs, text, lambda texts: shingle_hashes(texts, words)[1])
@@ -277,7 +279,7 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     screened = written(pairs.distinct(), "near-screened")
     discard(groups, cand)
     settle_driver(spark)
-    # Whole sets are sent once for each pair, so one pair of each set comes first, and then those of two components yet.
+    # Texts are sent once for each pair, so one pair of each set comes first, and then those of two components yet.
     found = verified(_fewest(screened), nodes, texts, words, percent)
     comps = components(found)
     discard(found)
