@@ -84,7 +84,7 @@ def settle_driver(spark: SparkSession) -> None:
     """
     gc.collect()
     spark._jvm.System.gc()
-    give_back()
+    give_back(True)
 
 
 #: Bits of a row of a bitmap; bits of the smallest and of the largest bitmap (16 MB).

@@ -157,6 +157,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, p
     side = lambda x: whole.select(F.col("node").alias(x), F.col("t").alias(f"t{x}"))
     found = written(_linked(some.join(side("b"), "b").join(side("a"), "a"), words, percent), "near-links")
     discard(some, wanted, whole)
+    settle_driver(pairs.sparkSession)
     return found
 
 
@@ -256,6 +257,7 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     lists = written(maybe_in(posts, tokens, "token").join(tokens, "token"), "near-lists")
     wide_rows, rows = rows, written(rows.select("doc", "h", "n", "node"), "near-rows")
     discard(tokens, wide_rows)
+    settle_driver(spark)
 
     groups = nodes.groupBy("gid").agg(F.min(F.struct("node", "n", *SIGNATURE)).alias("c"), F.count("*").alias("members"))
     groups = written(groups.select("gid", "members", F.col("c.node").alias("rep"), "c.n", *[f"c.{s}" for s in SIGNATURE]), "near-groups")
@@ -268,6 +270,7 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     probed = _probed(alone, 0, percent).select(F.least("x.gid", "y.gid"), F.greatest("x.gid", "y.gid"))
     cand = written(cand.toDF("ga", "gb").union(probed).distinct(), "near-candidates")
     discard(lists)
+    settle_driver(spark)
 
     wide = cand.join(several.select(F.col("gid").alias("ga")), "ga", "left_semi").select("ga", "gb")
     wide = wide.union(cand.join(several.select(F.col("gid").alias("gb")), "gb", "left_semi").select("ga", "gb"))
