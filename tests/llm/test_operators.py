@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 from tokenizers import Tokenizer
 
-from tickloom.llm import warc
+from tickloom.llm import line_dedup, warc
 from tickloom.llm.common import fresh_path
 from tickloom.llm.decontaminate import find_contamination, search_text, build_searches
 from tickloom.llm.graph import components
@@ -301,6 +301,22 @@ def test_line_dedup_small_sf(spark):
     assert got == brute.line_dedup(rows, 80)
 
 
+def test_unlike_long_lines_are_not_verified(spark, monkeypatch):
+    """Lines of 160 words share rare words by chance; their signatures tell them apart, so that no pair of them is read whole."""
+    draw, found, late = random.Random(3), [], line_dedup._late
+    vocabulary = [f"w{i}" for i in range(2000)]
+    rows = [(d, " ".join(draw.sample(vocabulary, 160))) for d in range(40)]
+    rows.append((40, rows[7][1] + " more"))
+
+    def counted(pairs, *rest):
+        found.extend(pairs.distinct().collect())
+        return late(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "_late", counted)
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert [r["doc_id"] for r in out.where("deduped.n_removed > 0").collect()] == [40] and len(found) <= 2
+
+
 def test_word_hashes():
     rng = random.Random(2)
     for _ in range(50):

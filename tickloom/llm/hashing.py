@@ -15,6 +15,7 @@ GROUP_BYTES = 1_000_000
 
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
+_WHITE_BYTES = WHITE.tobytes()
 #: glibc's number of the setting, and bytes from which a block goes back to the system as it is freed.
 _MMAP_THRESHOLD, _LARGE = -3, 4_000_000
 
@@ -44,17 +45,9 @@ def frugal(run: Callable) -> Callable:
     return wrapped
 
 
-_BASE = 0x9E3779B97F4A7C15
 _PIECE = 1 << 18
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
-
-
-_up, _down = _powers(_BASE, 2 * _PIECE), _powers(pow(_BASE, -1, 1 << 64), 2 * _PIECE)
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -64,21 +57,28 @@ def mixed(h: np.ndarray, salt: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    up, down = (_up, _down) if len(data) < len(_up) else (_powers(_BASE, len(data) + 1), _powers(pow(_BASE, -1, 1 << 64), len(data) + 1))
-    edges = np.flatnonzero(np.diff(np.concatenate(([True], WHITE[data], [True]))))
-    start, end = edges[::2], edges[1::2]
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])))
-    return start, mixed((sums[end] - sums[start]) * down[start], 0) + (end - start).astype(np.uint64)
+def _piece(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    white = np.frombuffer(b"\1" + text.translate(_WHITE_BYTES) + b"\1", np.bool_)
+    edges = np.flatnonzero(white[1:] != white[:-1])
+    start, n = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(text) + 1, "<u8", text + bytes(8), 0, 1)
+    h = mixed(eight[start] & _MASKS[np.minimum(n, 8)], 0)
+    at, long = 8, np.flatnonzero(n > 8)
+    while len(long):
+        left = n[long] - at
+        h[long] = mixed(h[long] * np.uint64(3) + (eight[start[long] + at] & _MASKS[np.minimum(left, 8)]), at)
+        at, long = at + 8, long[left > 8]
+    return start, h + n.astype(np.uint64)
 
 
 def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(start, 64-bit hash) of the words of UTF-8 text: runs of anything but space and \\t-\\r, A-Z as a-z.
 
-    A word's hash is a polynomial of its bytes, read off running sums, so that no word is touched by itself.
+    Words are read eight bytes at a time, the first eight of all words at once, then the next of those that are longer.
     Long texts are worked off in pieces of about 256 KB that end at white space.
     """
-    data = np.frombuffer(text.lower(), np.uint8)
+    text = text.lower()
+    data = np.frombuffer(text, np.uint8)
     starts, hashes, at = [], [], 0
     while at < len(data):
         end = len(data)
@@ -88,7 +88,7 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
             while end < len(data) and not WHITE[data[end - 1]]:
                 gap = np.flatnonzero(WHITE[data[end : end + step]])
                 end = end + int(gap[0]) + 1 if len(gap) else min(len(data), end + step)
-        start, h = _piece(data[at:end])
+        start, h = _piece(text[at:end])
         starts.append(start + at)
         hashes.append(h)
         at = end

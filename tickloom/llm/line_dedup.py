@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import counter_of, discard, free_name, maybe_in, rarity_counts, surely_out, written
 from tickloom.llm.hashing import (
-    differing_bits, frugal, grouped, mixed, ordered_sets, rarity_ranks, set_digests, set_signatures, word_hashes,
+    frugal, grouped, mixed, ordered_sets, rarity_ranks, set_digests, set_signatures, word_hashes,
 )
 
 #: A word with a larger counter is in lists only together with each of the next words of its line's prefix.
@@ -20,8 +20,14 @@ HEAVY = 1024
 PAIRED_WORDS = 256
 #: Keys of a class, the rarest first, by which it tries one of a list, the class of most lines, before all others.
 TRIED = 4
+#: Words from which a line has a signature of 128 bits; 64 bits do not tell long lines from each other.
+WIDE = 48
 #: Ids of settled classes up to which their table is broadcast (8 bytes each); more of them are joined by shuffling.
 BROADCAST_IDS = 1_000_000
+#: Posts of whole lists that are compared in one go, and pairs of them; a longer list is one go.
+POSTS, PAIRS = 1 << 18, 1 << 19
+#: Low bits of a packed key that are the place; the rest is the hash. A place beyond goes by the last one, which only passes more.
+PLACE_BITS = 16
 #: A character of a word.
 _WORD = "[^\\x20\\x09-\\x0D]"
 
@@ -30,7 +36,9 @@ def _line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(line, hash) of all words of some texts; lines are numbered through all of them."""
     data = b"\n".join(texts)
     start, h = word_hashes(data)
-    return np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), start), h
+    before = np.searchsorted(start, np.flatnonzero(np.frombuffer(data, np.uint8) == 10))
+    count = np.diff(np.concatenate(([0], before, [len(h)])))
+    return np.repeat(np.arange(len(count)), count), h
 
 
 def _keys(h: np.ndarray, first: np.ndarray, rank: np.ndarray, heavy: int, percent: int) -> tuple[np.ndarray, ...]:
@@ -61,8 +69,17 @@ def _keys(h: np.ndarray, first: np.ndarray, rank: np.ndarray, heavy: int, percen
     return owner[order], key[order], at[order]
 
 
+def _signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Two numbers for each set: a signature of 128 bits, and for sets of less than WIDE words both halves folded into the first."""
+    sig = set_signatures(h, first, 2).view(np.int64)
+    short = np.diff(np.append(first, len(h))) < WIDE
+    sig[short, 0] ^= sig[short, 1]
+    sig[short, 1] = 0
+    return sig
+
+
 def _line_rows(docs: DataFrame, ranks, percent: int) -> DataFrame:
-    """(doc, h, text) rows to one row a line with words: doc, h, line, n, node (digest of its set), sig (signature), keys."""
+    """(doc, h, text) rows to one row a line with words: doc, h, line, n, node (digest of its set), sig and more (signature), keys (packed)."""
     heavy = int(rarity_ranks(np.array([HEAVY]))[0])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,19 +89,21 @@ def _line_rows(docs: DataFrame, ranks, percent: int) -> DataFrame:
                 line, h = _line_words(texts)
                 line, h, first = ordered_sets(line, h, rare[counter_of(h)])
                 owner, key, pos = _keys(h, first, rare[counter_of(h)], heavy, percent)
-                entries = [pa.array(key.view(np.int64)), pa.array(pos, pa.int32())]
+                low = np.uint64((1 << PLACE_BITS) - 1)
+                packed = (key & ~low) | np.minimum(pos.astype(np.uint64), low)
                 offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(first)))))
-                keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(entries, ["key", "pos"]))
+                keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(packed.view(np.int64)))
                 text = np.repeat(np.arange(len(texts)), [t.count(b"\n") + 1 for t in texts])
                 start = np.searchsorted(text, np.arange(len(texts)))
                 at = line[first]
                 rows = pa.array(row + text[at], pa.int64())
                 columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at - start[text[at]], pa.int32())]
                 columns += [pa.array(np.diff(np.append(first, len(h))), pa.int32()), set_digests(h, first)]
-                columns += [pa.array(set_signatures(h, first, 1)[:, 0].view(np.int64)), keys]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "h", "line", "n", "node", "sig", "keys"])
+                sig, more = _signatures(h, first).T
+                columns += [pa.array(np.ascontiguousarray(sig)), pa.array(np.ascontiguousarray(more)), keys]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "h", "line", "n", "node", "sig", "more", "keys"])
 
-    kinds = "doc bigint, h bigint, line int, n int, node binary, sig bigint, keys array<struct<key: bigint, pos: int>>"
+    kinds = "doc bigint, h bigint, line int, n int, node binary, sig bigint, more bigint, keys array<bigint>"
     return docs.mapInArrow(frugal(read), kinds)
 
 
@@ -127,12 +146,105 @@ def _late(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -
     return late
 
 
-def _passes(percent: int) -> Column:
-    """Length, positional and signature filters of x and y at a key that is the first that both have."""
-    near = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    there = f"{100 + percent} * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n)"
-    bits = differing_bits(["x.sig"], ["y.sig"])
-    return F.expr(f"{near} AND {there}") & ((100 + percent) * bits <= F.expr(f"{100 - percent} * (x.n + y.n)"))
+def _posts(classes: DataFrame, *columns: str | Column, keys: str | Column = "keys") -> DataFrame:
+    """A row for each key of each class: key, pos, id, n, sig, more and `columns`, shuffled and sorted by key."""
+    low = (1 << PLACE_BITS) - 1
+    rows = classes.select("id", "n", "sig", "more", *columns, F.explode(keys).alias("packed"))
+    key, pos = F.col("packed").bitwiseAND(~low).alias("key"), F.col("packed").bitwiseAND(low).alias("pos")
+    return rows.select(key, pos, *rows.columns[:-1]).repartition("key").sortWithinPartitions("key")
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of posts sorted by key, some whole lists at a time, with `list`, which numbers the lists."""
+    held, rows, wanted = [], 0, POSTS
+
+    def columns(t: pa.Table) -> dict[str, np.ndarray]:
+        out = {c: t[c].to_numpy() for c in t.column_names}
+        key = out["key"]
+        return out | {"list": np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))}
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < wanted:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        cut = int(np.searchsorted(t["key"].to_numpy(), t["key"][-1].as_py()))
+        if cut:
+            yield columns(t.slice(0, cut))
+        held, rows = t.slice(cut).to_batches(), rows - cut
+        wanted = max(POSTS, 2 * rows)
+    if rows:
+        yield columns(pa.Table.from_batches(held).combine_chunks())
+
+
+def _alike(t: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether signatures leave it open that posts i and j have Jaccard >= percent / 100."""
+    n, m, sig, more = t["n"][i], t["n"][j], t["sig"][i] ^ t["sig"][j], t["more"][i] ^ t["more"][j]
+    wide = np.minimum(n, m) >= WIDE
+    bits = np.bitwise_count(np.where(wide, sig, sig ^ more).view(np.uint64)).astype(np.int64)
+    bits += np.where(wide, np.bitwise_count(more.view(np.uint64)), 0)
+    return (100 + percent) * bits <= (100 - percent) * (n + m)
+
+
+def _reach(t: dict[str, np.ndarray], percent: int) -> np.ndarray:
+    """`percent` times the largest set over the threshold of which a post's key may be the first that both have, by lengths and places."""
+    return (100 + percent) * (t["n"] - t["pos"]) - percent * t["n"]
+
+
+def _named(t: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    a, b = t["id"][i], t["id"][j]
+    return pa.record_batch([pa.array(np.minimum(a, b)[a != b]), pa.array(np.maximum(a, b)[a != b])], ["a", "b"])
+
+
+def _tried_pairs(posts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each class with the one of the largest `most` of its list, if filters pass them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _lists(batches):
+            t["n"] = t["n"].astype(np.int64)
+            first = np.flatnonzero(np.diff(t["list"], prepend=-1))
+            best = np.flatnonzero(t["most"] == np.maximum.reduceat(t["most"], first)[t["list"]])
+            j = best[np.searchsorted(t["list"][best], t["list"])]
+            reach = _reach(t, percent)
+            i = np.flatnonzero((reach >= percent * t["n"][j]) & (reach[j] >= percent * t["n"]))
+            i = i[_alike(t, i, j[i], percent)]
+            yield _named(t, i, j[i])
+
+    return posts.mapInArrow(frugal(run), "a bigint, b bigint")
+
+
+def _open_pairs(posts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes of one list that filters pass, of which the later one may be not settled.
+
+    Posts of a list are sorted by length, so that a post meets a run of the next ones, which may be as long as it reaches.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _lists(batches):
+            order = np.argsort((t["list"] << 32) | t["n"], kind="stable")
+            t = {c: v[order] for c, v in t.items()}
+            t["n"] = t["n"].astype(np.int64)
+            reach = _reach(t, percent)
+            end = np.searchsorted((t["list"] << 32) | t["n"], (t["list"] << 32) | np.maximum(reach // percent, 0), "right")
+            count = np.maximum(end - np.arange(len(end)) - 1, 0)
+            total = np.concatenate(([0], np.cumsum(count)))
+            at = 0
+            while at < len(count):
+                stop = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, "right")) - 1)
+                i = np.repeat(np.arange(at, stop), count[at:stop])
+                j = np.arange(total[at], total[stop]) - total[i] + i + 1
+                some = reach[j] >= percent * t["n"][i]
+                i, j = i[some], j[some]
+                x, y = t["done"][i], t["done"][j]
+                later = (t["place"][i] > t["place"][j]) * 1 - (t["place"][i] < t["place"][j])
+                some = (x + y == 0) | ((x < y) & (later >= 0)) | ((x > y) & (later <= 0))
+                i, j = i[some], j[some]
+                some = _alike(t, i, j, percent)
+                yield _named(t, i[some], j[some])
+                at = stop
+
+    return posts.mapInArrow(frugal(run), "a bigint, b bigint")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 80) -> DataFrame:
@@ -153,32 +265,27 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     and in lists a class goes by a 64-bit hash.
     """
     spark = docs.sparkSession
-    counts = rarity_counts(docs, text, lambda texts: _line_words(texts)[1])
+    counts = rarity_counts(docs, text, lambda texts: word_hashes(b"\n".join(texts))[1])
     ranks = spark.sparkContext.broadcast(rarity_ranks(counts))
     texts = docs.select(F.col(key).cast("bigint").alias("doc"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
     wide = written(_line_rows(texts, ranks, percent), "lines")
     at = F.struct(F.col("doc").isNull().alias("last"), "doc", "h", "line")
-    first = F.min(F.struct(at.alias("at"), "n", "sig", "keys")).alias("c")
-    classes = wide.groupBy("node").agg(first, F.count("*").alias("times")).select("node", F.xxhash64("node").alias("id"), "times", "c.*")
+    first = F.min(F.struct(at.alias("at"), "n", "sig", "more", "keys")).alias("c")
+    classes = wide.groupBy("node").agg(first, F.count("*").alias("times")).select("node", F.monotonically_increasing_id().alias("id"), "times", "c.*")
     classes = written(classes, "line-classes")
     lines = written(wide.select("doc", "h", "line", "node"), "lines")
     discard(wide)
 
     early = F.when(F.col("at.doc") >= 0, 1 / (2 + F.col("at.doc"))).otherwise(F.lit(0.0))
-    x = classes.select("id", "n", "sig", (F.col("times") + early).alias("most"), F.inline(F.slice("keys", 1, TRIED)))
-    one = [F.max_by(c, "most").alias(c) for c in ("id", "n", "sig", "pos")]
-    y = x.groupBy("key").agg(*one, F.count("*").alias("all")).where("all > 1").alias("y")
-    tried = x.alias("x").join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.id") != F.col("y.id")) & _passes(percent))
-    settled = _late(tried.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), classes, texts, percent)
+    most = (F.col("times") + early).alias("most")
+    tried = _tried_pairs(_posts(classes, most, keys=F.slice("keys", 1, TRIED)), percent)
+    settled = _late(tried, classes, texts, percent)
 
     mark = settled.select("id", F.lit(1).alias("done")).distinct()
     mark = F.broadcast(mark) if settled.count() <= BROADCAST_IDS else mark
-    posts = classes.select("id", "n", "sig", "keys").join(mark, "id", "left")
-    posts = posts.select("id", "n", "sig", F.coalesce("done", F.lit(0)).alias("done"), F.inline("keys"))
-    # One side at least is not settled; of two such, one order will do. Both sides are one shuffle, so no side is filtered alone.
-    open_pair = F.expr("x.id != y.id AND 2 * x.done <= y.done AND (y.done > x.done OR x.id < y.id)")
-    rest = posts.alias("x").join(posts.alias("y"), F.expr("x.key = y.key") & open_pair & _passes(percent))
-    others = _late(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), classes, texts, percent)
+    place = F.coalesce("at.doc", F.lit((1 << 63) - 1)).alias("place")
+    marked = classes.join(mark, "id", "left")
+    others = _late(_open_pairs(_posts(marked, place, F.coalesce("done", F.lit(0)).alias("done")), percent), classes, texts, percent)
 
     repeated = classes.where("times > 1").select("node", F.col("at").alias("first"), F.lit(False).alias("late"))
     late = settled.union(others).select("node", F.lit(None).cast(repeated.schema["first"].dataType), F.lit(True))
@@ -197,7 +304,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     whole, k, t, row, first = (free_name(docs, c) for c in ("dedup_text", "dedup_key", "dedup_text_hash", "dedup_row", "dedup_first"))
     rows = docs.select(*carried, F.col(text).alias(whole), F.col(key).cast("bigint").alias(k), F.xxhash64(text).alias(t))
     split = F.split(whole, "\n", -1)
-    worded = F.size(F.filter(split, lambda x: F.rlike(x, F.lit(_WORD))))
+    worded = F.regexp_count(F.concat(F.lit("\n"), whole), F.lit(f"\\n[\\x20\\x09\\x0B-\\x0D]*+{_WORD}"))
     count = F.when(F.col(whole).isNull(), 0).otherwise(worded).cast("bigint").alias("n_lines")
     named = losing.select(F.col(d).alias(k), F.col(g).alias(t))
     kept_all = F.struct(F.col(whole).alias("text"), count, F.lit(0).cast("bigint").alias("n_removed")).alias("deduped")
@@ -211,8 +318,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     some = some.join(firsts, F.col(d).eqNullSafe(F.col(f"{d}_")) & (F.col(g) == F.col(f"{g}_")))
     touched = touched.unionByName(some.withColumn(row, F.col(row) != F.col(first)).select(*touched.columns))
     touched = touched.withColumn(n, F.coalesce(gone, F.array().cast("array<int>")))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), n), lambda i: F.get(split, i))
-    shown = F.when(F.size(n) == 0, F.col(whole)).otherwise(F.array_join(kept, "\n"))
+    # The text is split once, as a variable: what stands inside a lambda is computed for each element again.
+    kept = lambda s: F.transform(F.array_except(F.sequence(F.lit(0), F.size(s) - 1), n), lambda i: F.get(s, i))
+    joined = F.get(F.transform(F.array(split), lambda s: F.array_join(kept(s), "\n")), F.lit(0))
+    shown = F.when(F.size(n) == 0, F.col(whole)).otherwise(joined)
     again = F.col(row)
     bare = F.array_join(F.filter(split, lambda x: ~F.rlike(x, F.lit(_WORD))), "\n")
     removed = F.when(again, worded).otherwise(F.size(n)).cast("bigint")
